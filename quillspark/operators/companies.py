@@ -65,7 +65,9 @@ def select_companies(companies: DataFrame, terms: Sequence[str], order_col: str
     the broadcast term list) always contains the answer.  The greedy pass then
     runs over at most ``len(terms)**2`` rows.
     """
+    from .._ship import ship_package
     spark: SparkSession = companies.sparkSession
+    ship_package(spark)
     k = len(terms)
     if k == 0:
         return spark.createDataFrame([], "term_pos int, term string, ticker string, title string")

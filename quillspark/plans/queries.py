@@ -481,3 +481,129 @@ def outline(spark, sf):
 def concept_series(spark, sf):
     from ..operators.facts import concept_series as cs
     return cs(B.view(spark, sf, "concept_facts"))
+
+
+# ---------------------------------------------------------------------------
+# Extraction, rendering, outcomes, facts
+# ---------------------------------------------------------------------------
+GENERATED_AT = "2024-01-01 00:00:00"
+
+
+def _suffix_sql(x):
+    return f"lower(regexp_extract({x}, '(\\.[^./]*)$', 1))"
+
+
+def _w3_status_sql():
+    from .jobs import ANY_HTML_TEXT, MAIN_10K
+    return (f"CASE WHEN {_suffix_sql('file_name')} <> '.txt' THEN 'skipped' "
+            f"WHEN {Q.first('content', MAIN_10K, 0)} = '' AND {Q.first('content', ANY_HTML_TEXT, 0)} = '' "
+            "THEN 'no_html' ELSE 'extracted' END")
+
+
+@register("batch_outcome", V(
+    f"SELECT status, count(*) AS n_files FROM (SELECT {_w3_status_sql()} AS status FROM submissions) GROUP BY status",
+    "submissions"))
+def batch_outcome(spark, sf):
+    """A7 over the pure-HTML extraction job."""
+    from .jobs import extract_html, outcome_counts
+    return outcome_counts(extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="regex"))
+
+
+@register("pure_html")
+def pure_html(spark, sf):
+    """T18 / C3 with the DOM clean (T14); rows-only check."""
+    from .jobs import extract_html
+    r = extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="tree")
+    return r.select("submission_id", "status", F.md5("html").alias("html_md5"),
+                    F.length("html").alias("n_chars"))
+
+
+@register("html_dom_clean")
+def html_dom_clean(spark, sf):
+    """T14 on pages (Arrow batches); rows-only check, compared to plain Python in tests."""
+    from ..operators.html_tree import clean_html_tree
+    return clean_html_tree(B.view(spark, sf, "html_docs"), "html").select("page_id", "clean_html")
+
+
+@register("main_slice")
+def main_slice(spark, sf):
+    """T17 (uses a look-ahead RE2 lacks); rows-only check, compared to Python ``re`` in tests."""
+    from .jobs import main_slices
+    return main_slices(B.view(spark, sf, "submissions"))
+
+
+_IX_FACTS_SQL = (
+    "SELECT submission_id, CAST(f.i - 1 AS INTEGER) AS fact_pos, "
+    "lower(regexp_extract(f.raw, '(?is)^<ix:(nonfraction|nonnumeric)', 1)) AS tag, "
+    "regexp_extract(f.raw, '(?is)^<[^>]*\\bname=\"([^\"]*)\"', 1) AS name, "
+    "regexp_extract(f.raw, '(?is)^<[^>]*\\bcontextref=\"([^\"]*)\"', 1) AS context, "
+    "regexp_extract(f.raw, '(?is)^<[^>]*\\bunitref=\"([^\"]*)\"', 1) AS unit, "
+    "regexp_replace(regexp_extract(f.raw, '(?is)^<[^>]*>(.*)</ix:[^>]*>$', 1), '<[^>]+>', '', 'g') AS value "
+    "FROM (SELECT submission_id, unnest(list_transform(regexp_extract_all(content, "
+    "'(?is)<ix:(?:nonfraction|nonnumeric)\\b[^>]*>.*?</ix:(?:nonfraction|nonnumeric)>', 0), "
+    "lambda r, i: struct_pack(i := i, raw := r))) AS f FROM submissions)")
+
+
+@register("ix_facts", V(_IX_FACTS_SQL, "submissions"))
+def ix_facts(spark, sf):
+    from ..operators.facts import ix_facts as facts
+    return facts(B.view(spark, sf, "submissions"))
+
+
+def _page_sql(title, header, body):
+    parts = ["'<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || "
+             "'<meta charset=\"UTF-8\">' || chr(10) || '<title>'", title,
+             "'</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<div class=\"header\">' || chr(10)"]
+    for h in header:
+        parts += ["'<div>'", h, "'</div>' || chr(10)"]
+    parts += ["'</div>' || chr(10)", body, "chr(10) || '</body>' || chr(10) || '</html>' || chr(10)"]
+    return "(" + " || ".join(f"({p})" for p in parts) + ")"
+
+
+def _filing_page_sql(meta, body, notice=None):
+    from ..operators.render import NOTICE
+    header = [meta["company"], meta["document_type"], f"'Accession Number: ' || {meta['accession']}",
+              f"'Filing Date: ' || {meta['filing_date']}", Q.q(f"Generated: {GENERATED_AT}")]
+    content = f"'<div class=\"content\">' || {body} || '</div>'"
+    if notice is not None:
+        content = f"CASE WHEN {notice} THEN {Q.q(NOTICE)} || chr(10) ELSE '' END || {content}"
+    return _page_sql(meta["company"], header, content)
+
+
+def _render_sql():
+    hdr = ("SELECT submission_id, max(CASE WHEN key = 'COMPANY CONFORMED NAME' THEN value END) AS h_company, "
+           "max(CASE WHEN key = 'ACCESSION NUMBER' THEN value END) AS h_accession, "
+           "max(CASE WHEN key = 'FILED AS OF DATE' THEN value END) AS h_filed, "
+           "max(CASE WHEN key = 'CONFORMED SUBMISSION TYPE' THEN value END) AS h_type "
+           f"FROM ({_HEADER_ROWS_SQL}) GROUP BY submission_id")
+    filed = f"coalesce(h.h_filed, '{P.UNKNOWN}')"
+    sgml_meta = {"company": f"coalesce(h.h_company, '{P.UNKNOWN_COMPANY}')",
+                 "accession": f"coalesce(h.h_accession, '{P.UNKNOWN}')",
+                 "filing_date": f"CASE WHEN {filed} <> '{P.UNKNOWN}' THEN {Q.dash_date(filed)} ELSE {filed} END",
+                 "document_type": f"coalesce(h.h_type, '{P.UNKNOWN}')"}
+    first_doc = Q.first("u.content", P.FIRST_DOCUMENT_BODY, 0)
+    sgml_body = Q.clean_sgml_text(
+        f"CASE WHEN {first_doc} <> '' THEN substring({first_doc}, 11, length({first_doc}) - 21) "
+        "WHEN instr(u.content, '</SEC-HEADER>') > 0 THEN substring(u.content, instr(u.content, '</SEC-HEADER>') + 13) "
+        "ELSE u.content END")
+    ix_meta = _regex_meta_sql("u.content", "u.file_name")
+    ix_body = Q.mark_titles(Q.clean_ixbrl_text("a.report"))
+    text_page = _page_sql("u.file_name", ["'Filing document'", "u.file_name", Q.q(f"Generated on {GENERATED_AT}")],
+                          "'<div class=\"content\">' || u.content || '</div>'")
+    fmt = _FORMAT_SQL.replace("content", "u.content")
+    return (
+        f"SELECT submission_id, file_name, doc_format, CASE WHEN doc_format = 'ixbrl' THEN ix_page "
+        "WHEN doc_format = 'sgml' THEN sgml_page WHEN doc_format = 'text' THEN text_page END AS html, "
+        "CASE WHEN doc_format IS NULL THEN 'skipped' ELSE 'converted' END AS status FROM ("
+        f"SELECT u.submission_id, u.file_name, CASE WHEN {_suffix_sql('u.file_name')} IN ('.txt', '.html') "
+        f"THEN {fmt} END AS doc_format, {_filing_page_sql(ix_meta, ix_body, _truncated_sql('a.report'))} AS ix_page, "
+        f"{_filing_page_sql(sgml_meta, sgml_body)} AS sgml_page, {text_page} AS text_page "
+        f"FROM submissions u LEFT JOIN ({hdr}) h ON u.submission_id = h.submission_id "
+        f"LEFT JOIN ({_ASSEMBLED_SQL}) a ON u.submission_id = a.submission_id)")
+
+
+@register("render_html", V(_render_sql(), "submissions"))
+def render_html(spark, sf):
+    """Routed HTML pages with a fixed generation time."""
+    from .jobs import convert_to_html
+    return convert_to_html(B.view(spark, sf, "submissions"), GENERATED_AT)
