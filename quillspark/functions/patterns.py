@@ -34,7 +34,10 @@ class Rx:
 
     @property
     def java(self) -> str:
-        f = "d" + self.flags + ("u" if "i" in self.flags else "")
+        # Unicode case folding costs a table lookup per character; it only changes
+        # results for letters with non-ASCII case partners (i, k, s).
+        unicode_case = "i" in self.flags and any(ch in self.body for ch in "iksIKS")
+        f = "d" + self.flags + ("u" if unicode_case else "")
         return f"(?{f}){self.body}"
 
     @property
@@ -51,6 +54,9 @@ TWO_NEWLINES = Rx(rf"\n{S}*\n")
 SPACE_RUN = Rx(r"[ \t]+")
 SYMBOL_LINE = Rx(rf"^{S}*{NOT_W_OR_S}*{S}*$", "m")
 STRIP = Rx(rf"\A{S}+|{S}+\z")
+# The characters str.isspace() accepts (equal to the S class), for trim()
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+                    + "\u2028\u2029\u202f\u205f\u3000")
 
 # iXBRL clean
 IX_OPEN = Rx(r"<ix:[^>]*>")
@@ -79,6 +85,8 @@ NEWLINE_SPACE = Rx(r"\n ")
 DIGITS_LINE = Rx(rf"^{D}+$")
 TECH_ID_LINE = Rx(r"^[A-Z0-9\-_]{20,}$")
 HEX_LINE = Rx(r"^[a-f0-9]{32,}$")
+# the three whole-line tests above as one pass
+TECHNICAL_LINE = Rx(rf"^(?:{D}+|[A-Z0-9\-_]{{20,}}|[a-f0-9]{{32,}})$")
 SENTENCE_MARK = Rx(r"[.!?]")
 
 # Regex fallback of the DOM clean
@@ -109,6 +117,9 @@ MAIN_MARKERS = Rx(rf"Item 1\.{S}*Business|Item 1A\.{S}*Risk|Item 2\.{S}*Properti
 PART_OR_ITEM = Rx(rf"^(Part [IVX]+|Item {D}+[A-Z]?\.)", "i")
 ITEM_TITLE = Rx(rf"^Item {D}+[A-Z]?\.[^0-9]", "i")
 TWO_CAPITALISED = Rx(r"^[A-Z][a-z]+ [A-Z][a-z]+")
+# PART_OR_ITEM, ITEM_TITLE (implied by PART_OR_ITEM) and TWO_CAPITALISED as one pass
+CHAPTER_TITLE_JAVA = rf"(?d)^(?:(?iu:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"
+CHAPTER_TITLE_RE2 = rf"^(?:(?i:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"
 
 # HTML to text (T12): markup that is not text
 HTML_SCRIPT = Rx(rf"<script(?:{S}[^>]*)?>.*?</script{S}*>", "si")
@@ -125,6 +136,8 @@ NOT_WHITELISTED = Rx(rf"[^{W_CLASS}{S_CLASS}.,;:!?\-()\[\]{{}}\"'/\\]")
 # Upper-case test of a whole line (str.isupper)
 HAS_UPPER = Rx(r"\p{Lu}")
 HAS_LOWER_OR_TITLE = Rx(r"[\p{Ll}\p{Lt}]")
+# both tests as one pass over a line without newlines
+ALL_UPPER = Rx(r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$", "s")
 
 # Format markers (P10), matched as plain substrings
 # --- fixed values that must equal the reference -------------------------------

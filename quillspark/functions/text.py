@@ -28,13 +28,13 @@ def rx_first(c: Column, rx: P.Rx, group: int = 1) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """``str.strip()``: Unicode whitespace at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(c, P.STRIP.java, "")
+    """``str.strip()``: trim every character ``str.isspace`` accepts (plain ``trim`` takes spaces only)."""
+    return F.trim(c, F.lit(P.WHITESPACE_CHARS))
 
 
 def is_upper(c: Column) -> Column:
     """``str.isupper()``: at least one upper-case letter and no lower/title-case one."""
-    return c.rlike(P.HAS_UPPER.java) & ~c.rlike(P.HAS_LOWER_OR_TITLE.java)
+    return c.rlike(P.ALL_UPPER.java)
 
 
 def squeeze_newlines_and_spaces(c: Column) -> Column:
@@ -76,11 +76,10 @@ def clean_ixbrl_text(c: Column) -> Column:
 # T11 section clean
 # ---------------------------------------------------------------------------
 def _dropped_line(line: Column) -> Column:
-    cond = (line.rlike(P.DIGITS_LINE.java)
-            | line.rlike(P.TECH_ID_LINE.java)
-            | line.rlike(P.HEX_LINE.java))
+    cond = F.lit(False)
     for prefix in P.DROPPED_LINE_PREFIXES:
         cond = cond | line.startswith(prefix)
+    cond = cond | line.rlike(P.TECHNICAL_LINE.java)
     return cond | ((F.length(line) > P.LONG_LINE_CHARS) & ~line.rlike(P.SENTENCE_MARK.java))
 
 
@@ -160,10 +159,7 @@ def clean_html_regex(c: Column) -> Column:
 # T16 chapter titles
 # ---------------------------------------------------------------------------
 def is_chapter_title(line: Column) -> Column:
-    return (line.rlike(P.PART_OR_ITEM.java)
-            | line.rlike(P.ITEM_TITLE.java)
-            | line.rlike(P.TWO_CAPITALISED.java)
-            | line.isin(P.LISTED_TITLES))
+    return line.rlike(P.CHAPTER_TITLE_JAVA) | line.isin(P.LISTED_TITLES)
 
 
 def title_kind(line: Column) -> Column:
@@ -189,8 +185,8 @@ def mark_titles(c: Column) -> Column:
 # W5 paragraphs (shuffle-free)
 # ---------------------------------------------------------------------------
 def is_header_line(line: Column) -> Column:
-    return ((is_upper(line) & (F.length(line) > P.HEADER_MIN_CHARS))
-            | line.startswith("Item "))
+    return (line.startswith("Item ")
+            | ((F.length(line) > P.HEADER_MIN_CHARS) & is_upper(line)))
 
 
 def paragraph_array(c: Column) -> Column:

@@ -28,11 +28,12 @@ def first(x: str, rx: P.Rx, group: int = 1) -> str:
 
 
 def strip(x: str) -> str:
-    return sub(x, P.STRIP)
+    chars = "".join(f" || chr({ord(c)})" for c in P.WHITESPACE_CHARS)[4:]
+    return f"trim({x}, {chars})"
 
 
 def is_upper(x: str) -> str:
-    return f"({has(x, P.HAS_UPPER)} AND NOT {has(x, P.HAS_LOWER_OR_TITLE)})"
+    return has(x, P.ALL_UPPER)
 
 
 def squeeze(x: str) -> str:
@@ -55,7 +56,7 @@ def clean_ixbrl_text(x: str) -> str:
 
 
 def _dropped_line(v: str) -> str:
-    parts = [has(v, P.DIGITS_LINE), has(v, P.TECH_ID_LINE), has(v, P.HEX_LINE)]
+    parts = [has(v, P.TECHNICAL_LINE)]
     parts += [f"starts_with({v}, {q(p)})" for p in P.DROPPED_LINE_PREFIXES]
     parts.append(f"(length({v}) > {P.LONG_LINE_CHARS} AND NOT {has(v, P.SENTENCE_MARK)})")
     return "(" + " OR ".join(parts) + ")"
@@ -95,8 +96,7 @@ def clean_html_regex(x: str) -> str:
 
 def is_chapter_title(v: str) -> str:
     titles = "[" + ", ".join(q(t) for t in P.LISTED_TITLES) + "]"
-    return (f"({has(v, P.PART_OR_ITEM)} OR {has(v, P.ITEM_TITLE)} OR {has(v, P.TWO_CAPITALISED)} "
-            f"OR list_contains({titles}, {v}))")
+    return f"(regexp_matches({v}, {q(P.CHAPTER_TITLE_RE2)}) OR list_contains({titles}, {v}))"
 
 
 def title_kind(v: str) -> str:
