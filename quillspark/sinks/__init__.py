@@ -1 +1,79 @@
-"""sinks."""
+"""Sinks (K1-K5): output paths are columns, writes are plain DataFrame writers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+
+def with_suffix(path: Column, new_suffix: str) -> Column:
+    """``Path.with_suffix``: replace the last suffix of the file name, or append one."""
+    return F.when(path.rlike(r"\.[^./]*$"), F.regexp_replace(path, r"\.[^./]*$", new_suffix)) \
+        .otherwise(F.concat(path, F.lit(new_suffix)))
+
+
+def html_path(path: Column, layout: str = "sibling", input_root: str | None = None,
+              output_dir: str | None = None) -> Column:
+    """K2: where a rendered page goes.
+
+    * ``sibling``     -- ``input.with_suffix('.html')``
+    * ``html_subdir`` -- ``<parent>/html/<stem>.html`` (batch conversion)
+    * ``mirror``      -- ``<output_dir>/<path relative to input_root>`` with ``.html``
+    """
+    if layout == "sibling":
+        return with_suffix(path, ".html")
+    if layout == "html_subdir":
+        parent = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+        stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+        return F.concat(parent, F.lit("/html/"), stem, F.lit(".html"))
+    if layout == "mirror":
+        if input_root is None:
+            raise ValueError("mirror layout needs input_root")
+        root = input_root.rstrip("/") + "/"
+        out = (output_dir or (input_root.rstrip("/").rsplit("/", 1)[0] + "/html")).rstrip("/") + "/"
+        rel = F.when(path.startswith(root), path.substr(len(root) + 1, 1 << 30)).otherwise(path)
+        return F.concat(F.lit(out), with_suffix(rel, ".html"))
+    raise ValueError(f"unknown layout {layout}")
+
+
+def pdf_paths(files: DataFrame, output_dir: str, path: str = "path") -> DataFrame:
+    """K5: every output flattened into ``output_dir/<stem>.pdf``; ``collides`` marks equal stems
+    (the reference silently overwrites them).  Keys only: no document text is shuffled."""
+    stem = F.regexp_extract(F.col(path), r"([^/]*?)(\.[^./]*)?$", 1)
+    out = files.select(path, F.concat(F.lit(output_dir.rstrip("/") + "/"), stem, F.lit(".pdf")).alias("pdf_path"))
+    dup = out.groupBy("pdf_path").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(dup, "pdf_path").select(path, "pdf_path", (F.col("n") > 1).alias("collides"))
+
+
+def report_names(reports: DataFrame) -> DataFrame:
+    """K1 naming: ``<ticker>/<ticker>_<filingDate>_10K.txt`` with an explicit collision flag
+    (same ticker and date: the later filing in list order is the one kept)."""
+    keys = reports.select("ticker", "file_name", "rank")
+    last = keys.groupBy("ticker", "file_name").agg(F.max("rank").alias("kept_rank"), F.count(F.lit(1)).alias("n"))
+    return (reports.join(last, ["ticker", "file_name"])
+            .withColumn("relative_path", F.concat_ws("/", "ticker", "file_name"))
+            .withColumn("overwritten", F.col("rank") != F.col("kept_rank"))
+            .drop("kept_rank", "n"))
+
+
+def write_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K1: report table partitioned by ticker (partition pruning on read)."""
+    df.write.mode(mode).partitionBy("ticker").parquet(path)
+
+
+def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K2: rendered pages with their target paths."""
+    df.write.mode(mode).parquet(path)
+
+
+def text_sidecar(pages: DataFrame, html_col: str = "html", path_col: str = "output_path") -> DataFrame:
+    """K3: plain text next to each HTML page (T12 on the page)."""
+    return pages.select(with_suffix(F.col(path_col), ".txt").alias("text_path"),
+                        T.html_to_text(F.col(html_col)).alias("text"))
+
+
+def write_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K4: run summary (A6) as CSV with a header."""
+    summary.write.mode(mode).option("header", "true").csv(path)

@@ -15,7 +15,8 @@ def company_items_from_json(df: DataFrame, value: str = "value", pos: str = "src
 
     Non-object items parse to NULL and fall out with P11 (both keys present).
     """
-    item = F.from_json(F.col(value), ITEM_SCHEMA)
+    v = F.col(value)
+    item = F.when(F.ltrim(v).startswith("{"), F.from_json(v, ITEM_SCHEMA))
     return (df.select(F.col(pos).alias("src_pos"), item.alias("i"))
             .where(F.col("i").isNotNull())
             .select("i.ticker", "i.cik_str", "i.title", "src_pos"))
@@ -27,10 +28,10 @@ def company_items_from_payload(df: DataFrame, value: str = "value") -> DataFrame
     Items keep the file order as ``src_pos`` (key order of the object).  A
     non-object item becomes NULL under the explicit schema and is dropped.
     """
-    m = F.from_json(F.col(value), schemas.TICKER_PAYLOAD)
-    return (df.select(F.posexplode(F.map_values(m)).alias("src_pos", "i"))
-            .where(F.col("i").isNotNull())
-            .select("i.ticker", "i.cik_str", "i.title", F.col("src_pos").cast("long").alias("src_pos")))
+    # values stay raw JSON text, so one non-object item drops alone, not the whole payload
+    m = F.from_json(F.col(value), "map<string,string>")
+    items = df.select(F.posexplode(F.map_values(m)).alias("src_pos", "value"))
+    return company_items_from_json(items.withColumn("src_pos", F.col("src_pos").cast("long")))
 
 
 def read_companies(spark, path: str) -> DataFrame:
