@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and build an expression of it (a one-element ``transform``).
+
+    An expression that uses a costly value several times would otherwise repeat
+    it wherever Catalyst inlines it (predicate push-down copies aliases into the
+    filter; a lambda gets no common-subexpression elimination).
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def rx_sub(c: Column, rx: P.Rx, repl: str = "") -> Column:
     """``re.sub`` equivalent; ``repl`` is literal text (no group references)."""
     return F.regexp_replace(c, rx.java, repl.replace("\\", "\\\\").replace("$", "\\$"))
@@ -214,18 +224,14 @@ def paragraph_array(c: Column) -> Column:
 def field_or_null(content: Column, rx: P.Rx, stripped: bool = False) -> Column:
     """First match of group 1; NULL when the pattern does not match.
 
-    The whole match (group 0) is never empty when it matches, so it tells a
-    miss from a match whose value strips to ''.
+    ``regexp_substr`` finds the first whole match (NULL on a miss) in one pass
+    over the content; group 1 is then taken from that short match.
     """
-    whole = F.regexp_extract(content, rx.java, 0)
-    value = F.regexp_extract(whole, rx.java, 1)
-    if stripped:
-        value = strip(value)
-    return F.when(whole != F.lit(""), value)
+    value = F.regexp_extract(F.regexp_substr(content, F.lit(rx.java)), rx.java, 1)
+    return strip(value) if stripped else value
 
 
 def dash_date(d: Column) -> Column:
     """``yyyymmdd`` -> ``yyyy-mm-dd`` when the text has 8 characters, else as is."""
-    return F.when(F.length(d) == 8,
-                  F.concat(d.substr(1, 4), F.lit("-"), d.substr(5, 2), F.lit("-"), d.substr(7, 2))
-                  ).otherwise(d)
+    return let(d, lambda x: F.when(F.length(x) == 8, F.concat(
+        x.substr(1, 4), F.lit("-"), x.substr(5, 2), F.lit("-"), x.substr(7, 2))).otherwise(x))

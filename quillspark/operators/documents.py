@@ -55,8 +55,8 @@ def header_entries(content: Column) -> Column:
         T.strip(F.substring_index(l, ":", 1)).alias("key"),
         T.strip(l.substr(F.instr(l, ":") + 1, F.length(l))).alias("value")))
     # keep an entry only when no later entry has the same key (header blocks are short)
-    return F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
+    return T.let(entries, lambda es: F.filter(es, lambda e, i: ~F.exists(
+        F.slice(es, i + 2, F.greatest(F.size(es), F.lit(1))), lambda x: x["key"] == e["key"])))
 
 
 def header_map(content: Column) -> Column:
@@ -88,26 +88,34 @@ def regex_metadata(content: Column, file_name: Column | None = None,
                    name_overrides: dict[str, str] | None = None) -> dict[str, Column]:
     """First-hit header fields over the whole content; file-name fallbacks when given.
 
-    ``file_name`` set = iXBRL path (T3 fallbacks + name overrides); unset = extract path.
+    ``file_name`` set = iXBRL path (T3 fallbacks + name overrides); unset = extract
+    path.  Each field scans the content once and references it once.
     """
     company = F.lit(P.UNKNOWN_COMPANY)
-    accession = F.lit(P.UNKNOWN)
-    filed = F.lit(P.UNKNOWN)
+    acc_name = F.lit(None).cast("string")
+    date_name = F.lit(None).cast("string")
     if file_name is not None:
         overrides = NAME_OVERRIDES if name_overrides is None else name_overrides
         for key, name in overrides.items():
             company = F.when(file_name.contains(key), F.lit(name)).otherwise(company)
-        acc_n = F.regexp_extract(file_name, P.ACCESSION_IN_NAME.java, 1)
-        accession = F.when(acc_n != "", acc_n).otherwise(accession)
-        date_n = F.regexp_extract(file_name, P.DATE_IN_NAME.java, 1)
-        filed = F.when(date_n != "", date_n).otherwise(filed)
-    company = F.coalesce(T.field_or_null(content, P.COMPANY_FIELD, stripped=True), company)
-    acc_c = F.regexp_extract(content, P.ACCESSION_FIELD.java, 1)
-    accession = F.when(acc_c != "", acc_c).otherwise(accession)
-    filed_c = F.regexp_extract(content, P.FILED_FIELD.java, 1)
-    filed = F.when(filed_c != "", T.dash_date(filed_c)).otherwise(filed)
-    doc_type = F.coalesce(T.field_or_null(content, P.TYPE_FIELD, stripped=True), F.lit(P.DEFAULT_REGEX_DOC_TYPE))
-    return {"company": company, "accession": accession, "filing_date": filed, "document_type": doc_type}
+        acc_name = T.field_or_null(file_name, P.ACCESSION_IN_NAME)
+        date_name = T.field_or_null(file_name, P.DATE_IN_NAME)
+    return {
+        "company": F.coalesce(T.field_or_null(content, P.COMPANY_FIELD, stripped=True), company),
+        "accession": F.coalesce(T.field_or_null(content, P.ACCESSION_FIELD), acc_name, F.lit(P.UNKNOWN)),
+        "filing_date": F.coalesce(T.dash_date(T.field_or_null(content, P.FILED_FIELD)), date_name,
+                                  F.lit(P.UNKNOWN)),
+        "document_type": F.coalesce(T.field_or_null(content, P.TYPE_FIELD, stripped=True),
+                                    F.lit(P.DEFAULT_REGEX_DOC_TYPE)),
+    }
+
+
+METADATA_FIELDS = ["company", "accession", "filing_date", "document_type"]
+
+
+def with_regex_metadata(df: DataFrame, content: str = "content", file_name: str | None = "file_name") -> DataFrame:
+    m = regex_metadata(F.col(content), F.col(file_name) if file_name else None)
+    return df.select("*", *[v.alias(k) for k, v in m.items()])
 
 
 def metadata(subs: DataFrame, use_file_name: bool = True) -> DataFrame:
@@ -120,13 +128,14 @@ def metadata(subs: DataFrame, use_file_name: bool = True) -> DataFrame:
 # T8 + T9 SGML body
 # ---------------------------------------------------------------------------
 def sgml_body(content: Column) -> Column:
-    """First case-sensitive <DOCUMENT> body, else text after </SEC-HEADER>, else all; then T9."""
-    first = F.regexp_extract(content, P.FIRST_DOCUMENT_BODY.java, 0)
-    inner = first.substr(F.lit(len("<DOCUMENT>") + 1), F.length(first) - len("<DOCUMENT></DOCUMENT>"))
-    end = F.instr(content, "</SEC-HEADER>")
-    after = content.substr(end + len("</SEC-HEADER>"), F.length(content))
-    raw = F.when(first != "", inner).when(end > 0, after).otherwise(content)
-    return T.clean_sgml_text(raw)
+    """First case-sensitive <DOCUMENT> body, else text after </SEC-HEADER>, else all; then T9.
+
+    Written with single references so the content scans run once each.
+    """
+    first = T.field_or_null(content, P.FIRST_DOCUMENT_BODY)
+    after = F.substring(F.regexp_substr(content, F.lit(r"(?s)</SEC-HEADER>.*")), len("</SEC-HEADER>") + 1,
+                        2147483647)
+    return T.clean_sgml_text(F.coalesce(first, after, content))
 
 
 def clean_sgml(subs: DataFrame) -> DataFrame:

@@ -144,6 +144,23 @@ def default_document(accession: Column, cik: Column) -> tuple[Column, Column]:
     return name, url
 
 
+def ordered_documents(docs: DataFrame) -> DataFrame:
+    """O2: main, then other, then exhibit documents, page order kept inside each role.
+
+    ``order_pos`` numbers the documents of one filing; a filing's index page is
+    small, so the per-accession window is bounded.
+    """
+    c = classify_documents(docs)
+    w = Window.partitionBy("accession").orderBy("role_rank", "pos")
+    return c.withColumn("order_pos", F.row_number().over(w))
+
+
+def filings_per_company(filings: DataFrame, form: str | None = None) -> DataFrame:
+    """A2: number of listed filings per company (optionally of one form)."""
+    df = filings if form is None else filings.where(F.col("form") == form)
+    return df.groupBy("cik").agg(F.count(F.lit(1)).alias("n_filings"))
+
+
 def role_counts(docs: DataFrame) -> DataFrame:
     """A4: documents per role per filing."""
     c = classify_documents(docs)

@@ -30,16 +30,24 @@ def text_page(file_name: Column, content: Column, generated_at: str) -> Column:
 
 def filing_page(meta: dict[str, Column], body: Column, generated_at: str,
                 notice: Column | None = None, source: Column | None = None) -> Column:
-    """T19b / T19c / T19d: company, type, accession, date, generation time (+ source file)."""
-    header = [meta["company"], meta["document_type"],
-              F.concat(F.lit("Accession Number: "), meta["accession"]),
-              F.concat(F.lit("Filing Date: "), meta["filing_date"]),
-              F.lit(f"Generated: {generated_at}")]
-    if source is not None:
-        header.append(F.concat(F.lit("Source: "), source))
-    content = F.concat(F.lit("<div class=\"content\">"), body, F.lit("</div>"))
-    if notice is not None:
-        content = F.concat(F.when(notice, F.lit(NOTICE + "\n")).otherwise(F.lit("")), content)
-    title = F.concat(meta["company"], F.lit(" - "), meta["document_type"]) if source is not None \
-        else meta["company"]
-    return _page(title, header, content)
+    """T19b / T19c / T19d: company, type, accession, date, generation time (+ source file).
+
+    The metadata is bound once: the company and type appear in both title and header.
+    """
+    from ..functions.text import let
+
+    def page(m):
+        header = [m["company"], m["document_type"],
+                  F.concat(F.lit("Accession Number: "), m["accession"]),
+                  F.concat(F.lit("Filing Date: "), m["filing_date"]),
+                  F.lit(f"Generated: {generated_at}")]
+        if source is not None:
+            header.append(F.concat(F.lit("Source: "), source))
+        content = F.concat(F.lit("<div class=\"content\">"), body, F.lit("</div>"))
+        if notice is not None:
+            content = F.concat(F.when(notice, F.lit(NOTICE + "\n")).otherwise(F.lit("")), content)
+        title = F.concat(m["company"], F.lit(" - "), m["document_type"]) if source is not None \
+            else m["company"]
+        return _page(title, header, content)
+
+    return let(F.struct(*[v.alias(k) for k, v in meta.items()]), page)

@@ -25,15 +25,19 @@ def _section_type(block: Column) -> Column:
 
 
 def section_array(content: Column) -> Column:
-    """array<struct<section_pos, doc_type, has_text, raw_text>>."""
-    blocks = F.regexp_extract_all(content, F.lit(P.DOCUMENT_BLOCK.java), 0)
+    """array<struct<section_pos, doc_type, has_text, raw_text>>.
 
-    def one(b, i):
-        whole = F.regexp_extract(b, P.TEXT_BODY.java, 0)  # tags are fixed-length under (?i)
-        return F.struct(i.alias("section_pos"), _section_type(b).alias("doc_type"),
-                        (whole != "").alias("has_text"),
-                        whole.substr(F.lit(_TEXT_OPEN + 1), F.length(whole) - _TEXT_TAGS).alias("raw_text"))
-    return F.transform(blocks, one)
+    Two passes over the block array so that each block's <TEXT> match is
+    extracted once (a lambda has no common-subexpression elimination).
+    """
+    blocks = F.regexp_extract_all(content, F.lit(P.DOCUMENT_BLOCK.java), 0)
+    matched = F.transform(blocks, lambda b, i: F.struct(
+        i.alias("section_pos"), _section_type(b).alias("doc_type"),
+        F.regexp_extract(b, P.TEXT_BODY.java, 0).alias("whole")))  # tags are fixed-length under (?i)
+    return F.transform(matched, lambda m: F.struct(
+        m["section_pos"].alias("section_pos"), m["doc_type"].alias("doc_type"),
+        (m["whole"] != "").alias("has_text"),
+        m["whole"].substr(F.lit(_TEXT_OPEN + 1), F.length(m["whole"]) - _TEXT_TAGS).alias("raw_text")))
 
 
 def excluded(doc_type: Column) -> Column:
@@ -82,19 +86,22 @@ def truncated_flag(report: Column) -> Column:
             & (F.length(report) < P.TRUNCATED_MAX_CHARS))
 
 
-def assemble_reports(subs: DataFrame, keep: tuple[str, ...] = ("submission_id",)) -> DataFrame:
-    """A5 + P16 per submission; falls back to the first 50,000 characters when nothing is kept.
+def report_struct(content: Column) -> Column:
+    """struct<report, used_fallback, truncated> for one submission (A5 + fallback + P16).
 
-    Two projections on purpose: the assembled text is referenced twice by the
-    fallback, and Catalyst does not inline a costly expression twice.
+    The assembled text is bound once (``let``) and everything else derives from
+    that binding, so no plan rewrite can repeat the section pipeline.
     """
-    df = subs.select(*keep, "content", report_text(_kept_sections(F.col("content"))).alias("report"))
-    fallback = F.col("report") == ""
-    df = df.select(*keep,
-                   F.when(fallback, F.substring("content", 1, P.FALLBACK_PREFIX_CHARS))
-                   .otherwise(F.col("report")).alias("report"),
-                   fallback.alias("used_fallback"))
-    return df.withColumn("truncated", truncated_flag(F.col("report")))
+    return T.let(report_text(_kept_sections(content)), lambda r: T.let(
+        F.when(r == "", F.substring(content, 1, P.FALLBACK_PREFIX_CHARS)).otherwise(r),
+        lambda rep: F.struct(rep.alias("report"), (r == "").alias("used_fallback"),
+                             truncated_flag(rep).alias("truncated"))))
+
+
+def assemble_reports(subs: DataFrame, keep: tuple[str, ...] = ("submission_id",)) -> DataFrame:
+    """A5 + P16 per submission; falls back to the first 50,000 characters when nothing is kept."""
+    return (subs.select(*keep, report_struct(F.col("content")).alias("r"))
+            .select(*keep, "r.report", "r.used_fallback", "r.truncated"))
 
 
 def section_stats(subs: DataFrame) -> DataFrame:

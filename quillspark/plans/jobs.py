@@ -1,9 +1,9 @@
 """Composite jobs (C1-C7) and the per-file outcome table.
 
 Each job is one lazily planned DataFrame; callers write it with a sink.
-Expensive text stages are separate projections so Catalyst never evaluates a
-regex chain twice for one row (CollapseProject does not inline a costly
-expression that is referenced more than once).
+Costly text values are referenced once per expression (``let`` bindings,
+``regexp_substr`` for "NULL on no match"), so neither projection collapsing nor
+predicate push-down can repeat a regex chain for one row.
 """
 
 from __future__ import annotations
@@ -45,11 +45,10 @@ def stem(path: Column) -> Column:
 # ---------------------------------------------------------------------------
 def assembled_reports(subs: DataFrame) -> DataFrame:
     """Submissions -> format, metadata, assembled report, fallback and truncated flags."""
-    meta = D.regex_metadata(F.col("content"), F.col("file_name"))
     base = subs.select("submission_id", "file_name", "content",
-                       D.doc_format(F.col("content")).alias("doc_format"),
-                       *[v.alias(k) for k, v in meta.items()])
-    keep = ("submission_id", "file_name", "doc_format", *meta.keys())
+                       D.doc_format(F.col("content")).alias("doc_format"))
+    base = D.with_regex_metadata(base, "content", "file_name")
+    keep = ("submission_id", "file_name", "doc_format", *D.METADATA_FIELDS)
     rep = S.assemble_reports(base, keep=keep)
     return rep.withColumn("n_chars", F.length("report").cast("long"))
 
@@ -64,28 +63,23 @@ def report_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def convert_to_html(subs: DataFrame, generated_at: str, name_col: str = "file_name") -> DataFrame:
     """P12 suffix filter, P10 routing, then the page of the chosen format.
 
-    Only the branch of the row's format is evaluated (CASE is lazy per row);
-    the iXBRL branch is staged so its report is built once.
+    Only the branch of the row's format is evaluated (CASE is lazy per row), and
+    each branch binds its costly values once (``let``), so a filter pushed onto
+    ``html`` copies the page expression once rather than multiplying it.
     """
     fname = F.col(name_col)
     df = subs.select("submission_id", name_col, "content",
                      F.when(suffix(fname).isin(CONVERTIBLE_SUFFIXES), D.doc_format(F.col("content")))
                      .alias("doc_format"))
-    ix = F.col("doc_format") == "ixbrl"
-    kept = S._kept_sections(F.col("content"))
-    df = df.withColumn("report", F.when(ix, S.report_text(kept)))
-    df = df.withColumn("report", F.when(ix & (F.col("report") == ""),
-                                        F.substring("content", 1, P.FALLBACK_PREFIX_CHARS))
-                       .otherwise(F.col("report")))
-    df = df.withColumn("truncated", F.when(ix, S.truncated_flag(F.col("report"))))
-    ix_meta = D.regex_metadata(F.col("content"), fname)
-    ix_page = R.filing_page(ix_meta, T.mark_titles(T.clean_ixbrl_text(F.col("report"))), generated_at,
-                            notice=F.col("truncated"))
-    hmap = D.header_map(F.col("content"))
-    sgml_page = R.filing_page(D.sgml_metadata(hmap), D.sgml_body(F.col("content")), generated_at)
+    ix_page = T.let(S.report_struct(F.col("content")), lambda rs: R.filing_page(
+        D.regex_metadata(F.col("content"), fname),
+        T.mark_titles(T.clean_ixbrl_text(rs["report"])), generated_at, notice=rs["truncated"]))
+    sgml_page = T.let(D.header_map(F.col("content")), lambda h: R.filing_page(
+        D.sgml_metadata(h), D.sgml_body(F.col("content")), generated_at))
     text_page = R.text_page(fname, F.col("content"), generated_at)
-    html = (F.when(ix, ix_page).when(F.col("doc_format") == "sgml", sgml_page)
-            .when(F.col("doc_format") == "text", text_page))
+    fmt = F.col("doc_format")
+    html = (F.when(fmt == "ixbrl", ix_page).when(fmt == "sgml", sgml_page)
+            .when(fmt == "text", text_page))
     out = df.select("submission_id", name_col, "doc_format", html.alias("html"))
     return out.withColumn("status", F.when(F.col("doc_format").isNull(), "skipped").otherwise("converted"))
 
@@ -94,11 +88,11 @@ def convert_to_html(subs: DataFrame, generated_at: str, name_col: str = "file_na
 # Pure-HTML extraction (W3 -> T14 -> T19d)
 # ---------------------------------------------------------------------------
 def main_html(content: Column) -> Column:
-    """W3 on the raw content: the 10-K body, else a body holding a whole page; NULL when none."""
-    m = F.regexp_extract(content, MAIN_10K.java, 0)
-    h = F.regexp_extract(content, ANY_HTML_TEXT.java, 0)
-    return (F.when(m != "", F.regexp_extract(m, MAIN_10K.java, 1))
-            .when(h != "", F.regexp_extract(h, ANY_HTML_TEXT.java, 1)))
+    """W3 on the raw content: the 10-K body, else a body holding a whole page; NULL when none.
+
+    ``coalesce`` only runs the fallback search when the first one misses.
+    """
+    return F.coalesce(T.field_or_null(content, MAIN_10K), T.field_or_null(content, ANY_HTML_TEXT))
 
 
 def extract_html(subs: DataFrame, generated_at: str, engine: str = "tree",
@@ -106,14 +100,15 @@ def extract_html(subs: DataFrame, generated_at: str, engine: str = "tree",
     """``status`` is ``extracted`` or ``no_html``; ``skipped`` for non-.txt files."""
     fname = F.col(name_col)
     meta = D.regex_metadata(F.col("content"))
-    base = subs.select("submission_id", name_col, (suffix(fname) == ".txt").alias("eligible"),
-                       *[v.alias(k) for k, v in meta.items()], "content")
-    base = base.withColumn("body", F.when(F.col("eligible"), main_html(F.col("content")))).drop("content")
+    eligible = suffix(fname) == ".txt"
+    base = subs.select("submission_id", name_col, eligible.alias("eligible"),
+                       *[v.alias(k) for k, v in meta.items()],
+                       F.when(eligible, main_html(F.col("content"))).alias("body"))
     if engine == "tree":
         base = clean_html_tree(base, "body", "clean_body")
     else:
         base = base.withColumn("clean_body", T.clean_html_regex(F.col("body")))
-    page = R.filing_page({k: F.col(k) for k in meta}, F.col("clean_body"), generated_at, source=fname)
+    page = R.filing_page({k: F.col(k) for k in D.METADATA_FIELDS}, F.col("clean_body"), generated_at, source=fname)
     status = (F.when(~F.col("eligible"), "skipped").when(F.col("body").isNull(), "no_html")
               .otherwise("extracted"))
     return base.select("submission_id", name_col, status.alias("status"),
@@ -181,7 +176,9 @@ def corpus_build(requested: DataFrame, companies: DataFrame, filings: DataFrame,
 
 def pdf_paragraphs(rendered: DataFrame, key: str = "submission_id") -> DataFrame:
     """C4 data half: rendered page -> T12 text -> W5 paragraphs (page drawing is not built)."""
-    return O.paragraphs(D.html_to_text(rendered.where(F.col("html").isNotNull()), "html"), key, "text")
+    # filter on the cheap status column: a filter on the page column itself would be
+    # pushed below the projection and evaluate the page expression twice
+    return O.paragraphs(D.html_to_text(rendered.where(F.col("status") == "converted"), "html"), key, "text")
 
 
 def company_lookup(companies: DataFrame, term: str | None, limit: int | None = 50) -> DataFrame:

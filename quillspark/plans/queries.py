@@ -607,3 +607,50 @@ def render_html(spark, sf):
     """Routed HTML pages with a fixed generation time."""
     from .jobs import convert_to_html
     return convert_to_html(B.view(spark, sf, "submissions"), GENERATED_AT)
+
+
+# ---------------------------------------------------------------------------
+# Counts, ordering, sizes, strict text, PDF data half
+# ---------------------------------------------------------------------------
+@register("filings_per_company", V("SELECT cik, count(*) AS n_filings FROM filings GROUP BY cik", "filings"))
+def filings_per_company(spark, sf):
+    """A2."""
+    return FL.filings_per_company(B.view(spark, sf, "filings"))
+
+
+@register("ordered_documents", V(
+    "SELECT accession, pos, filename, role, CAST(row_number() OVER (PARTITION BY accession ORDER BY role_rank, pos) "
+    f"AS INTEGER) AS order_pos FROM ({_RANKED_SQL})", "index_documents"))
+def ordered_documents(spark, sf):
+    """O2."""
+    return FL.ordered_documents(B.view(spark, sf, "index_documents")) \
+        .select("accession", "pos", "filename", "role", "order_pos")
+
+
+@register("document_sizes", V(
+    "SELECT submission_id, CAST(length(content) AS BIGINT) AS n_chars, CAST(strlen(content) AS BIGINT) AS n_bytes, "
+    f"strlen(content) / 1024.0 / 1024.0 AS size_mb, strlen(content) > {P.RENDER_SIZE_GATE_BYTES} AS too_large "
+    "FROM submissions", "submissions"))
+def document_sizes(spark, sf):
+    """P17 + P18."""
+    return B.view(spark, sf, "submissions").select("submission_id", *D.size_columns(F.col("content")))
+
+
+@register("html_to_text_strict", V(
+    "SELECT page_id, " + Q.sub(Q.sub(Q.sub("html", P.ANY_TAG), P.WS_RUN, "' '"), P.NOT_WHITELISTED)
+    + " AS text FROM html_docs", "html_docs"))
+def html_to_text_strict(spark, sf):
+    """T13 (the regex fallback of T12)."""
+    return D.html_to_text(B.view(spark, sf, "html_docs"), mode="strict").select("page_id", "text")
+
+
+@register("pdf_paragraphs", V(
+    f"SELECT submission_id, CAST(p.i - 1 AS INTEGER) AS para_pos, CASE WHEN NOT contains(p.c, chr(10)) AND "
+    f"{Q.is_header_line('p.c')} THEN 'header' ELSE 'paragraph' END AS kind, replace(p.c, chr(10), ' ') AS text "
+    f"FROM (SELECT submission_id, unnest(list_transform({Q.paragraph_chunks(Q.html_to_text('html'))}, "
+    f"lambda c, i: struct_pack(i := i, c := c))) AS p FROM ({_render_sql()}) WHERE html IS NOT NULL)", "submissions"))
+def pdf_paragraphs(spark, sf):
+    """C4 data half: routed page (C2) -> T12 -> W5."""
+    from .jobs import convert_to_html
+    from .jobs import pdf_paragraphs as pp
+    return pp(convert_to_html(B.view(spark, sf, "submissions"), GENERATED_AT))
