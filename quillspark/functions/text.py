@@ -124,12 +124,12 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_markup(c: Column) -> Column:
-    """Drop script/style elements, comments, declarations and tags; keep text nodes."""
-    c = rx_sub(c, P.HTML_SCRIPT)
-    c = rx_sub(c, P.HTML_STYLE)
-    c = rx_sub(c, P.HTML_COMMENT)
-    c = rx_sub(c, P.HTML_DECL)
-    return rx_sub(c, P.HTML_TAG)
+    """Drop script/style elements, comments, declarations and tags; keep text nodes.
+
+    One leftmost-first pass, so markup is consumed in document order the way a
+    tokenizer meets it (a tag running into a later declaration stays one tag).
+    """
+    return rx_sub(c, P.HTML_MARKUP)
 
 
 def text_lines(c: Column) -> Column:

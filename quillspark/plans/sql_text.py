@@ -80,9 +80,7 @@ def decode_entities(x: str) -> str:
 
 
 def html_to_text(x: str) -> str:
-    for rx in [P.HTML_SCRIPT, P.HTML_STYLE, P.HTML_COMMENT, P.HTML_DECL, P.HTML_TAG]:
-        x = sub(x, rx)
-    x = decode_entities(x)
+    x = decode_entities(sub(x, P.HTML_MARKUP))
     parts = f"list_transform(regexp_split_to_array({x}, {q(P.LINE_OR_PHRASE_BREAK.re2)}), lambda p: {strip('p')})"
     return f"array_to_string(list_filter({parts}, lambda p: p <> ''), {NL})"
 

@@ -1,0 +1,82 @@
+"""Property tests: the Column rules equal plain-Python versions on generated text.
+
+Each hypothesis example is a batch of strings evaluated in one Spark job.
+"""
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillspark.functions import patterns as P
+from quillspark.functions import text as T
+
+import pyref
+
+PIECES = ["<p>", "</p>", "<P class=\"x\">", "<div id=\"a\">", "</div>", "<br/>", "<BR >", "<span>", "</SPAN>",
+          "<script>var a = 1;</script>", "<!-- c -->", "<style>x{}</style>", "<ix:nonNumeric name=\"n\">",
+          "</ix:nonNumeric>", "style=\"s\"", "class=\"k\"", "id=\"i\"", "var v = 2;", "function f(x) { y }",
+          "&amp;", "&lt;", "&nbsp;", "&copy;", "\n", "\n\n", "\n\n\n", "\r\n", " ", "\t", "  ", " ", " ",
+          "\u0085", "***", "---", "§", "é", "ß", "İ", "ı", "K", "ſ", "Part IV", "Item 1. Business", "ITEM 7A.",
+          "Risk Factors", "Overview", "12345", "ABCDEFGHIJKLMNOPQRSTUV", "0123456789abcdef0123456789abcdef",
+          "// Edgar", "/* x */", "word", "Mot", "Été", ".", "!", "?", "<", ">", "\"", "'", "x" * 60]
+
+texts = st.lists(st.sampled_from(PIECES), max_size=40).map("".join)
+batches = st.lists(texts, min_size=20, max_size=40)
+
+
+def _run(spark, fn, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, t string")
+    return [r["r"] for r in df.select("id", fn(F.col("t")).alias("r")).orderBy("id").collect()]
+
+
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@SETTINGS
+@given(batches)
+def test_sgml_clean_fuzz(spark, values):
+    assert _run(spark, T.clean_sgml_text, values) == [pyref.sgml_clean(v) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_ixbrl_clean_fuzz(spark, values):
+    assert _run(spark, T.clean_ixbrl_text, values) == [pyref.ixbrl_clean(v) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_section_clean_fuzz(spark, values):
+    assert _run(spark, T.clean_section_text, values) == [pyref.section_clean(v) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_toc_fuzz(spark, values):
+    titles = set(P.LISTED_TITLES)
+    assert _run(spark, T.mark_titles, values) == [pyref.toc(v, titles) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_paragraphs_fuzz(spark, values):
+    out = _run(spark, T.paragraph_array, values)
+    assert [[(p["kind"], p["text"]) for p in o] for o in out] == [pyref.paragraphs(v) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_html_to_text_fuzz(spark, values):
+    assert _run(spark, T.html_to_text, values) == [pyref.html_text(v) for v in values]
+
+
+HTML_PIECES = ["<!DOCTYPE html>", "<?xml version='1.0'?>", "< b", "a<b", "<1>", "&#39;", "&apos;", "<br>",
+               "<p>", "</p>", "<script type='t'>if (a < b) {}</script>", "<style>p{}</style>", "<!-- x -->",
+               "text", "  ", "\n", "&amp;lt;", "&middot;", "é", " ", "<b>", "</b>", "<a href=\"/x\">", "</a>"]
+html_batches = st.lists(st.lists(st.sampled_from(HTML_PIECES), max_size=30).map("".join), min_size=20, max_size=40)
+
+
+@SETTINGS
+@given(html_batches)
+def test_html_to_text_markup_fuzz(spark, values):
+    assert _run(spark, T.html_to_text, values) == [pyref.html_text(v) for v in values]
