@@ -127,9 +127,10 @@ HTML_STYLE = Rx(rf"<style(?:{S}[^>]*)?>.*?</style{S}*>", "si")
 HTML_COMMENT = Rx(r"<!--.*?-->", "s")
 HTML_DECL = Rx(r"<[!?][^>]*>")
 HTML_TAG = Rx(r"</?[A-Za-z][^>]*>")
-# All non-text markup in one leftmost-first pass, as a tokenizer meets it: "<b<!x>" is one tag
+# All non-text markup in one leftmost-first pass, as a tokenizer meets it: "<b<!x>" is one tag;
+# a start tag needs a letter after "<", while any "</...>" goes (end tag or bogus comment)
 HTML_MARKUP = Rx(rf"(?i:<script(?:{S}[^>]*)?>(?s:.*?)</script{S}*>)|(?i:<style(?:{S}[^>]*)?>(?s:.*?)</style{S}*>)"
-                 r"|<!--(?s:.*?)-->|<[!?][^>]*>|</?[A-Za-z][^>]*>")
+                 r"|<!--(?s:.*?)-->|<[!?][^>]*>|<[A-Za-z][^>]*>|</[^>]*>")
 # str.splitlines() boundaries, plus the double-space phrase split
 LINE_OR_PHRASE_BREAK = Rx(r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]|  ")
 # Regex fallback of T12

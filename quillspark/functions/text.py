@@ -28,6 +28,20 @@ def rx_sub(c: Column, rx: P.Rx, repl: str = "") -> Column:
     return F.regexp_replace(c, rx.java, repl.replace("\\", "\\\\").replace("$", "\\$"))
 
 
+def rx_sub_if(c: Column, needles, rx: P.Rx, repl: str = "") -> Column:
+    """``rx_sub`` run only when the text holds one of ``needles``.
+
+    Each needle is a literal the pattern cannot match without, so the result is
+    the same; the byte search skips the String round trip a regex pass costs.
+    """
+    def guarded(x):
+        cond = None
+        for n in needles:
+            cond = x.contains(n) if cond is None else cond | x.contains(n)
+        return F.when(cond, rx_sub(x, rx, repl)).otherwise(x)
+    return let(c, guarded)
+
+
 def rx_has(c: Column, rx: P.Rx) -> Column:
     """``re.search(...) is not None``."""
     return c.rlike(rx.java)
@@ -48,18 +62,19 @@ def is_upper(c: Column) -> Column:
 
 
 def squeeze_newlines_and_spaces(c: Column) -> Column:
-    c = rx_sub(c, P.THREE_NEWLINES, "\n\n")
-    return rx_sub(c, P.SPACE_RUN, " ")
+    c = rx_sub_if(c, ["\n"], P.THREE_NEWLINES, "\n\n")
+    # a lone space maps to itself: only runs of two or a tab change anything
+    return rx_sub_if(c, ["  ", "\t"], P.SPACE_RUN, " ")
 
 
 # ---------------------------------------------------------------------------
 # T9 SGML clean
 # ---------------------------------------------------------------------------
 def clean_sgml_text(c: Column) -> Column:
-    c = rx_sub(c, P.ANY_TAG)
+    c = rx_sub_if(c, ["<"], P.ANY_TAG)
     c = squeeze_newlines_and_spaces(c)
     c = rx_sub(c, P.SYMBOL_LINE)
-    c = rx_sub(c, P.TWO_NEWLINES, "\n\n")
+    c = rx_sub_if(c, ["\n"], P.TWO_NEWLINES, "\n\n")
     return strip(c)
 
 
@@ -67,16 +82,16 @@ def clean_sgml_text(c: Column) -> Column:
 # T10 iXBRL clean
 # ---------------------------------------------------------------------------
 def clean_ixbrl_text(c: Column) -> Column:
-    c = rx_sub(c, P.IX_OPEN)
-    c = rx_sub(c, P.IX_CLOSE)
-    c = rx_sub(c, P.STYLE_BLOCK)
-    c = rx_sub(c, P.STYLE_ATTR)
-    c = rx_sub(c, P.BR_TAG, "\n")
-    c = rx_sub(c, P.P_OPEN, "\n\n")
-    c = rx_sub(c, P.P_CLOSE)
-    c = rx_sub(c, P.DIV_OPEN, "\n")
-    c = rx_sub(c, P.DIV_CLOSE)
-    c = rx_sub(c, P.ANY_TAG)
+    c = rx_sub_if(c, ["<ix:"], P.IX_OPEN)
+    c = rx_sub_if(c, ["</ix:"], P.IX_CLOSE)
+    c = rx_sub_if(c, ["<style"], P.STYLE_BLOCK)
+    c = rx_sub_if(c, ['style="'], P.STYLE_ATTR)
+    c = rx_sub_if(c, ["<br"], P.BR_TAG, "\n")
+    c = rx_sub_if(c, ["<p"], P.P_OPEN, "\n\n")
+    c = rx_sub_if(c, ["</p>"], P.P_CLOSE)
+    c = rx_sub_if(c, ["<div"], P.DIV_OPEN, "\n")
+    c = rx_sub_if(c, ["</div>"], P.DIV_CLOSE)
+    c = rx_sub_if(c, ["<"], P.ANY_TAG)
     c = squeeze_newlines_and_spaces(c)
     c = rx_sub(c, P.SYMBOL_LINE)
     return strip(c)
@@ -94,20 +109,22 @@ def _dropped_line(line: Column) -> Column:
 
 
 def clean_section_text(c: Column) -> Column:
-    c = rx_sub(c, P.STYLE_ATTR)
-    c = rx_sub(c, P.CLASS_ATTR)
-    c = rx_sub(c, P.ID_ATTR)
-    c = rx_sub(c, P.BR_TAG_I, "\n")
-    c = rx_sub(c, P.P_TAG_I, "\n")
-    c = rx_sub(c, P.DIV_TAG_I, "\n")
-    c = rx_sub(c, P.SPAN_TAG_I)
-    c = rx_sub(c, P.SCRIPT_BLOCK_I)
-    c = rx_sub(c, P.JS_VAR)
-    c = rx_sub(c, P.JS_FUNCTION)
-    c = rx_sub(c, P.COMMENT)
-    c = rx_sub(c, P.ANY_TAG)
-    c = squeeze_newlines_and_spaces(c)
-    c = rx_sub(c, P.NEWLINE_SPACE, "\n")
+    c = rx_sub_if(c, ['style="'], P.STYLE_ATTR)
+    c = rx_sub_if(c, ['class="'], P.CLASS_ATTR)
+    c = rx_sub_if(c, ['id="'], P.ID_ATTR)
+    c = rx_sub_if(c, ["<"], P.BR_TAG_I, "\n")
+    c = rx_sub_if(c, ["<"], P.P_TAG_I, "\n")
+    c = rx_sub_if(c, ["<"], P.DIV_TAG_I, "\n")
+    c = rx_sub_if(c, ["<"], P.SPAN_TAG_I)
+    c = rx_sub_if(c, ["<"], P.SCRIPT_BLOCK_I)
+    c = rx_sub_if(c, ["var"], P.JS_VAR)
+    c = rx_sub_if(c, ["function"], P.JS_FUNCTION)
+    c = rx_sub_if(c, ["<!--"], P.COMMENT)
+    c = rx_sub_if(c, ["<"], P.ANY_TAG)
+    c = rx_sub_if(c, ["\n"], P.THREE_NEWLINES, "\n\n")
+    # a lone space maps to itself: only runs of two or a tab change anything
+    c = rx_sub_if(c, ["  ", "\t"], P.SPACE_RUN, " ")
+    c = rx_sub_if(c, ["\n "], P.NEWLINE_SPACE, "\n")
     lines = F.transform(F.split(c, "\n", -1), strip)
     kept = F.filter(lines, lambda x: (x == F.lit("")) | ~_dropped_line(x))
     return strip(F.array_join(kept, "\n"))
@@ -153,14 +170,14 @@ def html_to_text_strict(c: Column) -> Column:
 # T15 regex HTML clean
 # ---------------------------------------------------------------------------
 def clean_html_regex(c: Column) -> Column:
-    c = rx_sub(c, P.IX_OPEN)
-    c = rx_sub(c, P.IX_CLOSE)
-    c = rx_sub(c, P.XMLNS_ATTR)
-    c = rx_sub(c, P.STYLE_ATTR)
-    c = rx_sub(c, P.CLASS_ATTR)
-    c = rx_sub(c, P.ID_ATTR)
-    c = rx_sub(c, P.SCRIPT_BLOCK_I)
-    c = rx_sub(c, P.COMMENT)
+    c = rx_sub_if(c, ["<ix:"], P.IX_OPEN)
+    c = rx_sub_if(c, ["</ix:"], P.IX_CLOSE)
+    c = rx_sub_if(c, ["xmlns:"], P.XMLNS_ATTR)
+    c = rx_sub_if(c, ['style="'], P.STYLE_ATTR)
+    c = rx_sub_if(c, ['class="'], P.CLASS_ATTR)
+    c = rx_sub_if(c, ['id="'], P.ID_ATTR)
+    c = rx_sub_if(c, ["<"], P.SCRIPT_BLOCK_I)
+    c = rx_sub_if(c, ["<!--"], P.COMMENT)
     c = squeeze_newlines_and_spaces(c)
     return strip(c)
 
