@@ -52,8 +52,7 @@ def section_rank(doc_type: Column) -> Column:
 
 def split_sections(subs: DataFrame) -> DataFrame:
     """T5-T7 as rows: one per <DOCUMENT> block (narrow: explode only)."""
-    return (subs.select("submission_id", F.posexplode(section_array(F.col("content"))))
-            .select("submission_id", "col.section_pos", "col.doc_type", "col.has_text", "col.raw_text"))
+    return subs.select("submission_id", F.inline(section_array(F.col("content"))))
 
 
 def clean_sections(sections: DataFrame) -> DataFrame:

@@ -97,8 +97,15 @@ def _form(c):
     return expr
 
 
+def _pad(c, width):
+    """``%0{width}d`` for a non-negative integer: zero-pad, never truncate."""
+    s = c.cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+
+
 def _accession(cust, ts, order):
-    return F.format_string("%010d-%02d-%06d", cust, F.year(ts) % 100, order)
+    """``printf('%010d-%02d-%06d', cust, year % 100, order)`` without a per-row String.format."""
+    return F.concat(_pad(cust, 10), F.lit("-"), _pad(F.year(ts) % 100, 2), F.lit("-"), _pad(order, 6))
 
 
 def filings(spark, sf_dir):
@@ -119,7 +126,8 @@ def index_documents(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    acc = _accession(F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey"))
+    j = j.withColumn("_acc", _accession(F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")))
+    acc = F.col("_acc")
     k = F.col("l_partkey").cast("string")
     name = None
     dtype = None
