@@ -142,14 +142,13 @@ def index_documents(spark, sf_dir):
         dtype = F.when(cond, t) if dtype is None else dtype.when(cond, t)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    w = Window.partitionBy("l_orderkey").orderBy(*order)
-    out = j.select(
-        acc.alias("accession"),
-        zero_fill(F.col("o_custkey")).alias("cik"),
-        F.row_number().over(w).alias("pos"),
-        dtype.alias("doc_type"),
-        name.alias("filename"),
-        F.col("l_suppkey").cast("string").alias("size"))
+    named = j.select(acc.alias("accession"), zero_fill(F.col("o_custkey")).alias("cik"),
+                     dtype.alias("doc_type"), name.alias("filename"),
+                     F.col("l_suppkey").cast("string").alias("size"), *order)
+    # accession identifies the order one-to-one; partitioning the window by it lets
+    # per-filing operators downstream (W2, A4, O2) reuse this shuffle
+    w = Window.partitionBy("accession").orderBy(*order)
+    out = named.select("accession", "cik", F.row_number().over(w).alias("pos"), "doc_type", "filename", "size")
     return out.withColumn("url", F.concat_ws(
         "/", F.lit(ARCHIVE_ROOT), F.col("cik").cast("long").cast("string"),
         F.regexp_replace("accession", "-", ""), F.col("filename")))

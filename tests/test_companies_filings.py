@@ -134,3 +134,31 @@ def test_document_kind(spark):
     df = spark.createDataFrame([(n,) for n in names], "f string")
     assert [r.k for r in df.select(FL.document_kind(F.col("f")).alias("k")).collect()] == \
         ["other", "10-K", "10-Q", "8-K", "other"]
+
+
+def test_concept_payload_and_series(spark):
+    from quillspark.operators.facts import concept_series, read_concepts
+    payload = json.dumps({"cik": 320193, "taxonomy": "us-gaap", "tag": "Assets", "units": {
+        "USD": [{"end": "2023-09-30", "val": 3.5e11, "accn": "a2", "fy": 2023, "fp": "FY", "form": "10-K",
+                 "filed": "2023-11-03", "frame": "CY2023Q3I"},
+                {"end": "2022-09-24", "val": 3.5e11, "accn": "a1", "fy": 2022, "fp": "FY", "form": "10-K",
+                 "filed": "2022-10-28"},
+                {"end": "2022-09-24", "val": 3.4e11, "accn": "a0", "fy": 2022, "fp": "Q4", "form": "10-Q",
+                 "filed": "2022-08-01"}],
+        "shares": [{"end": "2023-09-30", "val": 1.0, "filed": "2023-11-03"}]}})
+    recs = read_concepts(spark.createDataFrame([(payload,)], "value string"))
+    assert recs.count() == 4 and recs.where("frame IS NULL").count() == 3
+    usd = recs.where("unit = 'USD'").withColumn("event_id", F.monotonically_increasing_id() * 0)
+    out = concept_series(usd.select("concept", "end", "val", "filed", "event_id", "unit"), "Assets", "USD").collect()
+    assert [(r.end, str(r.filed_date)) for r in out] == [("2022-09-24", "2022-08-01"), ("2022-09-24", "2022-10-28"),
+                                                          ("2023-09-30", "2023-11-03")]  # ties broken by filing date
+
+
+def test_typed_fetches(spark):
+    from quillspark.sources.submissions import typed_documents
+    rows = [("https://x/a.htm", "text/html; charset=utf-8", b"<p>x</p>"), ("https://x/b", "application/pdf", b"%PDF"),
+            ("https://x/c.html", None, b"\xff ok"), ("https://x/d.txt", "text/plain", b"t\r\nu")]
+    df = spark.createDataFrame(rows, "url string, content_type string, body binary")
+    out = {r.url: (r.ext, r.text) for r in typed_documents(df).collect()}
+    assert out["https://x/a.htm"][0] == ".html" and out["https://x/b"][0] == ".pdf"
+    assert out["https://x/c.html"] == (".html", " ok") and out["https://x/d.txt"] == (".txt", "t\nu")

@@ -42,3 +42,9 @@ def test_top_n_per_company_is_a_group_limit(spark):
     df = E.queries()["latest_filings"](spark, SF)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() or \
         "WindowGroupLimit" in _optimized(df)
+
+
+def test_per_filing_operators_reuse_the_bridge_shuffle(spark):
+    for name in ["main_document", "role_counts", "ordered_documents"]:
+        plan = _physical(E.queries()[name](spark, SF))
+        assert plan.count("Exchange hashpartitioning") <= 1, name
