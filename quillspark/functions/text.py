@@ -227,7 +227,7 @@ def paragraph_array(c: Column) -> Column:
         lines, lambda x: F.when(is_header_line(x), F.array(F.lit(""), x, F.lit("")))
         .otherwise(F.array(x))))
     chunks = F.transform(F.split(F.array_join(spaced, "\n"), "\n\n+", -1),
-                         lambda x: F.regexp_replace(x, r"\A\n+|\n+\z", ""))
+                         lambda x: F.trim(x, F.lit("\n")))
     chunks = F.filter(chunks, lambda x: x != F.lit(""))
     return F.transform(chunks, lambda x: F.struct(
         F.when(~x.contains("\n") & is_header_line(x), F.lit("header"))

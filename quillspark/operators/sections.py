@@ -20,8 +20,7 @@ _TEXT_TAGS = len("<TEXT></TEXT>")
 
 def _section_type(block: Column) -> Column:
     """First ``<TYPE>`` value stripped; 'Unknown' only when there is none."""
-    return F.when(block.rlike(P.TYPE_VALUE.java),
-                  T.strip(F.regexp_extract(block, P.TYPE_VALUE.java, 1))).otherwise(F.lit(P.UNKNOWN))
+    return F.coalesce(T.field_or_null(block, P.TYPE_VALUE, stripped=True), F.lit(P.UNKNOWN))
 
 
 def section_array(content: Column) -> Column:

@@ -123,7 +123,7 @@ def paragraph_chunks(x: str) -> str:
     spaced = (f"flatten(list_transform({stripped_lines(x)}, lambda l: CASE WHEN {is_header_line('l')} "
               f"THEN ['', l, ''] ELSE [l] END))")
     chunks = (f"list_transform(regexp_split_to_array(array_to_string({spaced}, {NL}), '\\n\\n+'), "
-              f"lambda c: regexp_replace(c, '\\A\\n+|\\n+\\z', '', 'g'))")
+              f"lambda c: trim(c, chr(10)))")
     return f"list_filter({chunks}, lambda c: c <> '')"
 
 
