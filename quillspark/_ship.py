@@ -1,7 +1,9 @@
 """Make the package importable in Python workers (Arrow UDF / mapInPandas tasks).
 
-The package is zipped once per SparkContext on the driver and added with
-``addPyFile``; Spark serves it to every executor, local or remote.
+On a local master the package is zipped once per SparkContext and added with
+``addPyFile``.  On a cluster nothing is written: deploy the package with the
+job (``spark-submit --py-files quillspark.zip`` or an installed wheel), as
+usual for PySpark code.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ _shipped: set[str] = set()
 def ship_package(spark) -> None:
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _shipped:
+    if key in _shipped or not sc.master.startswith("local"):
+        return
+    if "quillspark" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _shipped.add(key)
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
