@@ -59,11 +59,11 @@ def select_companies(companies: DataFrame, terms: Sequence[str], order_col: str
     """J4 + W4: for each search term in order, the first company (in master order)
     whose lower-cased title contains it, never re-using a ticker.
 
-    Exact and bounded: a term can lose at most ``len(terms) - 1`` candidates to
-    earlier terms, so keeping the first ``len(terms)`` candidates per term
-    (``row_number`` over a small per-term partition after a theta join against
-    the broadcast term list) always contains the answer.  The greedy pass then
-    runs over at most ``len(terms)**2`` rows.
+    Exact and bounded: the term at position ``i`` can lose at most ``i``
+    candidates to earlier terms, so its first ``i + 1`` candidates (``row_number``
+    per term after a theta join against the broadcast term list, planned as a
+    partial group limit) always contain the answer.  The greedy pass then sees at
+    most ``k (k + 1) / 2`` rows for ``k`` terms, whatever the size of the master.
     """
     from .._ship import ship_package
     spark: SparkSession = companies.sparkSession
@@ -76,6 +76,7 @@ def select_companies(companies: DataFrame, terms: Sequence[str], order_col: str
     cand = companies.join(F.broadcast(term_df), F.lower("title").contains(F.col("term")))
     w = Window.partitionBy("term_pos").orderBy(order_col, "ticker")
     cand = cand.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= k)
+    cand = cand.where(F.col("cand_rank") <= F.col("term_pos") + 1)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()

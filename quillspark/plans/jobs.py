@@ -191,6 +191,14 @@ def term_selection(companies: DataFrame, terms: Sequence[str]) -> DataFrame:
     return C.select_companies(companies, terms)
 
 
+def selection_summary(companies: DataFrame, terms: Sequence[str], filings: DataFrame, landed: DataFrame,
+                      docs: DataFrame, max_reports: int = 3) -> DataFrame:
+    """Companies picked by terms -> latest annual reports (C1) -> run summary."""
+    picked = term_selection(companies, terms).select(F.col("term_pos").alias("req_pos"), "ticker")
+    reports = corpus_build(picked, companies, filings, landed, docs, max_reports)
+    return FL.run_summary(C.resolve_tickers(picked, companies), reports)
+
+
 def concept_trend(facts: DataFrame, concept: str | None = None, unit: str | None = None) -> DataFrame:
     """C7."""
     from ..operators.facts import concept_series

@@ -162,3 +162,18 @@ def test_typed_fetches(spark):
     out = {r.url: (r.ext, r.text) for r in typed_documents(df).collect()}
     assert out["https://x/a.htm"][0] == ".html" and out["https://x/b"][0] == ".pdf"
     assert out["https://x/c.html"] == (".html", " ok") and out["https://x/d.txt"] == (".txt", "t\nu")
+
+
+def test_selection_summary_job(spark):
+    from quillspark.plans.jobs import selection_summary
+    co = _companies(spark)
+    filings = spark.createDataFrame(
+        [("0000320193", "10-K", 0, "2023-11-03", "acc-1", 1), ("0000320193", "10-K", 1, "2022-10-28", "acc-2", 2),
+         ("0000789019", "10-Q", 0, "2023-10-24", "acc-3", 3)],
+        "cik string, form string, pos long, filingDate string, accession string, order_key long")
+    landed = spark.createDataFrame([(1,)], "submission_id long")
+    docs = spark.createDataFrame([("acc-2", 1, "a-10-k.htm", "10-K", "u2")],
+                                 "accession string, pos int, filename string, doc_type string, url string")
+    out = {r.ticker: (r.n_reports, r.status) for r in selection_summary(
+        co, ["apple", "microsoft"], filings, landed, docs).collect()}
+    assert out == {"AAPL": (2, "reports"), "MSFT": (0, "no reports downloaded"), None: (2, "total")}
