@@ -109,9 +109,30 @@ def requested_unknown(spark, sf):
 SELECT_TERMS = ["00001", "0001", "001", "12", "21", "#0000000", "no such name"]
 
 
-@register("term_select")
+def _term_select_sql():
+    terms = ", ".join(f"({i}, {Q.q(t.lower())})" for i, t in enumerate(SELECT_TERMS))
+    dedup = (f"SELECT ticker, coalesce(title, '{P.UNKNOWN_COMPANY}') AS title, first_pos FROM ("
+             "SELECT ticker, title, min(src_pos) OVER (PARTITION BY ticker) AS first_pos, "
+             "row_number() OVER (PARTITION BY ticker ORDER BY src_pos DESC) AS rn FROM companies_raw "
+             "WHERE ticker IS NOT NULL AND cik_str IS NOT NULL) WHERE rn = 1")
+    return (
+        f"WITH RECURSIVE companies_raw AS ({B.CTE_SQL['companies_raw']}), "
+        f"terms(term_pos, term) AS (VALUES {terms}), dedup AS ({dedup}), "
+        "cand AS (SELECT t.term_pos, t.term, d.ticker, d.title, row_number() OVER "
+        "(PARTITION BY t.term_pos ORDER BY d.first_pos, d.ticker) AS cand_rank "
+        "FROM terms t JOIN dedup d ON contains(lower(d.title), t.term)), "
+        "steps(term_pos, used, picked) AS (SELECT -1, CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR) UNION ALL "
+        "SELECT s.term_pos + 1, CASE WHEN x.t IS NULL THEN s.used ELSE list_append(s.used, x.t) END, x.t "
+        "FROM steps s, LATERAL (SELECT (SELECT c.ticker FROM cand c WHERE c.term_pos = s.term_pos + 1 "
+        "AND NOT list_contains(s.used, c.ticker) ORDER BY c.cand_rank LIMIT 1) AS t) x "
+        f"WHERE s.term_pos + 1 < {len(SELECT_TERMS)}) "
+        "SELECT CAST(s.term_pos AS INTEGER) AS term_pos, c.term, s.picked AS ticker, c.title "
+        "FROM steps s JOIN cand c ON c.term_pos = s.term_pos AND c.ticker = s.picked")
+
+
+@register("term_select", _term_select_sql())
 def term_select(spark, sf):
-    """J4 + W4 (greedy; rows-only check)."""
+    """J4 + W4: greedy first-unused pick per term (oracle: recursive CTE)."""
     return C.select_companies(C.dedup_companies(B.view(spark, sf, "companies_raw")), SELECT_TERMS)
 
 
