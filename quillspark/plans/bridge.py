@@ -123,7 +123,8 @@ def filings(spark, sf_dir):
 
 
 def index_documents(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    from ..session import ensure_parallelism
+    li = ensure_parallelism(table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     j = j.withColumn("_acc", _accession(F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")))
@@ -183,7 +184,8 @@ def _section_block(doc_id, line, i):
 
 
 def submissions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    from ..session import ensure_parallelism
+    d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
     doc = F.col("doc_id")
     acc = F.format_string("%010d-%02d-%06d", F.lit(100000) + doc % 9973, doc % 100, doc)
     name_day = F.date_add(F.lit(NAME_DATE_BASE).cast("date"), (doc % 3650).cast("int"))
@@ -215,7 +217,8 @@ def submissions(spark, sf_dir):
 
 
 def html_docs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    from ..session import ensure_parallelism
+    return ensure_parallelism(table(spark, sf_dir, "pages"), "page_id").select("page_id", "html")
 
 
 def concept_facts(spark, sf_dir):
