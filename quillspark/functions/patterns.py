@@ -53,7 +53,6 @@ THREE_NEWLINES = Rx(rf"\n{S}*\n{S}*\n")
 TWO_NEWLINES = Rx(rf"\n{S}*\n")
 SPACE_RUN = Rx(r"[ \t]+")
 SYMBOL_LINE = Rx(rf"^{S}*{NOT_W_OR_S}*{S}*$", "m")
-STRIP = Rx(rf"\A{S}+|{S}+\z")
 # The characters str.isspace() accepts (equal to the S class), for trim()
 WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
                     + "\u2028\u2029\u202f\u205f\u3000")
@@ -82,10 +81,7 @@ JS_FUNCTION = Rx(rf"function{S}+{W}+.*?}}", "s")
 COMMENT = Rx(r"<!--.*?-->", "s")
 NEWLINE_SPACE = Rx(r"\n ")
 # Line filter of T11
-DIGITS_LINE = Rx(rf"^{D}+$")
-TECH_ID_LINE = Rx(r"^[A-Z0-9\-_]{20,}$")
-HEX_LINE = Rx(r"^[a-f0-9]{32,}$")
-# the three whole-line tests above as one pass
+# digits-only, long technical id or long hex line: whole-line tests as one pass
 TECHNICAL_LINE = Rx(rf"^(?:{D}+|[A-Z0-9\-_]{{20,}}|[a-f0-9]{{32,}})$")
 SENTENCE_MARK = Rx(r"[.!?]")
 
@@ -122,11 +118,6 @@ CHAPTER_TITLE_JAVA = rf"(?d)^(?:(?iu:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+
 CHAPTER_TITLE_RE2 = rf"^(?:(?i:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"
 
 # HTML to text (T12): markup that is not text
-HTML_SCRIPT = Rx(rf"<script(?:{S}[^>]*)?>.*?</script{S}*>", "si")
-HTML_STYLE = Rx(rf"<style(?:{S}[^>]*)?>.*?</style{S}*>", "si")
-HTML_COMMENT = Rx(r"<!--.*?-->", "s")
-HTML_DECL = Rx(r"<[!?][^>]*>")
-HTML_TAG = Rx(r"</?[A-Za-z][^>]*>")
 # All non-text markup in one leftmost-first pass, as a tokenizer meets it: "<b<!x>" is one tag;
 # a start tag needs a letter after "<", while any "</...>" goes (end tag or bogus comment)
 HTML_MARKUP = Rx(rf"(?i:<script(?:{S}[^>]*)?>(?s:.*?)</script{S}*>)|(?i:<style(?:{S}[^>]*)?>(?s:.*?)</style{S}*>)"
@@ -138,9 +129,7 @@ WS_RUN = Rx(rf"{S}+")
 NOT_WHITELISTED = Rx(rf"[^{W_CLASS}{S_CLASS}.,;:!?\-()\[\]{{}}\"'/\\]")
 
 # Upper-case test of a whole line (str.isupper)
-HAS_UPPER = Rx(r"\p{Lu}")
-HAS_LOWER_OR_TITLE = Rx(r"[\p{Ll}\p{Lt}]")
-# both tests as one pass over a line without newlines
+# str.isupper(): some upper-case letter and no lower/title-case one (one pass)
 ALL_UPPER = Rx(r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$", "s")
 
 # Format markers (P10), matched as plain substrings

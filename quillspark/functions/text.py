@@ -42,15 +42,6 @@ def rx_sub_if(c: Column, needles, rx: P.Rx, repl: str = "") -> Column:
     return let(c, guarded)
 
 
-def rx_has(c: Column, rx: P.Rx) -> Column:
-    """``re.search(...) is not None``."""
-    return c.rlike(rx.java)
-
-
-def rx_first(c: Column, rx: P.Rx, group: int = 1) -> Column:
-    return F.regexp_extract(c, rx.java, group)
-
-
 def strip(c: Column) -> Column:
     """``str.strip()``: trim every character ``str.isspace`` accepts (plain ``trim`` takes spaces only)."""
     return F.trim(c, F.lit(P.WHITESPACE_CHARS))
