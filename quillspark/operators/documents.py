@@ -163,3 +163,11 @@ def size_columns(c: Column) -> list[Column]:
     return [F.length(c).cast("long").alias("n_chars"), b.cast("long").alias("n_bytes"),
             (b / 1024.0 / 1024.0).alias("size_mb"),
             (b > P.RENDER_SIZE_GATE_BYTES).alias("too_large")]
+
+
+def clean_html(df: DataFrame, col: str = "html", engine: str = "regex", out: str = "clean_html") -> DataFrame:
+    """T15 (``engine='regex'``, Columns) or T14 (``engine='tree'``, Arrow batches)."""
+    if engine == "tree":
+        from .html_tree import clean_html_tree
+        return clean_html_tree(df, col, out)
+    return df.withColumn(out, T.clean_html_regex(F.col(col)))

@@ -51,3 +51,33 @@ def filing_page(meta: dict[str, Column], body: Column, generated_at: str,
         return _page(title, header, content)
 
     return let(F.struct(*[v.alias(k) for k, v in meta.items()]), page)
+
+
+def render_documents(df, template: str, generated_at: str, content: str = "content",
+                     file_name: str = "file_name", body: str | None = None, out: str = "html"):
+    """T19 as a DataFrame operator: one of the four page templates over a table.
+
+    * ``text``    -- page around the raw content (T19a)
+    * ``sgml``    -- header-map metadata + cleaned SGML body (T19b)
+    * ``ixbrl``   -- regex metadata, assembled report, truncated notice, titles marked (T19c)
+    * ``extract`` -- regex metadata + the given ``body`` column + source file (T19d)
+    """
+    from ..functions import text as T
+    from . import documents as D
+    from . import sections as S
+    c, f = F.col(content), F.col(file_name)
+    if template == "text":
+        page = text_page(f, c, generated_at)
+    elif template == "sgml":
+        page = T.let(D.header_map(c), lambda h: filing_page(D.sgml_metadata(h), D.sgml_body(c), generated_at))
+    elif template == "ixbrl":
+        page = T.let(S.report_struct(c), lambda rs: filing_page(
+            D.regex_metadata(c, f), T.mark_titles(T.clean_ixbrl_text(rs["report"])), generated_at,
+            notice=rs["truncated"]))
+    elif template == "extract":
+        if body is None:
+            raise ValueError("the extract template needs a body column")
+        page = filing_page(D.regex_metadata(c), F.col(body), generated_at, source=f)
+    else:
+        raise ValueError(f"unknown template {template}")
+    return df.withColumn(out, page)

@@ -173,3 +173,15 @@ def test_render_routes(spark):
     assert out[1].doc_format == "sgml" and "New Name" in out[1].html and "2024-01-31" in out[1].html
     assert out[4].status == "skipped" and out[4].html is None
     assert out[5].doc_format == "text" and "plain <b>text</b>" in out[5].html
+
+
+def test_api_render_documents_matches_routed_job(spark):
+    from quillspark import api
+    df = subs_df(spark)
+    routed = {r.submission_id: r.html for r in J.convert_to_html(df, "t").collect()}
+    sgml = {r.submission_id: r.html for r in api.render_documents(df, "sgml", "t").collect()}
+    assert sgml[1] == routed[1]  # submission 1 routes to sgml
+    text = api.render_documents(df, "text", "t").where("submission_id = 2").first().html
+    assert text == routed[2]
+    both = api.clean_html(api.clean_html(df, "content", "regex", "a"), "content", "tree", "b")
+    assert both.count() == 3
