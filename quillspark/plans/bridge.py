@@ -228,6 +228,24 @@ def concept_facts(spark, sf_dir):
                     F.to_date("ts").alias("end"))
 
 
+def index_pages(spark, sf_dir):
+    """One landed index page per filing, rendered from ``index_documents``.
+
+    A page lists one order's lines (at most 7 in these tables), so the grouped
+    list is bounded; rows are placed in page order by ``pos``.
+    """
+    docs = index_documents(spark, sf_dir)
+    row = F.concat(F.lit("<tr><td>"), F.col("pos").cast("string"), F.lit("</td><td>"), F.col("doc_type"),
+                   F.lit("</td><td><a href=\""), F.regexp_replace("url", "^https://www\\.sec\\.gov", ""),
+                   F.lit("\">"), F.col("filename"), F.lit("</a></td><td>"), F.col("doc_type"),
+                   F.lit("</td><td>"), F.col("size"), F.lit("</td></tr>\n"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", row.alias("r"))))
+    page = F.concat(F.lit("<html><body><table class=\"tableFile\" summary=\"Document Format Files\">\n"
+                          "<tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th><th>Size</th></tr>\n"),
+                    F.array_join(F.transform(rows, lambda x: x["r"]), ""), F.lit("</table></body></html>"))
+    return docs.groupBy("cik", "accession").agg(page.alias("html"))
+
+
 VIEWS = {
     "companies_raw": companies_raw, "companies": companies, "requested": requested,
     "filings": filings, "index_documents": index_documents, "submissions": submissions,

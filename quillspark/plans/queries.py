@@ -675,3 +675,13 @@ def pdf_paragraphs(spark, sf):
     from .jobs import convert_to_html
     from .jobs import pdf_paragraphs as pp
     return pp(convert_to_html(B.view(spark, sf, "submissions"), GENERATED_AT))
+
+
+# The page has the five columns Seq, Description, Document, Type, Size; the scan reads
+# the fourth cell (Type) as "size", as the reference does, so size equals the type here.
+@register("index_parse", V("SELECT cik, accession, pos, filename, url, doc_type, doc_type AS size "
+                           "FROM index_documents", "index_documents"))
+def index_parse(spark, sf):
+    """Landed index pages (rendered from the index bridge) parsed back into document rows."""
+    from ..sources.index_pages import read_index
+    return read_index(B.index_pages(spark, sf))
