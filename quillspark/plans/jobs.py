@@ -100,7 +100,7 @@ def extract_html(subs: DataFrame, generated_at: str, engine: str = "tree",
     """``status`` is ``extracted`` or ``no_html``; ``skipped`` for non-.txt files."""
     fname = F.col(name_col)
     meta = D.regex_metadata(F.col("content"))
-    eligible = suffix(fname) == ".txt"
+    eligible = fname.endswith(".txt")  # a case-sensitive "*.txt" glob, as the directory scan uses
     base = subs.select("submission_id", name_col, eligible.alias("eligible"),
                        *[v.alias(k) for k, v in meta.items()],
                        F.when(eligible, main_html(F.col("content"))).alias("body"))

@@ -516,7 +516,7 @@ def _suffix_sql(x):
 
 def _w3_status_sql():
     from .jobs import ANY_HTML_TEXT, MAIN_10K
-    return (f"CASE WHEN {_suffix_sql('file_name')} <> '.txt' THEN 'skipped' "
+    return (f"CASE WHEN NOT ends_with(file_name, '.txt') THEN 'skipped' "
             f"WHEN {Q.first('content', MAIN_10K, 0)} = '' AND {Q.first('content', ANY_HTML_TEXT, 0)} = '' "
             "THEN 'no_html' ELSE 'extracted' END")
 

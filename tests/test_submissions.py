@@ -185,3 +185,10 @@ def test_api_render_documents_matches_routed_job(spark):
     assert text == routed[2]
     both = api.clean_html(api.clean_html(df, "content", "regex", "a"), "content", "tree", "b")
     assert both.count() == 3
+
+
+def test_extract_glob_is_case_sensitive(spark):
+    df = spark.createDataFrame([(1, "A.TXT", block("10-K", "<html></html>")), (2, "a.txt", "x")],
+                               "submission_id long, file_name string, content string")
+    out = {r.submission_id: r.status for r in J.extract_html(df, "t", engine="regex").collect()}
+    assert out == {1: "skipped", 2: "no_html"}
