@@ -209,8 +209,9 @@ def doc_role(spark, sf):
 
 
 @register("role_counts", V(
-    "SELECT accession, count_if(role = 'main') AS n_main, count_if(role = 'other') AS n_other, "
-    f"count_if(role = 'exhibit') AS n_exhibit, count(*) AS n_documents FROM ({_ROLES_SQL}) GROUP BY accession",
+    "SELECT accession, count(CASE WHEN role = 'main' THEN 1 END) AS n_main, "
+    "count(CASE WHEN role = 'other' THEN 1 END) AS n_other, count(CASE WHEN role = 'exhibit' THEN 1 END) AS n_exhibit, "
+    f"count(*) AS n_documents FROM ({_ROLES_SQL}) GROUP BY accession",
     "index_documents"))
 def role_counts(spark, sf):
     return FL.role_counts(B.view(spark, sf, "index_documents"))
