@@ -147,6 +147,7 @@ def text_lines(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
+    """T12 on the JVM, entities from the fixed table (``documents.html_to_text`` offers all of them)."""
     return text_lines(decode_entities(strip_markup(c)))
 
 

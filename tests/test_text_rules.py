@@ -112,3 +112,14 @@ def test_regex_dialect_prefix():
     assert P.DOCUMENT_BLOCK.java.startswith("(?dsi)")  # no Unicode folding needed for DOCUMENT
     assert P.SCRIPT_BLOCK_I.java.startswith("(?dsiu)")  # 'script' has s and i
     assert P.DOCUMENT_BLOCK.re2.startswith("(?si)")
+
+
+def test_full_entity_decoding_matches_parser(spark):
+    from quillspark.operators.documents import html_to_text
+    vals = ["<p>A&#160;B &#x2019;s &copy 2024 &hellip; &amp;lt; &NotANamedEntity; &#0; &#x110000;</p>",
+            "<div>R&amp;D &#8212; caf&eacute; &frac12;</div>"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, html string")
+    got = [r.text for r in html_to_text(df).orderBy("id").collect()]
+    assert got == [pyref.html_text(v) for v in vals]
+    table = [r.text for r in html_to_text(df, entities="table").orderBy("id").collect()]
+    assert table[1] != got[1]  # the fixed table leaves &#8212; and &eacute; undecoded
