@@ -143,18 +143,25 @@ def _slice(s: Column, start: Column, end: Column) -> Column:
 
 
 def main_slice(content: Column) -> Column:
+    """T17.  Every searched position is computed once and bound (``let``), so the
+    section pick and the slices are not repeated inside the expression."""
     blocks = F.regexp_extract_all(content, F.lit(P.DOCUMENT_BLOCK.java), 0)
     main = F.try_element_at(F.filter(blocks, lambda b: (b.rlike(_ITEM1_BUSINESS) | b.rlike(_PART1))
                                      & ~b.rlike(_EX_TYPE) & ~b.rlike(_EXHIBIT_N)), F.lit(1))
-    s = F.coalesce(main, content)
-    p1 = F.regexp_instr(s, F.lit(_PART1))
-    i1 = F.regexp_instr(s, F.lit(_ITEM1))
-    p4 = F.regexp_instr(s, F.lit(_PART4))
-    from_part1 = _slice(s, p1, p4)
-    bm = F.regexp_instr(from_part1, F.lit(_ITEM1_BUSINESS))
-    p3 = F.regexp_instr(from_part1, F.lit(_PART3))
-    narrowed = F.when((F.length(from_part1) < 10000) & (bm > 0), _slice(from_part1, bm, p3)).otherwise(from_part1)
-    return F.when(p1 > 0, narrowed).when(i1 > 0, _slice(s, i1, p4)).otherwise(s)
+
+    def narrow(fp):
+        return T.let(F.struct(F.regexp_instr(fp, F.lit(_ITEM1_BUSINESS)).alias("bm"),
+                              F.regexp_instr(fp, F.lit(_PART3)).alias("p3")),
+                     lambda r: F.when((F.length(fp) < 10000) & (r["bm"] > 0), _slice(fp, r["bm"], r["p3"]))
+                     .otherwise(fp))
+
+    def on_section(s):
+        marks = F.struct(F.regexp_instr(s, F.lit(_PART1)).alias("p1"), F.regexp_instr(s, F.lit(_ITEM1)).alias("i1"),
+                         F.regexp_instr(s, F.lit(_PART4)).alias("p4"))
+        return T.let(marks, lambda q: F.when(q["p1"] > 0, T.let(_slice(s, q["p1"], q["p4"]), narrow))
+                     .when(q["i1"] > 0, _slice(s, q["i1"], q["p4"])).otherwise(s))
+
+    return T.let(F.coalesce(main, content), on_section)
 
 
 def main_slices(subs: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ def _physical(df):
 
 def test_plans_stay_small(spark):
     # an expression used twice and inlined by a rewrite would multiply the plan
-    for name in ["render_html", "pdf_paragraphs", "assemble_report", "pure_html", "paragraphs", "header_fields"]:
+    for name in ["render_html", "pdf_paragraphs", "assemble_report", "pure_html", "paragraphs", "header_fields",
+                 "main_slice", "index_parse", "term_select"]:
         assert len(_optimized(E.queries()[name](spark, SF))) < 100_000, name
 
 
