@@ -67,7 +67,7 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> Data
     from pyspark.sql import functions as F
 
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # estimate unavailable: no hint
         return df
     return F.broadcast(df) if size <= max_bytes else df

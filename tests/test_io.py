@@ -63,3 +63,33 @@ def test_report_names_and_corpus_write(spark, scratch):
     K.write_corpus(named.where(~F.col("overwritten")), f"{scratch}/corpus")
     back = spark.read.parquet(f"{scratch}/corpus").where("ticker = 'AAPL'")
     assert [r.content for r in back.collect()] == ["c2"]
+
+
+def test_cut_lineage_uses_shared_checkpoint_dir(spark):
+    from quillspark.session import cut_lineage
+    df = spark.range(10).withColumn("y", F.col("id") * 2)
+    cut = cut_lineage(df)
+    assert cut.count() == 10 and spark.conf.get("spark.checkpoint.dir")
+    assert "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()
+
+
+def test_broadcast_only_under_the_bound(spark):
+    from quillspark.session import broadcast_if_small
+    small = spark.range(10)
+    big = spark.range(10)
+    joined_small = spark.range(100).join(broadcast_if_small(small, 1 << 20), "id")
+    joined_big = spark.range(100).join(broadcast_if_small(big, 1), "id")
+    assert "broadcast" in joined_small._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in joined_big._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_page_writers_and_sidecar(spark, scratch):
+    pages = spark.createDataFrame([("/in/a.txt", "<p>One &amp; two</p>")], "path string, html string")
+    pages = pages.withColumn("output_path", K.html_path(F.col("path"), "sibling"))
+    K.write_pages(pages, f"{scratch}/pages")
+    side = K.text_sidecar(spark.read.parquet(f"{scratch}/pages")).first()
+    assert side.text_path == "/in/a.txt" and side.text == "One & two"
+    summary = spark.createDataFrame([("AAPL", 2, "reports"), (None, 2, "total")], "ticker string, n_reports long, status string")
+    K.write_summary(summary, f"{scratch}/summary")
+    back = spark.read.option("header", "true").csv(f"{scratch}/summary")
+    assert back.count() == 2
