@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list, default the headline set), BENCH_REPEAT (default 2).
+BENCH_QUERIES (comma list, default the headline set), BENCH_REPEAT (default 3).
 Each query is executed in full with the ``noop`` sink (no collect); it runs
 once unmeasured (JIT and codegen warm-up: a long job runs warm), then the
 reported time is the best of BENCH_REPEAT runs.
@@ -24,7 +24,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
 
     from quillspark.plans.queries import QUERIES
     from quillspark.session import build_session

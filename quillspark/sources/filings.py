@@ -38,6 +38,6 @@ def filings_from_json(df: DataFrame, cik: str = "cik", value: str = "value") ->
 
 def read_filings(spark, path: str) -> DataFrame:
     """Landed ``CIK##########.json`` files -> filing rows (cik from the file name)."""
-    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     raw = raw.withColumn("cik", F.regexp_extract("path", r"CIK(\d+)\.json$", 1))
     return filings_from_json(raw, "cik", "value")

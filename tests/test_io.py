@@ -93,3 +93,17 @@ def test_page_writers_and_sidecar(spark, scratch):
     K.write_summary(summary, f"{scratch}/summary")
     back = spark.read.option("header", "true").csv(f"{scratch}/summary")
     assert back.count() == 2
+
+
+def test_read_landed_json_files(spark, scratch):
+    import json
+    from quillspark.sources.companies import read_companies
+    from quillspark.sources.filings import read_filings
+    _write(f"{scratch}/subs/CIK0000320193.json", json.dumps(
+        {"filings": {"recent": {"form": ["10-K", "8-K"], "filingDate": ["2024-11-01", "2024-10-01"],
+                                "accessionNumber": ["a1", "a2"]}}}).encode())
+    f = read_filings(spark, f"{scratch}/subs")
+    assert sorted((r.cik, r.form, r.pos) for r in f.collect()) == [("0000320193", "10-K", 0), ("0000320193", "8-K", 1)]
+    _write(f"{scratch}/tickers/company_tickers.json", json.dumps(
+        {"0": {"ticker": "AAPL", "cik_str": 320193, "title": "Apple Inc."}}).encode())
+    assert [r.ticker for r in read_companies(spark, f"{scratch}/tickers").collect()] == ["AAPL"]
