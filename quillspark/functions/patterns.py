@@ -113,6 +113,8 @@ MAIN_MARKERS = Rx(rf"Item 1\.{S}*Business|Item 1A\.{S}*Risk|Item 2\.{S}*Properti
 PART_OR_ITEM = Rx(rf"^(Part [IVX]+|Item {D}+[A-Z]?\.)", "i")
 ITEM_TITLE = Rx(rf"^Item {D}+[A-Z]?\.[^0-9]", "i")
 TWO_CAPITALISED = Rx(r"^[A-Z][a-z]+ [A-Z][a-z]+")
+PART_NUMBER = Rx(r"^Part ([IVX]+)", "i")
+ITEM_NUMBER = Rx(rf"^Item ({D}+[A-Z]?)\.", "i")
 # PART_OR_ITEM, ITEM_TITLE (implied by PART_OR_ITEM) and TWO_CAPITALISED as one pass
 CHAPTER_TITLE_JAVA = rf"(?d)^(?:(?iu:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"
 CHAPTER_TITLE_RE2 = rf"^(?:(?i:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"

@@ -188,6 +188,12 @@ def title_kind(line: Column) -> Column:
             .when(line.rlike(P.TWO_CAPITALISED.java), "capitalised"))
 
 
+def title_number(line: Column, kind: Column) -> Column:
+    """The part (roman) or item (``7A``) number of a title line, else NULL."""
+    return (F.when(kind == "part", F.regexp_extract(line, P.PART_NUMBER.java, 1))
+            .when(kind == "item", F.regexp_extract(line, P.ITEM_NUMBER.java, 1)))
+
+
 def stripped_lines(c: Column) -> Column:
     return F.transform(F.split(c, "\n", -1), strip)
 

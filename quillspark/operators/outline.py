@@ -14,10 +14,11 @@ def mark_titles(df: DataFrame, col: str = "text", out: str = "marked") -> DataFr
 
 
 def outline(df: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """One row per title line: ``(key, line_pos, title, kind)``."""
+    """One row per title line: ``(key, line_pos, title, kind, number)``."""
     lines = df.select(key, F.posexplode(T.stripped_lines(F.col(col))).alias("line_pos", "title"))
     titles = lines.where((F.col("title") != "") & T.is_chapter_title(F.col("title")))
-    return titles.withColumn("kind", T.title_kind(F.col("title")))
+    titles = titles.withColumn("kind", T.title_kind(F.col("title")))
+    return titles.withColumn("number", T.title_number(F.col("title"), F.col("kind")))
 
 
 def paragraphs(df: DataFrame, key: str, col: str = "text") -> DataFrame:

@@ -485,10 +485,11 @@ def toc_markup(spark, sf):
 
 
 @register("outline", V(
+    f"SELECT doc_id, line_pos, title, kind, {Q.title_number('title', 'kind')} AS number FROM ("
     f"SELECT doc_id, line_pos, title, {Q.title_kind('title')} AS kind FROM ("
     "SELECT doc_id, CAST(s.i - 1 AS INTEGER) AS line_pos, s.t AS title FROM ("
     f"SELECT doc_id, unnest(list_transform({Q.stripped_lines('text')}, lambda t, i: struct_pack(i := i, t := t))) "
-    f"AS s FROM documents)) WHERE title <> '' AND {Q.is_chapter_title('title')}"))
+    f"AS s FROM documents)) WHERE title <> '' AND {Q.is_chapter_title('title')})"))
 def outline(spark, sf):
     from ..operators.outline import outline as ol
     return ol(B.table(spark, sf, "documents"), "doc_id", "text")

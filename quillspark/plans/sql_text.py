@@ -105,6 +105,11 @@ def title_kind(v: str) -> str:
             f"WHEN {has(v, P.TWO_CAPITALISED)} THEN 'capitalised' END")
 
 
+def title_number(v: str, kind: str) -> str:
+    return (f"CASE WHEN {kind} = 'part' THEN {first(v, P.PART_NUMBER)} "
+            f"WHEN {kind} = 'item' THEN {first(v, P.ITEM_NUMBER)} END")
+
+
 def stripped_lines(x: str) -> str:
     return f"list_transform(string_split({x}, {NL}), lambda l: {strip('l')})"
 

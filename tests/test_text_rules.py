@@ -123,3 +123,12 @@ def test_full_entity_decoding_matches_parser(spark):
     assert got == [pyref.html_text(v) for v in vals]
     table = [r.text for r in html_to_text(df, entities="table").orderBy("id").collect()]
     assert table[1] != got[1]  # the fixed table leaves &#8212; and &eacute; undecoded
+
+
+def test_outline_numbers(spark):
+    from quillspark.operators.outline import outline
+    df = spark.createDataFrame([(1, "PART iv\nItem 7A. Market risk\nOverview\nSome Capitalised words\nprose")],
+                               "id int, text string")
+    rows = [(r.title, r.kind, r.number) for r in outline(df, "id").orderBy("line_pos").collect()]
+    assert rows == [("PART iv", "part", "iv"), ("Item 7A. Market risk", "item", "7A"),
+                    ("Overview", "listed", None), ("Some Capitalised words", "capitalised", None)]
