@@ -79,6 +79,10 @@ SCRIPT_BLOCK_I = Rx(r"<script[^>]*>.*?</script>", "si")
 JS_VAR = Rx(rf"var{S}+{W}+{S}*=.*?;", "s")
 JS_FUNCTION = Rx(rf"function{S}+{W}+.*?}}", "s")
 COMMENT = Rx(r"<!--.*?-->", "s")
+# compat=False forms of the two script patterns: a statement on one line, a function
+# header with a brace body holding no further braces (neither can run into prose)
+JS_VAR_SAFE = Rx(rf"var{S}+{W}+{S}*=[^;\n]*;")
+JS_FUNCTION_SAFE = Rx(rf"function{S}+{W}+{S}*\([^)\n]*\){S}*\{{[^{{}}]*\}}")
 NEWLINE_SPACE = Rx(r"\n ")
 # Line filter of T11
 # digits-only, long technical id or long hex line: whole-line tests as one pass

@@ -99,7 +99,8 @@ def _dropped_line(line: Column) -> Column:
     return cond | ((F.length(line) > P.LONG_LINE_CHARS) & ~line.rlike(P.SENTENCE_MARK.java))
 
 
-def clean_section_text(c: Column) -> Column:
+def clean_section_text(c: Column, compat: bool = True) -> Column:
+    """T11.  ``compat=False`` uses script patterns that cannot run into prose."""
     c = rx_sub_if(c, ['style="'], P.STYLE_ATTR)
     c = rx_sub_if(c, ['class="'], P.CLASS_ATTR)
     c = rx_sub_if(c, ['id="'], P.ID_ATTR)
@@ -108,8 +109,8 @@ def clean_section_text(c: Column) -> Column:
     c = rx_sub_if(c, ["<"], P.DIV_TAG_I, "\n")
     c = rx_sub_if(c, ["<"], P.SPAN_TAG_I)
     c = rx_sub_if(c, ["<"], P.SCRIPT_BLOCK_I)
-    c = rx_sub_if(c, ["var"], P.JS_VAR)
-    c = rx_sub_if(c, ["function"], P.JS_FUNCTION)
+    c = rx_sub_if(c, ["var"], P.JS_VAR if compat else P.JS_VAR_SAFE)
+    c = rx_sub_if(c, ["function"], P.JS_FUNCTION if compat else P.JS_FUNCTION_SAFE)
     c = rx_sub_if(c, ["<!--"], P.COMMENT)
     c = rx_sub_if(c, ["<"], P.ANY_TAG)
     c = rx_sub_if(c, ["\n"], P.THREE_NEWLINES, "\n\n")

@@ -44,9 +44,18 @@ def excluded(doc_type: Column) -> Column:
     return F.upper(doc_type).isin(P.EXCLUDED_TYPES)
 
 
-def section_rank(doc_type: Column) -> Column:
-    """0 for listed main types, 1 for the rest (file order kept inside each)."""
-    return F.when(F.upper(doc_type).isin(P.MAIN_TYPES), 0).otherwise(1)
+def section_rank(doc_type: Column, compat: bool = True) -> Column:
+    """0 for listed main types, 1 for the rest (file order kept inside each).
+
+    ``compat=False`` ranks main types by their place in the list (10-K before 10-Q ...).
+    """
+    if compat:
+        return F.when(F.upper(doc_type).isin(P.MAIN_TYPES), 0).otherwise(1)
+    rank = None
+    for i, t in enumerate(P.MAIN_TYPES):
+        cond = F.upper(doc_type) == t
+        rank = F.when(cond, i) if rank is None else rank.when(cond, i)
+    return rank.otherwise(len(P.MAIN_TYPES))
 
 
 def split_sections(subs: DataFrame) -> DataFrame:
@@ -54,20 +63,20 @@ def split_sections(subs: DataFrame) -> DataFrame:
     return subs.select("submission_id", F.inline(section_array(F.col("content"))))
 
 
-def clean_sections(sections: DataFrame) -> DataFrame:
+def clean_sections(sections: DataFrame, compat: bool = True) -> DataFrame:
     """P14 before T11, then P13 and P15 on the section rows."""
     kept = sections.where(F.col("has_text") & ~excluded(F.col("doc_type")))
-    cleaned = kept.withColumn("clean_text", T.clean_section_text(F.col("raw_text"))).drop("raw_text")
+    cleaned = kept.withColumn("clean_text", T.clean_section_text(F.col("raw_text"), compat)).drop("raw_text")
     return (cleaned.withColumn("substantial", F.length("clean_text") > P.SUBSTANTIAL_CHARS)
-            .withColumn("rank", section_rank(F.col("doc_type"))))
+            .withColumn("rank", section_rank(F.col("doc_type"), compat)))
 
 
-def _kept_sections(content: Column) -> Column:
+def _kept_sections(content: Column, compat: bool = True) -> Column:
     """P14 -> T11 -> P13 -> P15 inside the row: array<struct<rank, section_pos, doc_type, clean>>."""
     secs = F.filter(section_array(content), lambda s: s["has_text"] & ~excluded(s["doc_type"]))
     cleaned = F.transform(secs, lambda s: F.struct(
-        section_rank(s["doc_type"]).alias("rank"), s["section_pos"].alias("section_pos"),
-        s["doc_type"].alias("doc_type"), T.clean_section_text(s["raw_text"]).alias("clean")))
+        section_rank(s["doc_type"], compat).alias("rank"), s["section_pos"].alias("section_pos"),
+        s["doc_type"].alias("doc_type"), T.clean_section_text(s["raw_text"], compat).alias("clean")))
     return F.filter(cleaned, lambda s: F.length(s["clean"]) > P.SUBSTANTIAL_CHARS)
 
 
@@ -84,21 +93,24 @@ def truncated_flag(report: Column) -> Column:
             & (F.length(report) < P.TRUNCATED_MAX_CHARS))
 
 
-def report_struct(content: Column) -> Column:
+def report_struct(content: Column, compat: bool = True) -> Column:
     """struct<report, used_fallback, truncated> for one submission (A5 + fallback + P16).
 
     The assembled text is bound once (``let``) and everything else derives from
     that binding, so no plan rewrite can repeat the section pipeline.
     """
-    return T.let(report_text(_kept_sections(content)), lambda r: T.let(
+    return T.let(report_text(_kept_sections(content, compat)), lambda r: T.let(
         F.when(r == "", F.substring(content, 1, P.FALLBACK_PREFIX_CHARS)).otherwise(r),
         lambda rep: F.struct(rep.alias("report"), (r == "").alias("used_fallback"),
                              truncated_flag(rep).alias("truncated"))))
 
 
-def assemble_reports(subs: DataFrame, keep: tuple[str, ...] = ("submission_id",)) -> DataFrame:
-    """A5 + P16 per submission; falls back to the first 50,000 characters when nothing is kept."""
-    return (subs.select(*keep, report_struct(F.col("content")).alias("r"))
+def assemble_reports(subs: DataFrame, keep: tuple[str, ...] = ("submission_id",), compat: bool = True) -> DataFrame:
+    """A5 + P16 per submission; falls back to the first 50,000 characters when nothing is kept.
+
+    ``compat=False`` (H9) ranks main sections by list order and uses the safe T11 script patterns.
+    """
+    return (subs.select(*keep, report_struct(F.col("content"), compat).alias("r"))
             .select(*keep, "r.report", "r.used_fallback", "r.truncated"))
 
 

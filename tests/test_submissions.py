@@ -192,3 +192,21 @@ def test_extract_glob_is_case_sensitive(spark):
                                "submission_id long, file_name string, content string")
     out = {r.submission_id: r.status for r in J.extract_html(df, "t", engine="regex").collect()}
     assert out == {1: "skipped", 2: "no_html"}
+
+
+def test_safe_mode_h9(spark):
+    from quillspark.functions import text as T
+    txt = "function go(a) { return a } kept prose. var x = 1\nmore prose; end"
+    df = spark.createDataFrame([(txt,)], "t string")
+    exact = df.select(T.clean_section_text(F.col("t")).alias("r")).first().r
+    safe = df.select(T.clean_section_text(F.col("t"), compat=False).alias("r")).first().r
+    assert exact == pyref.section_clean(txt) and "more prose" not in exact
+    assert "kept prose." in safe and "more prose" in safe and "return a" not in safe
+    html = '<div><ix:nonNumeric name="n" contextRef="c">V</ix:nonNumeric><p contextRef="c">t</p></div>'
+    assert "V" in clean_dom(html) and "V" not in clean_dom(html, compat=False)
+    assert "contextref" in clean_dom(html) and "contextref" not in clean_dom(html, compat=False)
+    sub = (7, "x.txt", block("EX-31.1", BODY) + block("10-K", BODY))
+    d = spark.createDataFrame([sub], "submission_id long, file_name string, content string")
+    r_exact = S.assemble_reports(d).first().report
+    r_safe = S.assemble_reports(d, compat=False).first().report
+    assert r_exact.startswith("=== EX-31.1 ===") and r_safe.startswith("=== 10-K ===")
