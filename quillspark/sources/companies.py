@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-ITEM_SCHEMA = "struct<ticker:string, cik_str:long, title:string>"
+ITEM_SCHEMA = "struct<ticker:string, cik_str:long, title:string, cik:long>"
 
 
-def company_items_from_json(df: DataFrame, value: str = "value", pos: str = "src_pos") -> DataFrame:
+def company_items_from_json(df: DataFrame, value: str = "value", pos: str = "src_pos",
+                            accept_cik_key: bool = False) -> DataFrame:
     """One JSON item per row (``value``) -> ``ticker, cik_str, title, src_pos``.
 
     Non-object items parse to NULL and fall out with P11 (both keys present).
+    ``accept_cik_key`` also takes the id from a ``cik`` key when ``cik_str`` is
+    missing (off by default: the reference code requires ``cik_str``).
     """
     v = F.col(value)
     item = F.when(F.ltrim(v).startswith("{"), F.from_json(v, ITEM_SCHEMA))
+    cik = F.coalesce(F.col("i.cik_str"), F.col("i.cik")) if accept_cik_key else F.col("i.cik_str")
     return (df.select(F.col(pos).alias("src_pos"), item.alias("i"))
             .where(F.col("i").isNotNull())
-            .select("i.ticker", "i.cik_str", "i.title", "src_pos"))
+            .select("i.ticker", cik.alias("cik_str"), "i.title", "src_pos"))
 
 
-def company_items_from_payload(df: DataFrame, value: str = "value") -> DataFrame:
+def company_items_from_payload(df: DataFrame, value: str = "value", accept_cik_key: bool = False) -> DataFrame:
     """The whole master file as one JSON object of objects (``{"0": {...}, "1": {...}}``).
 
     Items keep the file order as ``src_pos`` (key order of the object).  A
@@ -31,7 +35,8 @@ def company_items_from_payload(df: DataFrame, value: str = "value") -> DataFrame
     # values stay raw JSON text, so one non-object item drops alone, not the whole payload
     m = F.from_json(F.col(value), "map<string,string>")
     items = df.select(F.posexplode(F.map_values(m)).alias("src_pos", "value"))
-    return company_items_from_json(items.withColumn("src_pos", F.col("src_pos").cast("long")))
+    return company_items_from_json(items.withColumn("src_pos", F.col("src_pos").cast("long")),
+                                   accept_cik_key=accept_cik_key)
 
 
 def read_companies(spark, path: str) -> DataFrame:

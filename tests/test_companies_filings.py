@@ -177,3 +177,26 @@ def test_selection_summary_job(spark):
     out = {r.ticker: (r.n_reports, r.status) for r in selection_summary(
         co, ["apple", "microsoft"], filings, landed, docs).collect()}
     assert out == {"AAPL": (2, "reports"), "MSFT": (0, "no reports downloaded"), None: (2, "total")}
+
+
+def test_cik_key_variant_is_opt_in(spark):
+    payload = json.dumps({"0": {"ticker": "AAPL", "cik": 320193, "title": "Apple Inc."},
+                          "1": {"ticker": "MSFT", "cik_str": 789019, "title": "Microsoft Corp"}})
+    raw = spark.createDataFrame([(payload,)], "value string")
+    strict = {r.ticker for r in C.dedup_companies(company_items_from_payload(raw)).collect()}
+    loose = {r.ticker: r.cik for r in C.dedup_companies(company_items_from_payload(raw, accept_cik_key=True)).collect()}
+    assert strict == {"MSFT"} and loose == {"AAPL": "0000320193", "MSFT": "0000789019"}
+
+
+def test_corpus_build_end_to_end(spark):
+    from quillspark.plans.jobs import corpus_build
+    companies = spark.createDataFrame([("AAPL", "0000320193", "Apple Inc.")], "ticker string, cik string, title string")
+    requested = spark.createDataFrame([(0, "AAPL"), (1, "NOPE")], "req_pos int, ticker string")
+    filings = spark.createDataFrame([("0000320193", "10-K", 0, "2023-12-31", "0000320193-23-000106", 7)],
+                                    "cik string, form string, pos long, filingDate string, accession string, order_key long")
+    landed = spark.createDataFrame([(7,)], "submission_id long")
+    docs = spark.createDataFrame([], "accession string, pos int, filename string, doc_type string, url string")
+    out = corpus_build(requested, companies, filings, landed, docs).collect()
+    assert [(r.ticker, r.file_name, r.source) for r in out] == [("AAPL", "AAPL_2023-12-31_10K.txt", "submission")]
+    assert out[0].url == ("https://www.sec.gov/Archives/edgar/data/0000320193/000032019323000106/"
+                          "0000320193-23-000106.txt")
