@@ -39,6 +39,9 @@ ARCHIVE_ROOT = "https://www.sec.gov/Archives/edgar/data"
 POS_DATE_BASE = "2100-01-01"
 POS_SHIFT = 1 << 40
 NAME_DATE_BASE = "2015-01-01"
+# heading put before text line i of document d, chosen by (d + i) % 7 ('' = none)
+SECTION_HEADINGS = ["PART I", "Item 1. Business", "Item 1A. Risk Factors", "PART IV", "Exhibit 21",
+                    "SIGNATURES", ""]
 # -------------------------------------------------------------------------------
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -159,6 +162,9 @@ def _section_block(doc_id, line, i):
     """One <DOCUMENT> block for text line ``i`` (0-based) of document ``doc_id``."""
     style = (doc_id + i) % 4
     ix = (doc_id % 4 == 1) | (doc_id % 4 == 2)
+    heading = F.element_at(F.array(*[F.lit(h + "\n" if h else "") for h in SECTION_HEADINGS]),
+                           ((doc_id + i) % len(SECTION_HEADINGS) + 1).cast("int"))
+    line = F.concat(heading, line)
     body = F.when(ix & (i % 3 == 0), F.concat(
         F.lit('<ix:nonNumeric name="dei:Text'), i.cast("string"), F.lit('" contextRef="c'),
         doc_id.cast("string"), F.lit('">'), line, F.lit("</ix:nonNumeric>"))).otherwise(line)
@@ -290,10 +296,12 @@ def _section_block_sql() -> str:
     # lambda index j is 1-based in DuckDB; i = j - 1
     i = "(j - 1)"
     ix = "(doc_id % 4 = 1 OR doc_id % 4 = 2)"
+    headings = "[" + ", ".join((f"'{h}' || chr(10)" if h else "''") for h in SECTION_HEADINGS) + "]"
+    line = f"({headings}[((doc_id + {i}) % {len(SECTION_HEADINGS)}) + 1] || line)"
     body = (f"CASE WHEN {ix} AND {i} % 3 = 0 THEN '<ix:nonNumeric name=\"dei:Text' || {i} || "
-            f"'\" contextRef=\"c' || doc_id || '\">' || line || '</ix:nonNumeric>' ELSE line END")
+            f"'\" contextRef=\"c' || doc_id || '\">' || {line} || '</ix:nonNumeric>' ELSE {line} END")
     body = (f"CASE WHEN {ix} AND {i} % 3 = 1 THEN ({body}) || '<ix:nonFraction name=\"us-gaap:Assets\" "
-            f"contextRef=\"c' || doc_id || '\" unitRef=\"usd\">' || length(line) || '</ix:nonFraction>' "
+            f"contextRef=\"c' || doc_id || '\" unitRef=\"usd\">' || length({line}) || '</ix:nonFraction>' "
             f"ELSE ({body}) END")
     style = f"((doc_id + {i}) % 4)"
     body = (f"CASE WHEN {style} = 0 THEN '<p style=\"margin:0\">' || ({body}) || '</p>' "

@@ -478,21 +478,32 @@ def paragraphs(spark, sf):
     return para(D.html_to_text(r, "report"), "submission_id", "text")
 
 
-@register("toc_markup", V(f"SELECT doc_id, {Q.mark_titles('text')} AS marked FROM documents"))
+_REPORT_TEXT_SQL = f"SELECT submission_id, {Q.clean_ixbrl_text('report')} AS text FROM ({_ASSEMBLED_SQL})"
+
+
+def _report_text(spark, sf):
+    """The iXBRL path's text: assembled report after the T10 clean."""
+    r = S.assemble_reports(B.view(spark, sf, "submissions"))
+    return D.clean_ixbrl(r, "report").select("submission_id", F.col("clean_text").alias("text"))
+
+
+@register("toc_markup", V(f"SELECT submission_id, {Q.mark_titles('text')} AS marked FROM ({_REPORT_TEXT_SQL})",
+                          "submissions"))
 def toc_markup(spark, sf):
-    d = B.table(spark, sf, "documents")
-    return d.select("doc_id", T.mark_titles(F.col("text")).alias("marked"))
+    """T16 on the cleaned report text, as the HTML job applies it."""
+    return _report_text(spark, sf).select("submission_id", T.mark_titles(F.col("text")).alias("marked"))
 
 
 @register("outline", V(
-    f"SELECT doc_id, line_pos, title, kind, {Q.title_number('title', 'kind')} AS number FROM ("
-    f"SELECT doc_id, line_pos, title, {Q.title_kind('title')} AS kind FROM ("
-    "SELECT doc_id, CAST(s.i - 1 AS INTEGER) AS line_pos, s.t AS title FROM ("
-    f"SELECT doc_id, unnest(list_transform({Q.stripped_lines('text')}, lambda t, i: struct_pack(i := i, t := t))) "
-    f"AS s FROM documents)) WHERE title <> '' AND {Q.is_chapter_title('title')})"))
+    f"SELECT submission_id, line_pos, title, kind, {Q.title_number('title', 'kind')} AS number FROM ("
+    f"SELECT submission_id, line_pos, title, {Q.title_kind('title')} AS kind FROM ("
+    "SELECT submission_id, CAST(s.i - 1 AS INTEGER) AS line_pos, s.t AS title FROM ("
+    f"SELECT submission_id, unnest(list_transform({Q.stripped_lines('text')}, lambda t, i: struct_pack(i := i, t := t))) "
+    f"AS s FROM ({_REPORT_TEXT_SQL}))) WHERE title <> '' AND {Q.is_chapter_title('title')})", "submissions"))
 def outline(spark, sf):
+    """T16b on the cleaned report text."""
     from ..operators.outline import outline as ol
-    return ol(B.table(spark, sf, "documents"), "doc_id", "text")
+    return ol(_report_text(spark, sf), "submission_id", "text")
 
 
 # ---------------------------------------------------------------------------
