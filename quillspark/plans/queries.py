@@ -698,3 +698,32 @@ def index_parse(spark, sf):
     """Landed index pages (rendered from the index bridge) parsed back into document rows."""
     from ..sources.index_pages import read_index
     return read_index(B.index_pages(spark, sf))
+
+
+# Filing-list payloads (parallel arrays) built per company and order-key block, so a
+# payload holds at most 1000 filings however many one company has; the primary-document
+# array is half as long as the others (padding with '' on parse)
+_PAYLOAD_BLOCK = 1000
+
+
+@register("filing_source", V(
+    "SELECT cik, CAST(rn - 1 AS BIGINT) AS pos, form, filingDate, filingDate AS reportDate, accession, "
+    "CASE WHEN rn <= n // 2 THEN accession || '.htm' ELSE '' END AS primaryDocument, '' AS fileNumber, "
+    "CAST(0 AS BIGINT) AS size FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER w AS n FROM filings "
+    f"WINDOW w AS (PARTITION BY cik, order_key // {_PAYLOAD_BLOCK} ORDER BY pos "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))", "filings"))
+def filing_source(spark, sf):
+    """Submissions JSON (parallel arrays) -> filing rows with their array position."""
+    from ..sources.filings import filings_from_json
+    f = B.view(spark, sf, "filings")
+    rows = F.sort_array(F.collect_list(F.struct("pos", "form", "filingDate", "accession")))
+    g = f.groupBy("cik", F.floor(F.col("order_key") / _PAYLOAD_BLOCK).alias("block")).agg(rows.alias("l"))
+    half = F.floor(F.size("l") / 2).cast("int")
+    recent = F.struct(
+        F.transform("l", lambda x: x["form"]).alias("form"),
+        F.transform("l", lambda x: x["filingDate"]).alias("filingDate"),
+        F.transform("l", lambda x: x["accession"]).alias("accessionNumber"),
+        F.slice(F.transform("l", lambda x: F.concat(x["accession"], F.lit(".htm"))), 1, half)
+        .alias("primaryDocument"))
+    payload = F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings")))
+    return filings_from_json(g.select("cik", payload.alias("value")))
