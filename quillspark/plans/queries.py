@@ -727,3 +727,39 @@ def filing_source(spark, sf):
         .alias("primaryDocument"))
     payload = F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings")))
     return filings_from_json(g.select("cik", payload.alias("value")))
+
+
+# Company-concept payloads ({units: {unit: [records]}}) built per concept and 1000-event
+# block from events; every tenth record is in 'shares', every third has no frame
+def _concept_record_cols():
+    e = F.col("event_id")
+    return [F.when(e % 10 == 0, "shares").otherwise("USD").alias("unit"),
+            F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("end"), F.col("value").alias("val"),
+            F.concat(F.lit("a"), e.cast("string")).alias("accn"), F.year("ts").cast("long").alias("fy"),
+            F.lit("FY").alias("fp"), F.lit("10-K").alias("form"),
+            F.date_format(F.date_add(F.to_date("ts"), 30), "yyyy-MM-dd").alias("filed"),
+            F.when(e % 3 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("CY"), F.year("ts").cast("string"))).alias("frame")]
+
+
+@register("concept_source", V(
+    "SELECT CAST(320193 AS BIGINT) AS cik, 'us-gaap' AS taxonomy, event_type AS concept, "
+    "CASE WHEN event_id % 10 = 0 THEN 'shares' ELSE 'USD' END AS unit, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS \"end\", "
+    "value AS val, 'a' || event_id AS accn, CAST(year(ts) AS BIGINT) AS fy, 'FY' AS fp, '10-K' AS form, "
+    "strftime(CAST(ts AS DATE) + 30, '%Y-%m-%d') AS filed, "
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'CY' || year(ts) END AS frame FROM events"))
+def concept_source(spark, sf):
+    """Concept payloads -> one row per (unit, record)."""
+    from ..operators.facts import read_concepts
+    ev = B.table(spark, sf, "events")
+    recs = ev.select("event_type", (F.col("event_id") / 1000).cast("long").alias("block"), *_concept_record_cols())
+    fields = ["end", "val", "accn", "fy", "fp", "form", "filed", "frame"]
+    grouped = recs.groupBy("event_type", "block").agg(F.collect_list(F.struct("unit", *fields)).alias("l"))
+
+    def unit_list(u):
+        return F.transform(F.filter("l", lambda x: x["unit"] == u), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    payload = F.to_json(F.struct(F.lit(320193).cast("long").alias("cik"), F.lit("us-gaap").alias("taxonomy"),
+                                 F.col("event_type").alias("tag"),
+                                 F.create_map(F.lit("USD"), unit_list("USD"), F.lit("shares"), unit_list("shares"))
+                                 .alias("units")))
+    return read_concepts(grouped.select(payload.alias("value")))
