@@ -763,3 +763,21 @@ def concept_source(spark, sf):
                                  F.create_map(F.lit("USD"), unit_list("USD"), F.lit("shares"), unit_list("shares"))
                                  .alias("units")))
     return read_concepts(grouped.select(payload.alias("value")))
+
+
+# Landed fetch results (url, content type, raw body) from pages; the content type
+# follows page_id % 3: html, none (the URL decides), pdf
+@register("fetched_documents", V(
+    "SELECT url, content_type, CASE WHEN contains(lower(coalesce(content_type, '')), 'html') OR ends_with(url, '.htm') "
+    "OR ends_with(url, '.html') THEN '.html' WHEN contains(lower(coalesce(content_type, '')), 'pdf') "
+    "OR ends_with(url, '.pdf') THEN '.pdf' ELSE '.txt' END AS ext, html AS text, "
+    "CAST(strlen(html) AS BIGINT) AS n_bytes FROM (SELECT url, html, CASE page_id % 3 WHEN 0 THEN "
+    "'text/html; charset=UTF-8' WHEN 2 THEN 'application/pdf' END AS content_type FROM pages)"))
+def fetched_documents(spark, sf):
+    """S6 + P9: typed, decoded landed fetches."""
+    from ..sources.submissions import typed_documents
+    p = B.table(spark, sf, "pages")
+    ctype = (F.when(F.col("page_id") % 3 == 0, "text/html; charset=UTF-8")
+             .when(F.col("page_id") % 3 == 2, "application/pdf"))
+    fetched = p.select("url", ctype.alias("content_type"), F.encode("html", "UTF-8").alias("body"))
+    return typed_documents(fetched)
