@@ -781,3 +781,36 @@ def fetched_documents(spark, sf):
              .when(F.col("page_id") % 3 == 2, "application/pdf"))
     fetched = p.select("url", ctype.alias("content_type"), F.encode("html", "UTF-8").alias("body"))
     return typed_documents(fetched)
+
+
+# K2 + K5: output paths for landed files laid out as /landed/<source>/<doc>/R<doc % 97>.txt
+_LANDED_ROOT = "/landed"
+
+
+def _with_suffix_sql(x, suf):
+    return (f"CASE WHEN regexp_matches({x}, '\\.[^./]*$') THEN regexp_replace({x}, '\\.[^./]*$', '{suf}') "
+            f"ELSE {x} || '{suf}' END")
+
+
+@register("output_paths", V(
+    f"SELECT submission_id, path, sibling, html_subdir, mirror, pdf_path, count(*) OVER (PARTITION BY pdf_path) > 1 "
+    f"AS collides FROM (SELECT submission_id, path, {_with_suffix_sql('path', '.html')} AS sibling, "
+    "regexp_extract(path, '^(.*)/[^/]*$', 1) || '/html/' || regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) || "
+    f"'.html' AS html_subdir, '/html/' || {_with_suffix_sql(f'substring(path, {len(_LANDED_ROOT) + 2})', '.html')} "
+    "AS mirror, '/out/pdf/' || regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) || '.pdf' AS pdf_path FROM ("
+    f"SELECT doc_id AS submission_id, '{_LANDED_ROOT}/' || source || '/' || doc_id || '/R' || (doc_id % 97) || "
+    "'.txt' AS path FROM documents))")
+def output_paths(spark, sf):
+    """K2 (three layouts) and K5 (flattened PDF paths with collision flags)."""
+    from .. import sinks as K
+    d = B.table(spark, sf, "documents")
+    # one folder per document; file stems repeat across folders, so flattened PDF paths collide
+    files = d.select(F.col("doc_id").alias("submission_id"), F.concat(
+        F.lit(f"{_LANDED_ROOT}/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/R"),
+        (F.col("doc_id") % 97).cast("string"), F.lit(".txt")).alias("path"))
+    p = F.col("path")
+    laid = files.select("submission_id", "path", K.html_path(p, "sibling").alias("sibling"),
+                        K.html_path(p, "html_subdir").alias("html_subdir"),
+                        K.html_path(p, "mirror", _LANDED_ROOT, "/html").alias("mirror"))
+    return laid.join(K.pdf_paths(files, "/out/pdf"), "path").select(
+        "submission_id", "path", "sibling", "html_subdir", "mirror", "pdf_path", "collides")
