@@ -799,7 +799,7 @@ def _with_suffix_sql(x, suf):
     f"'.html' AS html_subdir, '/html/' || {_with_suffix_sql(f'substring(path, {len(_LANDED_ROOT) + 2})', '.html')} "
     "AS mirror, '/out/pdf/' || regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) || '.pdf' AS pdf_path FROM ("
     f"SELECT doc_id AS submission_id, '{_LANDED_ROOT}/' || source || '/' || doc_id || '/R' || (doc_id % 97) || "
-    "'.txt' AS path FROM documents))")
+    "'.txt' AS path FROM documents))"))
 def output_paths(spark, sf):
     """K2 (three layouts) and K5 (flattened PDF paths with collision flags)."""
     from .. import sinks as K
