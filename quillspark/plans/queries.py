@@ -783,7 +783,7 @@ def fetched_documents(spark, sf):
     return typed_documents(fetched)
 
 
-# K2 + K5: output paths for landed files laid out as /landed/<source>/<doc>/R<doc % 97>.txt
+# K2 + K5: output paths for landed files laid out as /landed/<source>/<doc>/R<doc % 997>.txt
 _LANDED_ROOT = "/landed"
 
 
@@ -798,7 +798,7 @@ def _with_suffix_sql(x, suf):
     "regexp_extract(path, '^(.*)/[^/]*$', 1) || '/html/' || regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) || "
     f"'.html' AS html_subdir, '/html/' || {_with_suffix_sql(f'substring(path, {len(_LANDED_ROOT) + 2})', '.html')} "
     "AS mirror, '/out/pdf/' || regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) || '.pdf' AS pdf_path FROM ("
-    f"SELECT doc_id AS submission_id, '{_LANDED_ROOT}/' || source || '/' || doc_id || '/R' || (doc_id % 97) || "
+    f"SELECT doc_id AS submission_id, '{_LANDED_ROOT}/' || source || '/' || doc_id || '/R' || (doc_id % 997) || "
     "'.txt' AS path FROM documents))"))
 def output_paths(spark, sf):
     """K2 (three layouts) and K5 (flattened PDF paths with collision flags)."""
@@ -807,7 +807,7 @@ def output_paths(spark, sf):
     # one folder per document; file stems repeat across folders, so flattened PDF paths collide
     files = d.select(F.col("doc_id").alias("submission_id"), F.concat(
         F.lit(f"{_LANDED_ROOT}/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/R"),
-        (F.col("doc_id") % 97).cast("string"), F.lit(".txt")).alias("path"))
+        (F.col("doc_id") % 997).cast("string"), F.lit(".txt")).alias("path"))
     p = F.col("path")
     laid = files.select("submission_id", "path", K.html_path(p, "sibling").alias("sibling"),
                         K.html_path(p, "html_subdir").alias("html_subdir"),
