@@ -210,3 +210,10 @@ def test_safe_mode_h9(spark):
     r_exact = S.assemble_reports(d).first().report
     r_safe = S.assemble_reports(d, compat=False).first().report
     assert r_exact.startswith("=== EX-31.1 ===") and r_safe.startswith("=== 10-K ===")
+
+
+def test_dom_clean_deep_nesting():
+    # unclosed tags nest; the tree code must not recurse per level
+    html = "<div>" + "<p>x " * 5000 + "</div>"
+    out = clean_dom(html)
+    assert out.count("<p>") == 5000 and out.endswith("</p></div>")
