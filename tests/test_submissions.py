@@ -217,3 +217,18 @@ def test_dom_clean_deep_nesting():
     html = "<div>" + "<p>x " * 5000 + "</div>"
     out = clean_dom(html)
     assert out.count("<p>") == 5000 and out.endswith("</p></div>")
+
+
+def test_large_submission_runs_every_job(spark):
+    # ~1.5 MB, with runs of unclosed tags: no regex stack overflow, no recursion limit
+    para = '<p style="x">Item 1. Business word ' * 20 + "</p>\n<div class=\"c\">More text. </div>\n"
+    body = "<html><body>" + para * 1200 + "</body></html>"
+    content = HEADER + block("10-K", body) + block("EX-21.1", body[:200000])
+    df = spark.createDataFrame([(9, "big.txt", content)], "submission_id long, file_name string, content string")
+    rep = S.assemble_reports(df).first()
+    assert rep.report.startswith("=== 10-K ===") and not rep.used_fallback
+    page = J.convert_to_html(df, "t").first()
+    assert page.doc_format == "sgml" and len(page.html) > 1000
+    for engine in ("regex", "tree"):
+        out = J.extract_html(df, "t", engine=engine).first()
+        assert out.status == "extracted" and "Item 1. Business" in out.html
