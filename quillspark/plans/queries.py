@@ -814,3 +814,34 @@ def output_paths(spark, sf):
                         K.html_path(p, "mirror", _LANDED_ROOT, "/html").alias("mirror"))
     return laid.join(K.pdf_paths(files, "/out/pdf"), "path").select(
         "submission_id", "path", "sibling", "html_subdir", "mirror", "pdf_path", "collides")
+
+
+def _extract_page_sql(meta, body, source):
+    header = [meta["company"], meta["document_type"], f"'Accession Number: ' || {meta['accession']}",
+              f"'Filing Date: ' || {meta['filing_date']}", Q.q(f"Generated: {GENERATED_AT}"), f"'Source: ' || {source}"]
+    title = f"{meta['company']} || ' - ' || {meta['document_type']}"
+    return _page_sql(title, header, f"'<div class=\"content\">' || {body} || '</div>'")
+
+
+def _w3_body_sql(c):
+    """The 10-K body, else a body holding a whole page; NULL when neither matches."""
+    from .jobs import ANY_HTML_TEXT, MAIN_10K
+
+    def body(rx):
+        whole = Q.first(c, rx, 0)
+        return f"CASE WHEN {whole} <> '' THEN {Q.first(whole, rx)} END"
+    return f"coalesce({body(MAIN_10K)}, {body(ANY_HTML_TEXT)})"
+
+
+@register("pure_html_regex", V(
+    "SELECT submission_id, file_name, CASE WHEN NOT ends_with(file_name, '.txt') THEN 'skipped' "
+    "WHEN body IS NULL THEN 'no_html' ELSE 'extracted' END AS status, "
+    f"CASE WHEN body IS NOT NULL THEN {_extract_page_sql({k: k for k in D.METADATA_FIELDS}, Q.clean_html_regex('body'), 'file_name')} "
+    "END AS html FROM (SELECT submission_id, file_name, "
+    + ", ".join(f"{v} AS {k}" for k, v in _regex_meta_sql("content").items())
+    + f", CASE WHEN ends_with(file_name, '.txt') THEN {_w3_body_sql('content')} END AS body FROM submissions)",
+    "submissions"))
+def pure_html_regex(spark, sf):
+    """T18 with the regex clean (T15), the reference's fallback path: W3 -> T15 -> T19d."""
+    from .jobs import extract_html
+    return extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="regex")
