@@ -45,6 +45,7 @@ def _zf(x):
     "row_number() OVER (PARTITION BY ticker ORDER BY src_pos DESC) AS rn FROM companies_raw "
     "WHERE ticker IS NOT NULL AND cik_str IS NOT NULL) WHERE rn = 1", "companies_raw"))
 def company_dedup(spark, sf):
+    """A1 + P1 + P2 + P11: last-wins company master."""
     return C.dedup_companies(B.view(spark, sf, "companies_raw"))
 
 
@@ -77,6 +78,7 @@ def company_source(spark, sf):
 @register("cik_normalise", V(
     f"SELECT c_custkey, {_zf('c_custkey')} AS cik, {_zf('c_custkey * 10000000')} AS cik_wide FROM customer"))
 def cik_normalise(spark, sf):
+    """Zero-filled registrant ids, never truncated."""
     c = B.table(spark, sf, "customer")
     return c.select("c_custkey", B.zero_fill(F.col("c_custkey")).alias("cik"),
                     B.zero_fill(F.col("c_custkey") * 10000000).alias("cik_wide"))
@@ -89,6 +91,7 @@ SEARCH_TERM = "ER#0000001"
     f"SELECT ticker, cik, title FROM companies WHERE contains(lower(ticker), lower('{SEARCH_TERM}')) "
     f"OR contains(lower(title), lower('{SEARCH_TERM}')) ORDER BY ticker LIMIT 50", "companies"))
 def company_search(spark, sf):
+    """P6 + O1: case-insensitive search, sorted by ticker, first 50 (the --limit feature)."""
     return C.search_companies(B.view(spark, sf, "companies"), SEARCH_TERM, limit=50)
 
 
@@ -96,6 +99,7 @@ def company_search(spark, sf):
     "SELECT r.ticker, r.req_pos, c.cik, c.title FROM requested r JOIN companies c ON r.ticker = c.ticker",
     "requested", "companies"))
 def requested_known(spark, sf):
+    """Requested tickers found in the master."""
     return C.resolve_tickers(B.view(spark, sf, "requested"), B.view(spark, sf, "companies"))
 
 
@@ -103,6 +107,7 @@ def requested_known(spark, sf):
     "SELECT r.ticker, r.req_pos FROM requested r ANTI JOIN companies c ON r.ticker = c.ticker",
     "requested", "companies"))
 def requested_unknown(spark, sf):
+    """Requested tickers missing from the master."""
     return C.unknown_tickers(B.view(spark, sf, "requested"), B.view(spark, sf, "companies"))
 
 
@@ -145,6 +150,7 @@ _LATEST_SQL = ("SELECT *, CAST(row_number() OVER (PARTITION BY cik ORDER BY pos)
 
 @register("latest_filings", V(_LATEST_SQL.format(form="10-K", n=3), "filings"))
 def latest_filings(spark, sf):
+    """P5 + W1: first three 10-K filings per company in list order."""
     return FL.latest_filings(B.view(spark, sf, "filings"), "10-K", 3)
 
 
@@ -155,6 +161,7 @@ AS_OF = "1998-08-02"
     "SELECT cik, form, filingDate, accession FROM filings WHERE form IN ('10-K', '10-Q') "
     f"AND try_cast(filingDate AS DATE) >= DATE '{AS_OF}' - INTERVAL 60 MONTH", "filings"))
 def form_list_lookback(spark, sf):
+    """P5b + P5c: form list and five-year look-back from a fixed date."""
     return FL.filter_forms(B.view(spark, sf, "filings"), ["10-K", "10-Q"], 5, AS_OF) \
         .select("cik", "form", "filingDate", "accession")
 
@@ -166,6 +173,7 @@ def form_list_lookback(spark, sf):
     "'/' || accession || '-index.html' AS index_url FROM (" + _LATEST_SQL.format(form="10-K", n=5) + ")",
     "filings"))
 def fetch_manifest(spark, sf):
+    """URLs for the latest five 10-K filings per company."""
     return FL.fetch_manifest(FL.latest_filings(B.view(spark, sf, "filings"), "10-K", 5))
 
 
@@ -198,12 +206,14 @@ _RANKED_SQL = (f"SELECT *, CASE role WHEN 'main' THEN 0 WHEN 'other' THEN 1 ELSE
 @register("doc_kind", V(f"SELECT accession, pos, filename, {_kind_sql('filename')} AS kind FROM index_documents",
                         "index_documents"))
 def doc_kind(spark, sf):
+    """Form kind from the file name."""
     d = B.view(spark, sf, "index_documents")
     return d.select("accession", "pos", "filename", FL.document_kind(F.col("filename")).alias("kind"))
 
 
 @register("doc_role", V(f"SELECT accession, pos, filename, doc_type, role FROM ({_ROLES_SQL})", "index_documents"))
 def doc_role(spark, sf):
+    """Main / other / exhibit role of each index document."""
     return FL.classify_documents(B.view(spark, sf, "index_documents")) \
         .select("accession", "pos", "filename", "doc_type", "role")
 
@@ -214,6 +224,7 @@ def doc_role(spark, sf):
     f"count(*) AS n_documents FROM ({_ROLES_SQL}) GROUP BY accession",
     "index_documents"))
 def role_counts(spark, sf):
+    """A4: documents per role per filing."""
     return FL.role_counts(B.view(spark, sf, "index_documents"))
 
 
@@ -223,6 +234,7 @@ _MAIN_SQL = (f"SELECT accession, filename, url, doc_type, role, pos FROM ({_RANK
 
 @register("main_document", V(_MAIN_SQL, "index_documents"))
 def main_document(spark, sf):
+    """Main document per filing."""
     return FL.main_documents(B.view(spark, sf, "index_documents"))
 
 
@@ -235,6 +247,7 @@ def _ctype_sql():
     f"OR ends_with(url, '.html') THEN '.html' WHEN contains(lower({_ctype_sql()}), 'pdf') OR ends_with(url, '.pdf') "
     "THEN '.pdf' ELSE '.txt' END AS ext FROM index_documents", "index_documents"))
 def content_ext(spark, sf):
+    """Saved-file extension from content type or URL."""
     d = B.view(spark, sf, "index_documents")
     ctype = (F.when(F.col("doc_type") == "GRAPHIC", "image/jpeg")
              .when(F.col("doc_type") == "Report", "text/html; charset=utf-8").otherwise(""))
@@ -270,6 +283,7 @@ _REPORTS_SQL = (
     f"SELECT ticker, cik, accession, filingDate, source, document, url, file_name FROM ({_REPORTS_SQL})",
     "requested", "companies", "filings", "submissions", "index_documents"))
 def filing_text_fallback(spark, sf):
+    """C1 core, J2 + J3: latest 10-Ks with landed text or the main index document."""
     return _reports(spark, sf)[2]
 
 
@@ -279,6 +293,7 @@ def filing_text_fallback(spark, sf):
     f"ON r.ticker = c.ticker) k LEFT JOIN ({_REPORTS_SQL}) x ON k.ticker = x.ticker GROUP BY k.ticker, k.req_pos",
     "requested", "companies", "filings", "submissions", "index_documents"))
 def reports_per_ticker(spark, sf):
+    """A3: ordered report list and count per known ticker."""
     known, chosen, att = _reports(spark, sf)
     reports = att.join(chosen.select("accession", "rank"), "accession")
     a3 = FL.reports_per_ticker(known, reports)
@@ -292,6 +307,7 @@ def reports_per_ticker(spark, sf):
     f"LEFT JOIN ({_REPORTS_SQL}) x ON k.ticker = x.ticker GROUP BY ROLLUP (k.ticker))",
     "requested", "companies", "filings", "submissions", "index_documents"))
 def run_summary(spark, sf):
+    """Reports per ticker plus the grand total."""
     known, _, att = _reports(spark, sf)
     return FL.run_summary(known, att)
 
@@ -309,6 +325,7 @@ _FORMAT_SQL = (f"CASE WHEN {_contains_any_sql('content', P.IXBRL_MARKERS)} THEN
 
 @register("format_route", V(f"SELECT submission_id, {_FORMAT_SQL} AS doc_format FROM submissions", "submissions"))
 def format_route(spark, sf):
+    """P10: ixbrl / sgml / text routing."""
     return D.route(B.view(spark, sf, "submissions")).select("submission_id", "doc_format")
 
 
@@ -324,6 +341,7 @@ _HEADER_ROWS_SQL = (
 
 @register("header_map", V(_HEADER_ROWS_SQL, "submissions"))
 def header_map(spark, sf):
+    """T1 + A8: SGML header key/value rows, last repeated key wins."""
     return D.header_rows(B.view(spark, sf, "submissions"))
 
 
@@ -351,6 +369,7 @@ def _regex_meta_sql(c, fname=None):
     "SELECT submission_id, " + ", ".join(f"{v} AS {k}" for k, v in _regex_meta_sql("content", "file_name").items())
     + " FROM submissions", "submissions"))
 def header_fields(spark, sf):
+    """Header fields by regex with file-name fallbacks."""
     return D.metadata(B.view(spark, sf, "submissions"), use_file_name=True)
 
 
@@ -396,11 +415,13 @@ def _truncated_sql(x):
 
 @register("split_sections", V(_SECTIONS_SQL, "submissions"))
 def split_sections(spark, sf):
+    """One row per <DOCUMENT> block."""
     return S.split_sections(B.view(spark, sf, "submissions"))
 
 
 @register("clean_section", V(_CLEAN_SECTIONS_SQL.replace("has_text, clean_text", "clean_text", 1), "submissions"))
 def clean_section(spark, sf):
+    """P13-P15 + T11: cleaned, ranked sections."""
     return S.clean_sections(S.split_sections(B.view(spark, sf, "submissions"))).drop("has_text")
 
 
@@ -408,6 +429,7 @@ def clean_section(spark, sf):
     f"SELECT submission_id, report, used_fallback, {_truncated_sql('report')} AS truncated FROM ({_ASSEMBLED_SQL})",
     "submissions"))
 def assemble_report(spark, sf):
+    """A5 + P16: assembled report with fallback and truncated flags."""
     return S.assemble_reports(B.view(spark, sf, "submissions"))
 
 
@@ -416,6 +438,7 @@ def assemble_report(spark, sf):
     f"{Q.has('report', P.MAIN_MARKERS)} AS has_main_markers, CAST(length(report) AS INTEGER) AS n_chars, "
     f"{_truncated_sql('report')} AS truncated FROM ({_ASSEMBLED_SQL})", "submissions"))
 def truncated_flag(spark, sf):
+    """Truncated-report markers and flag."""
     r = S.assemble_reports(B.view(spark, sf, "submissions"))
     return r.select("submission_id", F.col("report").rlike(P.EXHIBIT_MARKERS.java).alias("has_exhibit_markers"),
                     F.col("report").rlike(P.MAIN_MARKERS.java).alias("has_main_markers"),
@@ -430,6 +453,7 @@ def truncated_flag(spark, sf):
     f"length({Q.clean_section_text('raw_text')}) END AS n FROM ({_SECTIONS_SQL})) GROUP BY doc_type",
     "submissions"))
 def section_stats(spark, sf):
+    """Section counts and kept characters per type."""
     return S.section_stats(B.view(spark, sf, "submissions"))
 
 
@@ -441,6 +465,7 @@ def section_stats(spark, sf):
         "WHEN instr(content, '</SEC-HEADER>') > 0 THEN substring(content, instr(content, '</SEC-HEADER>') + 13) "
         "ELSE content END") + " AS clean_text FROM submissions", "submissions"))
 def clean_sgml(spark, sf):
+    """T8 + T9: cleaned SGML body."""
     return D.clean_sgml(B.view(spark, sf, "submissions"))
 
 
@@ -457,12 +482,14 @@ def clean_ixbrl(spark, sf):
 # ---------------------------------------------------------------------------
 @register("html_to_text", V(f"SELECT page_id, {Q.html_to_text('html')} AS text FROM html_docs", "html_docs"))
 def html_to_text(spark, sf):
+    """Page text (all HTML5 entities decoded)."""
     return D.html_to_text(B.view(spark, sf, "html_docs")).select("page_id", "text")
 
 
 @register("html_regex_clean", V(f"SELECT page_id, {Q.clean_html_regex('html')} AS clean_html FROM html_docs",
                                 "html_docs"))
 def html_regex_clean(spark, sf):
+    """Regex HTML clean."""
     return D.clean_html_regex(B.view(spark, sf, "html_docs")).select("page_id", "clean_html")
 
 
@@ -513,6 +540,7 @@ def outline(spark, sf):
     "SELECT concept, \"end\", val, CAST(filed AS DATE) AS filed_date, event_id FROM concept_facts "
     "ORDER BY concept, \"end\", filed, event_id", "concept_facts"))
 def concept_series(spark, sf):
+    """O3 + C7: concept values ordered by period end with tie-breakers."""
     from ..operators.facts import concept_series as cs
     return cs(B.view(spark, sf, "concept_facts"))
 
@@ -580,6 +608,7 @@ _IX_FACTS_SQL = (
 
 @register("ix_facts", V(_IX_FACTS_SQL, "submissions"))
 def ix_facts(spark, sf):
+    """Inline-XBRL facts per submission."""
     from ..operators.facts import ix_facts as facts
     return facts(B.view(spark, sf, "submissions"))
 
