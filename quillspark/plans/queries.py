@@ -874,3 +874,51 @@ def pure_html_regex(spark, sf):
     """T18 with the regex clean (T15), the reference's fallback path: W3 -> T15 -> T19d."""
     from .jobs import extract_html
     return extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="regex")
+
+
+# T17 oracle: the look-ahead and Unicode word boundaries rewritten for RE2.
+# "\bX" = X at the start or after a non-word char; "X\b" = X at the end or before one;
+# "(?!\s*[,V])" = end, or whitespace then (end or a char that is neither space nor , V v),
+# or directly one non-word char other than ",".
+_NW = "[^\\pL\\pN_]"
+_SP = f"[{P.S_CLASS}]"
+_PART1_TAIL = f"(?:\\z|{_SP}+(?:\\z|[^{P.S_CLASS},Vv])|[^\\pL\\pN_{P.S_CLASS},])"
+
+
+def _pos_sql(s, core, tail="", word_start=True):
+    """1-based start of the first ``core`` (with the boundary rules above), 0 when none."""
+    lead = f"(?:^|{_NW})" if word_start else ""
+    pat = f"(?s)^(.*?{lead})(?i:{core}){tail}" if word_start else f"(?s)^(.*?)(?i:{core}){tail}"
+    find = f"(?s)(?:^|{_NW})(?i:{core}){tail}" if word_start else f"(?si){core}{tail}"
+    return f"CASE WHEN regexp_matches({s}, {Q.q(find)}) THEN length(regexp_extract({s}, {Q.q(pat)}, 1)) + 1 ELSE 0 END"
+
+
+def _slice_sql(s, start, end):
+    return (f"CASE WHEN {end} > 0 THEN CASE WHEN {end} > {start} THEN substring({s}, {start}, {end} - {start}) "
+            f"ELSE '' END ELSE substring({s}, {start}) END")
+
+
+def _main_slice_sql():
+    business = f"Item 1\\.{_SP}*Business"
+    part1 = ("Part I", _PART1_TAIL)
+    word_end = f"(?:\\z|{_NW})"
+    exhibit_n = "(?si)Exhibit" + _SP + "+\\p{Nd}"
+    sec_ok = (f"(regexp_matches(b, {Q.q('(?si)' + business)}) OR regexp_matches(b, "
+              f"{Q.q('(?s)(?:^|' + _NW + ')(?i:Part I)' + _PART1_TAIL)})) "
+              f"AND NOT regexp_matches(b, '(?si)<TYPE>EX-') AND NOT regexp_matches(b, {Q.q(exhibit_n)})")
+    s = "s"
+    p1 = _pos_sql(s, *part1)
+    i1 = _pos_sql(s, "Item 1\\.")
+    p4 = _pos_sql(s, "Part IV", word_end)
+    inner = (
+        "SELECT submission_id, CASE WHEN p1 > 0 THEN CASE WHEN length(fp) < 10000 AND bm > 0 THEN "
+        f"{_slice_sql('fp', 'bm', 'p3')} ELSE fp END WHEN i1 > 0 THEN {_slice_sql('s', 'i1', 'p4')} ELSE s END "
+        "AS main_text FROM (SELECT *, "
+        f"{_pos_sql('fp', business, word_start=False)} AS bm, {_pos_sql('fp', 'Part III', word_end)} AS p3 FROM ("
+        f"SELECT *, {_slice_sql('s', 'p1', 'p4')} AS fp FROM (SELECT *, {p1} AS p1, {i1} AS i1, {p4} AS p4 FROM ("
+        f"SELECT submission_id, coalesce(list_filter(regexp_extract_all(content, {Q.q(P.DOCUMENT_BLOCK.re2)}, 0), "
+        f"lambda b: {sec_ok})[1], content) AS s FROM submissions))))")
+    return f"SELECT submission_id, main_text, CAST(length(main_text) AS INTEGER) AS n_chars FROM ({inner})"
+
+
+ORACLE["main_slice"] = V(_main_slice_sql(), "submissions")

@@ -22,7 +22,7 @@ def con():
 
 def test_every_query_has_an_oracle_or_a_reason():
     no_oracle = set(E.queries()) - set(E.oracle_sql())
-    assert no_oracle == {"pure_html", "html_dom_clean", "main_slice"}
+    assert no_oracle == {"pure_html", "html_dom_clean"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
@@ -41,7 +41,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_rows_only_queries_run(spark):
-    for name in ["pure_html", "html_dom_clean", "main_slice"]:
+    for name in ["pure_html", "html_dom_clean"]:
         assert E.queries()[name](spark, SF).count() >= 0
 
 
