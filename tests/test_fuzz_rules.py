@@ -80,3 +80,15 @@ html_batches = st.lists(st.lists(st.sampled_from(HTML_PIECES), max_size=30).map(
 @given(html_batches)
 def test_html_to_text_markup_fuzz(spark, values):
     assert _run(spark, T.html_to_text, values) == [pyref.html_text(v) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_html_regex_clean_fuzz(spark, values):
+    assert _run(spark, T.clean_html_regex, values) == [pyref.html_regex_clean(v) for v in values]
+
+
+@SETTINGS
+@given(batches)
+def test_html_text_strict_fuzz(spark, values):
+    assert _run(spark, T.html_to_text_strict, values) == [pyref.html_text_strict(v) for v in values]
