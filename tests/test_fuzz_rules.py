@@ -92,3 +92,17 @@ def test_html_regex_clean_fuzz(spark, values):
 @given(batches)
 def test_html_text_strict_fuzz(spark, values):
     assert _run(spark, T.html_to_text_strict, values) == [pyref.html_text_strict(v) for v in values]
+
+
+HEADER_PIECES = ["ACCESSION NUMBER", "FILER", "COMPANY CONFORMED NAME", ":", ":", " ", "\t", "\n", "\n",
+                 "value", "Été Inc.", "a:b", "  ", " ", "</SEC-HEADER>", "x"]
+headers = st.lists(st.lists(st.sampled_from(HEADER_PIECES), max_size=25).map(
+    lambda p: "pre\n<SEC-HEADER>" + "".join(p) + "</SEC-HEADER>\npost"), min_size=20, max_size=40)
+
+
+@SETTINGS
+@given(headers)
+def test_header_map_fuzz(spark, values):
+    from quillspark.operators.documents import header_map
+    got = _run(spark, header_map, values)
+    assert [dict(g) for g in got] == [pyref.header_map(v) for v in values]
