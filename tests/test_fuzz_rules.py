@@ -106,3 +106,29 @@ def test_header_map_fuzz(spark, values):
     from quillspark.operators.documents import header_map
     got = _run(spark, header_map, values)
     assert [dict(g) for g in got] == [pyref.header_map(v) for v in values]
+
+
+TYPES = ["10-K", "ex-31.1", "EX-21.1", "GRAPHIC", "xml", "EX-99.2", "  ", "Other"]
+section = st.tuples(st.sampled_from(TYPES), st.booleans(),
+                    st.lists(st.sampled_from(PIECES + ["Long enough narrative sentence here. " * 4]), max_size=25))
+
+
+def _submission(secs):
+    out = []
+    for t, has_text, pieces in secs:
+        body = "".join(pieces)
+        out.append(f"<DOCUMENT>\n<TYPE>{t}\n" + (f"<TEXT>\n{body}\n</TEXT>\n" if has_text else "") + "</DOCUMENT>\n")
+    return "".join(out)
+
+
+submissions = st.lists(st.lists(section, max_size=5).map(_submission), min_size=10, max_size=20)
+
+
+@SETTINGS
+@given(submissions)
+def test_assembly_fuzz(spark, values):
+    from quillspark.operators import sections as S
+    from test_submissions import python_report
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "submission_id long, content string")
+    got = [r.report for r in S.assemble_reports(df).orderBy("submission_id").collect()]
+    assert got == [python_report(v) for v in values]
