@@ -236,3 +236,15 @@ def tell(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
         right = right.sort_by([("shard", "ascending")])
         return fn(Block(left), [d.as_py() for d in right["data"]])
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def tell_both(blocks: DataFrame, first: DataFrame, second: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(block, replies of round 1, replies of round 2) -> pa.Table``; blocks meet both in one shuffle."""
+    shift = 1 << 30
+    both = first.unionByName(second.withColumn("shard", F.col("shard") + F.lit(shift)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("shard")
+        data, cut = [d.as_py() for d in right["data"]], sum(x < shift for x in right["shard"].to_pylist())
+        return fn(Block(left), data[:cut], data[cut:])
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, schema)

@@ -162,19 +162,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seeds = B.answer(B.ask(blocks, lambda b: _ask_anchors(b, shards, length, gram)), _answer_anchors)
     found = B.answer(B.ask_again(blocks, seeds, lambda b, r: _ask_windows(b, r, shards, length, gram)),
                      _answer_windows)
-    return _final(blocks, seeds, found, length, gram)
-
-
-def _final(blocks, seeds, found, length, gram):
-    """Both rounds' replies meet the block; round 2 is told apart by its shard number."""
-    from pyspark.sql import functions as F
-
-    shift = 1 << 30
-    both = seeds.unionByName(found.withColumn("shard", F.col("shard") + F.lit(shift)))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("shard")
-        shard, data = right["shard"].to_pylist(), [d.as_py() for d in right["data"]]
-        cut = sum(x < shift for x in shard)
-        return _spans(B.Block(left), data[:cut], data[cut:], length, gram)
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, SCHEMA)
+    return B.tell_both(blocks, seeds, found, lambda b, x, y: _spans(b, x, y, length, gram), SCHEMA)
