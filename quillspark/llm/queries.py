@@ -24,9 +24,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.secret_scan import scan_secrets, span_text
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def of(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return out.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(span_text(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
