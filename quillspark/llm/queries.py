@@ -27,6 +27,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import toxicity as t
+    docs = table(spark, sf_dir, "documents")
+    out = t.score(docs, t.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", t.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.decontaminate import find_hits
     out = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,6 +68,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_topk_search": op2_topk_search,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
