@@ -17,6 +17,8 @@ executor replays one task instead of the whole chain.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,13 +44,24 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed byte string."""
-    head = [len(arrays)]
+def release(spark) -> None:
+    """Let Spark's cleaner remove shuffle files and checkpoints that no live frame reaches any more.
+
+    The cleaner acts when the driver's JVM collects garbage, which an idle driver hardly does; without this the
+    files of every finished round stay on the executors' disks until the job ends.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one byte string, compressed byte plane by byte plane (ids and counts use few of their bytes)."""
+    head, planes = [len(arrays)], []
     for a in arrays:
         head += [ord(a.dtype.char), len(a)]
-    raw = np.array(head, np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T))
+    raw = np.array(head, np.int64).tobytes() + b"".join(p.tobytes() for p in planes)
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -59,7 +72,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 8 + 16 * n
     for kind, length in head:
         dtype = np.dtype(chr(int(kind)))
-        out.append(np.frombuffer(raw, dtype, int(length), at))
+        planes = np.frombuffer(raw, np.uint8, int(length) * dtype.itemsize, at).reshape(dtype.itemsize, int(length))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
         at += int(length) * dtype.itemsize
     return out
 
@@ -111,8 +125,9 @@ def _make_blocks(batches, lower: bool, limit: int):
             pa.array([(part << 32) + k], pa.int64()),
             pa.array([run.column(0).to_pylist()], pa.list_(pa.int64())),
             pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([pack(code.indices.to_numpy(zero_copy_only=False).astype(np.int32))], pa.binary()),
-            pa.array([pack(np.frombuffer(" ".join(words).encode(), np.uint8))], pa.binary()),
+            pa.array([pack(code.indices.to_numpy(zero_copy_only=False).astype(np.int32),
+                           level=3)], pa.binary()),
+            pa.array([pack(np.frombuffer(" ".join(words).encode(), np.uint8), level=3)], pa.binary()),
         ], names=["block", "doc", "n", "tok", "words"])
 
 
@@ -227,7 +242,11 @@ def answer(asks: DataFrame, fn) -> DataFrame:
         return _table([(s.as_py(), b.as_py(), r, total if i == 0 else 0, kinds if i == 0 else 0)
                        for i, (s, b, r) in enumerate(zip(table["shard"], table["block"], replies, strict=True))],
                       _ANSWER)
-    return keep(asks.groupBy("shard").applyInArrow(run, ANSWER_SCHEMA))
+    spark = asks.sparkSession
+    out = keep(asks.groupBy("shard").applyInArrow(run, ANSWER_SCHEMA))
+    del asks
+    release(spark)
+    return out
 
 
 def tell(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ smallest hash is chosen, the rightmost of equals.  The choice depends on those 1
 two documents that share 13 consecutive words share an anchor at the same place
 in them.  Anchors that occur in two documents are joined (round 1).  Each match is extended both
 ways over the anchor to every window of ``length`` words that chose it, and
-windows are matched exactly by a 128-bit hash against the smallest doc_id they
+windows are matched by a 96-bit hash against the smallest doc_id they
 start in (round 2).  Overlapping matched windows merge into maximal
 repeats, so a repeat of any length is one span.
 
@@ -15,7 +15,7 @@ documents share costs one entry per block and no pairs of documents are formed.
 Defined cases: a null or empty text has no words; a document shorter than ``length`` words has
 no window; a row with null doc_id has no smaller or larger doc_id, so nothing of it is
 removed and it removes nothing; repeated rows of one doc_id don't remove each other (and both lose what a
-smaller doc_id holds); extra columns are not read.  A 128-bit hash stands for the words of a window.
+smaller doc_id holds); extra columns are not read.  A 96-bit hash stands for the words of a window.
 """
 
 from __future__ import annotations
@@ -94,10 +94,10 @@ def _windows(block, shared, length, gram):
     u = np.unique(g[np.unique(at)])
     s = s[shared[np.searchsorted(u, g[at])]] if len(s) else s
     if not len(s):
-        z = np.zeros(0, np.uint64)
-        return s, np.zeros(0, np.int64), z, z, np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return s, none, np.zeros(0, np.uint64), np.zeros(0, np.uint32), none
     f1 = B.window_hashes(block.hashes()[block.tok], length)[s]
-    f2 = B.window_hashes(block.hashes(second=True)[block.tok], length)[s]
+    f2 = (B.window_hashes(block.hashes(second=True)[block.tok], length)[s] >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((f2, f1))
     a, b = f1[order], f2[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
