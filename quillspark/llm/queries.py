@@ -20,6 +20,11 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.url_filter import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.bpe import encode_decode
     return encode_decode(table(spark, sf_dir, "documents")).select(
@@ -67,6 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_topk_search": op2_topk_search,
+    "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
