@@ -249,6 +249,38 @@ def answer(asks: DataFrame, fn) -> DataFrame:
     return out
 
 
+def bit_replies(bits: np.ndarray, asked: list) -> list[bytes]:
+    """One bit per asked key, cut by block."""
+    out, at = [], 0
+    for a in asked:
+        out.append(pack(np.packbits(bits[at:at + len(a[0])]), np.array([len(a[0])])))
+        at += len(a[0])
+    return out
+
+
+def bits(replies) -> np.ndarray:
+    """The bits of all shards in the order of the block's sorted keys."""
+    parts = [unpack(r) for r in replies]
+    return np.concatenate([np.unpackbits(p[0], count=int(p[1][0])) for p in parts] or [np.zeros(0, np.uint8)]) \
+        .astype(bool)
+
+
+def ask_shared(block: Block, keys: np.ndarray, several: np.ndarray, shards: int) -> list[tuple]:
+    """Entries for distinct sorted 64-bit keys; ``several``: the block holds the key twice itself."""
+    return rows_by_shard(block.number, shard_of(keys, shards),
+                         lambda a, b: pack(keys[a:b], np.packbits(several[a:b])))
+
+
+def answer_shared(datas):
+    """Reply to :func:`ask_shared`: whether a key occurs in several blocks or several times in one."""
+    asked = [unpack(d) for d in datas]
+    keys = np.concatenate([a[0] for a in asked])
+    several = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for a in asked])
+    u, inv, n = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = (n > 1) | (np.bincount(inv, weights=several, minlength=len(u)) > 0)
+    return bit_replies(shared[inv], asked), len(keys), len(u)
+
+
 def tell(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(block, [reply of each shard, in order]) -> pa.Table`` for each block."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -48,6 +48,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.jaccard_join import component_ids
+    return component_ids(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.substring_dedup import dedup_substrings
     out = dedup_substrings(table(spark, sf_dir, "documents"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -60,32 +60,7 @@ def _ask_anchors(block, shards, length, gram):
     np.minimum.at(low, inv, doc)
     np.maximum.at(high, inv, doc)
     several = low != high
-    return B.rows_by_shard(block.number, B.shard_of(u, shards),
-                           lambda a, b: B.pack(u[a:b], np.packbits(several[a:b])))
-
-
-def _answer_anchors(datas):
-    asked = [B.unpack(d) for d in datas]
-    keys = np.concatenate([a[0] for a in asked])
-    several = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for a in asked])
-    u, inv, n = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = (n > 1) | (np.bincount(inv, weights=several, minlength=len(u)) > 0)
-    bits = shared[inv]
-    return _cut(bits, asked), len(keys), len(u)
-
-
-def _cut(bits, asked):
-    out, at = [], 0
-    for a in asked:
-        out.append(B.pack(np.packbits(bits[at:at + len(a[0])]), np.array([len(a[0])])))
-        at += len(a[0])
-    return out
-
-
-def _bits(replies) -> np.ndarray:
-    parts = [B.unpack(r) for r in replies]
-    return np.concatenate([np.unpackbits(p[0], count=int(p[1][0])) for p in parts] or [np.zeros(0, np.uint8)]) \
-        .astype(bool)
+    return B.ask_shared(block, u, several, shards)
 
 
 def _windows(block, shared, length, gram):
@@ -109,7 +84,7 @@ def _windows(block, shared, length, gram):
 
 
 def _ask_windows(block, replies, shards, length, gram):
-    _, _, f1, f2, low = _windows(block, _bits(replies), length, gram)
+    _, _, f1, f2, low = _windows(block, B.bits(replies), length, gram)
     return B.rows_by_shard(block.number, B.shard_of(f1, shards), lambda a, b: B.pack(f1[a:b], f2[a:b], low[a:b]))
 
 
@@ -122,12 +97,12 @@ def _answer_windows(datas):
     first = low[order][new][np.cumsum(new) - 1]
     smaller = np.empty(len(f1), bool)
     smaller[order] = first < low[order]
-    return _cut(smaller, asked), len(f1), int(new.sum())
+    return B.bit_replies(smaller, asked), len(f1), int(new.sum())
 
 
 def _spans(block, anchor_replies, window_replies, length, gram) -> pa.Table:
-    s, group, _, _, low = _windows(block, _bits(anchor_replies), length, gram)
-    smaller = _bits(window_replies)
+    s, group, _, _, low = _windows(block, B.bits(anchor_replies), length, gram)
+    smaller = B.bits(window_replies)
     total = int(block.start[-1])
     if len(s):
         s = s[smaller[group] | (block.doc[block.row_of()[s]] > low[group])]
@@ -159,7 +134,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("1 <= gram <= length is needed")
     blocks = B.token_blocks(docs, id_col, text_col, lower=False)
     shards = B.shard_count(blocks)
-    seeds = B.answer(B.ask(blocks, lambda b: _ask_anchors(b, shards, length, gram)), _answer_anchors)
+    seeds = B.answer(B.ask(blocks, lambda b: _ask_anchors(b, shards, length, gram)), B.answer_shared)
     found = B.answer(B.ask_again(blocks, seeds, lambda b, r: _ask_windows(b, r, shards, length, gram)),
                      _answer_windows)
     return B.tell_both(blocks, seeds, found, lambda b, x, y: _spans(b, x, y, length, gram), SCHEMA)
