@@ -40,6 +40,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii_surrogates import replace_entities
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"),
+                      F.transform("entities", lambda e: F.concat(e["kind"], F.lit(":"), e["surrogate"]))
+                      .alias("entities"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.decontaminate import find_hits
     out = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,6 +88,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
