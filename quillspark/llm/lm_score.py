@@ -161,8 +161,8 @@ class _Bigrams:
         key = B.mix(self.word_id[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sub.astype(np.uint64))
         shard = B.shard_of(key, shards)
         wid = np.where(w >= 0, self.word_id[w], -2)
-        order = np.lexsort((wid, sub, self.word_id[v], shard))
-        self.v, self.w, self.n, self.shard, self.sub = v[order], w[order], n[order], shard[order], sub[order]
+        order = np.lexsort((wid, self.word_id[v], shard))
+        self.v, self.w, self.n, self.shard = v[order], w[order], n[order], shard[order]
         self.wid = wid[order]
         real = order < len(pair)
         self.place = np.empty(len(pair), np.int64)
@@ -170,8 +170,8 @@ class _Bigrams:
         self.inv = inv
 
     def part(self, a: int, b: int) -> bytes:
-        v, sub = self.v[a:b], self.sub[a:b]
-        new = np.concatenate([[True], (v[1:] != v[:-1]) | (sub[1:] != sub[:-1])])
+        v = self.v[a:b]
+        new = np.concatenate([[True], v[1:] != v[:-1]])
         first = np.flatnonzero(new)
         per = np.diff(np.concatenate([first, [b - a]]))
         return B.pack(self.word_id[v[first]], self.count[v[first]], per.astype(np.int32), self.wid[a:b],
@@ -214,7 +214,8 @@ def _score(block, word_replies, bigram_replies, shards, share, n_all, v_all, dis
     parts = [B.unpack(r) for r in bigram_replies]
     code = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint16)])
     kinds_part = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-    new = np.concatenate([[True], (g.v[1:] != g.v[:-1]) | (g.sub[1:] != g.sub[:-1]) | (g.shard[1:] != g.shard[:-1])])
+    # parts of a split context that share a shard are one context there
+    new = np.concatenate([[True], (g.v[1:] != g.v[:-1]) | (g.shard[1:] != g.shard[:-1])])
     kinds = np.zeros(len(g.count), np.int64)
     np.add.at(kinds, g.v[new], kinds_part)
     p_word = (g.count + 0.5) / (n_all + 0.5 * (v_all + 1))
