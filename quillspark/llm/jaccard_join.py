@@ -11,13 +11,14 @@ point with a whole subtree and then with each point, and pairs that stay are ver
 
 Only components are wanted, so links inside a component are not spelled out:
 
-1. every node goes, with its shingles, to its most frequent prefix shingle, in chunks of bounded size; pairs are verified
-   there unless both ends are already linked;
-2. some nodes of each component meet again where a prefix shingle still sees several components;
-3. **exactly**: all pairs of nodes of different components that share a prefix shingle go through
+1. nodes without a partner that passes the bound leave, before any shingle set is moved;
+2. every other node goes, with its shingles, to its most frequent prefix shingle, in chunks of bounded size; pairs are
+   verified there unless both ends are already linked;
+3. some nodes of each component meet again where a prefix shingle still sees several components;
+4. **exactly**: all pairs of nodes of different components that share a prefix shingle go through
    the R-trees (large groups in pairs of parts) and the surviving pairs are verified.
 
-Steps 1 and 2 only save work; no link between different texts is lost, whatever the group sizes.
+Steps 2 and 3 only save work; no link between different texts is lost, whatever the group sizes.
 
 Defined cases: texts without words have no shingles and link with nothing; with fewer than 5 words the whole sequence is the one
 shingle; repeated rows are equal sets; a null doc_id links as any row does but is never a component's id unless it is alone
@@ -37,7 +38,7 @@ from quillspark.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
-GROUPS = 64
+GROUPS, FULL = 64, 255
 CHUNK, PART, LEADERS = 1024, 2048, 8
 HOT_SHARE, HOT_ROWS = 200, 20        # a frequent shingle: in 1 of 200 documents; looked for from 20 rows of a block on
 SCHEMA = ("doc_id long, n_shingles long, node binary, tokens array<long>, vec binary, body binary")
@@ -106,13 +107,13 @@ def _describe(block, replies, k, frequent, percent) -> pa.Table:
             (B.mix(s.key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), B.mix(s.key * np.uint64(3) + np.uint64(1)))]
     node = np.stack([c[s.start[1:]] - c[s.start[:-1]] for c in sums], axis=1)
     group = (s.key >> np.uint64(7)) % np.uint64(GROUPS)
-    vec = np.bincount(s.row * GROUPS + group.astype(np.int64), minlength=len(s.n) * GROUPS).astype(np.int32)
-    vec = vec.reshape(-1, GROUPS)
+    vec = np.bincount(s.row * GROUPS + group.astype(np.int64), minlength=len(s.n) * GROUPS)
+    vec = np.minimum(vec, FULL).astype(np.uint8).reshape(-1, GROUPS)
     used = per > 0
     return pa.Table.from_arrays([
         pa.array(block.doc, mask=block.null), pa.array(s.n.astype(np.int64)),
         pa.array([x.tobytes() if n else None for x, n in zip(node, s.n, strict=True)], pa.binary()), tokens,
-        pa.array([B.pack(v) if x else None for v, x in zip(vec, used, strict=True)], pa.binary()),
+        pa.array([v.tobytes() if x else None for v, x in zip(vec, used, strict=True)], pa.binary()),
         pa.array([B.pack(s.key[a:b]) if x else None for a, b, x in
                   zip(s.start[:-1], s.start[1:], used, strict=True)], pa.binary())], schema=_OUT)
 
@@ -169,7 +170,29 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _vectors(table: pa.Table) -> np.ndarray:
-    return np.stack([B.unpack(v.as_py())[0] for v in table["vec"]])
+    """Count vectors; a full byte stands for any larger count, so it bounds nothing."""
+    vec = np.frombuffer(b"".join(v.as_py() for v in table["vec"]), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    vec[vec == FULL] = 1 << 20
+    return vec
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the two parts that meet, and whether a part meets itself."""
+    side = table["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    itself = bool((table["i"].to_numpy() == table["j"].to_numpy()).all())
+    return left, left if itself else right, itself
+
+
+def _active(table: pa.Table, percent: int) -> pa.Table:
+    """Nodes that the bound leaves a partner under this token."""
+    vec, size, rid = _vectors(table), table["n"].to_numpy(), table["rid"].to_numpy()
+    left, right, itself = _sides(table)
+    q, p = CountRTree(vec[right], size[right], percent).search(vec[left], size[left])
+    q, p = left[q], right[p]
+    used = np.unique(np.concatenate([q[q != p], p[q != p]]))
+    return pa.Table.from_arrays([table["token"].take(pa.array(used)).combine_chunks(), pa.array(rid[used])],
+                                names=["token", "rid"])
 
 
 def _join_group(table: pa.Table, percent: int) -> pa.Table:
@@ -205,16 +228,12 @@ def _join_group(table: pa.Table, percent: int) -> pa.Table:
 
 def _candidate_pairs(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of different components that the bound lets through: side 0 against side 1, or side 0 with itself."""
-    table = table.sort_by("rid")
     vec, size = _vectors(table), table["n"].to_numpy()
-    rid, label, side = table["rid"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    self_join = not len(right) and bool((table["i"].to_numpy() == table["j"].to_numpy()).all())
-    if self_join:
-        right = left
+    rid, label = table["rid"].to_numpy(), table["label"].to_numpy()
+    left, right, itself = _sides(table)
     q, p = CountRTree(vec[right], size[right], percent).search(vec[left], size[left])
     q, p = left[q], right[p]
-    ok = (label[q] != label[p]) & (~self_join | (q < p))
+    ok = (label[q] != label[p]) & ((q < p) if itself else True)
     a, b = rid[q[ok]], rid[p[ok]]
     return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINK)
 
@@ -246,39 +265,41 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     B.release(spark)
     open_rows = rows.filter(F.size("tokens") > 0)
     nodes = B.keep(open_rows.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low")))
-    links = _links(open_rows, nodes, percent)
-    labels = connected_components(links) if links is not None else None
-    member = nodes.select("node", "rid", "low")
-    if labels is not None:
-        member = member.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-    else:
-        member = member.withColumn("label", F.lit(None).cast("long"))
-    member = member.withColumn("label", F.coalesce("label", "rid"))
+    labels = connected_components(_links(open_rows, nodes, percent)).withColumnRenamed("node", "rid")
+    member = nodes.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     lowest = member.groupBy("label").agg(F.min("low").alias("component_id"))
     member = member.join(lowest, "label").select("node", "component_id")
     return rows.select("doc_id", "n_shingles", "node").join(member, "node", "left").select(
         "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+def _links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between nodes that give their components."""
-    own = rows.join(nodes.select("rid"), "rid", "left_semi")
-    bodies = own.select("rid", F.col("n_shingles").alias("n"), "vec", "body")
-    tokens = own.select("rid", F.explode("tokens").alias("token"))
-    size = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    tokens = B.keep(tokens.join(size, "token"))
+    spark = rows.sparkSession
+    light = rows.select("rid", F.col("n_shingles").alias("n"), "vec", "tokens").join(
+        nodes.select("rid"), "rid", "left_semi")
+    tokens = light.select("rid", F.explode("tokens").alias("token"))
+    vectors = light.select("rid", "n", "vec")
+    # under each token, nodes that the bound leaves a partner: pairs that it cuts need no shingles
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token")
+    near = _parts(shared, vectors).groupBy("token", "i", "j").applyInArrow(
+        lambda t: _active(t, percent), "token long, rid long").distinct()
+    tokens = B.keep(near.join(near.groupBy("token").agg(F.count("*").alias("m")), "token"))
+    bodies = B.keep(rows.select("rid", F.col("n_shingles").alias("n"), "vec", "body").join(
+        tokens.select("rid").distinct(), "rid", "left_semi"))
+    del light, vectors, shared, near
+    B.release(spark)
     one = tokens.withColumn("label", F.col("rid"))
     chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / CHUNK))
     first = _tie(one.withColumn("chunk", chunk), bodies, percent)
-    labels = connected_components(first)
-    again = _open_tokens(tokens, labels)
+    again = _open_tokens(tokens, connected_components(first))
     pick = Window.partitionBy("token", "label").orderBy(F.xxhash64("rid", "token"), "rid")
     few = again.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= LEADERS)
     second = _tie(few.withColumn("chunk", F.lit(0).cast("long")).drop("k"), bodies, percent, bound=True)
     both = B.keep(first.unionByName(second))
-    labels = connected_components(both)
-    rest = _open_tokens(tokens, labels)
-    pairs = B.keep(_pairs(rest, bodies.select("rid", "n", "vec"), percent))
+    rest = _open_tokens(tokens, connected_components(both))
+    pairs = B.keep(_parts(rest, bodies.select("rid", "n", "vec")).groupBy("token", "i", "j").applyInArrow(
+        lambda t: _candidate_pairs(t, percent), "a long, b long").distinct())
     one = bodies.select(F.col("rid").alias("a"), F.col("body").alias("x"))
     two = bodies.select(F.col("rid").alias("b"), F.col("body").alias("y"))
     found = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(
@@ -307,15 +328,14 @@ def _open_tokens(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     return B.keep(full.join(several, "token", "left_semi").select("token", "rid", "m", "label"))
 
 
-def _pairs(rows: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components under one token that pass the R-tree bound; large tokens in pairs of parts."""
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    full = rows.join(vectors, "rid").withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("rid"), "parts").cast("int"))
-    # part p meets every part: as side 0 of (p, j >= p), as side 1 of (i < p, p)
+def _parts(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows of each token with their vectors, large tokens cut into parts of which every two meet once.
+
+    Part p is side 0 of (p, j) for j >= p and side 1 of (i, p) for i < p; m is the number of nodes under the token.
+    """
+    cut = rows.withColumn("parts", F.ceil(F.col("m") / PART).cast("int")).withColumn(
+        "part", F.pmod(F.xxhash64("rid"), "parts").cast("int")).drop("m")
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
         F.least("part", o).alias("i"), F.greatest("part", o).alias("j"), (o < F.col("part")).cast("int").alias("side")))
-    spread = full.select("token", "rid", "n", "vec", "label", F.explode(meet).alias("at")).select(
-        "token", "rid", "n", "vec", "label", "at.*")
-    return spread.groupBy("token", "i", "j").applyInArrow(lambda t: _candidate_pairs(t, percent), "a long, b long") \
-        .distinct()
+    return cut.join(vectors, "rid").select("*", F.explode(meet).alias("at")).select("*", "at.*").drop(
+        "at", "parts", "part")
