@@ -2,23 +2,27 @@
 
 A document is the set of its distinct 5-word shingles; two link when 100 * intersection >= 75 * union.
 
-Equal sets are one node from the start.  Linked sets share a shingle among the first
-``n - ceil(0.75 n) + 1`` of each in any common order; the order puts frequent shingles last, so that a line or passage which
-many documents share hardly ever makes candidates.  Shingles of these prefixes that occur
-in one document only are dropped by a block round.  Within a prefix shingle's nodes, shingles are hashed
-into ``GROUPS`` groups and the group counts are points of an R-tree: the sum of coordinate minima bounds the overlap of a
-point with a whole subtree and then with each point, and pairs that stay are verified on the shingles.
+Equal sets are one node from the start.  Linked sets share shingles among the first ``p(n) = n - ceil(0.75 n) + 1`` of
+each in any common order, and at least ``wanted + min(p(x) - x, p(y) - y)`` of them, where ``wanted`` is the overlap that their
+sizes x and y ask for: sets of like size share a tenth of their shingles there.  The order puts frequent shingles last, so
+that a line or passage which many documents share hardly ever makes candidates.  Prefix shingles that occur
+in one document only are dropped by a block round.
 
-Only components are wanted, so links inside a component are not spelled out:
+* Under a shingle of up to ``SMALL`` nodes, pairs are counted: a pair's common prefix shingles, by a join and a sum.
+* Under a larger one, shingles are hashed into ``GROUPS`` groups and the group counts are points of an R-tree: the sum of
+  coordinate minima bounds the overlap of a point with a whole subtree and then with each point.
 
-1. nodes without a partner that passes the bound leave, before any shingle set is moved;
-2. every other node goes, with its shingles, to its most frequent prefix shingle, in chunks of bounded size; pairs are
-   verified there unless both ends are already linked;
-3. some nodes of each component meet again where a prefix shingle still sees several components;
-4. **exactly**: all pairs of nodes of different components that share a prefix shingle go through
-   the R-trees (large groups in pairs of parts) and the surviving pairs are verified.
+Pairs that stay are verified on the shingles, which are fetched for their nodes alone.
 
-Steps 2 and 3 only save work; no link between different texts is lost, whatever the group sizes.
+Only components are wanted, so links inside a component are not spelled out.  Nodes under large shingles
+
+1. go, with their shingles, to their most frequent large shingle, in chunks of bounded size, where pairs are verified unless
+   both ends are already linked;
+2. meet again, some of each component, where a large shingle still sees several components;
+3. and then **exactly**: all pairs of different components under a large shingle (in pairs of parts) that the R-tree
+   bound lets through are verified.
+
+Steps 1 and 2 only save work; no link between different texts is lost, whatever the group sizes.
 
 Defined cases: texts without words have no shingles and link with nothing; with fewer than 5 words the whole sequence is the one
 shingle; repeated rows are equal sets; a null doc_id links as any row does but is never a component's id unless it is alone
@@ -39,11 +43,12 @@ from quillspark.llm.components import connected_components
 SHINGLE = 5
 PERCENT = 75
 GROUPS, FULL = 64, 255
-CHUNK, PART, LEADERS = 1024, 2048, 8
+SMALL, CHUNK, PART, LEADERS = 64, 1024, 2048, 8
 HOT_SHARE, HOT_ROWS = 200, 20        # a frequent shingle: in 1 of 200 documents; looked for from 20 rows of a block on
-SCHEMA = ("doc_id long, n_shingles long, node binary, tokens array<long>, vec binary, body binary")
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()),
-                  ("tokens", pa.list_(pa.int64())), ("vec", pa.binary()), ("body", pa.binary())])
+SCHEMA = "block long, row int, doc_id long, n_shingles long, node binary, tokens array<long>, vec binary"
+_OUT = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
+                  ("node", pa.binary()), ("tokens", pa.list_(pa.int64())), ("vec", pa.binary())])
+_BODY = pa.schema([("rid", pa.int64()), ("body", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -111,11 +116,21 @@ def _describe(block, replies, k, frequent, percent) -> pa.Table:
     vec = np.minimum(vec, FULL).astype(np.uint8).reshape(-1, GROUPS)
     used = per > 0
     return pa.Table.from_arrays([
+        pa.array(np.full(len(s.n), block.number)), pa.array(np.arange(len(s.n), dtype=np.int32)),
         pa.array(block.doc, mask=block.null), pa.array(s.n.astype(np.int64)),
         pa.array([x.tobytes() if n else None for x, n in zip(node, s.n, strict=True)], pa.binary()), tokens,
-        pa.array([v.tobytes() if x else None for v, x in zip(vec, used, strict=True)], pa.binary()),
-        pa.array([B.pack(s.key[a:b]) if x else None for a, b, x in
-                  zip(s.start[:-1], s.start[1:], used, strict=True)], pa.binary())], schema=_OUT)
+        pa.array([v.tobytes() if x else None for v, x in zip(vec, used, strict=True)], pa.binary())], schema=_OUT)
+
+
+def _bodies(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rid, body): the shingles of wanted rows (rid, block, row), computed where the block is."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_pylist([], _BODY)
+        s = Sets(B.Block(left), k)
+        return pa.Table.from_arrays([right["rid"].combine_chunks(), pa.array(
+            [B.pack(s.key[s.start[r]:s.start[r + 1]]) for r in right["row"].to_pylist()], pa.binary())], schema=_BODY)
+    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, "rid long, body binary")
 
 
 # --- R-tree ----------------------------------------------------------------------------------
@@ -184,13 +199,22 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return left, left if itself else right, itself
 
 
-def _active(table: pa.Table, percent: int) -> pa.Table:
-    """Nodes that the bound leaves a partner under this token."""
-    vec, size, rid = _vectors(table), table["n"].to_numpy(), table["rid"].to_numpy()
+def _near(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that the R-tree bound and the count of prefix shingles leave, each once."""
+    vec, size, many = _vectors(table), table["n"].to_numpy(), table["many"].to_numpy()
     left, right, itself = _sides(table)
     q, p = CountRTree(vec[right], size[right], percent).search(vec[left], size[left])
     q, p = left[q], right[p]
-    used = np.unique(np.concatenate([q[q != p], p[q != p]]))
+    spare = -(-percent * size // 100) - 1                       # size - prefix length
+    wanted = -(-percent * (size[q] + size[p]) // (100 + percent)) - np.maximum(spare[q], spare[p])
+    ok = (np.minimum(many[q], many[p]) >= wanted) & ((q < p) if itself else True)
+    return q[ok], p[ok]
+
+
+def _active(table: pa.Table, percent: int) -> pa.Table:
+    """Nodes that the bounds leave a partner under this token."""
+    rid = table["rid"].to_numpy()
+    used = np.unique(np.concatenate(_near(table, percent)))
     return pa.Table.from_arrays([table["token"].take(pa.array(used)).combine_chunks(), pa.array(rid[used])],
                                 names=["token", "rid"])
 
@@ -228,12 +252,9 @@ def _join_group(table: pa.Table, percent: int) -> pa.Table:
 
 def _candidate_pairs(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of different components that the bound lets through: side 0 against side 1, or side 0 with itself."""
-    vec, size = _vectors(table), table["n"].to_numpy()
     rid, label = table["rid"].to_numpy(), table["label"].to_numpy()
-    left, right, itself = _sides(table)
-    q, p = CountRTree(vec[right], size[right], percent).search(vec[left], size[left])
-    q, p = left[q], right[p]
-    ok = (label[q] != label[p]) & ((q < p) if itself else True)
+    q, p = _near(table, percent)
+    ok = label[q] != label[p]
     a, b = rid[q[ok]], rid[p[ok]]
     return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINK)
 
@@ -261,11 +282,11 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                       B.answer_shared)
     rows = B.keep(B.tell(blocks, shared, lambda b, r: _describe(b, r, shingle, frequent.value, percent), SCHEMA)
                   .withColumn("rid", F.monotonically_increasing_id()))
-    del blocks, shared
+    del shared
     B.release(spark)
     open_rows = rows.filter(F.size("tokens") > 0)
     nodes = B.keep(open_rows.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low")))
-    labels = connected_components(_links(open_rows, nodes, percent)).withColumnRenamed("node", "rid")
+    labels = connected_components(_links(blocks, open_rows, nodes, shingle, percent)).withColumnRenamed("node", "rid")
     member = nodes.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     lowest = member.groupBy("label").agg(F.min("low").alias("component_id"))
     member = member.join(lowest, "label").select("node", "component_id")
@@ -273,43 +294,71 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _wanted(a: str, b: str, percent: int):
+    """Prefix shingles that linked sets of these sizes share at least."""
+    spare = [F.ceil(F.col(n) * percent / 100) - 1 for n in (a, b)]          # size - prefix length
+    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent)) - F.greatest(*spare)
+
+
+def _links(blocks: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Verified links (a, b) between nodes that give their components."""
     spark = rows.sparkSession
-    light = rows.select("rid", F.col("n_shingles").alias("n"), "vec", "tokens").join(
+    light = rows.select("rid", "block", "row", F.col("n_shingles").alias("n"), "vec", "tokens").join(
         nodes.select("rid"), "rid", "left_semi")
-    tokens = light.select("rid", F.explode("tokens").alias("token"))
-    vectors = light.select("rid", "n", "vec")
-    # under each token, nodes that the bound leaves a partner: pairs that it cuts need no shingles
-    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token")
-    near = _parts(shared, vectors).groupBy("token", "i", "j").applyInArrow(
+    tokens = light.select("rid", "n", F.explode("tokens").alias("token"))
+    tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token")
+    tokens = B.keep(tokens)
+    large = tokens.filter(F.col("m") > SMALL)
+    many = large.groupBy("rid").agg(F.count("*").cast("int").alias("many"))   # a node's large prefix shingles
+    small = tokens.filter(F.col("m") <= SMALL).join(many, "rid", "left").select(
+        "token", "rid", "n", F.coalesce("many", F.lit(0)).alias("many"))
+    x, y = (small.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rid", "n", "many")]) for k in "ab")
+    ratio = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    counted = x.join(y, "token").filter(F.col("rid_a") < F.col("rid_b")).filter(ratio).groupBy("rid_a", "rid_b").agg(
+        F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "many_a", "many_b")])
+    pairs = B.keep(counted.filter(F.col("common") + F.least("many_a", "many_b") >= _wanted("n_a", "n_b", percent))
+                   .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")))
+    vectors = light.select("rid", "vec").join(many, "rid")
+    near = _parts(large, vectors).groupBy("token", "i", "j").applyInArrow(
         lambda t: _active(t, percent), "token long, rid long").distinct()
-    tokens = B.keep(near.join(near.groupBy("token").agg(F.count("*").alias("m")), "token"))
-    bodies = B.keep(rows.select("rid", F.col("n_shingles").alias("n"), "vec", "body").join(
-        tokens.select("rid").distinct(), "rid", "left_semi"))
-    del light, vectors, shared, near
+    near = B.keep(near.join(near.groupBy("token").agg(F.count("*").alias("m")), "token"))
+    used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(near.select("rid")).distinct()
+    wanted = light.join(used, "rid", "left_semi")
+    bodies = B.keep(_bodies(blocks, wanted.select("rid", "block", "row"), shingle)
+                    .join(wanted.select("rid", "n", "vec"), "rid"))
+    vectors = B.keep(vectors.join(near.select("rid").distinct(), "rid", "left_semi"))
+    sizes = bodies.select("rid", "n")
+    near = near.join(sizes, "rid")
+    del light, tokens, large, small, counted, wanted
     B.release(spark)
-    one = tokens.withColumn("label", F.col("rid"))
+    links = _verified(pairs, bodies, percent)
+    if near.limit(1).count() == 0:
+        return links
     chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / CHUNK))
-    first = _tie(one.withColumn("chunk", chunk), bodies, percent)
-    again = _open_tokens(tokens, connected_components(first))
+    first = _tie(_open_tokens(near, connected_components(links)).withColumn("chunk", chunk), bodies, percent)
+    links = B.keep(links.unionByName(first))
+    again = _open_tokens(near, connected_components(links))
     pick = Window.partitionBy("token", "label").orderBy(F.xxhash64("rid", "token"), "rid")
     few = again.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= LEADERS)
     second = _tie(few.withColumn("chunk", F.lit(0).cast("long")).drop("k"), bodies, percent, bound=True)
-    both = B.keep(first.unionByName(second))
-    rest = _open_tokens(tokens, connected_components(both))
-    pairs = B.keep(_parts(rest, bodies.select("rid", "n", "vec")).groupBy("token", "i", "j").applyInArrow(
+    links = B.keep(links.unionByName(second))
+    rest = _open_tokens(near, connected_components(links))
+    pairs = B.keep(_parts(rest, vectors).groupBy("token", "i", "j").applyInArrow(
         lambda t: _candidate_pairs(t, percent), "a long, b long").distinct())
+    return links.unionByName(_verified(pairs, bodies, percent))
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     one = bodies.select(F.col("rid").alias("a"), F.col("body").alias("x"))
     two = bodies.select(F.col("rid").alias("b"), F.col("body").alias("y"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(
-        lambda it: _verify(it, percent), "a long, b long")
-    return both.unionByName(B.keep(found))
+    return B.keep(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(
+        lambda it: _verify(it, percent), "a long, b long"))
 
 
 def _tie(rows: DataFrame, bodies: DataFrame, percent: int, bound: bool = False) -> DataFrame:
     """Links found where each node goes once: to its most frequent token, in chunks."""
-    best = rows.groupBy("rid").agg(F.max(F.struct("m", "token", "chunk", "label")).alias("t")).select("rid", "t.*")
+    best = rows.select("rid", "m", "token", "chunk", "label").groupBy("rid").agg(
+        F.max(F.struct("m", "token", "chunk", "label")).alias("t")).select("rid", "t.*")
     if bound:
         many = best.groupBy("token").agg(F.count("*").alias("in_token"))
         best = best.join(many, "token").withColumn(
@@ -325,7 +374,7 @@ def _open_tokens(tokens: DataFrame, labels: DataFrame) -> DataFrame:
         "label", F.coalesce("label", "rid"))
     several = full.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")) \
         .filter("l0 <> l1").select("token")
-    return B.keep(full.join(several, "token", "left_semi").select("token", "rid", "m", "label"))
+    return B.keep(full.join(several, "token", "left_semi").select("token", "rid", "n", "m", "label"))
 
 
 def _parts(rows: DataFrame, vectors: DataFrame) -> DataFrame:
