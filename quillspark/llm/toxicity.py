@@ -37,6 +37,7 @@ FOLDS, HELD_FOLD = 3, 1
 THRESHOLD = 0.7
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 MIN_LLR, MIN_STEM_LLR, STEM = 20.0, 40.0, (4, 5, 6, 7, 8)
+STEM_WORDS = 3                 # words of toxic texts that a beginning must stand for
 MAX_LEXICON = 20_000
 SCHEMA = "doc_id long, score double"
 
@@ -190,21 +191,35 @@ def _llr(n1, n0, all1, all0):
     return ratio if n1 / all1 > n0 / all0 else -ratio
 
 
+def _beginnings(words: Column, k: int) -> Column:
+    """``k:<first k letters>`` of every word that long."""
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= k),
+                                        lambda w: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))))
+
+
 def count_words(sample: DataFrame) -> tuple[dict, list]:
     """Documents by (toxic, half), and those of every word or beginning that leans to toxic texts."""
     n = {(r["toxic"], r["half"]): r["n"] for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     all1, all0 = (sum(n.get((k, h), 0) for h in (0, 1)) for k in (1, 0))
     low = F.lower(F.coalesce("text", F.lit("")))
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0))
-    stems = [F.array_distinct(F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k),
-                                          lambda w, k=k: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k)))) for k in STEM]
+    # (a lambda's second parameter would be the index, so the length is bound by a function)
+    stems = [_beginnings(words, k) for k in STEM]
     each = sample.select("toxic", "half", F.explode(F.concat(words, *stems)).alias("w"))
     cells = [F.count(F.when((F.col("toxic") == k) & (F.col("half") == h), 1)).alias(f"n{k}{h}")
              for k in (0, 1) for h in (0, 1)]
     one, zero = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
-    rows = each.groupBy("w").agg(*cells).filter((one >= 3) & (one * all0 > 4 * zero * all1)) \
-        .orderBy(F.desc(one / (zero + 1)), "w").limit(MAX_LEXICON).collect()
-    return n, rows
+    rows = each.groupBy("w").agg(*cells).filter((one >= 3) & (one * all0 > 4 * zero * all1))
+    # in how many contexts (words before it) toxic texts use a word: copies of one text have few, however many they are
+    toks = sample.filter("toxic = 1").select(F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0).alias("t"))
+    pairs = toks.select(F.explode(F.transform("t", lambda w, i: F.struct(
+        w.alias("word"), F.get("t", i - 1).alias("before")))).alias("p")).select("p.*").distinct()
+    starts = [F.when(F.length("word") >= k, F.concat(F.lit(f"{k}:"), F.substring("word", 1, k))) for k in STEM]
+    spread = pairs.select("word", F.explode(F.array("word", *starts)).alias("w")).filter("w IS NOT NULL")
+    uses = spread.groupBy("w", "word").agg(F.count("*").alias("c")).groupBy("w").agg(
+        F.sum("c").alias("contexts"), F.count("*").alias("words"))
+    rows = rows.join(uses, "w").filter(2 * F.col("contexts") >= one)
+    return n, rows.orderBy(F.desc(one / (zero + 1)), "w").limit(MAX_LEXICON).collect()
 
 
 def pick_lexicon(counts: tuple[dict, list], halves: tuple[int, ...], weight: dict[int, float]) -> Lexicon:
@@ -217,9 +232,9 @@ def pick_lexicon(counts: tuple[dict, list], halves: tuple[int, ...], weight: dic
         ratio = _llr(n1, n0, all1, all0)
         p = (n1 * weight[1]) / ((n1 + 0.5) * weight[1] + (n0 + 0.5) * weight[0])
         name = r["w"].split(":")[-1]
-        if ":" in r["w"] and ratio >= MIN_STEM_LLR and p > 0.7:
+        if ":" in r["w"] and ratio >= MIN_STEM_LLR and p > 0.9 and r["words"] >= STEM_WORDS:
             stem[name] = p
-        elif ":" not in r["w"] and ratio >= MIN_LLR:
+        elif ":" not in r["w"] and ratio >= MIN_LLR and p > 0.8:
             found[name] = p
     return Lexicon(found, stem)
 
@@ -228,15 +243,22 @@ def fit_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     """Weighted logistic regression with a Gaussian prior at the grammar's weights (Newton's method)."""
     x = np.hstack([x, np.ones((len(x), 1))])
     prior = np.concatenate([PRIOR, [PRIOR_BIAS]])
-    strength = np.concatenate([np.full(FEATURES, 0.5), [1e-3]])
+    strength = np.concatenate([np.full(FEATURES, 0.5), [0.01]])
+
+    def loss(b):
+        z = x @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (strength * (b - prior) ** 2).sum())
     beta = prior.copy()
-    for _ in range(50 if len(x) else 0):
+    for _ in range(100 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (w * (p - y)) + strength * (beta - prior)
         hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(strength)
-        step = np.linalg.solve(hess, grad)
-        beta -= step
-        if np.abs(step).max() < 1e-8:
+        step, size = np.linalg.solve(hess, grad), 1.0
+        # the step is halved until the loss falls: a full one can overshoot where p is near 0 or 1
+        while loss(beta - size * step) > loss(beta) and size > 1e-10:
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return beta[:-1], float(beta[-1])
 
