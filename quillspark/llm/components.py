@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspark.llm._blocks import keep
@@ -24,8 +24,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, labels["node"] == near["a"]).select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        moved = keep(lower.join(jump, lower["label"] == jump["at"], "left").select(
-            "node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        seen = Observation()
+        moved = lower.join(jump, lower["label"] == jump["at"], "left").select(
+            "node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
+        moved = keep(moved.observe(seen, F.sum((F.col("label") != F.col("old")).cast("long")).alias("moved")))
         labels = moved.select("node", "label")
-        if moved.filter("label <> old").limit(1).count() == 0:
+        if not seen.get["moved"]:
             return labels

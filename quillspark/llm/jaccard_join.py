@@ -43,7 +43,7 @@ from quillspark.llm.components import connected_components
 SHINGLE = 5
 PERCENT = 75
 GROUPS, FULL = 64, 255
-SMALL, CHUNK, PART, LEADERS = 64, 1024, 2048, 8
+SMALL, CHUNK, PART, LEADERS = 64, 8192, 2048, 8
 HOT_SHARE, HOT_ROWS = 200, 20        # a frequent shingle: in 1 of 200 documents; looked for from 20 rows of a block on
 SCHEMA = "block long, row int, doc_id long, n_shingles long, node binary, tokens array<long>, vec binary"
 _OUT = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
@@ -233,8 +233,7 @@ def _join_group(table: pa.Table, percent: int) -> pa.Table:
         return i
     if len(parent) == 1:
         return pa.Table.from_pylist([], _LINK)
-    q, p = CountRTree(vec, size, percent).search(vec, size)
-    ahead = (q < p) & (root[q] != root[p])
+    tree = CountRTree(vec, size, percent)
     bodies: dict[int, np.ndarray] = {}
 
     def body(i):
@@ -242,11 +241,16 @@ def _join_group(table: pa.Table, percent: int) -> pa.Table:
             bodies[i] = B.unpack(table["body"][i].as_py())[0]
         return bodies[i]
     links = []
-    for i, j in zip(q[ahead].tolist(), p[ahead].tolist(), strict=True):
-        a, b = find(root[i]), find(root[j])
-        if a != b and linked(body(i), body(j), percent):
-            parent[max(a, b)] = min(a, b)
-            links.append((int(rid[i]), int(rid[j])))
+    for at in range(0, len(rid), 64):
+        q, p = tree.search(vec[at:at + 64], size[at:at + 64])
+        q = q + at
+        now = np.array([find(r) for r in range(len(parent))])[root]
+        ahead = (q < p) & (now[q] != now[p])
+        for i, j in zip(q[ahead].tolist(), p[ahead].tolist(), strict=True):
+            a, b = find(root[i]), find(root[j])
+            if a != b and linked(body(i), body(j), percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(rid[i]), int(rid[j])))
     return pa.Table.from_pylist([{"a": a, "b": b} for a, b in links], _LINK)
 
 
@@ -308,44 +312,54 @@ def _links(blocks: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, p
     tokens = light.select("rid", "n", F.explode("tokens").alias("token"))
     tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token")
     tokens = B.keep(tokens)
-    large = tokens.filter(F.col("m") > SMALL)
-    many = large.groupBy("rid").agg(F.count("*").cast("int").alias("many"))   # a node's large prefix shingles
-    small = tokens.filter(F.col("m") <= SMALL).join(many, "rid", "left").select(
-        "token", "rid", "n", F.coalesce("many", F.lit(0)).alias("many"))
-    x, y = (small.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rid", "n", "many")]) for k in "ab")
-    ratio = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    counted = x.join(y, "token").filter(F.col("rid_a") < F.col("rid_b")).filter(ratio).groupBy("rid_a", "rid_b").agg(
-        F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "many_a", "many_b")])
-    pairs = B.keep(counted.filter(F.col("common") + F.least("many_a", "many_b") >= _wanted("n_a", "n_b", percent))
-                   .select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")))
-    vectors = light.select("rid", "vec").join(many, "rid")
-    near = _parts(large, vectors).groupBy("token", "i", "j").applyInArrow(
+    B.release(spark)
+    many = B.keep(tokens.filter(F.col("m") > SMALL).groupBy("rid").agg(F.count("*").cast("int").alias("many")))
+    pairs = B.keep(_small_pairs(tokens.filter(F.col("m") <= SMALL).join(many, "rid", "left"), percent))
+    B.release(spark)
+    vectors = B.keep(light.select("rid", "vec").join(many, "rid"))
+    near = _parts(tokens.filter(F.col("m") > SMALL), vectors).groupBy("token", "i", "j").applyInArrow(
         lambda t: _active(t, percent), "token long, rid long").distinct()
     near = B.keep(near.join(near.groupBy("token").agg(F.count("*").alias("m")), "token"))
+    del tokens, many
+    B.release(spark)
     used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(near.select("rid")).distinct()
-    wanted = light.join(used, "rid", "left_semi")
+    wanted = B.keep(light.drop("tokens").join(used, "rid", "left_semi"))
     bodies = B.keep(_bodies(blocks, wanted.select("rid", "block", "row"), shingle)
                     .join(wanted.select("rid", "n", "vec"), "rid"))
-    vectors = B.keep(vectors.join(near.select("rid").distinct(), "rid", "left_semi"))
-    sizes = bodies.select("rid", "n")
-    near = near.join(sizes, "rid")
-    del light, tokens, large, small, counted, wanted
+    near = near.join(wanted.select("rid", "n"), "rid")
+    del light, used
     B.release(spark)
     links = _verified(pairs, bodies, percent)
-    if near.limit(1).count() == 0:
+    widest = near.agg(F.max("m")).first()[0]
+    if not widest:
         return links
     chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / CHUNK))
     first = _tie(_open_tokens(near, connected_components(links)).withColumn("chunk", chunk), bodies, percent)
-    links = B.keep(links.unionByName(first))
-    again = _open_tokens(near, connected_components(links))
-    pick = Window.partitionBy("token", "label").orderBy(F.xxhash64("rid", "token"), "rid")
-    few = again.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= LEADERS)
-    second = _tie(few.withColumn("chunk", F.lit(0).cast("long")).drop("k"), bodies, percent, bound=True)
-    links = B.keep(links.unionByName(second))
+    links = links.unionByName(first)
     rest = _open_tokens(near, connected_components(links))
-    pairs = B.keep(_parts(rest, vectors).groupBy("token", "i", "j").applyInArrow(
+    if widest > CHUNK:                     # else every large shingle was one chunk
+        pick = Window.partitionBy("token", "label").orderBy(F.xxhash64("rid", "token"), "rid")
+        few = rest.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= LEADERS)
+        links = links.unionByName(_tie(few.withColumn("chunk", F.lit(0).cast("long")).drop("k"), bodies, percent, bound=True))
+        rest = _open_tokens(near, connected_components(links))
+    last = B.keep(_parts(rest, vectors).groupBy("token", "i", "j").applyInArrow(
         lambda t: _candidate_pairs(t, percent), "a long, b long").distinct())
-    return links.unionByName(_verified(pairs, bodies, percent))
+    return links.unionByName(_verified(last, bodies, percent))
+
+
+def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes that share as many prefix shingles as linked sets of their sizes must.
+
+    Common small shingles are counted; of large ones no more can be common than either node has.
+    """
+    side = small.select("token", "rid", "n", F.coalesce("many", F.lit(0)).alias("many"))
+    x, y = (side.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rid", "n", "many")]) for k in "ab")
+    ratio = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    lacking = (_wanted("n_a", "n_b", percent) - F.least("many_a", "many_b")).cast("int")
+    pairs = x.join(y, "token").filter(F.col("rid_a") < F.col("rid_b")).filter(ratio).select(
+        F.col("rid_a").alias("a"), F.col("rid_b").alias("b"), lacking.alias("lacking"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("lacking").alias("lacking")) \
+        .filter("common >= lacking").select("a", "b")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
