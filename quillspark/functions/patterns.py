@@ -178,10 +178,7 @@ NAMED_ENTITIES = [
 UNKNOWN_COMPANY = "Unknown Company"
 UNKNOWN = "Unknown"
 DEFAULT_REGEX_DOC_TYPE = "10-K"
-FALLBACK_PREFIX_CHARS = 50000
 SUBSTANTIAL_CHARS = 200
-TRUNCATED_MAX_CHARS = 100000
-LONG_LINE_CHARS = 500
 HEADER_MIN_CHARS = 10
 RENDER_SIZE_GATE_BYTES = 10 * 1024 * 1024
 # ------------------------------------------------------------------------------

@@ -58,6 +58,12 @@ def squeeze_newlines_and_spaces(c: Column) -> Column:
     return rx_sub_if(c, ["  ", "\t"], P.SPACE_RUN, " ")
 
 
+def zero_fill(c: Column) -> Column:
+    """P1 on any integral/string column: ``str(x).zfill(10)`` (never truncates)."""
+    s = c.cast("string")
+    return F.when(F.length(s) >= 10, s).otherwise(F.lpad(s, 10, "0"))
+
+
 # ---------------------------------------------------------------------------
 # T9 SGML clean
 # ---------------------------------------------------------------------------
@@ -95,8 +101,7 @@ def _dropped_line(line: Column) -> Column:
     cond = F.lit(False)
     for prefix in P.DROPPED_LINE_PREFIXES:
         cond = cond | line.startswith(prefix)
-    cond = cond | line.rlike(P.TECHNICAL_LINE.java)
-    return cond | ((F.length(line) > P.LONG_LINE_CHARS) & ~line.rlike(P.SENTENCE_MARK.java))
+    return cond | line.rlike(P.TECHNICAL_LINE.java)
 
 
 def clean_section_text(c: Column, compat: bool = True) -> Column:
@@ -125,11 +130,63 @@ def clean_section_text(c: Column, compat: bool = True) -> Column:
 # ---------------------------------------------------------------------------
 # T12 / T13 HTML to text
 # ---------------------------------------------------------------------------
+#: A character reference: numeric, or a name with or without its semicolon.
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _named_references() -> tuple[list[str], list[str]]:
+    """Names of HTML 5 (the standard library's table), sorted, and their characters."""
+    from html.entities import html5
+    names = sorted(html5)
+    return names, [html5[n] for n in names]
+
+
+def _numeric_reference(ref: Column) -> Column:
+    """Character of ``#...`` as HTML 5 reads it: windows-1252 for 128-159, U+FFFD for what is no character."""
+    digits = F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1)
+    number = F.when(F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(digits, 16, 10)).otherwise(digits)
+    code = F.when(F.length(F.ltrim(number, F.lit("0"))) > 9, F.lit(0x110000)).otherwise(number.cast("long"))
+    legacy = F.array(*[F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)])
+    hexa = F.lpad(F.hex(code), 8, "0")
+    char = F.decode(F.unhex(hexa), "UTF-32")
+    dropped = ((code >= 1) & (code <= 8)) | ((code >= 0xE) & (code <= 0x1F)) | (code == 0xB) | (code == 0x7F) \
+        | ((code >= 0xFDD0) & (code <= 0xFDEF)) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+    return F.when((code == 0) | ((code >= 0xD800) & (code <= 0xDFFF)) | (code > 0x10FFFF), "\ufffd") \
+        .when((code >= 0x80) & (code <= 0x9F), F.element_at(legacy, (code - 0x7F).cast("int"))) \
+        .when(code == 0xD, "\r").when(dropped, "").otherwise(char)
+
+
+def _decode_reference(whole: Column, table: Column) -> Column:
+    """One reference (with its ``&``); an unknown name is tried by its longest known beginning, then left alone."""
+    keys, values = table["keys"], table["values"]
+    ref = F.substring(whole, F.lit(2), F.length(whole))
+
+    def named(r):
+        return let(F.array_position(keys, r).cast("int"), lambda at: F.when(at > 0, F.element_at(values, at)))
+
+    def beginning(r):
+        # longest first; two letters at least, as in the standard
+        sizes = F.when(F.length(r) > 2, F.sequence(F.length(r) - 1, F.lit(2), F.lit(-1)))
+        cut = F.filter(sizes, lambda n: F.array_contains(keys, F.substring(r, F.lit(1), n)))
+        return let(F.try_element_at(cut, F.lit(1)), lambda n: F.when(n.isNull(), F.concat(F.lit("&"), r)).otherwise(
+            F.concat(named(F.substring(r, F.lit(1), n)), F.substring(r, n + 1, F.length(r)))))
+    return let(ref, lambda r: F.when(F.startswith(r, F.lit("#")), _numeric_reference(r)).otherwise(
+        F.coalesce(named(r), beginning(r))))
+
+
 def decode_entities(c: Column) -> Column:
-    """Named/numeric entities of the fixed table, ``&amp;`` last (single-pass result)."""
-    for ent, ch in P.NAMED_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """All character references of HTML 5, each once (``html.unescape``)."""
+    # the table is bound once, as two constants
+    keys, values = (F.split(F.lit("\x01".join(x)), "\x01") for x in _named_references())
+    table = F.struct(keys.alias("keys"), values.alias("values"))
+
+    def decoded(x):
+        refs = let(table, lambda t: F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), 0),
+                                                lambda r: _decode_reference(r, t)))
+        parts = F.split(x, _REFERENCE, -1)
+        return F.concat(F.element_at(parts, 1), F.array_join(F.zip_with(
+            refs, F.slice(parts, F.lit(2), F.size(refs)), lambda r, p: F.concat(r, p)), ""))
+    return let(c, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 def strip_markup(c: Column) -> Column:
@@ -148,7 +205,7 @@ def text_lines(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """T12 on the JVM, entities from the fixed table (``documents.html_to_text`` offers all of them)."""
+    """Markup out, references decoded, lines and phrases."""
     return text_lines(decode_entities(strip_markup(c)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.patterns import UNKNOWN_COMPANY
-from ..plans.bridge import zero_fill
+from ..functions.text import zero_fill
 
 
 def dedup_companies(raw: DataFrame) -> DataFrame:
@@ -55,6 +55,9 @@ def unknown_tickers(requested: DataFrame, companies: DataFrame) -> DataFrame:
     return requested.join(companies.select("ticker"), "ticker", "left_anti")
 
 
+TERM_BYTES = 8 << 20
+
+
 def select_companies(companies: DataFrame, terms: Sequence[str], order_col: str = "first_pos") -> DataFrame:
     """J4 + W4: for each search term in order, the first company (in master order)
     whose lower-cased title contains it, never re-using a ticker.
@@ -72,8 +75,9 @@ def select_companies(companies: DataFrame, terms: Sequence[str], order_col: str
     if k == 0:
         return spark.createDataFrame([], "term_pos int, term string, ticker string, title string")
     term_df = spark.createDataFrame([(i, t.lower()) for i, t in enumerate(terms)], "term_pos int, term string")
-    # The term list is user input of fixed length: broadcasting it is bounded.
-    cand = companies.join(F.broadcast(term_df), F.lower("title").contains(F.col("term")))
+    # broadcast up to a checked size; beyond it the planner chooses
+    small_terms = sum(len(t.encode()) for t in terms) <= TERM_BYTES
+    cand = companies.join(F.broadcast(term_df) if small_terms else term_df, F.lower("title").contains(F.col("term")))
     w = Window.partitionBy("term_pos").orderBy(order_col, "ticker")
     cand = cand.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= k)
     cand = cand.where(F.col("cand_rank") <= F.col("term_pos") + 1)

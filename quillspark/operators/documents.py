@@ -54,9 +54,14 @@ def header_entries(content: Column) -> Column:
     entries = F.transform(lines, lambda l: F.struct(
         T.strip(F.substring_index(l, ":", 1)).alias("key"),
         T.strip(l.substr(F.instr(l, ":") + 1, F.length(l))).alias("value")))
-    # keep an entry only when no later entry has the same key (header blocks are short)
-    return T.let(entries, lambda es: F.filter(es, lambda e, i: ~F.exists(
-        F.slice(es, i + 2, F.greatest(F.size(es), F.lit(1))), lambda x: x["key"] == e["key"])))
+    # sorted by key, the last line of a key first: an entry stays if the one before it has another key
+    ranked = F.array_sort(F.transform(entries, lambda e, i: F.struct(
+        e["key"].alias("key"), (-i).alias("back"), e["value"].alias("value"))))
+    last = T.let(ranked, lambda es: F.filter(es, lambda e, i: (i == 0) | (
+        F.element_at(es, F.greatest(i, F.lit(1)))["key"] != e["key"])))
+    return F.transform(F.array_sort(F.transform(last, lambda e: F.struct(
+        (-e["back"]).alias("line"), e["key"].alias("key"), e["value"].alias("value")))),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
 
 def header_map(content: Column) -> Column:
@@ -146,45 +151,14 @@ def clean_ixbrl(df: DataFrame, col: str = "content") -> DataFrame:
     return df.withColumn("clean_text", T.clean_ixbrl_text(F.col(col)))
 
 
-def unescape_column(df: DataFrame, col: str) -> DataFrame:
-    """Decode every HTML5 named and numeric character reference in ``col`` (``html.unescape``).
+def html_to_text(df: DataFrame, col: str = "html", mode: str = "parser") -> DataFrame:
+    """T12 (``mode='parser'``) or its regex fallback T13 (``mode='strict'``), both as Column expressions.
 
-    Runs as ``mapInPandas`` over Arrow batches with all other columns passed
-    through, so it is a plan node of its own: no rewrite can move the Python
-    call into a lambda or generator downstream.
-    """
-    import html
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from .._ship import ship_package
-    ship_package(df.sparkSession)
-    names = df.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.copy()
-            b[col] = [html.unescape(x) if isinstance(x, str) and "&" in x else x for x in b[col]]
-            yield b[names]
-
-    return df.mapInPandas(run, df.schema)
-
-
-def html_to_text(df: DataFrame, col: str = "html", mode: str = "parser", entities: str = "full") -> DataFrame:
-    """T12 (``mode='parser'``) or its regex fallback T13 (``mode='strict'``).
-
-    ``entities='full'`` (default) decodes all HTML5 named and numeric references
-    as the parser does: markup is stripped on the JVM, only that text crosses
-    into Python for ``html.unescape``, and lines are split back on the JVM.
-    ``'table'`` keeps everything on the JVM with a fixed entity table.
+    T12 decodes every named and numeric character reference of HTML 5.
     """
     if mode != "parser":
         return df.withColumn("text", T.html_to_text_strict(F.col(col)))
-    if entities == "table":
-        return df.withColumn("text", T.html_to_text(F.col(col)))
-    stripped = unescape_column(df.withColumn("_text", T.strip_markup(F.col(col))), "_text")
-    return stripped.withColumn("text", T.text_lines(F.col("_text"))).drop("_text")
+    return df.withColumn("text", T.html_to_text(F.col(col)))
 
 
 def clean_html_regex(df: DataFrame, col: str = "html") -> DataFrame:
@@ -200,9 +174,6 @@ def size_columns(c: Column) -> list[Column]:
             (b > P.RENDER_SIZE_GATE_BYTES).alias("too_large")]
 
 
-def clean_html(df: DataFrame, col: str = "html", engine: str = "regex", out: str = "clean_html") -> DataFrame:
-    """T15 (``engine='regex'``, Columns) or T14 (``engine='tree'``, Arrow batches)."""
-    if engine == "tree":
-        from .html_tree import clean_html_tree
-        return clean_html_tree(df, col, out)
+def clean_html(df: DataFrame, col: str = "html", out: str = "clean_html") -> DataFrame:
+    """T15 under a name of the caller's."""
     return df.withColumn(out, T.clean_html_regex(F.col(col)))

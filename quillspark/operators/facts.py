@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text as T
 
-# Fact tags with their attributes and inner text; nested tags are stripped from the value.
-IX_FACT = r"(?is)<ix:(?:nonfraction|nonnumeric)\b[^>]*>.*?</ix:(?:nonfraction|nonnumeric)>"
-IX_TAG = r"(?is)^<ix:(nonfraction|nonnumeric)"
-IX_NAME = r'(?is)^<[^>]*\bname="([^"]*)"'
-IX_CONTEXT = r'(?is)^<[^>]*\bcontextref="([^"]*)"'
-IX_UNIT = r'(?is)^<[^>]*\bunitref="([^"]*)"'
-IX_INNER = r"(?is)^<[^>]*>(.*)</ix:[^>]*>$"
+# Open and close tags of facts; nested facts pair by name and depth.
+_KINDS = ("nonfraction", "nonnumeric", "numeric")
+IX_TAG = r"(?is)<ix:(?:nonfraction|nonnumeric|numeric)\b[^>]*>|</ix:(?:nonfraction|nonnumeric|numeric)\s*>"
+NO_VALUE = "N/A"
 
 
 def read_concepts(df: DataFrame, value: str = "value") -> DataFrame:
@@ -25,7 +23,7 @@ def read_concepts(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def concept_series(facts: DataFrame, concept: str | None = None, unit: str | None = None) -> DataFrame:
-    """Values over time, sorted by period end with explicit tie-breakers.
+    """Values over time, sorted by period end; ties by filing date, then accession (columns of S5).
 
     A global ``orderBy`` is range-partitioned, so one concept holding most of
     the rows is still spread over many tasks.
@@ -35,19 +33,61 @@ def concept_series(facts: DataFrame, concept: str | None = None, unit: str | Non
         df = df.where(F.col("concept") == concept)
     if unit is not None and "unit" in df.columns:
         df = df.where(F.col("unit") == unit)
-    return (df.select("concept", "end", "val", F.to_date("filed").alias("filed_date"), "event_id", "filed")
-            .orderBy("concept", "end", "filed", "event_id").drop("filed"))
+    return (df.select("concept", "end", "val", F.to_date("filed").alias("filed_date"), "accn", "filed")
+            .orderBy("concept", "end", "filed", "accn").drop("filed"))
+
+
+def _paired(tags: Column, kind: str) -> Column:
+    """array<struct<open, close>>: places of the tags of one kind that belong together.
+
+    Depths are counted on a string of brackets.  Sorted by depth and place, an open tag's own close tag comes next.
+    """
+    own = F.filter(F.transform(tags, lambda t, k: F.struct(k.alias("k"), t.alias("t"))), lambda x: (
+        F.lower(F.regexp_extract(x["t"], r"^</?ix:([A-Za-z]+)", 1)) == kind) & ~F.endswith(x["t"], F.lit("/>")))
+
+    def levels(ts):
+        brackets = F.array_join(F.transform(ts, lambda x: F.when(F.startswith(x["t"], F.lit("</")), ")")
+                                            .otherwise("(")), "")
+        return T.let(brackets, lambda s: F.array_sort(F.transform(ts, lambda x, j: T.let(
+            2 * F.length(F.replace(F.substring(s, F.lit(1), j + 1), F.lit(")"), F.lit(""))) - (j + 1),
+            lambda depth: F.when(F.startswith(x["t"], F.lit("</")), F.struct(
+                (depth + 1).alias("level"), x["k"].alias("k"), F.lit(False).alias("open")))
+            .otherwise(F.struct(depth.alias("level"), x["k"].alias("k"), F.lit(True).alias("open")))))))
+    sorted_ = T.let(own, levels)
+    pairs = T.let(sorted_, lambda es: F.transform(es, lambda e, i: T.let(
+        F.get(es, i + 1), lambda n: F.when(e["open"] & (n["level"] == e["level"]) & ~n["open"], F.struct(
+            e["k"].alias("open"), n["k"].alias("close"))))))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def fact_array(content: Column) -> Column:
+    """array<struct<tag, name, context, unit, value>> in the order of the open tags.
+
+    A value is all text up to the fact's own close tag, nested facts included and other markup left out; an empty one is
+    ``N/A``.  Tags without a partner make no fact; ``<ix:... />`` is an empty one.
+    """
+    pieces = F.split(content, IX_TAG, -1)
+    tags = F.regexp_extract_all(content, F.lit(IX_TAG), 0)
+
+    def attribute(tag, name):
+        return F.regexp_extract(tag, rf'(?is)\b{name}\s*=\s*"([^"]*)"', 1)
+
+    def fact(tag, value):
+        return F.struct(
+            F.lower(F.regexp_extract(tag, r"(?i)^<ix:([a-z]+)", 1)).alias("tag"), attribute(tag, "name").alias("name"),
+            attribute(tag, "contextref").alias("context"), attribute(tag, "unitref").alias("unit"),
+            F.when(value == "", NO_VALUE).otherwise(value).alias("value"))
+
+    def build(b):
+        closed = F.filter(F.transform(b["tags"], lambda t, k: F.when(
+            F.endswith(t, F.lit("/>")), F.struct(k.alias("open"), k.alias("close")))), lambda p: p.isNotNull())
+        pairs = F.array_sort(F.concat(closed, *[_paired(b["tags"], kind) for kind in _KINDS]))
+        return F.transform(pairs, lambda p: T.let(F.regexp_replace(F.array_join(F.slice(
+            b["pieces"], p["open"] + 2, p["close"] - p["open"]), ""), "<[^>]+>", ""),
+            lambda v: fact(F.get(b["tags"], p["open"]), v)))
+    return T.let(F.struct(tags.alias("tags"), pieces.alias("pieces")), build)
 
 
 def ix_facts(subs: DataFrame, key: str = "submission_id", col: str = "content") -> DataFrame:
-    """One row per inline-XBRL fact: tag, name, context, unit and text value."""
-    facts = subs.select(key, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(IX_FACT), 0))
-                        .alias("fact_pos", "raw"))
-    inner = F.regexp_extract("raw", IX_INNER, 1)
-    return facts.select(
-        key, "fact_pos",
-        F.lower(F.regexp_extract("raw", IX_TAG, 1)).alias("tag"),
-        F.regexp_extract("raw", IX_NAME, 1).alias("name"),
-        F.regexp_extract("raw", IX_CONTEXT, 1).alias("context"),
-        F.regexp_extract("raw", IX_UNIT, 1).alias("unit"),
-        F.regexp_replace(inner, "<[^>]+>", "").alias("value"))
+    """T20 as rows: (key, fact_pos, tag, name, context, unit, value)."""
+    return subs.select(key, F.posexplode(fact_array(F.col(col))).alias("fact_pos", "f")).select(key, "fact_pos", "f.*")

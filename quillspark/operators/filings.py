@@ -175,35 +175,38 @@ def role_counts(docs: DataFrame) -> DataFrame:
 # J2, J3, A3, A6
 # ---------------------------------------------------------------------------
 def company_filings(companies: DataFrame, filings: DataFrame, form: str = "10-K", n: int = 5) -> DataFrame:
-    """J2 + W1: the latest ``n`` filings of ``form`` for each company."""
-    latest = latest_filings(filings, form, n)
-    return companies.join(latest, "cik", "inner")
+    """J2 + W1: the latest ``n`` filings of ``form`` for each company; only the companies asked for are ranked."""
+    wanted = filings.join(companies.select("cik").distinct(), "cik", "left_semi")
+    return companies.join(latest_filings(wanted, form, n), "cik", "inner")
 
 
 def attach_text(chosen: DataFrame, landed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Take the landed submission text when it exists, else the filing's main index document.
+    """The landed submission text where there is one, else the filing's main index document.
 
-    ``chosen`` has ``ticker, cik, accession, filingDate, order_key``; ``landed`` has
-    ``submission_id`` (= order key of the landed text) and optionally ``n_chars``;
-    ``docs`` is the index-document table.  A filing with neither gets the J3a
-    default row.
+    ``chosen`` has ``ticker, cik, accession, filingDate`` and any other columns (``rank``, ``req_pos``), which stay;
+    ``landed`` has ``cik, accession, content``, one row per filing; ``docs`` is the index-document table.  Only documents of
+    chosen filings without landed text are classified and grouped.  A filing with neither gets the J3a default row,
+    and ``content`` is null wherever nothing has landed.
     """
-    mains = main_documents(docs).select("accession", F.col("filename").alias("doc_file"),
-                                        F.col("url").alias("doc_url"))
-    j = (chosen.join(landed.select(F.col("submission_id").alias("order_key")).withColumn("landed", F.lit(True)),
-                     "order_key", "left")
-         .join(mains, "accession", "left"))
+    key = ["cik", "accession"]
+    text = chosen.select(*key).distinct().join(landed.select(*key, "content"), key)
+    bare = chosen.select("accession", *key[:1]).distinct().join(landed.select(*key), key, "left_anti")
+    mains = main_documents(docs.join(bare.select("accession").distinct(), "accession", "left_semi")).select(
+        "accession", F.col("filename").alias("doc_file"), F.col("url").alias("doc_url"))
+    j = (chosen.join(text.withColumn("landed", F.lit(True)), key, "left").join(mains, "accession", "left"))
     dflt_name, dflt_url = default_document(F.col("accession"), F.col("cik"))
+    here = F.col("landed").isNotNull()
+    more = [c for c in chosen.columns if c not in ("ticker", "cik", "accession", "filingDate")]
     return j.select(
         "ticker", "cik", "accession", "filingDate",
-        F.when(F.col("landed"), "submission").otherwise("index").alias("source"),
-        F.when(F.col("landed"), F.concat(F.col("accession"), F.lit(".txt")))
+        F.when(here, "submission").otherwise("index").alias("source"),
+        F.when(here, F.concat(F.col("accession"), F.lit(".txt")))
         .otherwise(F.coalesce("doc_file", dflt_name)).alias("document"),
-        F.when(F.col("landed"), F.concat_ws("/", F.lit(f"{ARCHIVE_HOST}/Archives/edgar/data"), F.col("cik"),
-                                            F.regexp_replace("accession", "-", ""),
-                                            F.concat(F.col("accession"), F.lit(".txt"))))
+        F.when(here, F.concat_ws("/", F.lit(f"{ARCHIVE_HOST}/Archives/edgar/data"), F.col("cik"),
+                                 F.regexp_replace("accession", "-", ""),
+                                 F.concat(F.col("accession"), F.lit(".txt"))))
         .otherwise(F.coalesce("doc_url", dflt_url)).alias("url"),
-        report_file_name(F.col("ticker"), F.col("filingDate")).alias("file_name"))
+        report_file_name(F.col("ticker"), F.col("filingDate")).alias("file_name"), "content", *more)
 
 
 def reports_per_ticker(requested_known: DataFrame, reports: DataFrame) -> DataFrame:

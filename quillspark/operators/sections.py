@@ -72,12 +72,12 @@ def clean_sections(sections: DataFrame, compat: bool = True) -> DataFrame:
 
 
 def _kept_sections(content: Column, compat: bool = True) -> Column:
-    """P14 -> T11 -> P13 -> P15 inside the row: array<struct<rank, section_pos, doc_type, clean>>."""
+    """P14 -> T11 -> P15 inside the row; every non-empty section stays: array<struct<rank, section_pos, doc_type, clean>>."""
     secs = F.filter(section_array(content), lambda s: s["has_text"] & ~excluded(s["doc_type"]))
     cleaned = F.transform(secs, lambda s: F.struct(
         section_rank(s["doc_type"], compat).alias("rank"), s["section_pos"].alias("section_pos"),
         s["doc_type"].alias("doc_type"), T.clean_section_text(s["raw_text"], compat).alias("clean")))
-    return F.filter(cleaned, lambda s: F.length(s["clean"]) > P.SUBSTANTIAL_CHARS)
+    return F.filter(cleaned, lambda s: s["clean"] != "")
 
 
 def report_text(kept: Column) -> Column:
@@ -88,9 +88,8 @@ def report_text(kept: Column) -> Column:
 
 
 def truncated_flag(report: Column) -> Column:
-    """P16 on the assembled text (before the iXBRL clean)."""
-    return (report.rlike(P.EXHIBIT_MARKERS.java) & ~report.rlike(P.MAIN_MARKERS.java)
-            & (F.length(report) < P.TRUNCATED_MAX_CHARS))
+    """P16 on the assembled text (before the iXBRL clean), by its markers whatever its length."""
+    return report.rlike(P.EXHIBIT_MARKERS.java) & ~report.rlike(P.MAIN_MARKERS.java)
 
 
 def report_struct(content: Column, compat: bool = True) -> Column:
@@ -100,13 +99,13 @@ def report_struct(content: Column, compat: bool = True) -> Column:
     that binding, so no plan rewrite can repeat the section pipeline.
     """
     return T.let(report_text(_kept_sections(content, compat)), lambda r: T.let(
-        F.when(r == "", F.substring(content, 1, P.FALLBACK_PREFIX_CHARS)).otherwise(r),
+        F.when(r == "", content).otherwise(r),
         lambda rep: F.struct(rep.alias("report"), (r == "").alias("used_fallback"),
                              truncated_flag(rep).alias("truncated"))))
 
 
 def assemble_reports(subs: DataFrame, keep: tuple[str, ...] = ("submission_id",), compat: bool = True) -> DataFrame:
-    """A5 + P16 per submission; falls back to the first 50,000 characters when nothing is kept.
+    """A5 + P16 per submission; falls back to the whole content when nothing is kept.
 
     ``compat=False`` (H9) ranks main sections by list order and uses the safe T11 script patterns.
     """
@@ -115,7 +114,7 @@ def assemble_reports(subs: DataFrame, keep: tuple[str, ...] = ("submission_id",)
 
 
 def section_stats(subs: DataFrame) -> DataFrame:
-    """Per section type: found, skipped by type, kept (substantial) and characters kept."""
+    """Per section type: found, skipped by type, kept (non-empty), substantial among them, characters kept."""
     secs = split_sections(subs).drop("submission_id")
     ex = excluded(F.col("doc_type"))
     clean = F.when(F.col("has_text") & ~ex, T.clean_section_text(F.col("raw_text")))
@@ -124,6 +123,6 @@ def section_stats(subs: DataFrame) -> DataFrame:
     return s.groupBy("doc_type").agg(
         F.count(F.lit(1)).alias("n_sections"),
         F.count_if(F.col("excluded")).alias("n_skipped"),
-        F.count_if(F.col("n") > P.SUBSTANTIAL_CHARS).alias("n_kept"),
-        F.coalesce(F.sum(F.when(F.col("n") > P.SUBSTANTIAL_CHARS, F.col("n"))), F.lit(0)).cast("long")
-        .alias("chars_kept"))
+        F.count_if(F.col("n") > 0).alias("n_kept"),
+        F.count_if(F.col("n") > P.SUBSTANTIAL_CHARS).alias("n_substantial"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("chars_kept"))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import zero_fill
+
 # --- fixed values of the bridge (ours) ----------------------------------------
 FORM_BY_PRIORITY = {"1": "10-K", "2": "10-Q", "3": "8-K", "4": "10-K/A", "5": "4"}
 SECTION_TYPES = ["10-K", "EX-21.1", "GRAPHIC", "EX-99.1", "XML", "10-Q", "EX-31.1", "EX-101.SCH"]
@@ -52,10 +54,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def zero_fill(c):
-    """P1 on any integral/string column: ``str(x).zfill(10)`` (never truncates)."""
-    s = c.cast("string")
-    return F.when(F.length(s) >= 10, s).otherwise(F.lpad(s, 10, "0"))
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """The caller's choice for inputs stored as one row group (``quillspark.input.partitions``); unset: as read."""
+    n = df.sparkSession.conf.get("quillspark.input.partitions", None)
+    return df.repartition(int(n), key) if n else df
 
 
 def _zero_fill_sql(x: str) -> str:
@@ -126,8 +128,7 @@ def filings(spark, sf_dir):
 
 
 def index_documents(spark, sf_dir):
-    from ..session import ensure_parallelism
-    li = ensure_parallelism(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = _spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     j = j.withColumn("_acc", _accession(F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")))
@@ -165,9 +166,16 @@ def _section_block(doc_id, line, i):
     heading = F.element_at(F.array(*[F.lit(h + "\n" if h else "") for h in SECTION_HEADINGS]),
                            ((doc_id + i) % len(SECTION_HEADINGS) + 1).cast("int"))
     line = F.concat(heading, line)
+    # every sixth line nests facts of its own and of another kind inside its text fact
+    inner = F.when(i % 6 == 0, F.concat(
+        F.lit('<ix:nonFraction name="us-gaap:Cash" contextRef="n" unitRef="usd">'), i.cast("string"),
+        F.lit('</ix:nonFraction> of <ix:nonNumeric name="dei:Inner" contextRef="n">part</ix:nonNumeric> tail'))) \
+        .otherwise(F.lit(""))
     body = F.when(ix & (i % 3 == 0), F.concat(
         F.lit('<ix:nonNumeric name="dei:Text'), i.cast("string"), F.lit('" contextRef="c'),
-        doc_id.cast("string"), F.lit('">'), line, F.lit("</ix:nonNumeric>"))).otherwise(line)
+        doc_id.cast("string"), F.lit('">'), line, inner, F.lit("</ix:nonNumeric>"))).otherwise(line)
+    body = F.when(ix & (i % 6 == 2), F.concat(
+        body, F.lit('<ix:numeric name="old:Empty" contextRef="e"></ix:numeric>'))).otherwise(body)
     body = F.when(ix & (i % 3 == 1), F.concat(
         body, F.lit('<ix:nonFraction name="us-gaap:Assets" contextRef="c'), doc_id.cast("string"),
         F.lit('" unitRef="usd">'), F.length(line).cast("string"), F.lit("</ix:nonFraction>"))
@@ -190,8 +198,7 @@ def _section_block(doc_id, line, i):
 
 
 def submissions(spark, sf_dir):
-    from ..session import ensure_parallelism
-    d = ensure_parallelism(table(spark, sf_dir, "documents"), "doc_id")
+    d = _spread(table(spark, sf_dir, "documents"), "doc_id")
     doc = F.col("doc_id")
     acc = F.format_string("%010d-%02d-%06d", F.lit(100000) + doc % 9973, doc % 100, doc)
     name_day = F.date_add(F.lit(NAME_DATE_BASE).cast("date"), (doc % 3650).cast("int"))
@@ -223,13 +230,13 @@ def submissions(spark, sf_dir):
 
 
 def html_docs(spark, sf_dir):
-    from ..session import ensure_parallelism
-    return ensure_parallelism(table(spark, sf_dir, "pages"), "page_id").select("page_id", "html")
+    return _spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", "html")
 
 
 def concept_facts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id"), F.col("event_type").alias("concept"),
+    return e.select(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("accn"),
+                    F.col("event_type").alias("concept"),
                     F.col("value").alias("val"), F.col("ts").alias("filed"),
                     F.to_date("ts").alias("end"))
 
@@ -252,7 +259,15 @@ def index_pages(spark, sf_dir):
     return docs.groupBy("cik", "accession").agg(page.alias("html"))
 
 
+def landed(spark, sf_dir):
+    """Landed submission texts under the keys of the filing list: order ``order_key`` is document ``submission_id``."""
+    f = filings(spark, sf_dir).select("cik", "accession", "order_key")
+    s = submissions(spark, sf_dir).select(F.col("submission_id").alias("order_key"), "content")
+    return f.join(s, "order_key").select("cik", "accession", "content")
+
+
 VIEWS = {
+    "landed": landed,
     "companies_raw": companies_raw, "companies": companies, "requested": requested,
     "filings": filings, "index_documents": index_documents, "submissions": submissions,
     "html_docs": html_docs, "concept_facts": concept_facts,
@@ -298,8 +313,13 @@ def _section_block_sql() -> str:
     ix = "(doc_id % 4 = 1 OR doc_id % 4 = 2)"
     headings = "[" + ", ".join((f"'{h}' || chr(10)" if h else "''") for h in SECTION_HEADINGS) + "]"
     line = f"({headings}[((doc_id + {i}) % {len(SECTION_HEADINGS)}) + 1] || line)"
+    inner = (f"CASE WHEN {i} % 6 = 0 THEN '<ix:nonFraction name=\"us-gaap:Cash\" contextRef=\"n\" unitRef=\"usd\">' || "
+             f"{i} || '</ix:nonFraction> of <ix:nonNumeric name=\"dei:Inner\" contextRef=\"n\">part</ix:nonNumeric> tail' "
+             "ELSE '' END")
     body = (f"CASE WHEN {ix} AND {i} % 3 = 0 THEN '<ix:nonNumeric name=\"dei:Text' || {i} || "
-            f"'\" contextRef=\"c' || doc_id || '\">' || {line} || '</ix:nonNumeric>' ELSE {line} END")
+            f"'\" contextRef=\"c' || doc_id || '\">' || {line} || {inner} || '</ix:nonNumeric>' ELSE {line} END")
+    body = (f"CASE WHEN {ix} AND {i} % 6 = 2 THEN ({body}) || "
+            "'<ix:numeric name=\"old:Empty\" contextRef=\"e\"></ix:numeric>' ELSE (" + body + ") END")
     body = (f"CASE WHEN {ix} AND {i} % 3 = 1 THEN ({body}) || '<ix:nonFraction name=\"us-gaap:Assets\" "
             f"contextRef=\"c' || doc_id || '\" unitRef=\"usd\">' || length({line}) || '</ix:nonFraction>' "
             f"ELSE ({body}) END")
@@ -373,7 +393,7 @@ def _cte_sql() -> dict[str, str]:
                         f"CASE WHEN doc_id % 4 <= 1 THEN {header} || {blocks} || '</SEC-DOCUMENT>' || {nl} "
                         f"ELSE {blocks} END AS content FROM documents"),
         "html_docs": "SELECT page_id, html FROM pages",
-        "concept_facts": ("SELECT event_id, event_type AS concept, value AS val, ts AS filed, "
+        "concept_facts": ("SELECT 'a' || event_id AS accn, event_type AS concept, value AS val, ts AS filed, "
                           "CAST(ts AS DATE) AS \"end\" FROM events"),
     }
 

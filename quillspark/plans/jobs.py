@@ -21,7 +21,6 @@ from ..operators import filings as FL
 from ..operators import outline as O
 from ..operators import render as R
 from ..operators import sections as S
-from ..operators.html_tree import clean_html_tree
 from . import bridge as B
 
 # First <DOCUMENT> whose TYPE starts with 10-K (dotall: may run into the next
@@ -85,7 +84,7 @@ def convert_to_html(subs: DataFrame, generated_at: str, name_col: str = "file_na
 
 
 # ---------------------------------------------------------------------------
-# Pure-HTML extraction (W3 -> T14 -> T19d)
+# Pure-HTML extraction (W3 -> T15 -> T19d)
 # ---------------------------------------------------------------------------
 def main_html(content: Column) -> Column:
     """W3 on the raw content: the 10-K body, else a body holding a whole page; NULL when none.
@@ -95,8 +94,7 @@ def main_html(content: Column) -> Column:
     return F.coalesce(T.field_or_null(content, MAIN_10K), T.field_or_null(content, ANY_HTML_TEXT))
 
 
-def extract_html(subs: DataFrame, generated_at: str, engine: str = "tree",
-                 name_col: str = "file_name") -> DataFrame:
+def extract_html(subs: DataFrame, generated_at: str, name_col: str = "file_name") -> DataFrame:
     """``status`` is ``extracted`` or ``no_html``; ``skipped`` for non-.txt files."""
     fname = F.col(name_col)
     meta = D.regex_metadata(F.col("content"))
@@ -104,10 +102,7 @@ def extract_html(subs: DataFrame, generated_at: str, engine: str = "tree",
     base = subs.select("submission_id", name_col, eligible.alias("eligible"),
                        *[v.alias(k) for k, v in meta.items()],
                        F.when(eligible, main_html(F.col("content"))).alias("body"))
-    if engine == "tree":
-        base = clean_html_tree(base, "body", "clean_body")
-    else:
-        base = base.withColumn("clean_body", T.clean_html_regex(F.col("body")))
+    base = base.withColumn("clean_body", T.clean_html_regex(F.col("body")))
     page = R.filing_page({k: F.col(k) for k in D.METADATA_FIELDS}, F.col("clean_body"), generated_at, source=fname)
     status = (F.when(~F.col("eligible"), "skipped").when(F.col("body").isNull(), "no_html")
               .otherwise("extracted"))
@@ -152,7 +147,7 @@ def main_slice(content: Column) -> Column:
     def narrow(fp):
         return T.let(F.struct(F.regexp_instr(fp, F.lit(_ITEM1_BUSINESS)).alias("bm"),
                               F.regexp_instr(fp, F.lit(_PART3)).alias("p3")),
-                     lambda r: F.when((F.length(fp) < 10000) & (r["bm"] > 0), _slice(fp, r["bm"], r["p3"]))
+                     lambda r: F.when(r["bm"] > 0, _slice(fp, r["bm"], r["p3"]))
                      .otherwise(fp))
 
     def on_section(s):
@@ -175,10 +170,14 @@ def main_slices(subs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def corpus_build(requested: DataFrame, companies: DataFrame, filings: DataFrame, landed: DataFrame,
                  docs: DataFrame, max_reports: int = 5) -> DataFrame:
-    """Tickers -> latest annual reports -> text or fallback document, with file names."""
+    """Tickers -> latest annual reports -> landed text or fallback document, with file names.
+
+    ``filings`` as S2 makes them, ``landed`` as S3 (``cik, accession, content``).
+    """
     known = C.resolve_tickers(requested, companies)
-    chosen = FL.company_filings(known, filings, "10-K", max_reports)
-    return FL.attach_text(chosen, landed, docs).join(chosen.select("accession", "rank", "req_pos"), "accession")
+    chosen = FL.company_filings(known.select("ticker", "cik", "req_pos"), filings.select(
+        "cik", "form", "pos", "filingDate", "accession"), "10-K", max_reports)
+    return FL.attach_text(chosen.select("ticker", "cik", "accession", "filingDate", "rank", "req_pos"), landed, docs)
 
 
 def pdf_paragraphs(rendered: DataFrame, key: str = "submission_id") -> DataFrame:
@@ -188,25 +187,9 @@ def pdf_paragraphs(rendered: DataFrame, key: str = "submission_id") -> DataFrame
     return O.paragraphs(D.html_to_text(rendered.where(F.col("status") == "converted"), "html"), key, "text")
 
 
-def company_lookup(companies: DataFrame, term: str | None, limit: int | None = 50) -> DataFrame:
-    """C5."""
-    return C.search_companies(companies, term, limit)
-
-
-def term_selection(companies: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """C6 first half: pick companies by search terms (greedy)."""
-    return C.select_companies(companies, terms)
-
-
 def selection_summary(companies: DataFrame, terms: Sequence[str], filings: DataFrame, landed: DataFrame,
                       docs: DataFrame, max_reports: int = 3) -> DataFrame:
     """Companies picked by terms -> latest annual reports (C1) -> run summary."""
-    picked = term_selection(companies, terms).select(F.col("term_pos").alias("req_pos"), "ticker")
+    picked = C.select_companies(companies, terms).select(F.col("term_pos").alias("req_pos"), "ticker")
     reports = corpus_build(picked, companies, filings, landed, docs, max_reports)
     return FL.run_summary(C.resolve_tickers(picked, companies), reports)
-
-
-def concept_trend(facts: DataFrame, concept: str | None = None, unit: str | None = None) -> DataFrame:
-    """C7."""
-    from ..operators.facts import concept_series
-    return concept_series(facts, concept, unit)

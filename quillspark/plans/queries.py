@@ -255,16 +255,16 @@ def content_ext(spark, sf):
 
 
 def _reports(spark, sf, n=5):
-    """C1 core: requested -> companies -> latest n 10-K -> text or index fallback."""
-    known = C.resolve_tickers(B.view(spark, sf, "requested"), B.view(spark, sf, "companies"))
-    chosen = FL.company_filings(known, B.view(spark, sf, "filings"), "10-K", n)
-    landed = B.view(spark, sf, "submissions").select("submission_id")
-    att = FL.attach_text(chosen, landed, B.view(spark, sf, "index_documents"))
-    return known, chosen, att
+    """C1 core: requested -> companies -> latest n 10-K -> landed text or index fallback."""
+    from .jobs import corpus_build
+    companies, requested = B.view(spark, sf, "companies"), B.view(spark, sf, "requested")
+    known = C.resolve_tickers(requested, companies)
+    return known, corpus_build(requested, companies, B.view(spark, sf, "filings"), B.view(spark, sf, "landed"),
+                               B.view(spark, sf, "index_documents"), n)
 
 
 _REPORTS_SQL = (
-    "SELECT k.ticker, k.cik, f.accession, f.filingDate, f.rank, "
+    "SELECT k.ticker, k.cik, k.req_pos, f.accession, f.filingDate, f.rank, s.content, "
     "CASE WHEN s.submission_id IS NOT NULL THEN 'submission' ELSE 'index' END AS source, "
     "CASE WHEN s.submission_id IS NOT NULL THEN f.accession || '.txt' "
     "ELSE coalesce(m.filename, f.accession || '.txt') END AS document, "
@@ -284,7 +284,28 @@ _REPORTS_SQL = (
     "requested", "companies", "filings", "submissions", "index_documents"))
 def filing_text_fallback(spark, sf):
     """C1 core, J2 + J3: latest 10-Ks with landed text or the main index document."""
-    return _reports(spark, sf)[2]
+    return _reports(spark, sf)[1].drop("content", "rank", "req_pos")
+
+
+@register("corpus_build", V(
+    "SELECT ticker, cik, req_pos, accession, rank, source, document, file_name, md5(content) AS content_md5, "
+    f"CAST(length(content) AS INTEGER) AS n_chars FROM ({_REPORTS_SQL})",
+    "requested", "companies", "filings", "submissions", "index_documents"))
+def corpus_build(spark, sf):
+    """The whole chain with the text of every report (md5 and length)."""
+    return _reports(spark, sf)[1].select("ticker", "cik", "req_pos", "accession", "rank", "source", "document",
+                                         "file_name", F.md5("content").alias("content_md5"),
+                                         F.length("content").alias("n_chars"))
+
+
+@register("report_names", V(
+    "SELECT ticker, file_name, rank, ticker || '/' || file_name AS relative_path, "
+    "rank <> max(rank) OVER (PARTITION BY ticker, file_name) AS overwritten FROM "
+    f"({_REPORTS_SQL})", "requested", "companies", "filings", "submissions", "index_documents"))
+def report_names(spark, sf):
+    """K1: paths of reports and which of them a later one overwrites."""
+    from ..sinks import report_names as names
+    return names(_reports(spark, sf)[1].select("ticker", "file_name", "rank"))
 
 
 @register("reports_per_ticker", V(
@@ -294,9 +315,7 @@ def filing_text_fallback(spark, sf):
     "requested", "companies", "filings", "submissions", "index_documents"))
 def reports_per_ticker(spark, sf):
     """A3: ordered report list and count per known ticker."""
-    known, chosen, att = _reports(spark, sf)
-    reports = att.join(chosen.select("accession", "rank"), "accession")
-    a3 = FL.reports_per_ticker(known, reports)
+    a3 = FL.reports_per_ticker(*_reports(spark, sf))
     return a3.select("ticker", "req_pos", F.array_join("files", ",").alias("files"), "n_reports")
 
 
@@ -308,8 +327,7 @@ def reports_per_ticker(spark, sf):
     "requested", "companies", "filings", "submissions", "index_documents"))
 def run_summary(spark, sf):
     """Reports per ticker plus the grand total."""
-    known, _, att = _reports(spark, sf)
-    return FL.run_summary(known, att)
+    return FL.run_summary(*_reports(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -402,15 +420,13 @@ _REPORT_SQL = (
     "SELECT u.submission_id, u.content, coalesce(r.report, '') AS report FROM submissions u LEFT JOIN ("
     "SELECT submission_id, string_agg('=== ' || doc_type || ' ===' || chr(10) || clean_text || chr(10), "
     "chr(10) || chr(10) ORDER BY rank, section_pos) AS report "
-    f"FROM ({_CLEAN_SECTIONS_SQL}) WHERE substantial GROUP BY submission_id) r ON u.submission_id = r.submission_id")
+    f"FROM ({_CLEAN_SECTIONS_SQL}) WHERE clean_text <> '' GROUP BY submission_id) r ON u.submission_id = r.submission_id")
 _ASSEMBLED_SQL = (
-    f"SELECT submission_id, CASE WHEN report = '' THEN substring(content, 1, {P.FALLBACK_PREFIX_CHARS}) "
-    "ELSE report END AS report, report = '' AS used_fallback FROM (" + _REPORT_SQL + ")")
+    "SELECT submission_id, CASE WHEN report = '' THEN content ELSE report END AS report, report = '' AS used_fallback FROM (" + _REPORT_SQL + ")")
 
 
 def _truncated_sql(x):
-    return (f"({Q.has(x, P.EXHIBIT_MARKERS)} AND NOT {Q.has(x, P.MAIN_MARKERS)} AND "
-            f"length({x}) < {P.TRUNCATED_MAX_CHARS})")
+    return f"({Q.has(x, P.EXHIBIT_MARKERS)} AND NOT {Q.has(x, P.MAIN_MARKERS)})"
 
 
 @register("split_sections", V(_SECTIONS_SQL, "submissions"))
@@ -447,8 +463,8 @@ def truncated_flag(spark, sf):
 
 @register("section_stats", V(
     "SELECT doc_type, count(*) AS n_sections, count(CASE WHEN excluded THEN 1 END) AS n_skipped, "
-    f"count(CASE WHEN n > {P.SUBSTANTIAL_CHARS} THEN 1 END) AS n_kept, "
-    f"CAST(coalesce(sum(CASE WHEN n > {P.SUBSTANTIAL_CHARS} THEN n END), 0) AS BIGINT) AS chars_kept FROM ("
+    f"count(CASE WHEN n > 0 THEN 1 END) AS n_kept, count(CASE WHEN n > {P.SUBSTANTIAL_CHARS} THEN 1 END) "
+    "AS n_substantial, CAST(coalesce(sum(n), 0) AS BIGINT) AS chars_kept FROM ("
     f"SELECT doc_type, {_EXCLUDED_SQL} AS excluded, CASE WHEN has_text AND NOT {_EXCLUDED_SQL} THEN "
     f"length({Q.clean_section_text('raw_text')}) END AS n FROM ({_SECTIONS_SQL})) GROUP BY doc_type",
     "submissions"))
@@ -537,8 +553,8 @@ def outline(spark, sf):
 # Facts
 # ---------------------------------------------------------------------------
 @register("concept_series", V(
-    "SELECT concept, \"end\", val, CAST(filed AS DATE) AS filed_date, event_id FROM concept_facts "
-    "ORDER BY concept, \"end\", filed, event_id", "concept_facts"))
+    "SELECT concept, \"end\", val, CAST(filed AS DATE) AS filed_date, accn FROM concept_facts "
+    "ORDER BY concept, \"end\", filed, accn", "concept_facts"))
 def concept_series(spark, sf):
     """O3 + C7: concept values ordered by period end with tie-breakers."""
     from ..operators.facts import concept_series as cs
@@ -568,23 +584,7 @@ def _w3_status_sql():
 def batch_outcome(spark, sf):
     """A7 over the pure-HTML extraction job."""
     from .jobs import extract_html, outcome_counts
-    return outcome_counts(extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="regex"))
-
-
-@register("pure_html")
-def pure_html(spark, sf):
-    """T18 / C3 with the DOM clean (T14); rows-only check."""
-    from .jobs import extract_html
-    r = extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="tree")
-    return r.select("submission_id", "status", F.md5("html").alias("html_md5"),
-                    F.length("html").alias("n_chars"))
-
-
-@register("html_dom_clean")
-def html_dom_clean(spark, sf):
-    """T14 on pages (Arrow batches); rows-only check, compared to plain Python in tests."""
-    from ..operators.html_tree import clean_html_tree
-    return clean_html_tree(B.view(spark, sf, "html_docs"), "html").select("page_id", "clean_html")
+    return outcome_counts(extract_html(B.view(spark, sf, "submissions"), GENERATED_AT))
 
 
 @register("main_slice")
@@ -594,19 +594,26 @@ def main_slice(spark, sf):
     return main_slices(B.view(spark, sf, "submissions"))
 
 
+# tags one by one, depths by a running sum, partners by the next tag of the same kind and depth, values by a join
 _IX_FACTS_SQL = (
-    "SELECT submission_id, CAST(f.i - 1 AS INTEGER) AS fact_pos, "
-    "lower(regexp_extract(f.raw, '(?is)^<ix:(nonfraction|nonnumeric)', 1)) AS tag, "
-    "regexp_extract(f.raw, '(?is)^<[^>]*\\bname=\"([^\"]*)\"', 1) AS name, "
-    "regexp_extract(f.raw, '(?is)^<[^>]*\\bcontextref=\"([^\"]*)\"', 1) AS context, "
-    "regexp_extract(f.raw, '(?is)^<[^>]*\\bunitref=\"([^\"]*)\"', 1) AS unit, "
-    "regexp_replace(regexp_extract(f.raw, '(?is)^<[^>]*>(.*)</ix:[^>]*>$', 1), '<[^>]+>', '', 'g') AS value "
-    "FROM (SELECT submission_id, unnest(list_transform(regexp_extract_all(content, "
-    "'(?is)<ix:(?:nonfraction|nonnumeric)\\b[^>]*>.*?</ix:(?:nonfraction|nonnumeric)>', 0), "
-    "lambda r, i: struct_pack(i := i, raw := r))) AS f FROM submissions)")
-
-
-@register("ix_facts", V(_IX_FACTS_SQL, "submissions"))
+    "WITH tags AS (SELECT submission_id, unnest(range(1, len(t) + 1)) AS k, unnest(t) AS tag, unnest(p[2:]) AS gap FROM ("
+    "SELECT submission_id, regexp_extract_all(content, '(?i)</?ix:(?:nonfraction|nonnumeric|numeric)(?:\\s[^>]*)?>') AS t, "
+    "regexp_split_to_array(content, '(?i)</?ix:(?:nonfraction|nonnumeric|numeric)(?:\\s[^>]*)?>') AS p "
+    "FROM submissions)), depth AS (SELECT *, lower(regexp_extract(tag, '(?i)ix:([a-z]+)', 1)) AS kind, "
+    "tag NOT LIKE '</%' AS opens FROM tags), level AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER "
+    "(PARTITION BY submission_id, kind ORDER BY k) + CASE WHEN opens THEN 0 ELSE 1 END AS lvl FROM depth), "
+    "pair AS (SELECT *, lead(k) OVER w AS close_k, lead(opens) OVER w AS next_opens FROM level "
+    "WINDOW w AS (PARTITION BY submission_id, kind, lvl ORDER BY k)), "
+    "fact AS (SELECT f.submission_id, f.k, f.kind, f.tag, regexp_replace(string_agg(g.gap, '' ORDER BY g.k), "
+    "'<[^>]+>', '', 'g') AS v FROM pair f JOIN tags g ON g.submission_id = f.submission_id AND g.k >= f.k "
+    "AND g.k < f.close_k WHERE f.opens AND NOT f.next_opens GROUP BY ALL) "
+    "SELECT submission_id, CAST(row_number() OVER (PARTITION BY submission_id ORDER BY k) - 1 AS INTEGER) AS fact_pos, "
+    "kind AS tag, regexp_extract(tag, ' name=\"([^\"]*)\"', 1) AS name, "
+    "regexp_extract(tag, ' contextRef=\"([^\"]*)\"', 1) AS context, "
+    "regexp_extract(tag, ' unitRef=\"([^\"]*)\"', 1) AS unit, CASE WHEN v = '' THEN 'N/A' ELSE v END AS value FROM fact")
+
+
+@register("ix_facts", f"WITH submissions AS ({B.CTE_SQL['submissions']}), " + _IX_FACTS_SQL[len("WITH "):])
 def ix_facts(spark, sf):
     """Inline-XBRL facts per submission."""
     from ..operators.facts import ix_facts as facts
@@ -779,6 +786,20 @@ def _concept_record_cols():
     "CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'CY' || year(ts) END AS frame FROM events"))
 def concept_source(spark, sf):
     """Concept payloads -> one row per (unit, record)."""
+    return _concepts(spark, sf)
+
+
+@register("concept_trend", (
+    "SELECT event_type AS concept, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS \"end\", value AS val, "
+    "CAST(ts AS DATE) + 30 AS filed_date, 'a' || event_id AS accn FROM events "
+    "WHERE event_id % 10 <> 0 ORDER BY 1, 2, 4, 5"))
+def concept_trend(spark, sf):
+    """S5 payloads -> the USD values of every concept over time (O3)."""
+    from ..operators.facts import concept_series as cs
+    return cs(_concepts(spark, sf), unit="USD")
+
+
+def _concepts(spark, sf):
     from ..operators.facts import read_concepts
     ev = B.table(spark, sf, "events")
     recs = ev.select("event_type", (F.col("event_id") / 1000).cast("long").alias("block"), *_concept_record_cols())
@@ -841,8 +862,7 @@ def output_paths(spark, sf):
     laid = files.select("submission_id", "path", K.html_path(p, "sibling").alias("sibling"),
                         K.html_path(p, "html_subdir").alias("html_subdir"),
                         K.html_path(p, "mirror", _LANDED_ROOT, "/html").alias("mirror"))
-    return laid.join(K.pdf_paths(files, "/out/pdf"), "path").select(
-        "submission_id", "path", "sibling", "html_subdir", "mirror", "pdf_path", "collides")
+    return K.pdf_paths(laid, "/out/pdf")
 
 
 def _extract_page_sql(meta, body, source):
@@ -862,7 +882,7 @@ def _w3_body_sql(c):
     return f"coalesce({body(MAIN_10K)}, {body(ANY_HTML_TEXT)})"
 
 
-@register("pure_html_regex", V(
+@register("pure_html", V(
     "SELECT submission_id, file_name, CASE WHEN NOT ends_with(file_name, '.txt') THEN 'skipped' "
     "WHEN body IS NULL THEN 'no_html' ELSE 'extracted' END AS status, "
     f"CASE WHEN body IS NOT NULL THEN {_extract_page_sql({k: k for k in D.METADATA_FIELDS}, Q.clean_html_regex('body'), 'file_name')} "
@@ -870,10 +890,10 @@ def _w3_body_sql(c):
     + ", ".join(f"{v} AS {k}" for k, v in _regex_meta_sql("content").items())
     + f", CASE WHEN ends_with(file_name, '.txt') THEN {_w3_body_sql('content')} END AS body FROM submissions)",
     "submissions"))
-def pure_html_regex(spark, sf):
+def pure_html(spark, sf):
     """T18 with the regex clean (T15), the reference's fallback path: W3 -> T15 -> T19d."""
     from .jobs import extract_html
-    return extract_html(B.view(spark, sf, "submissions"), GENERATED_AT, engine="regex")
+    return extract_html(B.view(spark, sf, "submissions"), GENERATED_AT)
 
 
 # T17 oracle: the look-ahead and Unicode word boundaries rewritten for RE2.
@@ -911,7 +931,7 @@ def _main_slice_sql():
     i1 = _pos_sql(s, "Item 1\\.")
     p4 = _pos_sql(s, "Part IV", word_end)
     inner = (
-        "SELECT submission_id, CASE WHEN p1 > 0 THEN CASE WHEN length(fp) < 10000 AND bm > 0 THEN "
+        "SELECT submission_id, CASE WHEN p1 > 0 THEN CASE WHEN bm > 0 THEN "
         f"{_slice_sql('fp', 'bm', 'p3')} ELSE fp END WHEN i1 > 0 THEN {_slice_sql('s', 'i1', 'p4')} ELSE s END "
         "AS main_text FROM (SELECT *, "
         f"{_pos_sql('fp', business, word_start=False)} AS bm, {_pos_sql('fp', 'Part III', word_end)} AS p3 FROM ("

@@ -58,7 +58,6 @@ def clean_ixbrl_text(x: str) -> str:
 def _dropped_line(v: str) -> str:
     parts = [has(v, P.TECHNICAL_LINE)]
     parts += [f"starts_with({v}, {q(p)})" for p in P.DROPPED_LINE_PREFIXES]
-    parts.append(f"(length({v}) > {P.LONG_LINE_CHARS} AND NOT {has(v, P.SENTENCE_MARK)})")
     return "(" + " OR ".join(parts) + ")"
 
 

@@ -56,33 +56,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint only when the optimizer's size estimate is under ``max_bytes``.
-
-    Beyond the bound the frame is returned unchanged and Catalyst/AQE choose a
-    shuffle join (or a runtime broadcast when the real size turns out small).
-    """
-    from pyspark.sql import functions as F
-
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # estimate unavailable: no hint
-        return df
-    return F.broadcast(df) if size <= max_bytes else df
-
-
-def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` only when the source yields fewer splits than task slots.
-
-    A small corpus stored as one parquet row group reads as a single task and
-    leaves the cluster idle for the whole text pipeline; a large one already
-    has far more splits than slots and is returned untouched (no extra
-    shuffle).  Hash partitioning on a key keeps retries deterministic.
-    """
-    sc = df.sparkSession.sparkContext
-    slots = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key)
-    return df

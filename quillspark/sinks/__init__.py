@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..operators.documents import html_to_text
 
 
 def with_suffix(path: Column, new_suffix: str) -> Column:
@@ -40,11 +40,11 @@ def html_path(path: Column, layout: str = "sibling", input_root: str | None = No
 
 def pdf_paths(files: DataFrame, output_dir: str, path: str = "path") -> DataFrame:
     """K5: every output flattened into ``output_dir/<stem>.pdf``; ``collides`` marks equal stems
-    (the reference silently overwrites them).  Keys only: no document text is shuffled."""
+    (the reference silently overwrites them).  All columns of ``files`` stay; pass keys, not texts."""
     stem = F.regexp_extract(F.col(path), r"([^/]*?)(\.[^./]*)?$", 1)
-    out = files.select(path, F.concat(F.lit(output_dir.rstrip("/") + "/"), stem, F.lit(".pdf")).alias("pdf_path"))
+    out = files.withColumn("pdf_path", F.concat(F.lit(output_dir.rstrip("/") + "/"), stem, F.lit(".pdf")))
     dup = out.groupBy("pdf_path").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(dup, "pdf_path").select(path, "pdf_path", (F.col("n") > 1).alias("collides"))
+    return out.join(dup, "pdf_path").select(*files.columns, "pdf_path", (F.col("n") > 1).alias("collides"))
 
 
 def report_names(reports: DataFrame) -> DataFrame:
@@ -52,15 +52,20 @@ def report_names(reports: DataFrame) -> DataFrame:
     (same ticker and date: the later filing in list order is the one kept)."""
     keys = reports.select("ticker", "file_name", "rank")
     last = keys.groupBy("ticker", "file_name").agg(F.max("rank").alias("kept_rank"), F.count(F.lit(1)).alias("n"))
-    return (reports.join(last, ["ticker", "file_name"])
+    return (reports.join(last, ["ticker", "file_name"])  # keys and flags; the text moves in this join alone
             .withColumn("relative_path", F.concat_ws("/", "ticker", "file_name"))
             .withColumn("overwritten", F.col("rank") != F.col("kept_rank"))
             .drop("kept_rank", "n"))
 
 
-def write_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: report table partitioned by ticker (partition pruning on read)."""
-    df.write.mode(mode).partitionBy("ticker").parquet(path)
+def write_corpus(df: DataFrame, path: str, mode: str = "overwrite", files_per_ticker: int = 4) -> None:
+    """K1: report table partitioned by ticker (partition pruning on read).
+
+    Rows are dealt by ticker and one of ``files_per_ticker`` salts, so a ticker has at most that many files and a
+    large one is still written by several tasks.
+    """
+    salt = F.pmod(F.xxhash64("file_name"), F.lit(files_per_ticker))
+    df.repartition(F.col("ticker"), salt).write.mode(mode).partitionBy("ticker").parquet(path)
 
 
 def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -70,8 +75,8 @@ def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def text_sidecar(pages: DataFrame, html_col: str = "html", path_col: str = "output_path") -> DataFrame:
     """K3: plain text next to each HTML page (T12 on the page)."""
-    return pages.select(with_suffix(F.col(path_col), ".txt").alias("text_path"),
-                        T.html_to_text(F.col(html_col)).alias("text"))
+    return html_to_text(pages.select(with_suffix(F.col(path_col), ".txt").alias("text_path"),
+                                     F.col(html_col).alias("html")), "html").select("text_path", "text")
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:

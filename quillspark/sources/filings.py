@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.bridge import zero_fill
+from ..functions.text import zero_fill
 
 _FIELDS = ["form", "filingDate", "accessionNumber", "primaryDocument", "fileNumber"]
 

@@ -2,10 +2,10 @@
 
 ``binaryFile`` stream -> ``foreachBatch`` running a batch job -> parquet, with
 ``trigger(availableNow=True)``: each run converts only files the checkpoint has
-not seen.  ``foreachBatch`` because the jobs contain ordered per-row assembly
-and joins that append-mode streaming aggregation would not allow.  Each epoch
-writes its own folder with ``overwrite``, so a replayed epoch after a failure
-replaces its output instead of duplicating it.
+not seen, ``max_files`` at a time.  ``foreachBatch`` because the jobs contain ordered per-row assembly
+and joins that append-mode streaming aggregation would not allow.  The output is keyed by
+file (``file_key``, a digest of its path) and written with dynamic partition overwrite: a replayed batch, or
+a run under a new checkpoint, replaces a file's rows instead of repeating them.
 """
 
 from __future__ import annotations
@@ -17,29 +17,40 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..session import checkpoint_root
-from ..sources.submissions import decode_text
+from ..sources.submissions import submission_rows
 
 
-def submission_stream(spark: SparkSession, src: str, glob: str = "*.txt") -> DataFrame:
-    raw = (spark.readStream.format("binaryFile").schema(schemas.SUBMISSION_FILE)
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(src))
-    return raw.select(F.xxhash64("path").alias("submission_id"), "path",
-                      F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
-                      decode_text(F.col("content")).alias("content"))
+def submission_stream(spark: SparkSession, src: str, glob: str = "*.txt", max_files: int = 1000) -> DataFrame:
+    return submission_rows(
+        spark.readStream.format("binaryFile").schema(schemas.SUBMISSION_FILE).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob).option("maxFilesPerTrigger", str(max_files)).load(src))
 
 
 def run_incremental(spark: SparkSession, src: str, out: str, job: Callable[[DataFrame], DataFrame],
-                    name: str = "convert", checkpoint: str | None = None) -> int:
-    """Run ``job`` over files landed since the last run; returns the number of new files."""
+                    name: str = "convert", checkpoint: str | None = None, max_files: int = 1000) -> int:
+    """Run ``job`` over files landed since the last run; returns the number of new files.
+
+    ``job`` keeps ``submission_id`` (the file's path).
+    """
     ckpt = checkpoint or f"{checkpoint_root(spark).rstrip('/')}/streams/{name}"
-    seen = {"files": 0}
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        result = job(df)
-        result.write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch_id}")
-        seen["files"] += df.select("path").count()
+        keyed = job(df).withColumn("file_key", F.sha2("submission_id", 256))
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_key").parquet(out)
 
-    q = (submission_stream(spark, src).writeStream.foreachBatch(batch)
+    before = _files_seen(spark, ckpt)
+    q = (submission_stream(spark, src, max_files=max_files).writeStream.foreachBatch(batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return seen["files"]
+    return _files_seen(spark, ckpt) - before
+
+
+def _files_seen(spark: SparkSession, ckpt: str) -> int:
+    """Entries of the stream's own log of files; the source is not read again."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/sources/0")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(log):
+        return 0
+    # the log keeps one JSON line per file; compacted batches hold all earlier ones
+    lines = spark.read.text(f"{ckpt}/sources/0").filter(F.startswith("value", F.lit("{")))
+    return lines.select(F.get_json_object("value", "$.path")).distinct().count()

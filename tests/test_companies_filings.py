@@ -8,7 +8,7 @@ from quillspark.operators import companies as C
 from quillspark.operators import filings as FL
 from quillspark.sources.companies import company_items_from_payload
 from quillspark.sources.filings import filings_from_json
-from quillspark.sources.index_pages import parse_index_page, read_index
+from quillspark.sources.index_pages import read_index
 
 
 def test_company_payload_last_wins(spark):
@@ -101,12 +101,12 @@ INDEX_HTML = """<html><body><table class="tableFile" summary="Document Format Fi
 </table></body></html>"""
 
 
-def test_index_page_parser():
-    rows = parse_index_page(INDEX_HTML)
-    assert [r[0] for r in rows] == ["aapl-20230930.htm", "a-ex211.htm", "0001-23.txt"]
-    assert rows[0][1] == "https://www.sec.gov/Archives/edgar/data/1/x/aapl-20230930.htm"
-    assert rows[0][2] == "10-K" and rows[0][3] == "10-K"  # cell 2 is the type, cell 4 the size column
-    assert parse_index_page("<table><tr><td>1</td></tr></table>") == []
+def test_index_page_rows(spark):
+    pages = spark.createDataFrame([("1", "acc", INDEX_HTML)], "cik string, accession string, html string")
+    rows = read_index(pages).orderBy("pos").collect()
+    assert [r.filename for r in rows] == ["aapl-20230930.htm", "a-ex211.htm", "0001-23.txt"]
+    assert rows[0].url == "https://www.sec.gov/Archives/edgar/data/1/x/aapl-20230930.htm"
+    assert rows[0].doc_type == "10-K" and rows[0].size == "10-K"  # cell 2 is the type, cell 4 the size column
 
 
 def test_read_index_roles_and_default(spark):
@@ -148,8 +148,7 @@ def test_concept_payload_and_series(spark):
         "shares": [{"end": "2023-09-30", "val": 1.0, "filed": "2023-11-03"}]}})
     recs = read_concepts(spark.createDataFrame([(payload,)], "value string"))
     assert recs.count() == 4 and recs.where("frame IS NULL").count() == 3
-    usd = recs.where("unit = 'USD'").withColumn("event_id", F.monotonically_increasing_id() * 0)
-    out = concept_series(usd.select("concept", "end", "val", "filed", "event_id", "unit"), "Assets", "USD").collect()
+    out = concept_series(recs, "Assets", "USD").collect()
     assert [(r.end, str(r.filed_date)) for r in out] == [("2022-09-24", "2022-08-01"), ("2022-09-24", "2022-10-28"),
                                                           ("2023-09-30", "2023-11-03")]  # ties broken by filing date
 
@@ -171,7 +170,7 @@ def test_selection_summary_job(spark):
         [("0000320193", "10-K", 0, "2023-11-03", "acc-1", 1), ("0000320193", "10-K", 1, "2022-10-28", "acc-2", 2),
          ("0000789019", "10-Q", 0, "2023-10-24", "acc-3", 3)],
         "cik string, form string, pos long, filingDate string, accession string, order_key long")
-    landed = spark.createDataFrame([(1,)], "submission_id long")
+    landed = spark.createDataFrame([("0000320193", "acc-1", "text")], "cik string, accession string, content string")
     docs = spark.createDataFrame([("acc-2", 1, "a-10-k.htm", "10-K", "u2")],
                                  "accession string, pos int, filename string, doc_type string, url string")
     out = {r.ticker: (r.n_reports, r.status) for r in selection_summary(
@@ -194,9 +193,34 @@ def test_corpus_build_end_to_end(spark):
     requested = spark.createDataFrame([(0, "AAPL"), (1, "NOPE")], "req_pos int, ticker string")
     filings = spark.createDataFrame([("0000320193", "10-K", 0, "2023-12-31", "0000320193-23-000106", 7)],
                                     "cik string, form string, pos long, filingDate string, accession string, order_key long")
-    landed = spark.createDataFrame([(7,)], "submission_id long")
+    landed = spark.createDataFrame([("0000320193", "0000320193-23-000106", "body")],
+                                   "cik string, accession string, content string")
     docs = spark.createDataFrame([], "accession string, pos int, filename string, doc_type string, url string")
     out = corpus_build(requested, companies, filings, landed, docs).collect()
-    assert [(r.ticker, r.file_name, r.source) for r in out] == [("AAPL", "AAPL_2023-12-31_10K.txt", "submission")]
+    assert [(r.ticker, r.file_name, r.source, r.content) for r in out] == [
+        ("AAPL", "AAPL_2023-12-31_10K.txt", "submission", "body")]
     assert out[0].url == ("https://www.sec.gov/Archives/edgar/data/0000320193/000032019323000106/"
                           "0000320193-23-000106.txt")
+
+
+def test_corpus_build_of_share_classes_and_payload_rows(spark, scratch):
+    """Two tickers of one company, filings as S2 makes them, texts as S3 reads them: one row per ticker and filing."""
+    import os
+
+    from quillspark.plans.jobs import corpus_build
+    from quillspark.sources.submissions import read_submissions
+    companies = spark.createDataFrame([("GOOG", "0001652044", "Alphabet"), ("GOOGL", "0001652044", "Alphabet")],
+                                      "ticker string, cik string, title string")
+    requested = spark.createDataFrame([(0, "GOOG"), (1, "GOOGL")], "req_pos int, ticker string")
+    payload = json.dumps({"filings": {"recent": {"form": ["10-K", "10-K"], "filingDate": ["2024-01-31", "2023-02-03"],
+                                                 "accessionNumber": ["0001652044-24-000022", "0001652044-23-000016"]}}})
+    filings = filings_from_json(spark.createDataFrame([("1652044", payload)], "cik string, value string"))
+    os.makedirs(f"{scratch}/in")
+    with open(f"{scratch}/in/one.txt", "w") as f:
+        f.write("<SEC-HEADER>\nACCESSION NUMBER:\t0001652044-24-000022\nCENTRAL INDEX KEY:\t1652044\n</SEC-HEADER>\nBody")
+    landed = read_submissions(spark, f"{scratch}/in")
+    docs = spark.createDataFrame([], "accession string, pos int, filename string, doc_type string, url string")
+    out = corpus_build(requested, companies, filings, landed, docs).collect()
+    assert sorted((r.ticker, r.req_pos, r.rank, r.source) for r in out) == [
+        ("GOOG", 0, 1, "submission"), ("GOOG", 0, 2, "index"), ("GOOGL", 1, 1, "submission"), ("GOOGL", 1, 2, "index")]
+    assert all(r.content.endswith("Body") == (r.source == "submission") for r in out if r.content)

