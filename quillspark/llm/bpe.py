@@ -349,13 +349,16 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, start: np.ndarray) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+RUN_BYTES = 6 << 20            # text bytes encoded at a time
+
+
 def _texts(run: pa.Table) -> pa.Array:
     return pc.fill_null(run.combine_chunks().column(1).chunk(0), "")
 
 
 def _count(batches, path: str):
     v = vocabulary(path)
-    for run in text_runs(batches):
+    for run in text_runs(batches, RUN_BYTES):
         u = Units(v, _texts(run))
         n = u.counts()
         often = [i for i in np.flatnonzero(n >= BLOCK_COUNT).tolist()
@@ -368,7 +371,7 @@ def _encode(batches, path: str, lexicon):
     v = vocabulary(path)
     with MappedArrays(lexicon.value) as arrays:
         lex = Lexicon(arrays)
-        for run in text_runs(batches):
+        for run in text_runs(batches, RUN_BYTES):
             ids, start = encode_texts(v, lex, _texts(run))
             raw, cut = ids.astype("<u4").tobytes(), (4 * start).tolist()
             yield pa.RecordBatch.from_arrays([
