@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from quillspark.plans.bridge import TABLES
+from quillspark.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -20,19 +21,18 @@ def con():
     return c
 
 
-def test_every_query_has_an_oracle_or_a_reason():
-    no_oracle = set(E.queries()) - set(E.oracle_sql())
-    assert no_oracle == {"pure_html", "html_dom_clean"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     import sys
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__)), "scripts"))
     from oracle_check import value_hash
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    rel = con.execute(E.oracle_sql()[name])
+    rel = con.execute(ORACLE[name])
     dcols = [d[0] for d in rel.description]
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dcols)
@@ -40,22 +40,7 @@ def test_query_matches_oracle(spark, con, name):
     assert value_hash(df.columns, srows)[0] == value_hash(dcols, drows)[0]
 
 
-def test_rows_only_queries_run(spark):
-    for name in ["pure_html", "html_dom_clean"]:
-        assert E.queries()[name](spark, SF).count() >= 0
-
-
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"submission_id", "report", "truncated", "company", "accession"} <= set(df.columns)
-
-
-def test_main_slice_query_matches_python_on_bridge(spark):
-    """T17 has no SQL oracle (look-ahead): compare the registered query with Python ``re``."""
-    from quillspark.plans import bridge as B
-    from test_submissions import python_main_slice
-    content = {r.submission_id: r.content for r in B.view(spark, SF, "submissions").collect()}
-    got = {r.submission_id: r.main_text for r in E.queries()["main_slice"](spark, SF).collect()}
-    assert got == {k: python_main_slice(v) for k, v in content.items()}
-    assert any(got[k] != content[k] for k in content)  # the slice does cut some submissions
