@@ -130,7 +130,42 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_RAW = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All sets that share a shingle, exact overlaps, and the closure of links.
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_RAW.format(_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 4], ' ') AS k
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.r = c.a JOIN n y ON y.r = c.b
+  WHERE 100 * c.both >= 75 * (x.n + y.n - c.both)),
+g AS (SELECT r AS a, r AS b FROM d UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b),
+m AS (SELECT g.a AS r, min(d.doc_id) AS component_id FROM g JOIN d ON d.r = g.b GROUP BY g.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN m USING (r)
+"""
+
+#: Every window of 13 words with the smallest doc_id that it starts in.
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_RAW.format("coalesce(text, '')")} AS w FROM documents),
+v AS (SELECT r, doc_id, p, array_to_string(w[p:p + 12], ' ') AS k
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT k, min(doc_id) AS low FROM v GROUP BY k),
+x AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS p FROM v JOIN f USING (k) WHERE low < doc_id),
+t AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+o AS (SELECT t.r, count(x.p) AS n_removed, string_agg(CASE WHEN x.p IS NULL THEN t.word END, ' ' ORDER BY t.p) AS kept
+  FROM t LEFT JOIN x ON x.r = t.r AND x.p = t.p GROUP BY t.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (r)
+"""
+
 ORACLE: dict[str, str] = {
+    "op8_jaccard_join": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
     "op2_topk_search": OP2_SQL,
     "op7_decontaminate": OP7_SQL,
 }
