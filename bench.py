@@ -17,7 +17,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["assemble_report", "clean_section", "split_sections", "html_to_text", "render_html",
-            "paragraphs", "latest_filings", "main_document", "filing_text_fallback", "company_dedup"]
+            "paragraphs", "latest_filings", "main_document", "filing_text_fallback", "company_dedup",
+            "main_slice", "index_parse", "pure_html"]
 
 
 def main() -> None:
@@ -30,7 +31,7 @@ def main() -> None:
     from quillspark.session import build_session
 
     spark = build_session(f"local[{cpus}]", app="quillspark-bench", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": "16g"})
+                          extra={"spark.driver.memory": "16g", "quillspark.input.partitions": cpus})
     # warm-up: JVM start, parquet footers, codegen caches
     QUERIES["latest_filings"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
