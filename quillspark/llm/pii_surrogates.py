@@ -46,19 +46,20 @@ SYLLABLES = {"latin": "bar ber bren cal cor dan del dor fal fer gar gren hal hol
              "cyrillic": "бар бел вол гор дан дор кар кол лан мар мир нов пав рос сав сем тар тор фед чер".split()}
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _TITLES = "|".join(t for titles in TITLES.values() for t in titles)
-_PERSON = rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?\p{{Lu}}\p{{L}}+|(?:{_NAMES}) \p{{Lu}}\p{{L}}+)"
+_PERSON = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?\p{{Lu}}\p{{L}}+|(?:{_NAMES}) \p{{Lu}}\p{{L}}+)"
 _GUARD, _UNTIL = r"(?<![A-Za-z0-9.+@_-])", r"(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "ip": rf"{_GUARD}(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
-    "iban": rf"{_GUARD}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_UNTIL}",
-    "id": rf"{_GUARD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_UNTIL}",
-    "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])"
-             rf"|{_GUARD}(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_UNTIL}",
-    "card": rf"{_GUARD}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){_UNTIL}",
+    "email": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "ip": rf"(?=[0-9]){_GUARD}(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]){_GUARD}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_UNTIL}",
+    "id": rf"(?=[0-9]){_GUARD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_UNTIL}",
+    "phone": r"(?=\+)(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])"
+             rf"|(?=[0-9(]){_GUARD}(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_UNTIL}",
+    "card": rf"(?=[0-9]){_GUARD}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){_UNTIL}",
     "person": _PERSON,
 }
+#: One pattern for all; the look-aheads reject most places by one character.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DIGITS = ("phone", "card", "id")
 
@@ -204,7 +205,8 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "quills
     """``docs`` with surrogates in ``text_col`` and a new column ``entities`` (array<struct<kind, surrogate>>)."""
     text = F.col(text_col)
     # a cheap test that every entity passes
-    may = F.regexp_like(text, F.lit(rf"[0-9]{{3}}|@|[0-9]\.[0-9]|(?:{_TITLES}|{_NAMES})\.? "))
+    may = text.contains("@") | F.regexp_like(text, F.lit(r"[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]")) \
+        | F.regexp_like(text, F.lit(rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? "))
     base = docs.withColumn(FOUND, F.when(may, F.regexp_extract_all(text, F.lit(ANY), 0)))
     found = F.size(F.coalesce(FOUND, F.array().cast("array<string>"))) > 0
     held = keep(base.filter(found).select(F.xxhash64(text).alias(KEY), F.explode(F.array_distinct(FOUND)).alias("raw"))
