@@ -7,9 +7,9 @@ arrays travel as one broadcast of bounded size (``lexicon_size`` words of up to
 task memory-maps them and walks all distinct words of a block at once.  Words that
 the lexicon does not hold are merged exactly: lowest rank first, leftmost of equals.
 
-Texts are cut into units at single spaces first; no pre-token reaches over the start of a unit, so the
-pre-token pattern runs once per distinct unit of a block.  Texts with two spaces in a row or a special token are cut
-by the pattern itself.
+Texts are cut into units at single spaces first.  A space right after a character that is no whitespace starts a
+pre-token, so the pre-token pattern runs once per distinct unit of a block.  Texts with a space after any whitespace (a run
+of mixed whitespace is one pre-token) or with a special token are cut by the pattern itself.
 
 A word is a lexicon candidate where some block holds it ``BLOCK_COUNT`` times; counts add up over those blocks.
 The lexicon decides speed only, never an id.  Defined cases: null and empty texts have no ids; null
@@ -35,6 +35,8 @@ from quillspark.llm.elias_fano import MappedArrays
 
 #: Pre-token pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space after whitespace: the characters of the pattern's ``\s``, spelled out for RE2, whose own ``\s`` is ASCII.
+SPACE_RUN = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 LEXICON_SIZE = 50_000
 BLOCK_COUNT = 8
 MAX_WORD = 64
@@ -272,7 +274,7 @@ class Units:
     """Texts as sequences of distinct units, units as sequences of distinct words."""
 
     def __init__(self, v: Vocabulary, texts: pa.Array):
-        odd = pc.match_substring(texts, "  ")
+        odd = pc.match_substring_regex(texts, SPACE_RUN)
         for s in v.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         odd = odd.to_numpy(zero_copy_only=False)

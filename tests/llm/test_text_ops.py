@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,24 @@ def test_bpe_equals_the_tokenizers_library():
         assert ids[start[i]:start[i + 1]].tolist() == want and back[i] == t
 
 
+def test_bpe_of_mixed_whitespace_runs_equals_the_tokenizers_library():
+    import regex
+    from tokenizers import Tokenizer
+    reference = Tokenizer.from_file(bpe.default_vocabulary())
+    v = bpe.vocabulary(bpe.default_vocabulary())
+    lex = bpe.Lexicon(bpe.compile_lexicon(v, [b" the", b"a"]))
+    space = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"\s", chr(c))]
+    assert pc.all(pc.match_substring_regex(pa.array([c + " " for c in space]), bpe.SPACE_RUN)).as_py()
+    texts = ["a \u00a0 \u00a0 b", " \u00a0" * 4, "a\n \n \n b", "x\t \t y \u00a0z", " a b", "a \nb \u00a0 ", "a " + "\u00a0 " * 9]
+    texts += [f"a{c} {c} {c} {c} b" for c in space]
+    r = random.Random(5)
+    texts += ["".join(r.choice([" ", " ", "\u00a0", "\u00a0", "\n", "\t", "a", "!", "1"]) for _ in range(r.randint(1, 16)))
+              for _ in range(4000)]
+    ids, start = bpe.encode_texts(v, lex, pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[start[i]:start[i + 1]].tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_transducer_shares_suffixes():
     v = bpe.vocabulary(bpe.default_vocabulary())
     words = [a + b"ing" for a in (b"walk", b"talk", b"jump", b"work")]
