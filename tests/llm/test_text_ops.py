@@ -229,6 +229,43 @@ def test_surrogates_never_collide(spark, empty):
     assert pii_surrogates.replace_entities(empty).count() == 0
 
 
+SHORT = {"email": ["a@b.cc", "x.y+z@a-b.org"], "ip": ["1.2.3.4", "10.20.30.40"], "id": ["123-45-6789"],
+         "iban": ["GB82 WEST ABCD", "DE44ABCDEFGH", "FR12 ABCD EFGH IJ"], "card": ["4111 1111 1111 1111", "4111111111111"],
+         "phone": ["+33 12 34 56 78", "+49 30 12 34 56", "+1 (23) 45-67 89", "+1 12 34 56", "+33123456", "(123) 456-7890", "123-456-7890"],
+         "person": ["Mr Li", "Dr. Mary Li", "Mary Li", "Иван Петров", "Señora Li"]}
+
+
+def test_every_match_passes_the_cheap_test(spark):
+    p = pii_surrogates
+    assert set(SHORT) == set(p.PATTERNS)
+    for kind, found in SHORT.items():
+        held = spark.createDataFrame([(x,) for x in found], "text string")
+        assert held.filter(F.regexp_like("text", F.lit(f"^(?:{p.PATTERNS[kind]})$"))).count() == len(found), kind
+        assert held.filter(p.may_hold(F.col("text"))).count() == len(found), kind
+    r = random.Random(9)
+    digits = lambda a, b: "".join(r.choice("0123456789") for _ in range(r.randint(a, b)))
+    sep = lambda: r.choice(["", " ", ".", "-"])
+    texts = [f"+{digits(1, 3)}{sep()}" + r.choice(["({})", "{}"]).format(digits(2, 4)) + "".join(
+        sep() + digits(2, 4) for _ in range(r.randint(2, 4))) for _ in range(1500)]
+    texts += [f"AB{digits(2, 2)}" + "".join(r.choice(["", " "]) + "".join(r.choice("XYZ0") for _ in range(4))
+                                            for _ in range(r.randint(2, 7))) for _ in range(500)]
+    texts += ["".join(r.choice(["1", "23", "4", ".", "-", " ", "+", "(", ")", "@", "a", "A", "Mr ", "Mary "])
+                      for _ in range(r.randint(4, 16))) for _ in range(6000)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").filter(F.regexp_like("text", F.lit(p.ANY)))
+    assert df.count() > 2000
+    assert df.filter(~p.may_hold(F.col("text"))).collect() == []
+
+
+def test_short_phones_and_ibans_alone_in_a_text_are_replaced(spark):
+    texts = [f"call {x} now" for x in SHORT["phone"]] + [f"to {x}." for x in SHORT["iban"]] + ["the 12 and 34", "+33 12 34 56 78 or 123"]
+    out = {x.doc_id: x for x in pii_surrogates.replace_entities(frame(spark, texts), key="k").collect()}
+    for i, t in enumerate(texts[:10]):
+        assert len(out[i].entities) == 1 and out[i].text != t and len(out[i].text) == len(t), t
+    assert out[10].text == texts[10] and out[10].entities == []
+    # one number, one surrogate, whatever else its text holds
+    assert out[11].text == out[0].text[5:-4] + " or 123"
+
+
 def test_surrogate_plan_is_native(spark):
     plan = pii_surrogates.replace_entities(frame(spark, ["a@b.com"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
