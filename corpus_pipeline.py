@@ -1,12 +1,13 @@
 """Corpus pipeline over ``documents`` (part of subpackage llm): five stages, each over all that the one before kept.
 
 1. toxicity: documents that score ``THRESHOLD`` or more go;
-2. n-gram Jaccard join: of each group of linked documents the smallest doc_id stays;
+2. n-gram Jaccard join: of each group of linked documents one stays, the first by doc_id (null last) and hash of the row;
 3. benchmark decontamination: documents that hold a window of a benchmark item go;
 4. secret scan: secrets in texts are replaced by a mark, documents stay;
 5. BPE: the ids of every document.
 
-Rows with null doc_id cannot be told apart, so stage 2 lets them pass; of rows that repeat a doc_id it keeps one.
+Stage 2 tells rows apart by all their columns, so repeated and null doc_ids take part like others; rows without words
+link to nothing and stay.
 """
 
 from __future__ import annotations
@@ -26,9 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_join.component_ids(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    key = "__qs_row"
+    # a hash of the whole row (nulls told from values): doc_ids may repeat or be null
+    keyed = docs.withColumn(key, F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]))
+    has_words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    worded = keyed.filter(has_words)
+    # with that hash as id, the smallest id of a component is the component's own
+    ids = jaccard_join.component_ids(worded, id_col=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    first = ids.join(worded.select(key, "doc_id").distinct(), key).groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)).alias("first")).select(f"first.{key}")
+    one = worded.join(first, key, "left_semi").dropDuplicates([key])
+    return one.select(docs.columns).unionByName(docs.filter(~has_words))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

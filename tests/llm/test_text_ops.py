@@ -419,3 +419,27 @@ def test_pipeline_stages(spark, scratch):
             assert {i: r.decoded_sha256 for i, r in after.items()} == {
                 i: hashlib.sha256((r.text or "").encode()).hexdigest() for i, r in before.items()}
     assert cp.run(spark, SF).count() == out.count()
+
+
+def test_pipeline_keeps_one_row_of_each_near_duplicate_group(spark):
+    """Whatever the doc_ids: repeated with other texts, null, or null in a whole group."""
+    import corpus_pipeline as cp
+    r = random.Random(12)
+    prose = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(60))
+    x, y, z, u = prose(), prose(), prose(), prose()
+    groups = {x: [(7, x), (None, x + " more")], y: [(7, y), (9, y), (7, y), (None, y)], z: [(None, z), (None, z + " more"), (None, z)],
+              u: [(3, u + " more"), (2, u), (2, u + " end")]}
+    blank = [(None, None), (None, ""), (None, ""), (4, " "), (7, None), (7, None)]
+    rows = [row for g in groups.values() for row in g] + blank
+    df = spark.createDataFrame([(i, t, None if k % 2 else "en") for k, (i, t) in enumerate(rows)],
+                               "doc_id long, text string, lang string")
+    runs = [cp.drop_near_duplicates(spark, d, SF) for d in (df.repartition(5), df.orderBy(F.desc("text")).coalesce(1))]
+    assert runs[0].columns == df.columns
+    got, again = (sorted(map(repr, d.collect())) for d in runs)
+    assert got == again
+    kept = [(q.doc_id, q.text) for q in runs[0].collect()]
+    for g in groups.values():
+        mine = [k for k in kept if k in g]
+        assert len(mine) == 1
+        assert mine[0][0] == min((i for i, _ in g if i is not None), default=None)
+    assert len(kept) == len(groups) + len(blank)
