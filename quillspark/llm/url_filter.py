@@ -7,7 +7,7 @@ with the same last label, the same last two and three labels, and the same first
 towards the shares of all, so that a suffix seen once says little).
 
 Features and rules are Column expressions and the trees are Spark's ``GBTClassifier``.  Suffix statistics are counted
-over all labelled URLs; the trees are fitted on at most ``train_rows`` labelled URLs of each verdict, by smallest hash of the URL
+over all labelled rows; the trees are fitted on at most ``train_rows`` distinct URLs of each verdict, by smallest hash of the URL
 (the documented bound of the sample).  Every URL is scored.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule, and the trees' verdict; equal URLs
@@ -108,6 +108,13 @@ class UrlModel:
         return scored.withColumn("blocked_probability", vector_to_array("p")[1])
 
 
+def sample_urls(labelled: DataFrame, train_rows: int) -> DataFrame:
+    """(url, label): at most ``train_rows`` distinct URLs of each label, by smallest hash."""
+    one, two = (labelled.filter(F.col("label") == kind).select("url", "label").distinct()
+                .orderBy(F.xxhash64("url"), "url").limit(train_rows) for kind in (0, 1))
+    return one.unionByName(two)
+
+
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
     """Model of labelled URLs: rows of :func:`with_features` with ``label`` (1: block)."""
     # rows per distinct suffix, pre-aggregated before the shuffle
@@ -118,9 +125,8 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES,
     model = UrlModel(stats, bad / n if n else 0.0, None)
     if not 0 < bad < n:
         return model
-    sample = [labelled.filter(F.col("label") == kind).orderBy(F.xxhash64("url"), "url").limit(train_rows)
-              for kind in (0, 1)]
-    rows = model._inputs(sample[0].unionByName(sample[1]))
+    host, path = split_url(F.col("url"))
+    rows = model._inputs(with_features(sample_urls(labelled, train_rows).withColumns({"host": host, "path": path})))
     # the bounded sample in a fixed order and few partitions, so that every run fits the same trees
     rows = keep(rows.select("features", F.col("label").cast("double").alias("label"), "url")
                 .orderBy("label", F.xxhash64("url"), "url").coalesce(2))

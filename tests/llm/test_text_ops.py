@@ -388,6 +388,18 @@ def test_url_trees_on_held_out_urls(spark):
     assert len(held) > 300 and right > most and right >= 0.85 * len(held)
 
 
+def test_url_sample_is_of_distinct_urls(spark):
+    """Copies of the URL with the smallest hash do not fill the sample."""
+    urls = spark.createDataFrame([(f"http://h{i}.com/{w}/{i}", i % 2) for i in range(80) for w in ("de", "fr")], "url string, label int")
+    low = [urls.filter(F.col("label") == k).orderBy(F.xxhash64("url"), "url").first() for k in (0, 1)]
+    hot = urls.unionByName(spark.createDataFrame([tuple(x) for x in low] * 300, "url string, label int"))
+    rows = url_filter.sample_urls(hot, 30).collect()
+    assert len(rows) == len({x.url for x in rows}) == 60 and sum(x.label for x in rows) == 30
+    host, path = url_filter.split_url(F.col("url"))
+    model = url_filter.train(url_filter.with_features(hot.withColumns({"host": host, "path": path})), 30, trees=3)
+    assert model.trees is not None
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, scratch):
