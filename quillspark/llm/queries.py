@@ -82,6 +82,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_text(F.col("spans")).alias("spans"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The contract's input of op 11: in one text of ten by a hash of its id, the words from ``a`` on repeat the p words from
+    there (h = crc32 of the id, g = floor(h / 10), a = g % n, p = 1 + floor((n - a) / (3 + g % 8)))."""
+    from quillspark.functions.text import let
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        tail = F.transform(words, lambda w, i: F.get(words, place(i).cast("int")))
+        return F.when(n > 0, F.array_join(tail, " ")).otherwise(F.lit(""))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), let(words, repeated))
+                           .otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.periodic_runs import by_order, periodic_runs
+    out = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.get(F.array_sort("runs", lambda a, b: by_order(
+        (b["length"] * a["period"], a["length"] * b["period"]), (a["start"], b["start"]), (a["period"], b["period"]))), 0)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[
+        r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}") for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_topk_search": op2_topk_search,
@@ -93,6 +126,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
