@@ -115,6 +115,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op12_centroid_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.centroid_cluster import cluster
+    return cluster(table(spark, sf_dir, "embeddings")).withColumn(
+        "centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)).drop("centroid")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_topk_search": op2_topk_search,
@@ -127,6 +133,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_centroid_cluster": op12_centroid_cluster,
 }
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -197,7 +204,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN o USING (r)
 """
 
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    """Seeds by hash, then rounds of nearest centroid by integer distance and exact floors of the means."""
+    nearest = """
+a{r} AS (SELECT row, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+  SELECT row, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - m.v[i]) * (e.v[i] - m.v[i]))) AS BIGINT) AS d
+  FROM e, m{r} AS m) GROUP BY row),"""
+    move = """
+s{r} AS MATERIALIZED (SELECT c, i, floor_div(sum(x), count(*)) AS x FROM (
+  SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{r} JOIN e USING (row)) GROUP BY c, i),
+m{n} AS MATERIALIZED (SELECT m{r}.c, coalesce(t.v, m{r}.v) AS v FROM m{r} LEFT JOIN
+  (SELECT c, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY c) AS t USING (c)),"""
+    floor = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+    steps = "".join(nearest.format(r=r) + (move.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+m0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM e
+  WHERE vec_id IS NOT NULL ORDER BY c LIMIT 16),{steps.replace("floor_div(sum(x), count(*))", floor)}
+i AS (SELECT c, CAST(sum(d) AS BIGINT) AS n FROM a{rounds} GROUP BY c)
+SELECT vec_id, c AS cluster, d AS distance, i.n AS cluster_inertia, CAST((SELECT sum(n) FROM i) AS BIGINT) AS inertia,
+  sha256(array_to_string(m{rounds}.v, ',')) AS centroid_sha256
+FROM e JOIN a{rounds} USING (row) JOIN i USING (c) JOIN m{rounds} USING (c)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_centroid_cluster": _op12_sql(),
     "op8_jaccard_join": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op2_topk_search": OP2_SQL,
