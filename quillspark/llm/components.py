@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._blocks import keep
@@ -12,42 +12,55 @@ from quillspark.llm._blocks import keep
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the smallest node of its component.
 
-    Each step lowers a node's label to the least among its neighbours' labels, in one join and one sum of
-    minima, pre-aggregated before its shuffle, so a node with many links costs one row per task.  Links are first
-    thinned inside each partition to a spanning forest whose trees are stars around their smallest node, which leaves
-    few steps to go.
+    Links are turned into stars by alternating two steps, which takes a logarithmic number of rounds in practice: every
+    node ties its larger neighbours to its smallest neighbour, then its smaller neighbours and itself.  A step is one
+    minimum, pre-aggregated before its shuffle, and one join.  Before each round the links that a task holds
+    are thinned to a spanning forest of stars.
     """
-    edges = links.select("a", "b").filter("a <> b").mapInArrow(_stars, "a long, b long").distinct()
-    edges = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = keep(edges.groupBy("a").agg(F.min("b").alias("l")).select(
-        F.col("a").alias("node"), F.least("a", "l").alias("label")))
+    edges, seen = keep(_thin(links.select("a", "b").filter("a <> b"))), None
     while True:
-        seen = Observation()
-        sent = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "label",
-                                                                       F.lit(None).cast("long").alias("old"))
-        own = labels.select("node", "label", F.col("label").alias("old"))
-        moved = sent.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        moved = keep(moved.observe(seen, F.sum((F.col("label") != F.col("old")).cast("long")).alias("moved")))
-        labels = moved.select("node", "label")
-        if not seen.get["moved"]:
-            return labels
+        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if state == seen:
+            break
+        seen = state
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        edges = keep(_thin(small.unionByName(least.select(F.col("m").alias("a"), "b"))))
+    return keep(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
+        edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()))
+
+
+def _thin(links: DataFrame) -> DataFrame:
+    return links.mapInArrow(_stars, "a long, b long").distinct()
 
 
 def _stars(batches):
-    """Links of each batch as (smallest node, node) of the batch's own components."""
+    """The links of a task, some hundred thousand at a time, as (smallest node, node) of their components."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def stars():
+        nodes = [x for x in parent if find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())],
+                                          names=["a", "b"])
     for batch in batches:
-        parent: dict[int, int] = {}
-
-        def find(x):
-            root = x
-            while parent.setdefault(root, root) != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-        nodes = [x for x in parent if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())],
-                                         names=["a", "b"])
+        if len(parent) > HELD:
+            yield stars()
+            parent.clear()
+    yield stars()
+
+
+HELD = 500_000                # nodes that a task thins together

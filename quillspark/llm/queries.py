@@ -121,6 +121,11 @@ def op12_centroid_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
         "centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)).drop("centroid")
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.minhash_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_topk_search": op2_topk_search,
@@ -134,6 +139,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_centroid_cluster": op12_centroid_cluster,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -175,19 +181,21 @@ _RAW = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: All sets that share a shingle, exact overlaps, and the closure of links.
-OP8_SQL = f"""
+_SET_LINKS = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_RAW.format(_LOWER)} AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[p:p + 4], ' ') AS k
   FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 c AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY ALL),
 l AS (SELECT c.a, c.b FROM c JOIN n x ON x.r = c.a JOIN n y ON y.r = c.b
-  WHERE 100 * c.both >= 75 * (x.n + y.n - c.both)),
+  WHERE 100 * c.both >= PERCENT * (x.n + y.n - c.both)),
 g AS (SELECT r AS a, r AS b FROM d UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b),
 m AS (SELECT g.a AS r, min(d.doc_id) AS component_id FROM g JOIN d ON d.r = g.b GROUP BY g.a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_idMORE
 FROM d LEFT JOIN n USING (r) JOIN m USING (r)
 """
+OP8_SQL = _SET_LINKS.replace("PERCENT", "75").replace("MORE", "")
+OP13_SQL = _SET_LINKS.replace("PERCENT", "85").replace("MORE", ", d.doc_id = m.component_id AS kept")
 
 #: Every window of 13 words with the smallest doc_id that it starts in.
 OP9_SQL = f"""
@@ -235,6 +243,7 @@ FROM e JOIN a{rounds} USING (row) JOIN i USING (c) JOIN m{rounds} USING (c)
 
 ORACLE: dict[str, str] = {
     "op12_centroid_cluster": _op12_sql(),
+    "op13_minhash_dedup": OP13_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op2_topk_search": OP2_SQL,
