@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.patterns import UNKNOWN_COMPANY
 from ..functions.text import zero_fill
+from ..session import cut_lineage
 
 
 def dedup_companies(raw: DataFrame) -> DataFrame:
@@ -55,45 +55,83 @@ def unknown_tickers(requested: DataFrame, companies: DataFrame) -> DataFrame:
     return requested.join(companies.select("ticker"), "ticker", "left_anti")
 
 
-TERM_BYTES = 8 << 20
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters."""
+    n = F.length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size))))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def match_titles(companies: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term_pos, term, and all columns of ``companies``) where the lower-cased title contains ``term`` (lower case).
+
+    An index join instead of a comparison of all pairs: titles are posted under their trigrams, each term asks under the
+    rarest of its own, and what meets there is compared exactly.  Terms of one or two characters ask under
+    themselves, an empty term under every title.  Only trigrams that some term has are posted.
+    """
+    title = F.lower("title")
+    term_grams = terms.select("term_pos", "term", F.least(F.length("term"), F.lit(GRAM)).alias("size"))
+    term_grams = term_grams.select("term_pos", "term", F.explode(
+        F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(
+            F.coalesce(*[F.when(F.col("size") == n, _grams(F.col("term"), n)) for n in range(1, GRAM + 1)]))).alias("gram"))
+    posted = companies.select("*", F.explode(F.concat(
+        F.array(F.lit("")), *[_grams(title, n) for n in range(1, GRAM + 1)])).alias("gram"))
+    asked = term_grams.select("gram").distinct()
+    counts = posted.select("gram").join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no title has rules its term out
+    rarest = term_grams.join(counts, "gram", "left").groupBy("term_pos", "term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0")
+    return posted.join(rarest.select("term_pos", "term", F.col("g.gram").alias("gram")), "gram") \
+        .filter(F.lower("title").contains(F.col("term"))).select("term_pos", "term", *companies.columns)
+
+
+def greedy_match(candidates: DataFrame) -> DataFrame:
+    """Of candidates (term_pos, rank, ticker), the ticker that each term gets: terms take, in order, their first
+    candidate by ``rank`` that no earlier term has.
+
+    In rounds of joins: each term without a company proposes its first one that no earlier term holds, and a company keeps the
+    earliest term that proposed.  What an earlier term holds can only pass to one earlier still, so no proposal needs to be
+    repeated, and the end is the serial result.  A round is one join and two partial minima over tables of keys.
+    The number of rounds is the longest chain of terms that displace each other (terms whose candidate lists all begin alike
+    settle one company a round).
+    """
+    candidates = cut_lineage(candidates.select("term_pos", "rank", "ticker"))
+    held = cut_lineage(candidates.limit(0).select("ticker", "term_pos"))
+    while True:
+        free = candidates.join(held.select("term_pos"), "term_pos", "left_anti").join(
+            held.select("ticker", F.col("term_pos").alias("holder")), "ticker", "left") \
+            .filter(F.col("holder").isNull() | (F.col("holder") > F.col("term_pos")))
+        proposed = cut_lineage(free.groupBy("term_pos").agg(F.min_by("ticker", "rank").alias("ticker")))
+        if proposed.isEmpty():
+            return held
+        held = cut_lineage(held.unionByName(proposed.select("ticker", "term_pos")).groupBy("ticker").agg(
+            F.min("term_pos").alias("term_pos")))
 
 
 def select_companies(companies: DataFrame, terms: Sequence[str], order_col: str = "first_pos") -> DataFrame:
     """J4 + W4: for each search term in order, the first company (in master order)
     whose lower-cased title contains it, never re-using a ticker.
 
-    Exact and bounded: the term at position ``i`` can lose at most ``i``
-    candidates to earlier terms, so its first ``i + 1`` candidates (``row_number``
-    per term after a theta join against the broadcast term list, planned as a
-    partial group limit) always contain the answer.  The greedy pass then sees at
-    most ``k (k + 1) / 2`` rows for ``k`` terms, whatever the size of the master.
+    The term at position ``i`` can lose at most ``i`` candidates to earlier terms, so its first ``i + 1`` candidates
+    (``row_number`` per term, planned as a partial group limit) always contain the answer; and where a text is a term for the
+    j-th time, its earlier terms have the candidates before the j-th.
     """
-    from .._ship import ship_package
     spark: SparkSession = companies.sparkSession
-    ship_package(spark)
-    k = len(terms)
-    if k == 0:
-        return spark.createDataFrame([], "term_pos int, term string, ticker string, title string")
-    term_df = spark.createDataFrame([(i, t.lower()) for i, t in enumerate(terms)], "term_pos int, term string")
-    # broadcast up to a checked size; beyond it the planner chooses
-    small_terms = sum(len(t.encode()) for t in terms) <= TERM_BYTES
-    cand = companies.join(F.broadcast(term_df) if small_terms else term_df, F.lower("title").contains(F.col("term")))
-    w = Window.partitionBy("term_pos").orderBy(order_col, "ticker")
-    cand = cand.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= k)
-    cand = cand.where(F.col("cand_rank") <= F.col("term_pos") + 1)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for _, g in pdf.sort_values(["term_pos", "cand_rank"]).groupby("term_pos", sort=True):
-            for r in g.itertuples():
-                if r.ticker not in used:
-                    used.add(r.ticker)
-                    out.append((r.term_pos, r.term, r.ticker, r.title))
-                    break
-        return pd.DataFrame(out, columns=["term_pos", "term", "ticker", "title"])
-
-    small = cand.select("term_pos", "term", "cand_rank", "ticker", "title")
-    return (small.groupBy(F.lit(1).alias("g"))
-            .applyInPandas(lambda key, pdf: greedy(pdf),
-                           "term_pos int, term string, ticker string, title string"))
+    rows, seen = [], {}
+    for i, t in enumerate(terms):
+        t = t.lower()
+        rows.append((i, t, seen.setdefault(t, 0)))
+        seen[t] += 1
+    term_df = spark.createDataFrame(rows, "term_pos int, term string, earlier int")
+    # one search per text; repeated terms share its candidates
+    texts = term_df.groupBy("term").agg(F.max("term_pos").alias("term_pos"))
+    found = match_titles(companies.select("ticker", "title", order_col), texts)
+    by = Window.partitionBy("term").orderBy(order_col, "ticker")
+    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= len(rows)).select(
+        "term", "rank", "ticker", "title")
+    cand = cut_lineage(ranked.join(term_df, "term").where(
+        (F.col("rank") <= F.col("term_pos") + 1) & (F.col("rank") > F.col("earlier"))))
+    return greedy_match(cand).join(cand, ["term_pos", "ticker"]).select("term_pos", "term", "ticker", "title")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pruning import prune_to_keys
+
 ARCHIVE_HOST = "https://www.sec.gov"
 DATA_HOST = "https://data.sec.gov"
 
@@ -187,13 +189,18 @@ def attach_text(chosen: DataFrame, landed: DataFrame, docs: DataFrame) -> DataFr
     ``landed`` has ``cik, accession, content``, one row per filing; ``docs`` is the index-document table.  Only documents of
     chosen filings without landed text are classified and grouped.  A filing with neither gets the J3a default row,
     and ``content`` is null wherever nothing has landed.
+
+    Everything but the text is resolved on keys alone.  ``landed`` is pruned to the chosen keys where it is read, and one
+    join then brings the text: ``content`` crosses one exchange, and only that of chosen filings.
     """
     key = ["cik", "accession"]
-    text = chosen.select(*key).distinct().join(landed.select(*key, "content"), key)
-    bare = chosen.select("accession", *key[:1]).distinct().join(landed.select(*key), key, "left_anti")
+    keys = chosen.select(*key).distinct()
+    held = prune_to_keys(landed, keys, key)
+    bare = keys.join(held.select(*key), key, "left_anti")
     mains = main_documents(docs.join(bare.select("accession").distinct(), "accession", "left_semi")).select(
         "accession", F.col("filename").alias("doc_file"), F.col("url").alias("doc_url"))
-    j = (chosen.join(text.withColumn("landed", F.lit(True)), key, "left").join(mains, "accession", "left"))
+    resolved = chosen.join(mains, "accession", "left")
+    j = resolved.join(held.select(*key, "content", F.lit(True).alias("landed")), key, "left")
     dflt_name, dflt_url = default_document(F.col("accession"), F.col("cik"))
     here = F.col("landed").isNotNull()
     more = [c for c in chosen.columns if c not in ("ticker", "cik", "accession", "filingDate")]

@@ -298,6 +298,30 @@ def corpus_build(spark, sf):
                                          F.length("content").alias("n_chars"))
 
 
+def _term_corpus_sql(n):
+    """The greedy picks of :func:`term_select`, their latest 10-Ks and the run summary."""
+    picks = _term_select_sql()
+    head, body = picks.split("SELECT CAST(s.term_pos AS INTEGER) AS term_pos", 1)
+    return (
+        head.rstrip() + ", picked AS (SELECT CAST(s.term_pos AS INTEGER) AS term_pos" + body + "), "
+        f"filings AS ({B.CTE_SQL['filings']}), latest AS ({_LATEST_SQL.format(form='10-K', n=n)}), "
+        f"master AS (SELECT ticker, {_zf('cik_str')} AS cik FROM (SELECT ticker, cik_str, row_number() OVER "
+        "(PARTITION BY ticker ORDER BY src_pos DESC) AS rn FROM companies_raw "
+        "WHERE ticker IS NOT NULL AND cik_str IS NOT NULL) WHERE rn = 1), "
+        "per AS (SELECT p.ticker, count(l.accession) AS n_reports FROM picked p JOIN master m USING (ticker) "
+        "LEFT JOIN latest l ON l.cik = m.cik GROUP BY p.ticker) "
+        "SELECT ticker, n_reports, CASE WHEN n_reports = 0 THEN 'no reports downloaded' ELSE 'reports' END AS status FROM per "
+        "UNION ALL SELECT NULL, CAST(sum(n_reports) AS BIGINT), 'total' FROM per")
+
+
+@register("term_corpus", _term_corpus_sql(3))
+def term_corpus(spark, sf):
+    """Companies picked by search terms (J4, W4), their latest annual reports with text (C1), and the run summary."""
+    from .jobs import selection_summary
+    return selection_summary(C.dedup_companies(B.view(spark, sf, "companies_raw")), SELECT_TERMS, B.view(spark, sf, "filings"),
+                             B.view(spark, sf, "landed"), B.view(spark, sf, "index_documents"), 3)
+
+
 @register("report_names", V(
     "SELECT ticker, file_name, rank, ticker || '/' || file_name AS relative_path, "
     "rank <> max(rank) OVER (PARTITION BY ticker, file_name) AS overwritten FROM "
