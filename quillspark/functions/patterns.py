@@ -87,7 +87,6 @@ NEWLINE_SPACE = Rx(r"\n ")
 # Line filter of T11
 # digits-only, long technical id or long hex line: whole-line tests as one pass
 TECHNICAL_LINE = Rx(rf"^(?:{D}+|[A-Z0-9\-_]{{20,}}|[a-f0-9]{{32,}})$")
-SENTENCE_MARK = Rx(r"[.!?]")
 
 # Regex fallback of the DOM clean
 XMLNS_ATTR = Rx(r'xmlns:[^=]*="[^"]*"')
@@ -123,11 +122,26 @@ ITEM_NUMBER = Rx(rf"^Item ({D}+[A-Z]?)\.", "i")
 CHAPTER_TITLE_JAVA = rf"(?d)^(?:(?iu:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"
 CHAPTER_TITLE_RE2 = rf"^(?:(?i:Part [IVX]+|Item {D}+[A-Z]?\.)|[A-Z][a-z]+ [A-Z][a-z]+)"
 
-# HTML to text (T12): markup that is not text
-# All non-text markup in one leftmost-first pass, as a tokenizer meets it: "<b<!x>" is one tag;
-# a start tag needs a letter after "<", while any "</...>" goes (end tag or bogus comment)
-HTML_MARKUP = Rx(rf"(?i:<script(?:{S}[^>]*)?>(?s:.*?)</script{S}*>)|(?i:<style(?:{S}[^>]*)?>(?s:.*?)</style{S}*>)"
-                 r"|<!--(?s:.*?)-->|<[!?][^>]*>|<[A-Za-z][^>]*>|</[^>]*>")
+# HTML to text (T12), index pages (S4): markup that is not text
+# All non-text markup in one leftmost-first pass, as a tokenizer meets it: "<b<!x>" is one tag; a start tag needs a letter
+# after "<", a quoted attribute value may hold ">", while any "</...>" goes (end tag or bogus comment).  A script, style or
+# comment that is never closed runs to the end, so no "<" is searched from twice.  Java takes the inside of a tag possessively:
+# a loop instead of a recursion, whatever the number of attributes; RE2 has no such form and needs none.
+_INSIDE = rf"""(?:[^>=]+|={S}*"[^"]*"|={S}*'[^']*'|=)*"""
+_INSIDE_JAVA = rf"""(?:[^>=]++|={S}*+"[^"]*+"|={S}*+'[^']*+'|=)*+"""
+
+
+def _markup(inside: str, end: str, name: str) -> str:
+    # group 1 is what stands behind "<" of a tag: its name, with "/" before it for an end tag
+    raw = "|".join(rf"(?i:{n}(?:{S}{inside})?>(?s:.*?)(?:</{n}{S}*>|{end}))" for n in ("script", "style"))
+    return rf"<(?:{raw}|!--(?s:.*?)(?:-->|{end})|[!?][^>]*>|({name}){inside}>|/[^>]*>)"
+
+
+_NAME = f"/?[A-Za-z][^{S_CLASS}/>=]*"
+HTML_MARKUP = Rx(_markup(_INSIDE, r"\z", _NAME))
+HTML_MARKUP_JAVA = "(?d)" + _markup(_INSIDE_JAVA, r"\z", _NAME + "+")
+# attributes of a tag in order: name, and what stands behind "="
+ATTRIBUTE_JAVA = rf"""(?s)(?<=[{S_CLASS}/"'])([^{S_CLASS}/>=][^{S_CLASS}/=>]*+)(?:{S}*+=+{S}*+("[^"]*+"|'[^']*+'|(?!["'])[^>{S_CLASS}]*+))?"""
 # str.splitlines() boundaries, plus the double-space phrase split
 LINE_OR_PHRASE_BREAK = Rx(r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]|  ")
 # Regex fallback of T12

@@ -38,10 +38,23 @@ def rx_sub_if(c: Column, needles, rx: P.Rx, repl: str = "") -> Column:
         cond = None
         for n in needles:
             cond = x.contains(n) if cond is None else cond | x.contains(n)
-        return F.when(cond, rx_sub(x, rx, repl)).otherwise(x)
+        return F.when(cond, closed_sub(x, rx, repl) if rx.body.endswith(">") else rx_sub(x, rx, repl)).otherwise(x)
     return let(c, guarded)
 
 
+def before_last(x: Column, mark: str) -> tuple[Column, Column]:
+    """The text up to its last ``mark``, that included, and the rest."""
+    rest = F.substring_index(x, mark, -1)
+    return F.left(x, F.length(x) - F.length(rest)), rest
+
+
+def closed_sub(x: Column, rx: P.Rx, repl: str = "") -> Column:
+    """``rx_sub`` for a pattern that ends in ``>``: nothing behind the last one is searched, so that markup which is never
+    closed is not searched to the end from every ``<``."""
+    head, rest = before_last(x, ">")
+    return F.concat(rx_sub(head, rx, repl), rest)
+
+
 def strip(c: Column) -> Column:
     """``str.strip()``: trim every character ``str.isspace`` accepts (plain ``trim`` takes spaces only)."""
     return F.trim(c, F.lit(P.WHITESPACE_CHARS))
@@ -134,11 +147,17 @@ def clean_section_text(c: Column, compat: bool = True) -> Column:
 _REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def _named_references() -> tuple[list[str], list[str]]:
-    """Names of HTML 5 (the standard library's table), sorted, and their characters."""
+_BUCKETS = 1024
+
+
+def _named_references() -> list[str]:
+    """Names of HTML 5 (the standard library's table) and their characters, dealt to buckets by the name's checksum."""
+    import zlib
     from html.entities import html5
-    names = sorted(html5)
-    return names, [html5[n] for n in names]
+    buckets = [["\x01"] for _ in range(_BUCKETS)]
+    for name in sorted(html5):
+        buckets[zlib.crc32(name.encode()) % _BUCKETS].append(f"{name}\x02{html5[name]}\x01")
+    return ["".join(b) for b in buckets]
 
 
 def _numeric_reference(ref: Column) -> Column:
@@ -146,43 +165,41 @@ def _numeric_reference(ref: Column) -> Column:
     digits = F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1)
     number = F.when(F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(digits, 16, 10)).otherwise(digits)
     code = F.when(F.length(F.ltrim(number, F.lit("0"))) > 9, F.lit(0x110000)).otherwise(number.cast("long"))
-    legacy = F.array(*[F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)])
+    legacy = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
     hexa = F.lpad(F.hex(code), 8, "0")
     char = F.decode(F.unhex(hexa), "UTF-32")
     dropped = ((code >= 1) & (code <= 8)) | ((code >= 0xE) & (code <= 0x1F)) | (code == 0xB) | (code == 0x7F) \
         | ((code >= 0xFDD0) & (code <= 0xFDEF)) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
     return F.when((code == 0) | ((code >= 0xD800) & (code <= 0xDFFF)) | (code > 0x10FFFF), "\ufffd") \
-        .when((code >= 0x80) & (code <= 0x9F), F.element_at(legacy, (code - 0x7F).cast("int"))) \
+        .when((code >= 0x80) & (code <= 0x9F), F.substring(F.lit(legacy), (code - 0x7F).cast("int"), F.lit(1))) \
         .when(code == 0xD, "\r").when(dropped, "").otherwise(char)
 
 
-def _decode_reference(whole: Column, table: Column) -> Column:
+def _decode_reference(whole: Column, buckets: Column) -> Column:
     """One reference (with its ``&``); an unknown name is tried by its longest known beginning, then left alone."""
-    keys, values = table["keys"], table["values"]
     ref = F.substring(whole, F.lit(2), F.length(whole))
 
-    def named(r):
-        return let(F.array_position(keys, r).cast("int"), lambda at: F.when(at > 0, F.element_at(values, at)))
+    def characters(name):
+        bucket = F.get(buckets, F.pmod(F.crc32(name.cast("binary")), F.lit(_BUCKETS)).cast("int"))
+        return let(bucket, lambda b: let(F.instr(b, F.concat(F.lit("\x01"), name, F.lit("\x02"))), lambda at: F.when(
+            at > 0, F.substring_index(F.substring(b, at + F.length(name) + 2, F.length(b)), "\x01", 1))))
 
-    def beginning(r):
-        # longest first; two letters at least, as in the standard
-        sizes = F.when(F.length(r) > 2, F.sequence(F.length(r) - 1, F.lit(2), F.lit(-1)))
-        cut = F.filter(sizes, lambda n: F.array_contains(keys, F.substring(r, F.lit(1), n)))
-        return let(F.try_element_at(cut, F.lit(1)), lambda n: F.when(n.isNull(), F.concat(F.lit("&"), r)).otherwise(
-            F.concat(named(F.substring(r, F.lit(1), n)), F.substring(r, n + 1, F.length(r)))))
-    return let(ref, lambda r: F.when(F.startswith(r, F.lit("#")), _numeric_reference(r)).otherwise(
-        F.coalesce(named(r), beginning(r))))
+    def named(r):
+        # the whole name or its longest beginning of two letters or more, as in the standard
+        sizes = F.when(F.length(r) > 1, F.sequence(F.length(r), F.lit(2), F.lit(-1)))
+        known = F.filter(F.transform(sizes, lambda n: F.struct(n.alias("n"), characters(F.substring(r, F.lit(1), n)).alias("c"))),
+                         lambda x: x["c"].isNotNull())
+        return let(F.try_element_at(known, F.lit(1)), lambda x: F.when(x.isNull(), F.concat(F.lit("&"), r)).otherwise(
+            F.concat(x["c"], F.substring(r, x["n"] + 1, F.length(r)))))
+    return let(ref, lambda r: F.when(F.startswith(r, F.lit("#")), _numeric_reference(r)).otherwise(named(r)))
 
 
 def decode_entities(c: Column) -> Column:
     """All character references of HTML 5, each once (``html.unescape``)."""
-    # the table is bound once, as two constants
-    keys, values = (F.split(F.lit("\x01".join(x)), "\x01") for x in _named_references())
-    table = F.struct(keys.alias("keys"), values.alias("values"))
+    buckets = F.split(F.lit("\x03".join(_named_references())), "\x03")       # folded to a constant
 
     def decoded(x):
-        refs = let(table, lambda t: F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), 0),
-                                                lambda r: _decode_reference(r, t)))
+        refs = F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), 0), lambda r: _decode_reference(r, buckets))
         parts = F.split(x, _REFERENCE, -1)
         return F.concat(F.element_at(parts, 1), F.array_join(F.zip_with(
             refs, F.slice(parts, F.lit(2), F.size(refs)), lambda r, p: F.concat(r, p)), ""))
@@ -195,7 +212,65 @@ def strip_markup(c: Column) -> Column:
     One leftmost-first pass, so markup is consumed in document order the way a
     tokenizer meets it (a tag running into a later declaration stays one tag).
     """
-    return rx_sub(c, P.HTML_MARKUP)
+    def stripped(x):
+        closed = ~F.substring_index(x, ">", -1).contains("<")
+        return F.when(closed, F.regexp_replace(x, P.HTML_MARKUP_JAVA, "")).otherwise(
+            F.array_join(let(markup_split(x), lambda b: b["texts"]), ""))
+    return let(c, lambda x: F.when(x.contains("<"), stripped(x)).otherwise(x))
+
+
+def markup_split(x: Column) -> Column:
+    """struct<tags, names, texts>: the markup of a page in order, the names of its tags (with ``/`` before that of an end tag; ''
+    for other markup), and the texts before, between and behind it.
+
+    No tag starts behind the last ``>``, so only the text up to there is searched for tags; the rest is text, unless an
+    element or comment that is never closed holds it.
+    """
+    def whole(b):
+        last = F.coalesce(F.try_element_at(b["tags"], F.lit(-1)), F.lit(""))
+        held = (last.rlike(r"(?i)^<(?:script|style)\b") & ~last.rlike(r"(?i)</(?:script|style)[^<>]*>$")) \
+            | (F.startswith(last, F.lit("<!--")) & ~F.endswith(last, F.lit("-->")))
+        rest = F.when(held, F.lit("")).otherwise(F.substring_index(b["rest"], "<!--", 1))
+        n = F.size(b["texts"])
+        return F.struct(b["tags"].alias("tags"), b["names"].alias("names"), F.concat(F.slice(b["texts"], F.lit(1), n - 1), F.array(
+            F.concat(F.element_at(b["texts"], n), rest))).alias("texts"))
+
+    head, rest = before_last(x, ">")
+    return let(F.struct(head.alias("head"), rest.alias("rest")), lambda h: let(F.struct(
+        F.regexp_extract_all(h["head"], F.lit(P.HTML_MARKUP_JAVA), 0).alias("tags"),
+        F.regexp_extract_all(h["head"], F.lit(P.HTML_MARKUP_JAVA), 1).alias("names"),
+        F.split(h["head"], P.HTML_MARKUP_JAVA, -1).alias("texts"), h["rest"].alias("rest")), whole))
+
+
+def paired(tags: Column) -> Column:
+    """array<struct<open, close>> in the order of ``open``: which tags of one element belong together.
+
+    ``tags`` is an array of structs with ``k`` (a tag's place) and ``closing``, in order.  The depth of a tag follows from its
+    place and its rank among the open or the close tags alone; sorted by depth and place, an open tag's own close tag comes next.
+    ``close`` is null for an element that is never closed.
+    """
+    def by_level(ts):
+        placed = F.transform(ts, lambda x, j: F.struct(x["k"].alias("k"), x["closing"].alias("closing"), j.alias("j")))
+        return let(placed, lambda p: F.array_sort(F.concat(
+            F.transform(F.filter(p, lambda x: ~x["closing"]), lambda x, r: F.struct(
+                (2 * r + 1 - x["j"]).alias("level"), x["k"].alias("k"), F.lit(True).alias("open"))),
+            F.transform(F.filter(p, lambda x: x["closing"]), lambda x, r: F.struct(
+                (x["j"] - 2 * r).alias("level"), x["k"].alias("k"), F.lit(False).alias("open"))))))
+
+    def partners(es):
+        return F.array_sort(F.transform(F.filter(F.transform(es, lambda e, i: let(F.get(es, i + 1), lambda n: F.struct(
+            e["open"].alias("open"), e["k"].alias("k"),
+            F.when((n["level"] == e["level"]) & ~n["open"], n["k"]).alias("close")))), lambda e: e["open"]),
+            lambda e: F.struct(e["k"].alias("open"), e["close"].alias("close"))))
+    return let(let(tags, by_level), partners)
+
+
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute as written; the last one of equal names, '' without a value, null if it has none."""
+    names = F.regexp_extract_all(tag, F.lit(P.ATTRIBUTE_JAVA), 1)
+    values = F.regexp_extract_all(tag, F.lit(P.ATTRIBUTE_JAVA), 2)
+    own = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda a: F.lower(a["n"]) == name)
+    return F.regexp_replace(F.try_element_at(own, F.lit(-1))["v"], "(?s)^([\"'])(.*)\\1$", "$2")
 
 
 def text_lines(c: Column) -> Column:

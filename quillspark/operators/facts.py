@@ -38,26 +38,11 @@ def concept_series(facts: DataFrame, concept: str | None = None, unit: str | Non
 
 
 def _paired(tags: Column, kind: str) -> Column:
-    """array<struct<open, close>>: places of the tags of one kind that belong together.
-
-    Depths are counted on a string of brackets.  Sorted by depth and place, an open tag's own close tag comes next.
-    """
-    own = F.filter(F.transform(tags, lambda t, k: F.struct(k.alias("k"), t.alias("t"))), lambda x: (
+    """array<struct<open, close>>: places of the tags of one kind that belong together."""
+    own = F.filter(F.transform(tags, lambda t, k: F.struct(
+        k.alias("k"), F.startswith(t, F.lit("</")).alias("closing"), t.alias("t"))), lambda x: (
         F.lower(F.regexp_extract(x["t"], r"^</?ix:([A-Za-z]+)", 1)) == kind) & ~F.endswith(x["t"], F.lit("/>")))
-
-    def levels(ts):
-        brackets = F.array_join(F.transform(ts, lambda x: F.when(F.startswith(x["t"], F.lit("</")), ")")
-                                            .otherwise("(")), "")
-        return T.let(brackets, lambda s: F.array_sort(F.transform(ts, lambda x, j: T.let(
-            2 * F.length(F.replace(F.substring(s, F.lit(1), j + 1), F.lit(")"), F.lit(""))) - (j + 1),
-            lambda depth: F.when(F.startswith(x["t"], F.lit("</")), F.struct(
-                (depth + 1).alias("level"), x["k"].alias("k"), F.lit(False).alias("open")))
-            .otherwise(F.struct(depth.alias("level"), x["k"].alias("k"), F.lit(True).alias("open")))))))
-    sorted_ = T.let(own, levels)
-    pairs = T.let(sorted_, lambda es: F.transform(es, lambda e, i: T.let(
-        F.get(es, i + 1), lambda n: F.when(e["open"] & (n["level"] == e["level"]) & ~n["open"], F.struct(
-            e["k"].alias("open"), n["k"].alias("close"))))))
-    return F.filter(pairs, lambda p: p.isNotNull())
+    return F.filter(T.paired(own), lambda p: p["close"].isNotNull())
 
 
 def fact_array(content: Column) -> Column:

@@ -241,24 +241,65 @@ def concept_facts(spark, sf_dir):
                     F.to_date("ts").alias("end"))
 
 
+# rows of an index page by pos % 5: what stands around the link and its name, in the page and in the parsed row
+INDEX_MARKUP = [  # (link attributes, name before, query, size before) as written; the same as read
+    (("", "", "", ""), ("", "", "", "")),
+    (("title=\"a>b\" ", "", "", ""), ("", "", "", "")),
+    (("data-href='/no' ", "&rarr;<b> &NotEqualTilde; </b>", "", ""), ("", "\u2192\u2242\u0338", "", "")),
+    (("", "<i></i>", "?a=1&amp;b=2", ""), ("", "", "?a=1&b=2", "")),
+    (("class=x ", "&copy", "", "<table><tr><td title='>'>n</td></tr></table>"), ("", "\u00a9", "", "n")),
+]
+
+
+def index_markup(part: int, read: bool, pos="pos"):
+    """Column of one part of :data:`INDEX_MARKUP` by the row's place."""
+    return F.element_at(F.array(*[F.lit(m[read][part]) for m in INDEX_MARKUP]), F.col(pos) % len(INDEX_MARKUP) + 1)
+
+
+def index_markup_sql(part: int, pos="pos") -> str:
+    values = ", ".join("'" + m[1][part].replace("'", "''") + "'" for m in INDEX_MARKUP)
+    return f"[{values}][{pos} % {len(INDEX_MARKUP)} + 1]"
+
+
 def index_pages(spark, sf_dir):
     """One landed index page per filing, rendered from ``index_documents``.
 
+    Pages hold what real ones do: quoted ``>``, references, comments with rows, a table of a similar class, nested tables.
     A page lists one order's lines (at most 7 in these tables), so the grouped
     list is bounded; rows are placed in page order by ``pos``.
     """
     docs = index_documents(spark, sf_dir)
+    attributes, before, query, nested = (index_markup(i, False) for i in range(4))
     row = F.concat(F.lit("<tr><td>"), F.col("pos").cast("string"), F.lit("</td><td>"), F.col("doc_type"),
-                   F.lit("</td><td><a href=\""), F.regexp_replace("url", "^https://www\\.sec\\.gov", ""),
-                   F.lit("\">"), F.col("filename"), F.lit("</a></td><td>"), F.col("doc_type"),
-                   F.lit("</td><td>"), F.col("size"), F.lit("</td></tr>\n"))
+                   F.lit("</td><td><a "), attributes, F.lit("href=\""), F.regexp_replace("url", "^https://www\\.sec\\.gov", ""),
+                   query, F.lit("\">"), before, F.col("filename"), F.lit("</a></td><td>"), nested, F.col("doc_type"),
+                   F.lit("</td><td>"), F.col("size"), F.lit("</td></tr>\n"),
+                   F.when(F.col("pos") % 2 == 0, "<!-- <tr><td>0</td><td>x</td><td><a href='/c'>c</a></td><td>y</td></tr> -->\n")
+                   .otherwise(""))
     rows = F.sort_array(F.collect_list(F.struct("pos", row.alias("r"))))
-    page = F.concat(F.lit("<html><body><table class=\"tableFile\" summary=\"Document Format Files\">\n"
+    page = F.concat(F.lit("<html><body><table class=\"tableFile-old\"><tr><td></td></tr><tr><td>1</td><td>2</td><td>"
+                          "<a href='/old'>old</a></td><td>4</td></tr></table>\n"
+                          "<table class=\"wide tableFile\" summary=\"Files > 0\">\n"
                           "<tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th><th>Size</th></tr>\n"),
                     F.array_join(F.transform(rows, lambda x: x["r"]), ""), F.lit("</table></body></html>"))
     return docs.groupBy("cik", "accession").agg(page.alias("html"))
 
 
+# markup put behind a page by page_id % 4, and the lines of text it gives
+ODD_MARKUP = [
+    ("\n<p title='a>b'>one</p>\n", ["one"]),
+    ("\n<!-- <p>no</p> -->&rarr; two &hellip;&NotEqualTilde;\n<script src=\"x>y\">if (a<b) c();</script>\n", ["\u2192 two \u2026\u2242\u0338"]),
+    ("\n<a b=\"1>2\" c='>'>three</a>  four &#x80;&unknown;\n<style>never closed <b>", ["three", "four \u20ac&unknown;"]),
+    ("\n&notit; <td nowrap data-x = '>>'>five</td> 1 < 2\n<!-- never closed <p>six</p>", ["\u00acit; five 1 < 2"]),
+]
+
+
+def odd_pages(spark, sf_dir):
+    """Pages with markup behind them that only a tokenizer reads right."""
+    odd = F.element_at(F.array(*[F.lit(m) for m, _ in ODD_MARKUP]), (F.col("page_id") % len(ODD_MARKUP) + 1).cast("int"))
+    return html_docs(spark, sf_dir).withColumn("html", F.concat("html", odd))
+
+
 def landed(spark, sf_dir):
     """Landed submission texts under the keys of the filing list: order ``order_key`` is document ``submission_id``."""
     f = filings(spark, sf_dir).select("cik", "accession", "order_key")

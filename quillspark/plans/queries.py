@@ -520,6 +520,19 @@ def clean_ixbrl(spark, sf):
 # ---------------------------------------------------------------------------
 # HTML pages
 # ---------------------------------------------------------------------------
+def _odd_lines_sql():
+    lists = ", ".join("[" + ", ".join(Q.q(x) for x in lines) + "]" for _, lines in B.ODD_MARKUP)
+    return f"[{lists}][page_id % {len(B.ODD_MARKUP)} + 1]"
+
+
+@register("html_to_text_odd", V(
+    f"SELECT page_id, array_to_string(list_concat(list_filter([{Q.html_to_text('html')}], lambda x: x <> ''), "
+    f"{_odd_lines_sql()}), chr(10)) AS text FROM html_docs", "html_docs"))
+def html_to_text_odd(spark, sf):
+    """T12 on pages with quoted ``>``, rare and unknown references, and elements and comments that are never closed."""
+    return D.html_to_text(B.odd_pages(spark, sf)).select("page_id", "text")
+
+
 @register("html_to_text", V(f"SELECT page_id, {Q.html_to_text('html')} AS text FROM html_docs", "html_docs"))
 def html_to_text(spark, sf):
     """Page text (all HTML5 entities decoded)."""
@@ -752,8 +765,12 @@ def pdf_paragraphs(spark, sf):
 
 # The page has the five columns Seq, Description, Document, Type, Size; the scan reads
 # the fourth cell (Type) as "size", as the reference does, so size equals the type here.
-@register("index_parse", V("SELECT cik, accession, pos, filename, url, doc_type, doc_type AS size "
-                           "FROM index_documents", "index_documents"))
+@register("index_parse", V(
+    "SELECT cik, accession, pos, filename, url, CASE WHEN contains(lower(filename), '10-k') THEN '10-K' "
+    "WHEN contains(lower(filename), '10-q') THEN '10-Q' WHEN contains(lower(filename), '8-k') THEN '8-K' ELSE 'other' END "
+    "AS type, doc_type, size FROM (SELECT cik, accession, pos, "
+    f"{B.index_markup_sql(1)} || filename AS filename, url || {B.index_markup_sql(2)} AS url, doc_type, "
+    f"{B.index_markup_sql(3)} || doc_type AS size FROM index_documents)", "index_documents"))
 def index_parse(spark, sf):
     """Landed index pages (rendered from the index bridge) parsed back into document rows."""
     from ..sources.index_pages import read_index

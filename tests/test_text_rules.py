@@ -157,3 +157,88 @@ def test_outline_numbers(spark):
     rows = [(r.title, r.kind, r.number) for r in outline(df, "id").orderBy("line_pos").collect()]
     assert rows == [("PART iv", "part", "iv"), ("Item 7A. Market risk", "item", "7A"),
                     ("Overview", "listed", None), ("Some Capitalised words", "capitalised", None)]
+
+
+# --- markup tokenizer (S4, T12), references, fact pairing (T20) --------------------------------
+
+def _column(spark, values, fn):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, h string")
+    return [r.t for r in df.select("i", fn(F.col("h")).alias("t")).orderBy("i").collect()]
+
+
+def test_references_equal_the_standard_library(spark):
+    import html
+    import random
+    from html.entities import html5
+    r = random.Random(5)
+    names = sorted(html5)
+    cases = [f"a&{n}b {n}" for n in names] + [f"&{n[:-1]}x;" for n in names[::7]] + [
+        "&", "&&amp;", "&#0;", "&#x110000;", "&#128;&#x9f;&#13;&#1;&#xfdd0;", "&#38", "&#x;", "&#;", "&a", "&Am", "no",
+        "&notit;", "&amp;amp;", "".join(f"&{r.choice(names)}" for _ in range(400))]
+    assert _column(spark, cases, T.decode_entities) == [html.unescape(c) for c in cases]
+
+
+def test_markup_of_odd_pages(spark):
+    cases = {
+        "<p title='a>b'>t</p>": "t", '<a x="1>2" y = \'>\' z=3>u</a>v': "uv", "x<!-- <b> -->y<!-- open <p>": "xy",
+        "<script>var a=1<2": "", "<style>x</style>k<SCRIPT src='q>r'>no</SCRIPT >z": "kz", "1 < 2 <b": "1 < 2 <b",
+        "<a b c": "<a b c", "<p>q</p> tail <!-- c": "q tail", "</p a>x</>y<?pi?>z<!DOCTYPE html>": "xyz", "<b<!x>c": "c",
+        "<p a='>b": "b", "<script>a</script><b": "<b", "<scripty>s</scripty>": "s", "": "", "plain": "plain"}
+    assert _column(spark, list(cases), T.html_to_text) == list(cases.values())
+
+
+def test_unclosed_markup_takes_linear_time(spark):
+    import time
+    runs = [("<script>" + "a<b " * 200_000, T.html_to_text), ("<" * 200_000, T.html_to_text), ("<!-- x>" * 100_000, T.html_to_text),
+            ("<a " + "x='1' " * 200_000 + ">t", T.html_to_text), ('<a x="1\' >' * 100_000, T.html_to_text),
+            ("<" * 200_000, T.clean_section_text), ("<p " * 200_000, T.clean_section_text), ("<x" * 200_000, T.clean_sgml_text)]
+    for text, fn in runs:
+        t = time.time()
+        _column(spark, [text], fn)
+        assert time.time() - t < 30
+
+
+PAGE = '''<html><!-- <table class="tableFile"><tr><td>c</td></tr></table> -->
+<table class="tableFile-old"><tr><td>1</td></tr><tr><td>1</td><td>2</td><td><a href="/no">n</a></td><td>4</td></tr></table>
+<TABLE summary='x' CLASS="big tableFile"><tr><th>h</th></tr>
+<tr><td>1</td><td> Main &amp; more </td><td><a data-href="/bad" href="/x?a=1&amp;b=2">f<b> 10-K </b>.htm</a></td><td>12</td></tr>
+<!-- <tr><td>1</td><td>2</td><td><a href="/c">c</a></td><td>4</td></tr> -->
+<tr><td>2</td><td>EX</td><td title='a>b'><a title="a>b" href=/q>q.htm</a></td><td>5</td></tr>
+<tr><td>3</td><td>no link</td><td>z</td><td>5</td></tr>
+<tr><td>3</td><td>t</td><td><a>nohref</a></td><td>5</td></tr>
+<tr><td>4</td><td>outer</td><td><table><tr><td>in1</td><td>in2</td><td><a href="/in">inner</a></td><td>i4</td></tr></table></td><td>9</td>
+</tr></TABLE><table class="tableFile"><tr></tr><tr><td>1</td><td>2</td><td><a href="/second">n</a></td><td>4</td></tr></table>'''
+
+
+def test_index_page_as_real_services_write_it(spark):
+    from quillspark.sources.index_pages import read_index
+    rows = [("1", "a", PAGE), ("2", "b", "<table class=tableFile><tr><td>1<tr><td>1<td>2<td><a href=/u>n</a><td>4</table>"),
+            ("3", "c", None), ("4", "d", '<table class="tableFile"><tr></tr></table>')]
+    out = read_index(spark.createDataFrame(rows, "cik string, accession string, html string")).collect()
+    host = "https://www.sec.gov"
+    got = [(r.accession, r.pos, r.filename, r.url[len(host):], r.type, r.doc_type, r.size) for r in out]
+    assert [g for g in got if g[0] == "a"] == [
+        ("a", 1, "f10-K.htm", "/x?a=1&b=2", "10-K", "Main & more", "12"), ("a", 2, "q.htm", "/q", "other", "EX", "5"),
+        ("a", 3, "nohref", "None", "other", "t", "5"), ("a", 4, "in1in2inneri4", "/in", "other", "outer", "in1"),
+        ("a", 5, "inner", "/in", "other", "in2", "i4")]
+    for acc, cik in (("c", "3"), ("d", "4")):
+        assert [g[1:] for g in got if g[0] == acc] == [
+            (1, f"{acc}.txt", f"/Archives/edgar/data/{cik}/{acc}/{acc}.txt", "10-K", None, "Unknown")]
+
+
+def test_fact_pairing_grows_in_proportion(spark):
+    import time
+
+    from quillspark.operators.facts import fact_array
+
+    def content(n):
+        return "".join(f'<ix:nonFraction name="a:B{i % 9}" contextRef="c">{i}<ix:nonNumeric name="n">x</ix:nonNumeric></ix:nonFraction>'
+                       for i in range(n // 2))
+    spent = {}
+    for n in (10_000, 100_000):
+        df = spark.createDataFrame([(content(n),)], "c string")
+        t = time.time()
+        got = df.select(F.size(fact_array(F.col("c"))).alias("n")).first().n
+        spent[n] = time.time() - t
+        assert got == n
+    assert spent[100_000] < 30 * max(spent[10_000], 1.0)
