@@ -50,7 +50,8 @@ _PERSON = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?\p{{L
 _GUARD, _UNTIL = r"(?<![A-Za-z0-9.+@_-])", r"(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    # as many labels as a domain name can have, and a bounded local part: neither recursion nor rescans grow with the text
+    "email": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,256}+@(?:[A-Za-z0-9-]+\.){1,127}[A-Za-z]{2,}",
     "ip": rf"(?=[0-9]){_GUARD}(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
     "iban": rf"(?=[A-Z]{{2}}[0-9]){_GUARD}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_UNTIL}",
     "id": rf"(?=[0-9]){_GUARD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_UNTIL}",
