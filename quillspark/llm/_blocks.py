@@ -108,9 +108,9 @@ def _slices(batches, size_of, limit):
         yield pa.Table.from_batches(held)
 
 
-def text_runs(batches, limit: int = BLOCK_BYTES):
-    """Tables (id, text) of bounded text size from a stream of record batches."""
-    return _slices(batches, lambda b: pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist(), limit)
+def text_runs(batches, limit: int = BLOCK_BYTES, at: int = 1):
+    """Tables of bounded text size (column ``at``) from a stream of record batches."""
+    return _slices(batches, lambda b: pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist(), limit)
 
 
 def _make_blocks(batches, lower: bool, limit: int):

@@ -132,7 +132,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", voca
 
     def clean(batches):
         encoding = _encoding(path)
-        for batch in batches:
+        for batch in (b for part in text_runs(batches, at=at) for b in part.combine_chunks().to_batches()):
             texts = batch.column(at)
             hit = pc.fill_null(pc.match_substring_regex(texts, _ANY), False).to_pylist()
             if any(hit):

@@ -105,16 +105,16 @@ class Lexicon:
         learned = {w: (INSULT, p) for w, p in words.items() if w not in self.words and w not in THREATS}
         self.words |= learned | {w: (THREAT, 1.0) for w in THREATS} | {w: (INSULT, 1.0) for w in INSULTS}
         self.stems = stems
+        self.seen: dict[str, tuple[int, float]] = {}          # other words of the texts at hand
 
     def of(self, word: str) -> tuple[int, float]:
-        got = self.words.get(word)
+        got = self.words.get(word) or self.seen.get(word)
         if got is None:
             got = (OTHER, 0.0)
             for n in STEM:
                 if word[:n] in self.stems and len(word) >= n:
                     got = (INSULT, self.stems[word[:n]])
-            if len(self.words) < 2_000_000:
-                self.words[word] = got
+            self.seen[word] = got
         return got
 
     def matches(self, word: str) -> bool:
@@ -269,6 +269,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         rows, x = text_features(texts, self.lexicon)
+        self.lexicon.seen.clear()
         z = np.full(len(texts), self.bias)
         z[rows] += x @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -324,6 +325,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(held.value.scores(batch.column(at)) < threshold))
+        for part in text_runs(batches, at=at):
+            for batch in part.combine_chunks().to_batches():
+                yield batch.filter(pa.array(held.value.scores(batch.column(at)) < threshold))
     return docs.mapInArrow(run, docs.schema)

@@ -455,3 +455,30 @@ def test_pipeline_keeps_one_row_of_each_near_duplicate_group(spark):
         assert len(mine) == 1
         assert mine[0][0] == min((i for i, _ in g if i is not None), default=None)
     assert len(kept) == len(groups) + len(blank)
+
+
+def test_pii_patterns_take_long_runs_of_their_parts(spark):
+    """1 MB of each part of the patterns, with an entity behind it."""
+    import time
+
+    from quillspark.llm.pii_surrogates import replace_entities
+    parts = ["a.", "a-", "a@", "a@b.", "@", "1.", "12.", "+1 ", "(12)", "1234 ", "DE12 ", "ABCD ", "123-", "Mr ", "Mr. ", "Anna ",
+             "Анна ", "É", "x", "A1", "%+", "a@a-"]
+    texts = [p * (1_000_000 // len(p.encode())) + " x@y.com" for p in parts]
+    texts.append("a@" + "a." * 5_000 + "com")
+    t = time.time()
+    rows = list(enumerate(texts))
+    out = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - t < 240
+    assert len(out) == len(texts)
+    assert all("x@y.com" not in out[i] for i in range(len(parts)))
+
+
+def test_toxicity_keeps_no_words_of_earlier_texts():
+    import pyarrow as pa
+
+    from quillspark.llm import toxicity as X
+    model = X.Model(X.Lexicon({}, {}), X.PRIOR, X.PRIOR_BIAS)
+    before = len(model.lexicon.words)
+    model.scores(pa.array([" ".join(f"you idiot{i}" for i in range(5_000)), None, ""]))
+    assert len(model.lexicon.words) == before and not model.lexicon.seen
