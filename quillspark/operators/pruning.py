@@ -18,8 +18,10 @@ def key_bitmap(keys: DataFrame, on: Sequence[str], log2_bits: int = LOG2_BITS) -
         .groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
-def prune_to_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str], log2_bits: int = LOG2_BITS) -> DataFrame:
+def prune_to_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str], log2_bits: int = LOG2_BITS,
+                  others: bool = False) -> DataFrame:
     """Rows of ``rows`` whose key may be among ``keys``: all that are, and of the others one in ``2 ** log2_bits / keys``.
+    With ``others``, the rest of the rows instead, none of which is among ``keys``.
 
     The bitmap is broadcast, which its size allows for any number of keys; ``rows`` is filtered where it is read, so wide
     columns of rows that no key asks for never reach a shuffle.
@@ -29,4 +31,4 @@ def prune_to_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str], log2_bits
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bitmap = F.broadcast(key_bitmap(keys, on, log2_bits))
     return rows.join(bitmap, (F.shiftright(place, _PAGE) == F.col("page"))
-                     & (F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1), "left_semi")
+                     & (F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1), "left_anti" if others else "left_semi")

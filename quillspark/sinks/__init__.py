@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.documents import html_to_text
+from ..operators.pruning import LOG2_BITS, prune_to_keys
 
 
 def with_suffix(path: Column, new_suffix: str) -> Column:
@@ -38,13 +39,21 @@ def html_path(path: Column, layout: str = "sibling", input_root: str | None = No
     raise ValueError(f"unknown layout {layout}")
 
 
-def pdf_paths(files: DataFrame, output_dir: str, path: str = "path") -> DataFrame:
+def pdf_paths(files: DataFrame, output_dir: str, path: str = "path", log2_bits: int = LOG2_BITS) -> DataFrame:
     """K5: every output flattened into ``output_dir/<stem>.pdf``; ``collides`` marks equal stems
-    (the reference silently overwrites them).  All columns of ``files`` stay; pass keys, not texts."""
+    (the reference silently overwrites them).  All columns of ``files`` stay.
+
+    Stems are counted in partial sums, so one that a third of the files share costs a row per task.  Files whose stem is not
+    in a bitmap of the colliding ones stay where they are; only the others meet the colliding stems in a join.
+    """
     stem = F.regexp_extract(F.col(path), r"([^/]*?)(\.[^./]*)?$", 1)
     out = files.withColumn("pdf_path", F.concat(F.lit(output_dir.rstrip("/") + "/"), stem, F.lit(".pdf")))
-    dup = out.groupBy("pdf_path").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(dup, "pdf_path").select(*files.columns, "pdf_path", (F.col("n") > 1).alias("collides"))
+    twice = out.groupBy("pdf_path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pdf_path", F.lit(True).alias("same"))
+    free = prune_to_keys(out, twice, ["pdf_path"], log2_bits, others=True).withColumn("collides", F.lit(False))
+    held = prune_to_keys(out, twice, ["pdf_path"], log2_bits).join(twice, "pdf_path", "left").withColumn(
+        "collides", F.col("same").isNotNull())
+    columns = [*files.columns, "pdf_path", "collides"]
+    return free.select(columns).unionByName(held.select(columns))
 
 
 def report_names(reports: DataFrame) -> DataFrame:
@@ -58,14 +67,14 @@ def report_names(reports: DataFrame) -> DataFrame:
             .drop("kept_rank", "n"))
 
 
-def write_corpus(df: DataFrame, path: str, mode: str = "overwrite", files_per_ticker: int = 4) -> None:
+def write_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: report table partitioned by ticker (partition pruning on read).
 
-    Rows are dealt by ticker and one of ``files_per_ticker`` salts, so a ticker has at most that many files and a
-    large one is still written by several tasks.
+    Rows are dealt by ticker and balanced by their measured bytes when they have been shuffled (adaptive execution): a ticker
+    above ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` is written by several tasks, a small one into one file.  Shuffle
+    partitions are what is split, so there should be more of them than output bytes / advisory size.
     """
-    salt = F.pmod(F.xxhash64("file_name"), F.lit(files_per_ticker))
-    df.repartition(F.col("ticker"), salt).write.mode(mode).partitionBy("ticker").parquet(path)
+    df.hint("rebalance", "ticker").write.mode(mode).partitionBy("ticker").parquet(path)
 
 
 def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark import sinks as K
 from quillspark.plans import jobs as J
 from quillspark.sources.submissions import read_submissions
-from quillspark.streaming.incremental import run_incremental
+from quillspark.streaming.incremental import read_results, run_incremental
 
 
 def _write(path, data: bytes):
@@ -39,12 +39,12 @@ def test_incremental_picks_only_new_files(spark, scratch):
     _write(f"{src}/MSFT/MSFT_2023-07-27_10K.txt", doc.encode())
     assert run_incremental(spark, src, out, job, name="t1", checkpoint=f"{scratch}/ckpt") == 1
     assert run_incremental(spark, src, out, job, name="t1", checkpoint=f"{scratch}/ckpt") == 0
-    res = spark.read.parquet(out)
+    res = read_results(spark, out)
     both = ["AAPL_2023-11-03_10K.txt", "MSFT_2023-07-27_10K.txt"]
     assert sorted(r.file_name for r in res.collect()) == both
     # a new checkpoint converts everything again, one file a batch, and replaces what is there
     assert run_incremental(spark, src, out, job, name="t2", checkpoint=f"{scratch}/ckpt2", max_files=1) == 2
-    assert sorted(r.file_name for r in spark.read.parquet(out).collect()) == both
+    assert sorted(r.file_name for r in read_results(spark, out).collect()) == both
 
 
 def test_output_paths(spark):
