@@ -282,7 +282,7 @@ def index_pages(spark, sf_dir):
                           "<table class=\"wide tableFile\" summary=\"Files > 0\">\n"
                           "<tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th><th>Size</th></tr>\n"),
                     F.array_join(F.transform(rows, lambda x: x["r"]), ""), F.lit("</table></body></html>"))
-    return docs.groupBy("cik", "accession").agg(page.alias("html"))
+    return _spread(docs.groupBy("cik", "accession").agg(page.alias("html")), "accession")
 
 
 # markup put behind a page by page_id % 4, and the lines of text it gives
