@@ -11,8 +11,8 @@ Texts are cut into units at single spaces first.  A space right after a characte
 pre-token, so the pre-token pattern runs once per distinct unit of a block.  Texts with a space after any whitespace (a run
 of mixed whitespace is one pre-token) or with a special token are cut by the pattern itself.
 
-A word is a lexicon candidate where some block holds it ``BLOCK_COUNT`` times; counts add up over those blocks.
-The lexicon decides speed only, never an id.  Defined cases: null and empty texts have no ids; null
+Counting cuts every text at its single spaces; the words of a unit that some block holds ``BLOCK_COUNT`` times are lexicon
+candidates, and their counts add up over those units and blocks.  The lexicon decides speed only, never an id.  Defined cases: null and empty texts have no ids; null
 ids and repeated rows give one row each; an empty table gives none (its lexicon is empty); extra columns are not read.
 Vocabularies are files of the tokenizers library with a byte-level BPE model, at a path that every executor can open.
 """
@@ -23,7 +23,6 @@ import heapq
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -170,7 +169,9 @@ def merge_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarr
         new_at = np.cumsum(keep) - 1
         sym, word, rank = sym[keep], word[keep], rank[keep]
         i = new_at[i]
-        touched = np.unique(np.concatenate([i, i[i > 0] - 1]))
+        near = np.zeros(len(sym), bool)
+        near[i] = near[np.maximum(i - 1, 0)] = True
+        touched = np.flatnonzero(near)
         right = np.minimum(touched + 1, len(sym) - 1)
         same = (word[touched] == word[right]) & (right > touched)
         rank[touched] = np.where(same, v.ranks(sym[touched], sym[right]), _NONE)
@@ -270,6 +271,34 @@ def ragged_take(flat: np.ndarray, start: np.ndarray, order: np.ndarray) -> tuple
     return flat[np.repeat(start[:-1][order] - out[:-1], lens) + np.arange(out[-1])], out
 
 
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts cut at single spaces: distinct pieces, code of each piece in turn (2 * place, + 1 after a space), pieces per text."""
+    lists = pc.split_pattern(texts, " ")
+    per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.list_flatten(lists).dictionary_encode()
+    after_space = np.ones(len(code), np.int64)
+    after_space[np.cumsum(per) - per] = 0
+    return code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + after_space, per
+
+
+def _unit_words(v: Vocabulary, pieces: pa.Array, unit: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of units (codes of ``_pieces``) one after the other, and how many each has; ASCII letters are one word."""
+    strings = pieces.take(pa.array(unit >> 1))
+    after = pa.array((unit & 1).astype(bool))
+    strings = pc.if_else(after, pc.binary_join_element_wise(" ", strings, ""), strings)
+    lens = np.ones(len(unit), np.int64)
+    mixed = np.flatnonzero(~pc.match_substring_regex(strings, "^ ?[A-Za-z]+$").to_numpy(zero_copy_only=False))
+    if not len(mixed):
+        return strings, lens
+    found = [v.pattern.findall(s) for s in strings.take(pa.array(mixed)).to_pylist()]
+    lens[mixed] = [len(f) for f in found]
+    flat = pa.concat_arrays([strings, pa.array([w for f in found for w in f], pa.string())])
+    start = np.arange(len(unit))
+    start[mixed] = len(unit) + np.cumsum(lens[mixed]) - lens[mixed]
+    at = np.cumsum(lens) - lens
+    return flat.take(pa.array(np.repeat(start - at, lens) + np.arange(lens.sum()))), lens
+
+
 class Units:
     """Texts as sequences of distinct units, units as sequences of distinct words."""
 
@@ -279,33 +308,28 @@ class Units:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         odd = odd.to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(~odd)
-        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        code = pc.list_flatten(lists).dictionary_encode()
-        piece = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        after_space = np.ones(len(piece), np.int64)
-        after_space[np.cumsum(per) - per] = 0
-        unit, inv = np.unique(piece * 2 + after_space, return_inverse=True)
-        strings = code.dictionary.to_pylist()
-        find = v.pattern.findall
-        unit_words = [find(" " + strings[u >> 1] if u & 1 else strings[u >> 1]) for u in unit.tolist()]
-        seqs, lens = [inv], [per]
-        rows = [plain]
-        extra = []
+        pieces, code, per = _pieces(texts.take(pa.array(plain)))
+        held = np.bincount(code, minlength=2 * len(pieces)) > 0
+        words, unit_lens = _unit_words(v, pieces, np.flatnonzero(held))
+        seqs, lens, rows = [(np.cumsum(held) - 1)[code]], [per], [plain]
+        extra: list = []
         for i in np.flatnonzero(odd).tolist():
             units = self._cut(v, texts[i].as_py())
-            seqs.append(np.arange(len(units)) + len(unit_words) + len(extra))
-            extra += [[u] for u in units]
+            seqs.append(np.arange(len(units)) + len(unit_lens) + len(extra))
+            extra += units
             lens.append(np.array([len(units)])), rows.append(np.array([i]))
-        unit_words += extra
         seq, lens, rows = np.concatenate(seqs), np.concatenate(lens), np.concatenate(rows)
         back = np.argsort(rows, kind="stable")
         self.seq, self.row_start = ragged_take(seq, np.concatenate([[0], np.cumsum(lens)]), back)
-        self.word_start = np.concatenate([[0], np.cumsum([len(w) for w in unit_words])]).astype(np.int64)
-        flat = np.empty(int(self.word_start[-1]), object)
-        flat[:] = [w for ws in unit_words for w in ws]
-        self.word, words = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), np.array([], object))
-        self.words = list(words)
+        special = [k for k, w in enumerate(extra) if isinstance(w, int)]
+        words = pa.concat_arrays([words, pa.array(["" if isinstance(w, int) else w for w in extra], pa.string())]) \
+            .dictionary_encode()
+        self.word_start = np.concatenate([[0], np.cumsum(unit_lens), unit_lens.sum() + 1 + np.arange(len(extra))])
+        self.word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = words.dictionary.cast(pa.binary()).to_pylist()
+        # special tokens follow the words
+        self.special = [extra[k] for k in special]
+        self.word[int(unit_lens.sum()) + np.array(special, np.int64)] = len(self.words) + np.arange(len(special))
 
     @staticmethod
     def _cut(v: Vocabulary, text: str) -> list:
@@ -316,28 +340,20 @@ class Units:
             out += [v.special[p]] if p in v.special else v.pattern.findall(p)
         return out
 
-    def counts(self) -> np.ndarray:
-        """How often each distinct word occurs."""
-        per_unit = np.bincount(self.seq, minlength=len(self.word_start) - 1)
-        n = np.repeat(per_unit, np.diff(self.word_start))
-        return np.bincount(self.word, weights=n, minlength=len(self.words)).astype(np.int64)
-
 
 def encode_texts(v: Vocabulary, lexicon: Lexicon, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, start offsets)."""
     u = Units(v, texts)
-    special = {i: w for i, w in enumerate(u.words) if isinstance(w, int)}
-    raw = [b"" if i in special else w.encode() for i, w in enumerate(u.words)]
-    place = lexicon.find(raw)
+    place = lexicon.find(u.words)
     unseen = np.flatnonzero(place < 0)
-    ids, start = merge_words(v, [raw[i] for i in unseen.tolist()])
+    ids, start = merge_words(v, [u.words[i] for i in unseen.tolist()])
     # one id table: the lexicon's, then the merged words', then special ids
     base = len(lexicon.a["start"]) - 1
-    table = np.concatenate([lexicon.a["ids"].astype(np.int64), ids, np.array(list(special.values()), np.int64)])
+    table = np.concatenate([lexicon.a["ids"].astype(np.int64), ids, np.array(u.special, np.int64)])
     starts = np.concatenate([lexicon.a["start"], lexicon.a["start"][-1] + start[1:]])
-    starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(special))])
+    starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(u.special))])
     place[unseen] = base + np.arange(len(unseen))
-    place[list(special)] = base + len(unseen) + np.arange(len(special))
+    place = np.concatenate([place, base + len(unseen) + np.arange(len(u.special))])
     unit_ids, in_unit = ragged_take(table, starts, place[u.word])
     unit_start = in_unit[u.word_start]
     out, out_start = ragged_take(unit_ids, unit_start, u.seq)
@@ -361,12 +377,12 @@ def _texts(run: pa.Table) -> pa.Array:
 def _count(batches, path: str):
     v = vocabulary(path)
     for run in text_runs(batches, RUN_BYTES):
-        u = Units(v, _texts(run))
-        n = u.counts()
-        often = [i for i in np.flatnonzero(n >= BLOCK_COUNT).tolist()
-                 if isinstance(u.words[i], str) and len(u.words[i].encode()) <= MAX_WORD]
-        yield pa.RecordBatch.from_arrays([pa.array([u.words[i] for i in often], pa.string()), pa.array(n[often])],
-                                         names=["word", "n"])
+        pieces, code, _ = _pieces(_texts(run))
+        n = np.bincount(code, minlength=2 * len(pieces))
+        often = np.flatnonzero(n >= BLOCK_COUNT)
+        words, lens = _unit_words(v, pieces, often)
+        rows = pa.table({"word": words, "n": np.repeat(n[often], lens)}).filter(pc.less_equal(pc.binary_length(words), MAX_WORD))
+        yield from rows.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks().to_batches()
 
 
 def _encode(batches, path: str, lexicon):

@@ -163,6 +163,33 @@ def test_bpe_of_mixed_whitespace_runs_equals_the_tokenizers_library():
         assert ids[start[i]:start[i + 1]].tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_bpe_of_many_random_texts_equals_the_tokenizers_library():
+    from tokenizers import Tokenizer
+    reference = Tokenizer.from_file(bpe.default_vocabulary())
+    v = bpe.vocabulary(bpe.default_vocabulary())
+    lex = bpe.Lexicon(bpe.compile_lexicon(v, [b" the", b" a", b"12"]))
+    r = random.Random(6)
+    pieces = [*PIECES, "\u2028", "\u3000", "\u0600", "\u200d", "don't", "I'm", " Zürich", "X9", "ﬁ", "%", "\x00"]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " "]) for _ in range(r.randint(0, 12))) for _ in range(30_000)]
+    want = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    odd = [t for t in texts if "  " in t or "<|endoftext|>" in t][:50]
+    for some, ids_of in [(texts, want), (odd, None), ([], [])]:
+        ids, start = bpe.encode_texts(v, lex, pa.array(some, pa.string()))
+        ids_of = ids_of if ids_of is not None else [reference.encode(t, add_special_tokens=False).ids for t in some]
+        assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:], strict=True)] == ids_of
+        assert bpe.decode_ids(v, ids, start) == some
+
+
+def test_bpe_candidates_are_counted_over_all_texts():
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * 4), pa.array(
+        ["the cat. " * 8 + "rare", None, "", "the" + " cat." * 7 + " don't" * 9 + " " + "z" * 65 + (" " + "z" * 65) * 9])],
+        names=["doc_id", "text"])
+    got = {}
+    for b in bpe._count(iter([rows]), bpe.default_vocabulary()):
+        got.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    assert got == {" cat": 15, ".": 15, " don": 9, "'t": 9}     # " the" comes seven times, "zz..." is too long
+
+
 def test_transducer_shares_suffixes():
     v = bpe.vocabulary(bpe.default_vocabulary())
     words = [a + b"ing" for a in (b"walk", b"talk", b"jump", b"work")]
