@@ -59,15 +59,19 @@ class Sets:
         h = block.hashes()[block.tok] if len(block.tok) else np.zeros(0, np.uint64)
         g = B.window_hashes(h, k)
         inside = np.arange(len(g)) + k <= np.repeat(block.start[1:], block.n)[:len(g)]
-        row, key = [block.row_of()[:len(g)][inside]], [g[inside]]
-        for n in range(1, k):                             # short texts: the whole sequence
-            r = np.flatnonzero(block.n == n)
-            if len(r):
-                row.append(r)
-                key.append(B.mix(B.window_hashes(h, n)[block.start[r]] + np.uint64(n)))
-        row, key = np.concatenate(row), np.concatenate(key)
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
+        row, key = block.row_of()[:len(g)][inside], g[inside]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(block.n)))]).tolist()
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            key[lo:hi].sort()                             # in place, row by row
+        few = np.flatnonzero((block.n > 0) & (block.n < k))
+        if len(few):                                      # short texts: the whole sequence
+            one = np.zeros(len(few), np.uint64)
+            for n in range(1, k):
+                r = block.n[few] == n
+                if r.any():
+                    one[r] = B.mix(B.window_hashes(h, n)[block.start[few[r]]] + np.uint64(n))
+            at = np.searchsorted(row, few)
+            row, key = np.insert(row, at, few), np.insert(key, at, one)
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
         self.row, self.key = row[new], key[new]
@@ -76,11 +80,21 @@ class Sets:
 
     def prefix(self, frequent: np.ndarray, percent: int) -> np.ndarray:
         """Places of each row's prefix shingles, rare ones before frequent ones."""
-        late = np.isin(self.key, frequent)
-        order = np.lexsort((self.key, late, self.row))
-        rank = np.arange(len(order)) - self.start[self.row]
         length = self.n - -(-percent * self.n // 100) + 1
-        return order[rank < length[self.row]]
+        late = np.zeros(len(self.key), bool)
+        if len(frequent):
+            late = frequent[np.minimum(np.searchsorted(frequent, self.key), len(frequent) - 1)] == self.key
+        rare = np.concatenate([[0], np.cumsum(~late)])                # rare ones before each place
+        before = rare[:-1] - rare[self.start[:-1]][self.row]
+        in_row = (rare[self.start[1:]] - rare[self.start[:-1]])[self.row]
+        rank = np.where(late, in_row + np.arange(len(late)) - self.start[self.row] - before, before)
+        return np.flatnonzero(rank < length[self.row])
+
+
+def distinct(key: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    key = np.sort(key)
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
 
 
 def _frequent(batches, k: int):
@@ -102,9 +116,8 @@ def _ask_prefix(block, k, frequent, percent, shards):
 def _describe(block, replies, k, frequent, percent) -> pa.Table:
     s = Sets(block, k)
     at = s.prefix(frequent, percent)
-    u = np.unique(s.key[at])
+    u = distinct(s.key[at])
     at = at[B.bits(replies)[np.searchsorted(u, s.key[at])]] if len(at) else at
-    at = at[np.argsort(s.row[at], kind="stable")]
     per = np.bincount(s.row[at], minlength=len(s.n))
     tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)),
                                       pa.array(s.key[at].view(np.int64)))
