@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._blocks import keep
+from quillspark.llm._blocks import keep, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = keep(_thin(small.unionByName(least.select(F.col("m").alias("a"), "b"))))
+        del both, least, large, small
+        release(edges.sparkSession)
     return keep(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()))
 

@@ -339,22 +339,25 @@ def _links(blocks: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, p
     wanted = B.keep(light.drop("tokens").join(used, "rid", "left_semi"))
     bodies = B.keep(_bodies(blocks, wanted.select("rid", "block", "row"), shingle)
                     .join(wanted.select("rid", "n", "vec"), "rid"))
-    near = near.join(wanted.select("rid", "n"), "rid")
-    del light, used
-    B.release(spark)
+    near = B.keep(near.join(wanted.select("rid", "n"), "rid"))
+    del light, used, wanted
     links = _verified(pairs, bodies, percent)
+    del pairs
+    B.release(spark)
     widest = near.agg(F.max("m")).first()[0]
     if not widest:
         return links
     chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / CHUNK))
     first = _tie(_open_tokens(near, connected_components(links)).withColumn("chunk", chunk), bodies, percent)
     links = links.unionByName(first)
+    B.release(spark)
     rest = _open_tokens(near, connected_components(links))
     if widest > CHUNK:                     # else every large shingle was one chunk
         pick = Window.partitionBy("token", "label").orderBy(F.xxhash64("rid", "token"), "rid")
         few = rest.withColumn("k", F.row_number().over(pick)).filter(F.col("k") <= LEADERS)
         links = links.unionByName(_tie(few.withColumn("chunk", F.lit(0).cast("long")).drop("k"), bodies, percent, bound=True))
         rest = _open_tokens(near, connected_components(links))
+    B.release(spark)
     last = B.keep(_parts(rest, vectors).groupBy("token", "i", "j").applyInArrow(
         lambda t: _candidate_pairs(t, percent), "a long, b long").distinct())
     return links.unionByName(_verified(last, bodies, percent))
