@@ -12,8 +12,8 @@ Queries are taken in runs of ``query_run`` (a proven size: ``query_run`` vectors
 ever holds them all; candidates are read once for each run and pass and never shuffled.
 
 Vectors become integers floor(256 * x).  Vectors that are null or hold null or non-finite components
-take no part, nor do null ids.  Defined cases: rows that repeat an id count once (the
-smallest array); vectors are compared with those of their own length only; an empty vector scores 0 with
+take no part, nor do null ids.  Defined cases: every row that repeats an id is a candidate, and a query if its id is one; the
+query rows of one id share its k places, and rows of a query's own id are no candidates; vectors are compared with those of their own length only; an empty vector scores 0 with
 other empty vectors; fewer than k candidates: all of them; empty tables give no rows; extra
 columns are not read.  Scores beyond 64 bits raise ValueError.
 """
@@ -140,9 +140,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     ship_package(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vec_col), scale).alias("v"),
                           is_query.alias("is_query"))
-    rows = keep(rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(
-        F.min("v").alias("v"), F.max("is_query").alias("is_query")))
-    queries = rows.filter("is_query").select("vec_id", "v", F.size("v").alias("size"))
+    rows = keep(rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("rid", F.monotonically_increasing_id()))
+    queries = rows.filter("is_query").select("rid", "vec_id", "v", F.size("v").alias("size"))
     largest = F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0))
     out = None
     for size, most in [(r["size"], r["most"]) for r in rows.groupBy(F.size("v").alias("size")).agg(
@@ -153,8 +152,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
         same = queries.filter(F.col("size") == size)
         runs = -(-same.count() // query_run)
         for run in range(2 * runs if runs > 1 else runs):
-            of_run = same.filter(F.pmod(F.xxhash64("vec_id"), F.lit(2 * runs)) == run) if runs > 1 else same
-            got = of_run.orderBy("vec_id").select("vec_id", "v").toArrow()
+            of_run = same.filter(F.pmod(F.xxhash64("rid"), F.lit(2 * runs)) == run) if runs > 1 else same
+            got = of_run.orderBy("vec_id", "rid").select("vec_id", "v").toArrow()
             if not got.num_rows:
                 continue
             q = _Queries(got["vec_id"].to_numpy(),

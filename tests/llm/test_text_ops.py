@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -363,16 +364,30 @@ def test_top_k_against_brute_force(spark, bins, run):
              (303, [float("inf"), 1.0, 1.0], "s"), (304, [1.0, 2.0], "s"), (305, [2.0, 2.0], "s"), (20, rows[20][1], "s")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(4)
     got = topk_search.top_k(df, F.col("vec_id") % 10 == 0, bins=bins, query_run=run).collect()
-    vec = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if i is not None and v is not None
-           and all(x is not None and np.isfinite(x) for x in v)}
+    vec = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None
+           and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in vec if i % 10 == 0):
-        best = sorted((-sum(a * b for a, b in zip(vec[q], v, strict=True)), i) for i, v in vec.items()
-                      if i != q and len(v) == len(vec[q]))[:5]
+    for q in {i for i, _ in vec if i % 10 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for j, x in vec if j == q for i, v in vec
+                      if i != q and len(v) == len(x))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
 
 
+@pytest.mark.parametrize("run", [4096, 7])
+def test_top_k_of_repeated_ids_equals_its_sql(spark, tmp_path, run):
+    r = random.Random(8)
+    rows = [(r.choice([0, 0, 0, 50, 100, 3, 4, 5, 6]), [r.choice([-1.0, 0.5, 2.0]) for _ in range(2)]) for _ in range(90)]
+    rows += [(0, [2.0, 2.0])] * 30 + [(150, [1.0, 1.0, 1.0]), (7, [1.0, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    df.write.parquet(str(tmp_path / "e"))
+    got = topk_search.top_k(df, F.col("vec_id") % 50 == 0, query_run=run).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = con.execute(queries.OP2_SQL).fetchall()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id long, embedding array<double>"
     two = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
