@@ -26,20 +26,26 @@ def company_items_from_json(df: DataFrame, value: str = "value", pos: str = "src
             .select("i.ticker", cik.alias("cik_str"), "i.title", "src_pos"))
 
 
-def company_items_from_payload(df: DataFrame, value: str = "value", accept_cik_key: bool = False) -> DataFrame:
+def company_items_from_payload(df: DataFrame, value: str = "value", accept_cik_key: bool = False,
+                               file: str | None = None) -> DataFrame:
     """The whole master file as one JSON object of objects (``{"0": {...}, "1": {...}}``).
 
-    Items keep the file order as ``src_pos`` (key order of the object).  A
-    non-object item becomes NULL under the explicit schema and is dropped.
+    Items keep the file order as ``src_pos`` (key order of the object); with a ``file`` column it is (file, position), which
+    orders the items of several files.  A non-object item becomes NULL under the explicit schema and is dropped.
     """
     # values stay raw JSON text, so one non-object item drops alone, not the whole payload
     m = F.from_json(F.col(value), "map<string,string>")
-    items = df.select(F.posexplode(F.map_values(m)).alias("src_pos", "value"))
-    return company_items_from_json(items.withColumn("src_pos", F.col("src_pos").cast("long")),
-                                   accept_cik_key=accept_cik_key)
+    items = df.select(*([F.col(file).alias("file")] if file else []),
+                      F.posexplode(F.map_values(m)).alias("src_pos", "value"))
+    at = F.col("src_pos").cast("long")
+    at = F.struct("file", at.alias("pos")) if file else at
+    return company_items_from_json(items.withColumn("src_pos", at), accept_cik_key=accept_cik_key)
 
 
 def read_companies(spark, path: str) -> DataFrame:
-    """Read landed master files (one JSON object per file) and return item rows."""
-    raw = spark.read.text(path, wholetext=True)
-    return company_items_from_payload(raw)
+    """Read landed master files (one JSON object per file) and return item rows.
+
+    ``src_pos`` is (file path, position): files count in path order, so A1's last record is that of the last file.
+    """
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return company_items_from_payload(raw, file="file")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import companies as C
 from quillspark.operators import filings as FL
-from quillspark.sources.companies import company_items_from_payload
+from quillspark.sources.companies import company_items_from_payload, read_companies
 from quillspark.sources.filings import filings_from_json
 from quillspark.sources.index_pages import read_index
 
@@ -224,3 +224,19 @@ def test_corpus_build_of_share_classes_and_payload_rows(spark, scratch):
     assert sorted((r.ticker, r.req_pos, r.rank, r.source) for r in out) == [
         ("GOOG", 0, 1, "submission"), ("GOOG", 0, 2, "index"), ("GOOGL", 1, 1, "submission"), ("GOOGL", 1, 2, "index")]
     assert all(r.content.endswith("Body") == (r.source == "submission") for r in out if r.content)
+
+
+def test_master_files_count_in_path_order(spark, tmp_path):
+    import json
+    files = {"2024-01.json": [("A", 1, "Old A"), ("B", 2, "B one"), ("C", 3, "C")],
+             "2024-02.json": [("D", 4, "D"), ("B", 5, "B two"), ("B", 6, "B three")],
+             "2024-10.json": [("A", 7, "New A"), ("E", 8, "E")]}
+    for name, items in files.items():
+        body = {str(i): {"ticker": t, "cik_str": c, "title": title} for i, (t, c, title) in enumerate(items)}
+        (tmp_path / name).write_text(json.dumps({**body, "x": [1, 2]}))
+    raw = read_companies(spark, str(tmp_path)).repartition(5)
+    out = C.dedup_companies(raw)
+    assert {r.ticker: r.title for r in out.collect()} == {"A": "New A", "B": "B three", "C": "C", "D": "D", "E": "E"}
+    assert [r.ticker for r in out.orderBy("first_pos").collect()] == ["A", "B", "C", "D", "E"]
+    assert [(r.term, r.ticker) for r in C.select_companies(out, ["b", "", ""]).orderBy("term_pos").collect()] == \
+        [("b", "B"), ("", "A"), ("", "C")]
