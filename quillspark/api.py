@@ -15,7 +15,8 @@ from .plans.jobs import (assembled_reports, convert_to_html, corpus_build, extra
                          main_slices, pdf_paragraphs, selection_summary)
 from .plans.jobs import outcome_counts as outcomes  # noqa: F401
 from .sinks import html_path, pdf_paths, report_names, text_sidecar, write_corpus, write_pages  # noqa: F401
-from .sinks import write_summary  # noqa: F401
+from .sinks import write_page_files, write_report_files, write_sidecar_files, write_summary  # noqa: F401
+from .sinks.files import write_files  # noqa: F401
 from .sources.companies import company_items_from_json, company_items_from_payload, read_companies  # noqa: F401
 from .sources.filings import filings_from_json, read_filings  # noqa: F401
 from .sources.index_pages import read_index  # noqa: F401

@@ -1,4 +1,4 @@
-"""Sinks (K1-K5): output paths are columns, writes are plain DataFrame writers."""
+"""Sinks (K1-K5): output paths are columns; tables go through DataFrame writers, files of a row each through :mod:`.files`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.documents import html_to_text
 from ..operators.pruning import LOG2_BITS, prune_to_keys
+from .files import write_files
 
 
 def with_suffix(path: Column, new_suffix: str) -> Column:
@@ -77,6 +78,21 @@ def write_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.hint("rebalance", "ticker").write.mode(mode).partitionBy("ticker").parquet(path)
 
 
+def write_report_files(named: DataFrame, root: str, text: str = "content") -> None:
+    """K1: ``<root>/<ticker>/<ticker>_<filingDate>_10K.txt`` for the rows of :func:`report_names` that are not overwritten."""
+    write_files(named.where(~F.col("overwritten")), root, "relative_path", text)
+
+
+def write_page_files(pages: DataFrame, root: str, html_col: str = "html", path_col: str = "output_path") -> None:
+    """K2: each rendered page at its target path (:func:`html_path`) below ``root``; rows without a page give none."""
+    write_files(pages, root, path_col, html_col)
+
+
+def write_sidecar_files(pages: DataFrame, root: str, html_col: str = "html", path_col: str = "output_path") -> None:
+    """K3: the text of each page (:func:`text_sidecar`) beside it."""
+    write_files(text_sidecar(pages, html_col, path_col), root, "text_path", "text")
+
+
 def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: rendered pages with their target paths."""
     df.write.mode(mode).parquet(path)
