@@ -10,7 +10,7 @@ A task that outlives the end of its failed job may leave temporary files, which
 the file system's rename is (on object stores it is a copy).
 
 Defined cases: a null text gives no file, an empty one an empty file; a path that is null or empty, leaves the root, or is one
-of the writer's own names fails the job; paths that occur twice raise ValueError before anything is written; texts are UTF-8;
+of the writer's own names fails the job; paths that occur twice, with a text or not, raise ValueError before anything is written; texts are UTF-8;
 an empty table writes ``_SUCCESS`` alone; other columns are not read.
 """
 
@@ -108,7 +108,7 @@ def write_files(df: DataFrame, root: str, path: str, text: str) -> None:
         .otherwise(F.col(path))
     rows = df.select(inside.alias("path"), F.col(text).cast("string").alias("text"))
     # the paths alone, counted in partial sums
-    twice = rows.filter("text IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    twice = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
     if twice:
         raise ValueError(f"{twice['n']} rows have the path {twice['path']!r}")
     files, folder = fs.FileSystem.from_uri(base)
