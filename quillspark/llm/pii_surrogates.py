@@ -17,7 +17,8 @@ Only texts that hold entities are shuffled, keyed by a hash of the text, so copi
 entity table is pre-aggregated, and a value in a third of the texts is one row.
 
 Defined cases: null and empty texts stay as they are; null ids and repeated rows pass through; an empty table gives none;
-other columns of ``docs`` stay, whatever their names.  ``key`` is the secret; the same key gives the same surrogates for the same
+other columns of ``docs`` stay: where one is called ``entities`` (in any case), the new column is ``entities_found``, with as
+many underscores behind as make it new.  ``key`` is the secret; the same key gives the same surrogates for the same
 corpus.  A format with fewer values than entities raises ValueError after ``MAX_ATTEMPTS`` draws.
 """
 
@@ -215,7 +216,9 @@ def may_hold(text: Column) -> Column:
 
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "quillspark") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and a new column ``entities`` (array<struct<kind, surrogate>>)."""
-    text = F.col(text_col)
+    text, taken, out = F.col(text_col), {c.lower() for c in docs.columns}, "entities"
+    while out in taken:
+        out = "entities_found" if out == "entities" else out + "_"
     base = docs.withColumn(FOUND, F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), 0)))
     found = F.size(F.coalesce(FOUND, F.array().cast("array<string>"))) > 0
     held = keep(base.filter(found).select(F.xxhash64(text).alias(KEY), F.explode(F.array_distinct(FOUND)).alias("raw"))
@@ -231,7 +234,6 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "quills
     new = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(
         to, F.slice(pieces, F.lit(2), F.size(FOUND)), lambda t, p: F.concat(t["form"], p)), ""))
     kinds = F.transform(to, lambda t: F.struct(t["kind"].alias("kind"), t["form"].alias("surrogate")))
-    columns = [c for c in docs.columns if c != "entities"]
-    changed = changed.withColumn("entities", kinds).withColumn(text_col, new).select(*columns, "entities")
-    same = base.filter(~found).withColumn("entities", F.array().cast("array<struct<kind:string,surrogate:string>>"))
-    return changed.unionByName(same.select(*columns, "entities"))
+    changed = changed.withColumn(out, kinds).withColumn(text_col, new).select(*docs.columns, out)
+    same = base.filter(~found).withColumn(out, F.array().cast("array<struct<kind:string,surrogate:string>>"))
+    return changed.unionByName(same.select(*docs.columns, out))
