@@ -264,11 +264,26 @@ class Lexicon:
 
 # --- texts -----------------------------------------------------------------------------------
 
+TAKE_PLACES = 1 << 18          # entries of a ragged array taken at a time; one longer list is taken at once
+
+
+def list_runs(ends: np.ndarray, limit: int) -> list[int]:
+    """Cuts of lists (``ends``: 0, then the end of each) into runs of about ``limit`` entries, one list at least."""
+    at = np.searchsorted(ends, np.arange(0, ends[-1], limit), side="left")
+    return np.unique(np.concatenate([[0], at, [len(ends) - 1]])).tolist()
+
+
 def ragged_take(flat: np.ndarray, start: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists ``order`` of a ragged array, one after the other, and their start offsets."""
     lens = (start[1:] - start[:-1])[order]
     out = np.concatenate([[0], np.cumsum(lens)])
-    return flat[np.repeat(start[:-1][order] - out[:-1], lens) + np.arange(out[-1])], out
+    taken = np.empty(out[-1], flat.dtype)
+    # places are spelled out for some lists at a time: eight bytes each, of a byte table eight times the result
+    cut = list_runs(out, TAKE_PLACES)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        lo, hi = out[a], out[b]
+        taken[lo:hi] = flat[np.repeat(start[:-1][order[a:b]] - out[a:b], lens[a:b]) + np.arange(lo, hi)]
+    return taken, out
 
 
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -363,11 +378,12 @@ def encode_texts(v: Vocabulary, lexicon: Lexicon, texts: pa.Array) -> tuple[np.n
 def decode_ids(v: Vocabulary, ids: np.ndarray, start: np.ndarray) -> list[str]:
     """The text of each run of ids (bytes that are no UTF-8 become U+FFFD)."""
     flat, at = ragged_take(v.token_bytes, v.token_start, ids)
-    raw, cut = flat.tobytes(), at[start].tolist()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    raw, cut = memoryview(flat), at[start].tolist()
+    return [str(raw[a:b], "utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 RUN_BYTES = 6 << 20            # text bytes encoded at a time
+OUT_IDS = 1 << 18              # ids decoded at a time; a longer document goes alone
 
 
 def _texts(run: pa.Table) -> pa.Array:
@@ -391,11 +407,19 @@ def _encode(batches, path: str, lexicon):
         lex = Lexicon(arrays)
         for run in text_runs(batches, RUN_BYTES):
             ids, start = encode_texts(v, lex, _texts(run))
-            raw, cut = ids.astype("<u4").tobytes(), (4 * start).tolist()
-            yield pa.RecordBatch.from_arrays([
-                run.combine_chunks().column(0).chunk(0), pa.array(np.diff(start)),
-                pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                pa.array(decode_ids(v, ids, start), pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            rows = run.combine_chunks().column(0).chunk(0)
+            # ids leave and are decoded some documents at a time
+            cut = list_runs(start, OUT_IDS)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own = ids[start[a]:start[b]].astype("<u4")
+                at = start[a:b + 1] - start[a]
+                yield pa.RecordBatch.from_arrays([
+                    rows.slice(a, b - a), pa.array(np.diff(at)),
+                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(4 * at), pa.py_buffer(own)])
+                    .cast(pa.binary()),
+                    pa.array(decode_ids(v, own.astype(np.int64), at), pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            del ids, start, rows, run
+            pa.default_memory_pool().release_unused()
 
 
 def frequent_words(docs: DataFrame, text_col: str, path: str, size: int) -> list[bytes]:

@@ -1,9 +1,11 @@
 """Secret scan, toxicity, BPE, PII surrogates, decontamination, top-k search, URL filter and the pipeline."""
 
 import collections
+import contextlib
 import hashlib
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -146,6 +148,43 @@ def test_bpe_equals_the_tokenizers_library():
         assert ids[start[i]:start[i + 1]].tolist() == want and back[i] == t
 
 
+def test_bpe_takes_lists_in_bounded_memory():
+    flat = np.arange(5_000, dtype=np.int64).astype(np.uint8)
+    start = np.array([0, 500, 500, 1_700, 5_000])
+    order = np.tile([3, 1, 0, 2, 0], 2_000)
+    tracemalloc.start()
+    out, at = bpe.ragged_take(flat, start, order)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(out)
+    want = [flat[start[o]:start[o + 1]] for o in order]
+    assert (out == np.concatenate(want)).all() and np.diff(at).tolist() == [len(w) for w in want]
+    none, at = bpe.ragged_take(flat, start, np.array([1, 1]))
+    assert len(none) == 0 and at.tolist() == [0, 0, 0]
+
+
+def test_bpe_gives_ids_in_pieces_with_every_row():
+    texts = ["", "one two three " * 40_000, "", *["a few words, and more"] * 50_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    path = bpe.default_vocabulary()
+    v = bpe.vocabulary(path)
+    lex = bpe.compile_lexicon(v, [b" two"])
+
+    class Shipped:
+        value = lex
+    kept, bpe.MappedArrays = bpe.MappedArrays, contextlib.nullcontext
+    try:
+        got = list(bpe._encode([batch], path, Shipped))
+    finally:
+        bpe.MappedArrays = kept
+    assert len(got) > 1
+    t = pa.Table.from_batches(got)
+    assert t["doc_id"].to_pylist() == list(range(len(texts))) and t["decoded"].to_pylist() == texts
+    assert [len(x) // 4 for x in t["ids"].to_pylist()] == t["n_tokens"].to_pylist()
+    ids = np.frombuffer(t["ids"][3].as_py(), "<u4")
+    assert b"".join(bytes(v.token_bytes[v.token_start[i]:v.token_start[i + 1]]) for i in ids).decode() == texts[3]
+
+
 def test_bpe_of_mixed_whitespace_runs_equals_the_tokenizers_library():
     import regex
     from tokenizers import Tokenizer
