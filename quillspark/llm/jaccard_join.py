@@ -19,10 +19,12 @@ Only components are wanted, so links inside a component are not spelled out.  No
 1. go, with their shingles, to their most frequent large shingle, in chunks of bounded size, where pairs are verified unless
    both ends are already linked;
 2. meet again, some of each component, where a large shingle still sees several components;
-3. and then **exactly**: all pairs of different components under a large shingle (in pairs of parts) that the R-tree
-   bound lets through are verified.
+3. and then **exactly**: pairs of different components under a large shingle (in pairs of parts) that the R-tree
+   bound lets through tie their nodes to clusters, of which a task gives a spanning forest.  A node goes with its shingles to
+   its cluster once (and not under each of its large shingles), where all pairs (in pairs of parts) are bounded and verified.
 
-Steps 1 and 2 only save work; no link between different texts is lost, whatever the group sizes.
+Steps 1 and 2 only save work; no link between different texts is lost, whatever the group sizes.  Pairs never leave the task
+that finds them: what it gives out is at most as many rows as it has nodes.
 
 Defined cases: texts without words have no shingles and link with nothing; with fewer than 5 words the whole sequence is the one
 shingle; repeated rows are equal sets; a null doc_id links as any row does but is never a component's id unless it is alone
@@ -44,6 +46,7 @@ SHINGLE = 5
 PERCENT = 75
 GROUPS, FULL = 64, 255
 SMALL, CHUNK, PART, LEADERS = 64, 8192, 2048, 8
+FINE, RUN, MEAN = 1024, 2048, 2048    # finer groups; pairs taken at once; shingles a node of a part has on average at most
 HOT_SHARE, HOT_ROWS = 200, 20        # a frequent shingle: in 1 of 200 documents; looked for from 20 rows of a block on
 SCHEMA = "block long, row int, doc_id long, n_shingles long, node binary, tokens array<long>, vec binary"
 _OUT = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
@@ -58,8 +61,13 @@ class Sets:
     def __init__(self, block: B.Block, k: int):
         h = block.hashes()[block.tok] if len(block.tok) else np.zeros(0, np.uint64)
         g = B.window_hashes(h, k)
-        inside = np.arange(len(g)) + k <= np.repeat(block.start[1:], block.n)[:len(g)]
-        row, key = block.row_of()[:len(g)][inside], g[inside]
+        inside = np.ones(len(g), bool)
+        for j in range(1, k):                             # windows that would reach into the next row
+            at = block.start[1:][block.n >= j] - j
+            inside[at[at < len(g)]] = False
+        row = np.repeat(np.arange(len(block.n), dtype=np.int32), block.n)[:len(g)][inside]
+        key = g[inside]
+        del g, inside
         cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(block.n)))]).tolist()
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             key[lo:hi].sort()                             # in place, row by row
@@ -100,11 +108,16 @@ def distinct(key: np.ndarray) -> np.ndarray:
 def _frequent(batches, k: int):
     for batch in batches:
         for i in range(batch.num_rows):
-            s = Sets(B.Block(pa.Table.from_batches([batch.slice(i, 1)])), k)
-            u, n = np.unique(s.key, return_counts=True)
-            often = n >= max(HOT_ROWS, len(s.n) // (2 * HOT_SHARE))
-            yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often])],
-                                             names=["key", "n"])
+            yield _often(B.Block(pa.Table.from_batches([batch.slice(i, 1)])), k)
+
+
+def _often(block: B.Block, k: int) -> pa.RecordBatch:
+    """Shingles of many of a block's rows, with the number of rows."""
+    key, least = Sets(block, k).key, max(HOT_ROWS, len(block.n) // (2 * HOT_SHARE)) - 1
+    key.sort()
+    u = distinct(key[least:][key[least:] == key[:max(len(key) - least, 0)]])
+    n = np.searchsorted(key, u, "right") - np.searchsorted(key, u)
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 def _ask_prefix(block, k, frequent, percent, shards):
@@ -125,7 +138,7 @@ def _describe(block, replies, k, frequent, percent) -> pa.Table:
             (B.mix(s.key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), B.mix(s.key * np.uint64(3) + np.uint64(1)))]
     node = np.stack([c[s.start[1:]] - c[s.start[:-1]] for c in sums], axis=1)
     group = (s.key >> np.uint64(7)) % np.uint64(GROUPS)
-    vec = np.bincount(s.row * GROUPS + group.astype(np.int64), minlength=len(s.n) * GROUPS)
+    vec = np.bincount(s.row.astype(np.int64) * GROUPS + group.astype(np.int64), minlength=len(s.n) * GROUPS)
     vec = np.minimum(vec, FULL).astype(np.uint8).reshape(-1, GROUPS)
     used = per > 0
     return pa.Table.from_arrays([
@@ -165,7 +178,12 @@ class CountRTree:
 
     def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) pairs whose summed coordinate minima allow the wanted overlap."""
-        out_q, out_p = [], []
+        none = np.zeros(0, np.int64)
+        q, p = zip((none, none), *self.runs(points, sizes), strict=True)
+        return np.concatenate(q), np.concatenate(p)
+
+    def runs(self, points: np.ndarray, sizes: np.ndarray):
+        """The pairs of :meth:`search`, those of 64 queries at a time."""
         for a in range(0, len(sizes), 64):
             q = np.arange(a, min(a + 64, len(sizes)))
             top = len(self.levels[-1][1])
@@ -183,8 +201,7 @@ class CountRTree:
                     # overlap >= p/100 * union, union = |x| + |y| - overlap
                     ok[c] = (100 + self.percent) * bound >= self.percent * (sizes[qi[c]] + least[node[c]])
                 qi, node = qi[ok], node[ok]
-            out_q.append(qi), out_p.append(self.order[node])
-        return np.concatenate(out_q or [np.zeros(0, np.int64)]), np.concatenate(out_p or [np.zeros(0, np.int64)])
+            yield qi, self.order[node]
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -212,22 +229,24 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return left, left if itself else right, itself
 
 
-def _near(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that the R-tree bound and the count of prefix shingles leave, each once."""
+def _near(table: pa.Table, percent: int):
+    """Pairs of rows that the R-tree bound and the count of prefix shingles leave, each once, in runs."""
     vec, size, many = _vectors(table), table["n"].to_numpy(), table["many"].to_numpy()
     left, right, itself = _sides(table)
-    q, p = CountRTree(vec[right], size[right], percent).search(vec[left], size[left])
-    q, p = left[q], right[p]
     spare = -(-percent * size // 100) - 1                       # size - prefix length
-    wanted = -(-percent * (size[q] + size[p]) // (100 + percent)) - np.maximum(spare[q], spare[p])
-    ok = (np.minimum(many[q], many[p]) >= wanted) & ((q < p) if itself else True)
-    return q[ok], p[ok]
+    for q, p in CountRTree(vec[right], size[right], percent).runs(vec[left], size[left]):
+        q, p = left[q], right[p]
+        wanted = -(-percent * (size[q] + size[p]) // (100 + percent)) - np.maximum(spare[q], spare[p])
+        ok = (np.minimum(many[q], many[p]) >= wanted) & ((q < p) if itself else True)
+        yield q[ok], p[ok]
 
 
 def _active(table: pa.Table, percent: int) -> pa.Table:
     """Nodes that the bounds leave a partner under this token."""
-    rid = table["rid"].to_numpy()
-    used = np.unique(np.concatenate(_near(table, percent)))
+    rid, near = table["rid"].to_numpy(), np.zeros(table.num_rows, bool)
+    for q, p in _near(table, percent):
+        near[q] = near[p] = True
+    used = np.flatnonzero(near)
     return pa.Table.from_arrays([table["token"].take(pa.array(used)).combine_chunks(), pa.array(rid[used])],
                                 names=["token", "rid"])
 
@@ -267,13 +286,67 @@ def _join_group(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_pylist([{"a": a, "b": b} for a, b in links], _LINK)
 
 
-def _candidate_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of different components that the bound lets through: side 0 against side 1, or side 0 with itself."""
-    rid, label = table["rid"].to_numpy(), table["label"].to_numpy()
-    q, p = _near(table, percent)
-    ok = label[q] != label[p]
-    a, b = rid[q[ok]], rid[p[ok]]
-    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINK)
+def _forest(group: np.ndarray, pairs, bound=None, link=None) -> list[tuple[int, int]]:
+    """Of the pairs of rows that pass ``bound`` (arrays) and ``link`` (one pair) as many as tie their groups together."""
+    _, root = np.unique(group, return_inverse=True)
+    parent = list(range(len(group)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def apart(x, y):
+        now = np.array([find(r) for r in range(len(parent))])[root]
+        ahead = now[x] != now[y]
+        return x[ahead], y[ahead]
+    out = []
+    for q, p in pairs:
+        q, p = apart(q, p)
+        for at in range(0, len(q), RUN):
+            x, y = apart(q[at:at + RUN], p[at:at + RUN])
+            if bound is not None:
+                ok = bound(x, y)
+                x, y = x[ok], y[ok]
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = find(root[i]), find(root[j])
+                if a != b and (link is None or link(i, j)):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((i, j))
+    return out
+
+
+def _open_pairs(table: pa.Table, percent: int):
+    """Pairs of different components that the bounds let through (side 0 against side 1, or side 0 with itself), in runs."""
+    label = table["label"].to_numpy()
+    for q, p in _near(table, percent) if (label != label[0]).any() else ():
+        ok = label[q] != label[p]
+        yield q[ok], p[ok]
+
+
+def _pair_rows(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
+    rid = table["rid"].to_numpy()
+    q, p = (rid[np.array([x[k] for x in pairs], np.int64)] for k in (0, 1))
+    return pa.Table.from_arrays([pa.array(np.minimum(q, p)), pa.array(np.maximum(q, p))], schema=_LINK)
+
+
+def _candidates(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs to verify, as many as connect the nodes that have any."""
+    return _pair_rows(table, _forest(table["rid"].to_numpy(), _open_pairs(table, percent)))
+
+
+def _tie_part(table: pa.Table, percent: int) -> pa.Table:
+    """Verified links between components, as many as tie them together; ``label`` tells what is linked already."""
+    size, body = table["n"].to_numpy(), [B.unpack(x.as_py())[0] for x in table["body"]]
+    count = np.stack([np.bincount(((x >> np.uint64(17)) % np.uint64(FINE)).astype(np.int64), minlength=FINE).astype(np.int32)
+                      for x in body])
+
+    def bound(x, y):
+        return (100 + percent) * np.minimum(count[x], count[y]).sum(axis=1) >= percent * (size[x] + size[y])
+    pairs = _forest(table["label"].to_numpy(), _open_pairs(table, percent), bound,
+                    lambda i, j: linked(body[i], body[j], percent))
+    return _pair_rows(table, pairs)
 
 
 def _verify(batches, percent: int):
@@ -358,9 +431,13 @@ def _links(blocks: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, p
         links = links.unionByName(_tie(few.withColumn("chunk", F.lit(0).cast("long")).drop("k"), bodies, percent, bound=True))
         rest = _open_tokens(near, connected_components(links))
     B.release(spark)
-    last = B.keep(_parts(rest, vectors).groupBy("token", "i", "j").applyInArrow(
-        lambda t: _candidate_pairs(t, percent), "a long, b long").distinct())
-    return links.unionByName(_verified(last, bodies, percent))
+    hints = _parts(rest, vectors).groupBy("token", "i", "j").applyInArrow(
+        lambda t: _candidates(t, percent), "a long, b long")
+    units = _units(rest, connected_components(hints).withColumnRenamed("label", "cluster"))
+    B.release(spark)
+    last = _parts(units, vectors.join(bodies.select("rid", "body"), "rid")).groupBy(
+        "cluster", "token", "i", "j").applyInArrow(lambda t: _tie_part(t, percent), "a long, b long")
+    return links.unionByName(B.keep(last))
 
 
 def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
@@ -407,6 +484,24 @@ def _open_tokens(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     return B.keep(full.join(several, "token", "left_semi").select("token", "rid", "n", "m", "label"))
 
 
+def _units(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows (cluster, token, rid, n, label, m) of the units in which pairs are verified: clusters (token is null).
+
+    A cluster that long chains made may hold more pairs than its tokens together; then these are its units.
+    """
+    full = rows.drop("m").join(clusters.withColumnRenamed("node", "rid"), "rid")
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / MEAN)).alias("m")
+    nodes = full.select("cluster", "rid", "n", "label").distinct()
+    by_token = full.groupBy("cluster", "token").agg(F.count("*").alias("k"), weight).filter("k > 1")
+    by_cluster = nodes.groupBy("cluster").agg(F.count("*").alias("k"), weight).join(
+        by_token.groupBy("cluster").agg(F.sum(F.col("k") * F.col("k")).alias("pairs")), "cluster")
+    whole = by_cluster.filter("k * k <= pairs").select("cluster", "m")
+    cut = by_cluster.filter("k * k > pairs").select("cluster")
+    columns = ["cluster", "token", "rid", "n", "label", "m"]
+    return B.keep(nodes.join(whole, "cluster").withColumn("token", F.lit(None).cast("long")).select(columns).unionByName(
+        full.join(by_token.join(cut, "cluster", "left_semi").drop("k"), ["cluster", "token"]).select(columns)))
+
+
 def _parts(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """Rows of each token with their vectors, large tokens cut into parts of which every two meet once.
 

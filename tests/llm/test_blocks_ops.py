@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import _blocks as B
+from quillspark.llm import jaccard_join
 from quillspark.llm.components import connected_components
 from quillspark.llm.elias_fano import EliasFano, MappedArrays, encode
 from quillspark.llm.jaccard_join import CountRTree, component_ids
@@ -220,6 +222,54 @@ def test_jaccard_join_of_a_drifting_group(spark):
     assert by_row(tuple(r) for r in got) == by_row(brute_components(rows))
 
 
+def near_rows(n, seed=3):
+    """Rows of one group, as tasks get them: sets of up to 40 shingles, most of a common 50; each a component of its own."""
+    r = random.Random(seed)
+    sets = [sorted({r.randrange(50) * 2654435761 for _ in range(80)} | {2**40 + 4096 * k + x for x in range(r.randint(0, 12))})[:40]
+            for k in range(n)]
+    keys = [B.mix(np.array(x, np.uint64)) for x in sets]
+    vec = [np.bincount(((x >> np.uint64(7)) % np.uint64(64)).astype(int), minlength=64).astype(np.uint8).tobytes() for x in keys]
+    return sets, pa.table({"rid": pa.array(range(n), pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()),
+                           "label": pa.array(range(n), pa.int64()), "many": pa.array([40] * n, pa.int32()),
+                           "vec": pa.array(vec, pa.binary()), "body": pa.array([B.pack(np.sort(x)) for x in keys], pa.binary()),
+                           "side": pa.array([0] * n, pa.int32()), "i": pa.array([0] * n, pa.int32()),
+                           "j": pa.array([0] * n, pa.int32())})
+
+
+def roots(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        label = [min(x, y) if z in (x, y) else z for z in label]
+    return label
+
+
+def test_pairs_stay_in_the_task_that_finds_them():
+    """A group gives out fewer rows than it has nodes, and these tie together what all its links do."""
+    sets, table = near_rows(200)
+    links = [(a, b) for a in range(200) for b in range(a) if 175 * len({*sets[a]} & {*sets[b]}) >= 75 * (len(sets[a]) + len(sets[b]))]
+    assert len(links) > 200
+    for got in (jaccard_join._candidates(table, 75), jaccard_join._tie_part(table, 75)):
+        assert 0 < got.num_rows < 200
+        pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        label = roots(200, pairs)
+        assert all(label[a] == label[b] for a, b in links)
+    assert label == roots(200, links)
+
+
+def test_units_are_clusters_or_their_tokens(spark):
+    """A node goes to its cluster once; a cluster of few common tokens is taken token by token."""
+    tight = [(t, r, 50, 9, r) for t in range(5) for r in range(10)]
+    chain = [(100 + t, 1000 + r, 50, 9, r) for t in range(20) for r in (t, t + 1)] + [(7, 1000, 50, 9, 0)]
+    rows = spark.createDataFrame(tight + chain, "token long, rid long, n long, m long, label long")
+    clusters = spark.createDataFrame([(r, 0) for r in range(10)] + [(1000 + r, 1000) for r in range(21)], "node long, cluster long")
+    got = collections.defaultdict(set)
+    for x in jaccard_join._units(rows, clusters).collect():
+        got[x.cluster, x.token].add((x.rid, x.n, x.m))
+    assert got == {(0, None): {(r, 50, 10) for r in range(10)},
+                   **{(1000, 100 + t): {(1000 + t, 50, 2), (1001 + t, 50, 2)} for t in range(20)}}
+
+
 @given(st.integers(0, 10**6))
 @settings(max_examples=25, deadline=None)
 def test_rtree_keeps_every_close_pair(seed):
