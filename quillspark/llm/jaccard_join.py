@@ -51,7 +51,9 @@ HOT_SHARE, HOT_ROWS = 200, 20        # a frequent shingle: in 1 of 200 documents
 SCHEMA = "block long, row int, doc_id long, n_shingles long, node binary, tokens array<long>, vec binary"
 _OUT = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                   ("node", pa.binary()), ("tokens", pa.list_(pa.int64())), ("vec", pa.binary())])
-_BODY = pa.schema([("rid", pa.int64()), ("body", pa.binary())])
+BODY = "rid long, n long, vec binary, paired boolean, near boolean, body binary"
+_BODY = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("paired", pa.bool_()), ("near", pa.bool_()),
+                   ("body", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -149,14 +151,14 @@ def _describe(block, replies, k, frequent, percent) -> pa.Table:
 
 
 def _bodies(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rid, body): the shingles of wanted rows (rid, block, row), computed where the block is."""
+    """Wanted rows (rid, block, row, ...) with their shingles, which are computed where the block is."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_pylist([], _BODY)
         s = Sets(B.Block(left), k)
-        return pa.Table.from_arrays([right["rid"].combine_chunks(), pa.array(
-            [B.pack(s.key[s.start[r]:s.start[r + 1]]) for r in right["row"].to_pylist()], pa.binary())], schema=_BODY)
-    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, "rid long, body binary")
+        body = pa.array([B.pack(s.key[s.start[r]:s.start[r + 1]]) for r in right["row"].to_pylist()], pa.binary())
+        return right.append_column("body", body).select(_BODY.names)
+    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, BODY)
 
 
 # --- R-tree ----------------------------------------------------------------------------------
@@ -408,13 +410,15 @@ def _links(blocks: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, p
     near = B.keep(near.join(near.groupBy("token").agg(F.count("*").alias("m")), "token"))
     del tokens, many
     B.release(spark)
-    used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(near.select("rid")).distinct()
-    wanted = B.keep(light.drop("tokens").join(used, "rid", "left_semi"))
-    bodies = B.keep(_bodies(blocks, wanted.select("rid", "block", "row"), shingle)
-                    .join(wanted.select("rid", "n", "vec"), "rid"))
+    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).select("rid", F.lit(False).alias("large"))
+    used = ends.union(near.select("rid", F.lit(True))).groupBy("rid").agg(
+        F.bool_or(~F.col("large")).alias("paired"), F.bool_or("large").alias("near"))
+    wanted = B.keep(light.drop("tokens").join(used, "rid"))
+    bodies = B.keep(_bodies(blocks, wanted, shingle))
     near = B.keep(near.join(wanted.select("rid", "n"), "rid"))
-    del light, used, wanted
-    links = _verified(pairs, bodies, percent)
+    del light, ends, used, wanted
+    links = _verified(pairs, bodies.filter("paired"), percent)
+    bodies = bodies.filter("near")             # steps that need few sets do not send them all
     del pairs
     B.release(spark)
     widest = near.agg(F.max("m")).first()[0]
