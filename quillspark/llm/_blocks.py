@@ -132,11 +132,23 @@ def _make_blocks(batches, lower: bool, limit: int):
 
 
 def token_blocks(df: DataFrame, id_col: str, text_col: str, lower: bool,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block of documents; other columns of ``df`` are not read."""
+                 block_bytes: int = BLOCK_BYTES, placed: bool = False) -> DataFrame:
+    """One row per block of documents; other columns of ``df`` are not read.
+
+    ``placed``: blocks are dealt out by number before they are kept, and what meets them later comes to where they are.
+    """
     ship_package(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return keep(rows.mapInArrow(lambda it: _make_blocks(it, lower, block_bytes), BLOCK_SCHEMA))
+    blocks = rows.mapInArrow(lambda it: _make_blocks(it, lower, block_bytes), BLOCK_SCHEMA)
+    if not placed:
+        return keep(blocks)
+    conf, adaptive = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    held = conf.get(adaptive)
+    conf.set(adaptive, "false")               # a checkpoint of an adaptive plan forgets how its rows are dealt out
+    try:
+        return keep(blocks.repartition(int(conf.get("spark.sql.shuffle.partitions")), "block"))
+    finally:
+        conf.set(adaptive, held)
 
 
 class Block:
@@ -219,6 +231,11 @@ _ANSWER = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.b
                      ("total", pa.int64()), ("kinds", pa.int64())])
 
 
+def entries(rows: list[tuple]) -> pa.Table:
+    """Rows (shard, block, data) of a round as a table."""
+    return _table(rows, _ASK)
+
+
 def ask(blocks: DataFrame, fn) -> DataFrame:
     """``fn(block) -> [(shard, block, data)]`` over blocks alone."""
     def run(it):

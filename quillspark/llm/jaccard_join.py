@@ -4,9 +4,11 @@ A document is the set of its distinct 5-word shingles; two link when 100 * inter
 
 Equal sets are one node from the start.  Linked sets share shingles among the first ``p(n) = n - ceil(0.75 n) + 1`` of
 each in any common order, and at least ``wanted + min(p(x) - x, p(y) - y)`` of them, where ``wanted`` is the overlap that their
-sizes x and y ask for: sets of like size share a tenth of their shingles there.  The order puts frequent shingles last, so
-that a line or passage which many documents share hardly ever makes candidates.  Prefix shingles that occur
-in one document only are dropped by a block round.
+sizes x and y ask for: sets of like size share a tenth of their shingles there.  The order is by the binary logarithm of the
+number of nodes that hold a shingle, which a block round counts over all shingles of all nodes: those of one node come first
+and are dropped, so a set takes part only if three quarters of it or more occur elsewhere, and a line or passage which
+many documents share hardly ever makes candidates.  The round counts ``CODE_BITS`` bits of a shingle within its shard; shingles
+that it mixes up are ordered alike everywhere, and none of several nodes is taken for one of a single node.
 
 * Under a shingle of up to ``SMALL`` nodes, pairs are counted: a pair's common prefix shingles, by a join and a sum.
 * Under a larger one, shingles are hashed into ``GROUPS`` groups and the group counts are points of an R-tree: the sum of
@@ -47,10 +49,11 @@ PERCENT = 75
 GROUPS, FULL = 64, 255
 SMALL, CHUNK, PART, LEADERS = 64, 8192, 2048, 8
 FINE, RUN, MEAN = 1024, 2048, 2048    # finer groups; pairs taken at once; shingles a node of a part has on average at most
-HOT_SHARE, HOT_ROWS = 200, 20        # a frequent shingle: in 1 of 200 documents; looked for from 20 rows of a block on
-SCHEMA = "block long, row int, doc_id long, n_shingles long, node binary, tokens array<long>, vec binary"
-_OUT = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
-                  ("node", pa.binary()), ("tokens", pa.list_(pa.int64())), ("vec", pa.binary())])
+CODE_BITS = 26                       # a shard has up to 2 million words: one shingle in 30 meets another's code
+ROWS = "block long, row int, doc_id long, n_shingles long, node binary"
+LIGHT = "rid long, block long, row int, n long, tokens array<long>, vec binary"
+_LIGHT = pa.schema([("rid", pa.int64()), ("block", pa.int64()), ("row", pa.int32()), ("n", pa.int64()),
+                    ("tokens", pa.list_(pa.int64())), ("vec", pa.binary())])
 BODY = "rid long, n long, vec binary, paired boolean, near boolean, body binary"
 _BODY = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("paired", pa.bool_()), ("near", pa.bool_()),
                    ("body", pa.binary())])
@@ -58,96 +61,150 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 class Sets:
-    """The distinct shingles of a block's rows: ``key`` sorted within rows, ``start`` offsets."""
-
-    def __init__(self, block: B.Block, k: int):
-        h = block.hashes()[block.tok] if len(block.tok) else np.zeros(0, np.uint64)
+    """The distinct shingles of a block's rows (of ``rows`` alone): ``key`` sorted within rows, ``start`` offsets."""
+
+    def __init__(self, block: B.Block, k: int, rows: np.ndarray | None = None):
+        words, tok = block.n, block.tok
+        if rows is not None and len(rows) < len(words):
+            mine = np.zeros(len(words), bool)
+            mine[rows] = True
+            tok, words = tok[np.repeat(mine, words)], np.where(mine, words, 0)
+        begin = np.cumsum(words) - words
+        h = block.hashes()[tok] if len(tok) else np.zeros(0, np.uint64)
         g = B.window_hashes(h, k)
         inside = np.ones(len(g), bool)
         for j in range(1, k):                             # windows that would reach into the next row
-            at = block.start[1:][block.n >= j] - j
+            at = (begin + words)[words >= j] - j
             inside[at[at < len(g)]] = False
-        row = np.repeat(np.arange(len(block.n), dtype=np.int32), block.n)[:len(g)][inside]
+        row = np.repeat(np.arange(len(words), dtype=np.int32), words)[:len(g)][inside]
         key = g[inside]
         del g, inside
-        cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(block.n)))]).tolist()
+        cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))]).tolist()
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             key[lo:hi].sort()                             # in place, row by row
-        few = np.flatnonzero((block.n > 0) & (block.n < k))
+        few = np.flatnonzero((words > 0) & (words < k))
         if len(few):                                      # short texts: the whole sequence
             one = np.zeros(len(few), np.uint64)
             for n in range(1, k):
-                r = block.n[few] == n
+                r = words[few] == n
                 if r.any():
-                    one[r] = B.mix(B.window_hashes(h, n)[block.start[few[r]]] + np.uint64(n))
+                    one[r] = B.mix(B.window_hashes(h, n)[begin[few[r]]] + np.uint64(n))
             at = np.searchsorted(row, few)
             row, key = np.insert(row, at, few), np.insert(key, at, one)
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
         self.row, self.key = row[new], key[new]
-        self.n = np.bincount(self.row, minlength=len(block.n))
+        self.n = np.bincount(self.row, minlength=len(words))
         self.start = np.concatenate([[0], np.cumsum(self.n)])
 
-    def prefix(self, frequent: np.ndarray, percent: int) -> np.ndarray:
-        """Places of each row's prefix shingles, rare ones before frequent ones."""
+    def prefix(self, kind: np.ndarray, percent: int) -> np.ndarray:
+        """Places of each row's prefix shingles, those of a lower ``kind`` before others."""
         length = self.n - -(-percent * self.n // 100) + 1
-        late = np.zeros(len(self.key), bool)
-        if len(frequent):
-            late = frequent[np.minimum(np.searchsorted(frequent, self.key), len(frequent) - 1)] == self.key
-        rare = np.concatenate([[0], np.cumsum(~late)])                # rare ones before each place
-        before = rare[:-1] - rare[self.start[:-1]][self.row]
-        in_row = (rare[self.start[1:]] - rare[self.start[:-1]])[self.row]
-        rank = np.where(late, in_row + np.arange(len(late)) - self.start[self.row] - before, before)
-        return np.flatnonzero(rank < length[self.row])
+        kinds = int(kind.max(initial=0)) + 1
+        per = np.bincount(self.row * np.int64(kinds) + kind, minlength=len(self.n) * kinds).reshape(-1, kinds)
+        before, used = np.cumsum(per, axis=1) - per, np.zeros(len(kind), bool)
+        for c in range(kinds):
+            at = np.flatnonzero(kind == c)
+            row, first = self.row[at], np.cumsum(per[:, c]) - per[:, c]
+            used[at] = before[row, c] + np.arange(len(at)) - first[row] < length[row]
+        return np.flatnonzero(used)
+
+
+def _codes(key: np.ndarray, shards: int) -> np.ndarray:
+    """A shingle's shard and ``CODE_BITS`` bits of its place there; in the order of the shingles."""
+    at = (key >> np.uint64(32)) * np.uint64(shards)
+    return at >> np.uint64(32 - CODE_BITS)
 
 
-def distinct(key: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys."""
-    key = np.sort(key)
-    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+def _distinct(code: np.ndarray) -> np.ndarray:
+    """Where a sorted array's values begin."""
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    return new
 
 
-def _frequent(batches, k: int):
+def _rows(batches, k: int):
+    """Every row of a block, with a 128-bit hash of its set."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield _often(B.Block(pa.Table.from_batches([batch.slice(i, 1)])), k)
-
-
-def _often(block: B.Block, k: int) -> pa.RecordBatch:
-    """Shingles of many of a block's rows, with the number of rows."""
-    key, least = Sets(block, k).key, max(HOT_ROWS, len(block.n) // (2 * HOT_SHARE)) - 1
-    key.sort()
-    u = distinct(key[least:][key[least:] == key[:max(len(key) - least, 0)]])
-    n = np.searchsorted(key, u, "right") - np.searchsorted(key, u)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-
-def _ask_prefix(block, k, frequent, percent, shards):
-    s = Sets(block, k)
-    u, n = np.unique(s.key[s.prefix(frequent, percent)], return_counts=True)
-    return B.ask_shared(block, u, n > 1, shards)
-
-
-def _describe(block, replies, k, frequent, percent) -> pa.Table:
-    s = Sets(block, k)
-    at = s.prefix(frequent, percent)
-    u = distinct(s.key[at])
-    at = at[B.bits(replies)[np.searchsorted(u, s.key[at])]] if len(at) else at
-    per = np.bincount(s.row[at], minlength=len(s.n))
-    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)),
-                                      pa.array(s.key[at].view(np.int64)))
-    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in
-            (B.mix(s.key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), B.mix(s.key * np.uint64(3) + np.uint64(1)))]
-    node = np.stack([c[s.start[1:]] - c[s.start[:-1]] for c in sums], axis=1)
-    group = (s.key >> np.uint64(7)) % np.uint64(GROUPS)
-    vec = np.bincount(s.row.astype(np.int64) * GROUPS + group.astype(np.int64), minlength=len(s.n) * GROUPS)
-    vec = np.minimum(vec, FULL).astype(np.uint8).reshape(-1, GROUPS)
-    used = per > 0
-    return pa.Table.from_arrays([
-        pa.array(np.full(len(s.n), block.number)), pa.array(np.arange(len(s.n), dtype=np.int32)),
-        pa.array(block.doc, mask=block.null), pa.array(s.n.astype(np.int64)),
-        pa.array([x.tobytes() if n else None for x, n in zip(node, s.n, strict=True)], pa.binary()), tokens,
-        pa.array([v.tobytes() if x else None for v, x in zip(vec, used, strict=True)], pa.binary())], schema=_OUT)
+            block = B.Block(pa.Table.from_batches([batch.slice(i, 1)]))
+            s = Sets(block, k)
+            sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in
+                    (B.mix(s.key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), B.mix(s.key * np.uint64(3) + np.uint64(1)))]
+            node = np.stack([c[s.start[1:]] - c[s.start[:-1]] for c in sums], axis=1)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(s.n), block.number)), pa.array(np.arange(len(s.n), dtype=np.int32)),
+                pa.array(block.doc, mask=block.null), pa.array(s.n.astype(np.int64)),
+                pa.array([x.tobytes() if n else None for x, n in zip(node, s.n, strict=True)], pa.binary())],
+                names=["block", "row", "doc_id", "n_shingles", "node"])
+
+
+def _ask_codes(blocks: DataFrame, nodes: DataFrame, k: int, shards: int) -> DataFrame:
+    """Entries of a round: the codes of all shingles of a block's nodes, with the number of nodes."""
+    low = np.uint64((1 << CODE_BITS) - 1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return B.entries([])
+        block = B.Block(left)
+        code = np.sort(_codes(Sets(block, k, right["row"].to_numpy()).key, shards))
+        first = np.flatnonzero(_distinct(code))
+        n = np.minimum(np.diff(np.append(first, len(code))), 255).astype(np.uint8)
+        code = code[first]
+        return B.entries(B.rows_by_shard(
+            block.number, (code >> np.uint64(CODE_BITS)).astype(np.int64),
+            lambda a, b: B.pack(np.diff(code[a:b] & low, prepend=np.uint64(0)).astype(np.uint32), n[a:b])))
+    return blocks.groupBy("block").cogroup(nodes.select("block", "row").groupBy("block")).applyInArrow(run, B.ASK_SCHEMA)
+
+
+def _answer_codes(datas):
+    """Reply to :func:`_ask_codes`: the binary logarithm of the number of nodes."""
+    asked = [B.unpack(d) for d in datas]
+    codes = [np.cumsum(a[0], dtype=np.uint32) for a in asked]
+    both = np.concatenate(codes).astype(np.uint64) << np.uint64(8) | np.concatenate([a[1] for a in asked])
+    both.sort()
+    code, n = both >> np.uint64(8), (both & np.uint64(255)).astype(np.int64)
+    first = np.flatnonzero(_distinct(code))
+    code, kind = code[first].astype(np.uint32), np.log2(np.add.reduceat(n, first)).astype(np.uint8)
+    return [B.pack(kind[np.searchsorted(code, c)]) for c in codes], len(both), len(first)
+
+
+def _describe(blocks: DataFrame, nodes: DataFrame, kinds: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+    """Nodes with prefix shingles that occur in other nodes (some may not: their codes met others)."""
+    own = nodes.select("block", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("data"), "row", "rid")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("row", "int"), ("rid", "long"))]
+    both = kinds.select("block", "shard", "data", *none).unionByName(own)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_pylist([], _LIGHT)
+        right = right.sort_by("shard")
+        mine = int((right["shard"].to_numpy() < 0).sum())
+        block, rows = B.Block(left), right["row"][:mine].to_numpy()
+        s = Sets(block, k, rows)
+        rid = np.zeros(len(s.n), np.int64)
+        rid[rows] = right["rid"][:mine].to_numpy()
+        code = _codes(s.key, shards)
+        order = np.argsort(code, kind="stable")
+        kind = np.zeros(len(code), np.uint8)
+        replies = np.concatenate([B.unpack(d.as_py())[0] for d in right["data"][mine:]])
+        kind[order] = replies[np.cumsum(_distinct(code[order])) - 1]
+        del code, order, replies
+        at = s.prefix(kind, percent)
+        at = at[kind[at] > 0]
+        per = np.bincount(s.row[at], minlength=len(s.n))
+        used = np.flatnonzero(per)
+        tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per[used])]).astype(np.int32)),
+                                          pa.array(s.key[at].view(np.int64)))
+        mine = (per > 0)[s.row]
+        place = (np.cumsum(per > 0) - 1)[s.row[mine]]
+        group = ((s.key[mine] >> np.uint64(7)) % np.uint64(GROUPS)).astype(np.int64)
+        vec = np.bincount(place * GROUPS + group, minlength=len(used) * GROUPS)
+        vec = np.minimum(vec, FULL).astype(np.uint8).reshape(-1, GROUPS)
+        return pa.Table.from_arrays([
+            pa.array(rid[used]), pa.array(np.full(len(used), block.number)), pa.array(used.astype(np.int32)),
+            pa.array(s.n[used].astype(np.int64)), tokens, pa.array([v.tobytes() for v in vec], pa.binary())], schema=_LIGHT)
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, LIGHT)
 
 
 def _bodies(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -155,7 +212,7 @@ def _bodies(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_pylist([], _BODY)
-        s = Sets(B.Block(left), k)
+        s = Sets(B.Block(left), k, right["row"].to_numpy())
         body = pa.array([B.pack(s.key[s.start[r]:s.start[r + 1]]) for r in right["row"].to_pylist()], pa.binary())
         return right.append_column("body", body).select(_BODY.names)
     return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, BODY)
@@ -363,22 +420,17 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) of every row of ``docs``; node tells equal sets."""
     spark = docs.sparkSession
-    blocks = B.token_blocks(docs, id_col, text_col, lower=True)
+    blocks = B.token_blocks(docs, id_col, text_col, lower=True, placed=True)
+    B.release(spark)
     shards = B.shard_count(blocks)
-    n_docs = blocks.select(F.sum(F.size("doc"))).first()[0] or 0
-    # at most HOT_SHARE times the mean set size of entries
-    often = blocks.mapInArrow(lambda it: _frequent(it, shingle), "key long, n long").groupBy("key").agg(
-        F.sum("n").alias("n")).filter(F.col("n") * HOT_SHARE >= n_docs).select("key").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy().view(np.uint64)))
-    shared = B.answer(B.ask(blocks, lambda b: _ask_prefix(b, shingle, frequent.value, percent, shards)),
-                      B.answer_shared)
-    rows = B.keep(B.tell(blocks, shared, lambda b, r: _describe(b, r, shingle, frequent.value, percent), SCHEMA)
-                  .withColumn("rid", F.monotonically_increasing_id()))
-    del shared
+    rows = B.keep(blocks.mapInArrow(lambda it: _rows(it, shingle), ROWS).withColumn("rid", F.monotonically_increasing_id()))
+    nodes = B.keep(rows.filter("n_shingles > 0").groupBy("node").agg(
+        F.min(F.struct("rid", "block", "row")).alias("r"), F.min("doc_id").alias("low")).select("node", "r.*", "low"))
+    kinds = B.answer(_ask_codes(blocks, nodes, shingle, shards), _answer_codes)
+    light = B.keep(_describe(blocks, nodes, kinds, shingle, percent, shards))
+    del kinds
     B.release(spark)
-    open_rows = rows.filter(F.size("tokens") > 0)
-    nodes = B.keep(open_rows.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low")))
-    labels = connected_components(_links(blocks, open_rows, nodes, shingle, percent)).withColumnRenamed("node", "rid")
+    labels = connected_components(_links(blocks, light, percent, shingle)).withColumnRenamed("node", "rid")
     member = nodes.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     lowest = member.groupBy("label").agg(F.min("low").alias("component_id"))
     member = member.join(lowest, "label").select("node", "component_id")
@@ -392,11 +444,9 @@ def _wanted(a: str, b: str, percent: int):
     return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent)) - F.greatest(*spare)
 
 
-def _links(blocks: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(blocks: DataFrame, light: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Verified links (a, b) between nodes that give their components."""
-    spark = rows.sparkSession
-    light = rows.select("rid", "block", "row", F.col("n_shingles").alias("n"), "vec", "tokens").join(
-        nodes.select("rid"), "rid", "left_semi")
+    spark = light.sparkSession
     tokens = light.select("rid", "n", F.explode("tokens").alias("token"))
     tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token")
     tokens = B.keep(tokens)

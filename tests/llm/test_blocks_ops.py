@@ -222,6 +222,50 @@ def test_jaccard_join_of_a_drifting_group(spark):
     assert by_row(tuple(r) for r in got) == by_row(brute_components(rows))
 
 
+def test_jaccard_join_moves_only_sets_that_can_link(spark, monkeypatch):
+    """Sets with more than a quarter of shingles of their own make no candidates, whatever passage they share; blocks stay where
+    they are."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"x{i}w{k}" for k in range(30)), None, 0) for i in range(90)]
+    rows += [(1000 + i, " ".join(f"y{i // 2}w{k}" for k in range(60)) + f" z{i}", None, 0) for i in range(8)]
+    rows += [(2000 + i, rows[i][1], None, 0) for i in range(90)]
+    moved, bodies = [], jaccard_join._bodies
+
+    def spy(blocks, wanted, k):
+        out = bodies(blocks, wanted, k)
+        moved.append((wanted.count(), out._jdf.queryExecution().sparkPlan().toString(), blocks, wanted))
+        return out
+    monkeypatch.setattr(jaccard_join, "_bodies", spy)
+    got = component_ids(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert by_row(tuple(r) for r in got) == by_row(brute_components(rows))
+    (n, _, blocks, wanted), = moved
+    assert n == 8
+    plan = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
+        lambda x, y: x.select(["block"]), "block long")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_jaccard_join_counts_nodes_not_rows(spark):
+    """Shingles of one node are told from those of several, across blocks and within one, whatever their codes."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randint(1, 60))) for _ in range(60)]
+    rows = [(i, texts[r.randrange(60)], None, 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    blocks = B.keep(B.token_blocks(docs, "doc_id", "text", lower=True, block_bytes=700))
+    shards = 3
+    every = blocks.mapInArrow(lambda it: jaccard_join._rows(it, 5), jaccard_join.ROWS).withColumn(
+        "rid", F.monotonically_increasing_id()).filter("n_shingles > 0").cache()
+    nodes = every.groupBy("node").agg(F.min(F.struct("rid", "block", "row")).alias("r")).select("node", "r.*").cache()
+    asked = jaccard_join._ask_codes(blocks, nodes, 5, shards)
+    kinds = B.answer(asked, jaccard_join._answer_codes)
+    light = jaccard_join._describe(blocks, nodes, kinds, 5, 75, shards).collect()
+    sets = {frozenset(shingles(t)) for _, t, *_ in rows}
+    held = collections.Counter(x for s in sets for x in s)
+    free = [s for s in sets if 4 * sum(held[x] == 1 for x in s) <= len(s)]               # these and no others take part
+    assert nodes.count() == len(sets) < 300
+    assert sorted(x.n for x in light) == sorted(len(s) for s in free) and 5 < len(free) < len(sets) - 5
+
+
 def near_rows(n, seed=3):
     """Rows of one group, as tasks get them: sets of up to 40 shingles, most of a common 50; each a component of its own."""
     r = random.Random(seed)
