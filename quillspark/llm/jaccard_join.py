@@ -12,7 +12,8 @@ that it mixes up are ordered alike everywhere, and none of several nodes is take
 
 * Under a shingle of up to ``SMALL`` nodes, pairs are counted: a pair's common prefix shingles, by a join and a sum.
 * Under a larger one, shingles are hashed into ``GROUPS`` groups and the group counts are points of an R-tree: the sum of
-  coordinate minima bounds the overlap of a point with a whole subtree and then with each point.
+  coordinate minima bounds the overlap of a point with a whole subtree and then with each point.  Who was found as a partner
+  is not asked again, nor who is in the largest of the groups found so far: a group of like sets costs a few searches.
 
 Pairs that stay are verified on the shingles, which are fetched for their nodes alone.
 
@@ -49,6 +50,7 @@ PERCENT = 75
 GROUPS, FULL = 64, 255
 SMALL, CHUNK, PART, LEADERS = 64, 8192, 2048, 8
 FINE, RUN, MEAN = 1024, 2048, 2048    # finer groups; pairs taken at once; shingles a node of a part has on average at most
+STEP = 32                            # rows asked for pairs at once; then those that they settled are left out
 CODE_BITS = 26                       # a shard has up to 2 million words: one shingle in 30 meets another's code
 ROWS = "block long, row int, doc_id long, n_shingles long, node binary"
 LIGHT = "rid long, block long, row int, n long, tokens array<long>, vec binary"
@@ -57,6 +59,7 @@ _LIGHT = pa.schema([("rid", pa.int64()), ("block", pa.int64()), ("row", pa.int32
 BODY = "rid long, n long, vec binary, paired boolean, near boolean, body binary"
 _BODY = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("paired", pa.bool_()), ("near", pa.bool_()),
                    ("body", pa.binary())])
+ACTIVE = "token long, rid long, n long, m long"
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -288,100 +291,104 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return left, left if itself else right, itself
 
 
-def _near(table: pa.Table, percent: int):
-    """Pairs of rows that the R-tree bound and the count of prefix shingles leave, each once, in runs."""
-    vec, size, many = _vectors(table), table["n"].to_numpy(), table["many"].to_numpy()
-    left, right, itself = _sides(table)
-    spare = -(-percent * size // 100) - 1                       # size - prefix length
-    for q, p in CountRTree(vec[right], size[right], percent).runs(vec[left], size[left]):
-        q, p = left[q], right[p]
-        wanted = -(-percent * (size[q] + size[p]) // (100 + percent)) - np.maximum(spare[q], spare[p])
-        ok = (np.minimum(many[q], many[p]) >= wanted) & ((q < p) if itself else True)
-        yield q[ok], p[ok]
+def _meeting(table: pa.Table, percent: int, counted: bool = True):
+    """A function of rows that gives their pairs (row, partner) which the R-tree bound and the count of prefix shingles leave, in
+    runs; a row's partners are in the other part, or in its own if that meets itself."""
+    vec, size = _vectors(table), table["n"].to_numpy()
+    many = table["many"].to_numpy() if counted else None
+    left, right, itself = _sides(table) if counted else (np.arange(len(size)), np.arange(len(size)), True)
+    other = np.zeros(len(size), bool)                           # rows of the right part alone
+    if not itself:
+        other[right] = True
+    spare, trees = -(-percent * size // 100) - 1, {}            # size - prefix length
+
+    def near(rows):
+        for back in (False, True):
+            mine, theirs = rows[other[rows] == back], left if back else right
+            if not len(mine):
+                continue
+            if back not in trees:
+                trees[back] = CountRTree(vec[theirs], size[theirs], percent)
+            for q, p in trees[back].runs(vec[mine], size[mine]):
+                q, p = mine[q], theirs[p]
+                ok = q != p
+                if counted:
+                    wanted = -(-percent * (size[q] + size[p]) // (100 + percent)) - np.maximum(spare[q], spare[p])
+                    ok &= np.minimum(many[q], many[p]) >= wanted
+                yield q[ok], p[ok]
+    return near
 
 
 def _active(table: pa.Table, percent: int) -> pa.Table:
-    """Nodes that the bounds leave a partner under this token."""
-    rid, near = table["rid"].to_numpy(), np.zeros(table.num_rows, bool)
-    for q, p in _near(table, percent):
-        near[q] = near[p] = True
+    """Nodes that the bounds leave a partner under this token, with their number; who was found as a partner is not asked again."""
+    rid, near, meet = table["rid"].to_numpy(), np.zeros(table.num_rows, bool), _meeting(table, percent)
+    asked = np.zeros(table.num_rows, bool)
+    while len(now := np.flatnonzero(~near & ~asked)[:STEP]):
+        asked[now] = True
+        for q, p in meet(now):
+            near[q] = near[p] = True
     used = np.flatnonzero(near)
-    return pa.Table.from_arrays([table["token"].take(pa.array(used)).combine_chunks(), pa.array(rid[used])],
-                                names=["token", "rid"])
+    return pa.Table.from_arrays([table["token"].take(pa.array(used)).combine_chunks(), pa.array(rid[used]),
+                                 pa.array(table["n"].to_numpy()[used]), pa.array(np.full(len(used), len(used)))],
+                                names=["token", "rid", "n", "m"])
 
 
 def _join_group(table: pa.Table, percent: int) -> pa.Table:
     """Verified links of a group that tie it together; ``label`` tells what is linked already."""
     table = table.sort_by("rid")
-    vec, size, rid = _vectors(table), table["n"].to_numpy(), table["rid"].to_numpy()
-    _, root = np.unique(table["label"].to_numpy(), return_inverse=True)
-    parent = list(range(int(root.max()) + 1))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-    if len(parent) == 1:
+    label, bodies = table["label"].to_numpy(), {}
+    if not len(label) or (label == label[0]).all():
         return pa.Table.from_pylist([], _LINK)
-    tree = CountRTree(vec, size, percent)
-    bodies: dict[int, np.ndarray] = {}
 
     def body(i):
         if i not in bodies:
             bodies[i] = B.unpack(table["body"][i].as_py())[0]
         return bodies[i]
-    links = []
-    for at in range(0, len(rid), 64):
-        q, p = tree.search(vec[at:at + 64], size[at:at + 64])
-        q = q + at
-        now = np.array([find(r) for r in range(len(parent))])[root]
-        ahead = (q < p) & (now[q] != now[p])
-        for i, j in zip(q[ahead].tolist(), p[ahead].tolist(), strict=True):
-            a, b = find(root[i]), find(root[j])
-            if a != b and linked(body(i), body(j), percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((int(rid[i]), int(rid[j])))
-    return pa.Table.from_pylist([{"a": a, "b": b} for a, b in links], _LINK)
-
-
-def _forest(group: np.ndarray, pairs, bound=None, link=None) -> list[tuple[int, int]]:
-    """Of the pairs of rows that pass ``bound`` (arrays) and ``link`` (one pair) as many as tie their groups together."""
-    _, root = np.unique(group, return_inverse=True)
-    parent = list(range(len(group)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def apart(x, y):
-        now = np.array([find(r) for r in range(len(parent))])[root]
-        ahead = now[x] != now[y]
-        return x[ahead], y[ahead]
-    out = []
-    for q, p in pairs:
-        q, p = apart(q, p)
-        for at in range(0, len(q), RUN):
-            x, y = apart(q[at:at + RUN], p[at:at + RUN])
-            if bound is not None:
-                ok = bound(x, y)
+    return _pair_rows(table, _forest(label, _meeting(table, percent, counted=False),
+                                     link=lambda i, j: linked(body(i), body(j), percent)))
+
+
+def _forest(group: np.ndarray, meet, bound=None, link=None, cover: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Of the pairs of ``meet`` that pass ``bound`` (arrays) and ``link`` (one pair) as many as tie their groups together.
+
+    A pair of different groups has a row outside the largest group, so rows of the largest one are not asked for pairs; nor
+    are others once all rows of ``cover`` were, of which every pair has one.
+    """
+    _, now = np.unique(group, return_inverse=True)
+    turn, asked, out = np.full(len(now), len(now)), 0, []
+    while True:
+        todo = np.flatnonzero((turn == len(now)) & (now != np.bincount(now).argmax()))
+        rest = todo if cover is None else cover[turn[cover] == len(now)]
+        todo = (rest if len(rest) < len(todo) else todo)[:STEP]
+        if not len(todo):
+            return out
+        turn[todo] = np.arange(asked, asked + len(todo))
+        asked += len(todo)
+        for q, p in meet(todo):
+            ok = (turn[q] < turn[p]) & (now[q] != now[p])
+            q, p = q[ok], p[ok]
+            for at in range(0, len(q), RUN):
+                x, y = q[at:at + RUN], p[at:at + RUN]
+                ok = now[x] != now[y]
                 x, y = x[ok], y[ok]
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = find(root[i]), find(root[j])
-                if a != b and (link is None or link(i, j)):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((i, j))
-    return out
+                if bound is not None:
+                    ok = bound(x, y)
+                    x, y = x[ok], y[ok]
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    if now[i] != now[j] and (link is None or link(i, j)):
+                        now[now == now[j]] = now[i]
+                        out.append((i, j))
 
 
-def _open_pairs(table: pa.Table, percent: int):
-    """Pairs of different components that the bounds let through (side 0 against side 1, or side 0 with itself), in runs."""
-    label = table["label"].to_numpy()
-    for q, p in _near(table, percent) if (label != label[0]).any() else ():
-        ok = label[q] != label[p]
-        yield q[ok], p[ok]
+def _open(table: pa.Table, percent: int):
+    """:func:`_meeting` for pairs of different components."""
+    label, meet = table["label"].to_numpy(), _meeting(table, percent)
+
+    def near(rows):
+        for q, p in meet(rows):
+            ok = label[q] != label[p]
+            yield q[ok], p[ok]
+    return near
 
 
 def _pair_rows(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
@@ -391,21 +398,26 @@ def _pair_rows(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
 
 
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs to verify, as many as connect the nodes that have any."""
-    return _pair_rows(table, _forest(table["rid"].to_numpy(), _open_pairs(table, percent)))
+    """Pairs of different components to verify, as many as connect the nodes that have any."""
+    kinds, label = np.unique(table["label"].to_numpy(), return_inverse=True)
+    if len(kinds) < 2:
+        return _pair_rows(table, [])
+    cover = np.flatnonzero(label != np.bincount(label).argmax())
+    return _pair_rows(table, _forest(table["rid"].to_numpy(), _open(table, percent), cover=cover))
 
 
 def _tie_part(table: pa.Table, percent: int) -> pa.Table:
     """Verified links between components, as many as tie them together; ``label`` tells what is linked already."""
+    label = table["label"].to_numpy()
+    if (label == label[0]).all():
+        return _pair_rows(table, [])
     size, body = table["n"].to_numpy(), [B.unpack(x.as_py())[0] for x in table["body"]]
     count = np.stack([np.bincount(((x >> np.uint64(17)) % np.uint64(FINE)).astype(np.int64), minlength=FINE).astype(np.int32)
                       for x in body])
 
     def bound(x, y):
         return (100 + percent) * np.minimum(count[x], count[y]).sum(axis=1) >= percent * (size[x] + size[y])
-    pairs = _forest(table["label"].to_numpy(), _open_pairs(table, percent), bound,
-                    lambda i, j: linked(body[i], body[j], percent))
-    return _pair_rows(table, pairs)
+    return _pair_rows(table, _forest(label, _meeting(table, percent), bound, lambda i, j: linked(body[i], body[j], percent)))
 
 
 def _verify(batches, percent: int):
@@ -455,9 +467,10 @@ def _links(blocks: DataFrame, light: DataFrame, percent: int, shingle: int) -> D
     pairs = B.keep(_small_pairs(tokens.filter(F.col("m") <= SMALL).join(many, "rid", "left"), percent))
     B.release(spark)
     vectors = B.keep(light.select("rid", "vec").join(many, "rid"))
-    near = _parts(tokens.filter(F.col("m") > SMALL), vectors).groupBy("token", "i", "j").applyInArrow(
-        lambda t: _active(t, percent), "token long, rid long").distinct()
-    near = B.keep(near.join(near.groupBy("token").agg(F.count("*").alias("m")), "token"))
+    # of a shingle of several parts all nodes stay: to hold each part against all others only to leave out some costs more
+    near = _parts(tokens.filter(F.col("m").between(SMALL + 1, PART)), vectors).groupBy("token").applyInArrow(
+        lambda t: _active(t, percent), ACTIVE).union(tokens.filter(F.col("m") > PART).select("token", "rid", "n", "m"))
+    near = B.keep(near)
     del tokens, many
     B.release(spark)
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).select("rid", F.lit(False).alias("large"))
@@ -465,7 +478,6 @@ def _links(blocks: DataFrame, light: DataFrame, percent: int, shingle: int) -> D
         F.bool_or(~F.col("large")).alias("paired"), F.bool_or("large").alias("near"))
     wanted = B.keep(light.drop("tokens").join(used, "rid"))
     bodies = B.keep(_bodies(blocks, wanted, shingle))
-    near = B.keep(near.join(wanted.select("rid", "n"), "rid"))
     del light, ends, used, wanted
     links = _verified(pairs, bodies.filter("paired"), percent)
     bodies = bodies.filter("near")             # steps that need few sets do not send them all
@@ -543,7 +555,7 @@ def _units(rows: DataFrame, clusters: DataFrame) -> DataFrame:
 
     A cluster that long chains made may hold more pairs than its tokens together; then these are its units.
     """
-    full = rows.drop("m").join(clusters.withColumnRenamed("node", "rid"), "rid")
+    full = B.keep(rows.drop("m").join(clusters.withColumnRenamed("node", "rid"), "rid"))
     weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / MEAN)).alias("m")
     nodes = full.select("cluster", "rid", "n", "label").distinct()
     by_token = full.groupBy("cluster", "token").agg(F.count("*").alias("k"), weight).filter("k > 1")

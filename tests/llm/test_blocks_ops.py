@@ -222,6 +222,22 @@ def test_jaccard_join_of_a_drifting_group(spark):
     assert by_row(tuple(r) for r in got) == by_row(brute_components(rows))
 
 
+def test_jaccard_join_of_groups_of_several_parts(spark, monkeypatch):
+    """Shingles of more nodes than a part or a chunk holds."""
+    for name, value in (("SMALL", 4), ("PART", 16), ("CHUNK", 32), ("LEADERS", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(9)
+    base = [[f"{g}t{i}" for i in range(40)] for g in range(3)]
+    rows = []
+    for i in range(170):
+        w = list(base[r.choice([0, 0, 0, 1, 2])])
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(40)] = f"x{r.randrange(6)}"
+        rows.append((i if i % 9 else None, " ".join(w), None, 0))
+    got = component_ids(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert by_row(tuple(x) for x in got) == by_row(brute_components(rows))
+
+
 def test_jaccard_join_moves_only_sets_that_can_link(spark, monkeypatch):
     """Sets with more than a quarter of shingles of their own make no candidates, whatever passage they share; blocks stay where
     they are."""
@@ -301,6 +317,33 @@ def test_pairs_stay_in_the_task_that_finds_them():
     assert label == roots(200, links)
 
 
+def test_a_group_of_like_sets_costs_a_few_searches(monkeypatch):
+    """What is settled is not searched for again, and rows outside of the group are still found."""
+    sets, table = near_rows(600, seed=5)
+    table = table.append_column("token", pa.array([1] * 600, pa.int64()))
+    alone = [B.mix(np.arange(2**50 + 99 * k, 2**50 + 99 * k + 40, dtype=np.uint64)) for k in range(5)]
+    vec = [np.bincount(((x >> np.uint64(7)) % np.uint64(64)).astype(int), minlength=64).astype(np.uint8).tobytes() for x in alone]
+    odd = table.slice(0, 5).set_column(0, "rid", pa.array(range(600, 605), pa.int64())) \
+        .set_column(2, "label", pa.array(range(600, 605), pa.int64())).set_column(4, "vec", pa.array(vec, pa.binary())) \
+        .set_column(1, "n", pa.array([40] * 5, pa.int64())).set_column(5, "body", pa.array([B.pack(np.sort(x)) for x in alone]))
+    table, asked, runs = pa.concat_tables([table, odd]), [], CountRTree.runs
+    links = [(a, b) for a in range(600) for b in range(a) if 175 * len({*sets[a]} & {*sets[b]}) >= 75 * (len(sets[a]) + len(sets[b]))]
+    want = roots(605, links)
+    monkeypatch.setattr(CountRTree, "runs", lambda self, points, sizes: (asked.append(len(sizes)), runs(self, points, sizes))[1])
+    near = {*jaccard_join._active(table, 75)["rid"].to_pylist()}
+    assert sum(asked) < 300 and near.isdisjoint(range(600, 605)) and near >= {x for pair in links for x in pair}
+    for find in (jaccard_join._candidates, jaccard_join._tie_part, jaccard_join._join_group):
+        asked.clear()
+        got = find(table, 75)
+        label = roots(605, zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        assert all(label[a] == label[b] for a, b in links) and got.num_rows < 605
+        assert find is jaccard_join._candidates or label == want
+        assert sum(asked) < 300
+    one = table.set_column(2, "label", pa.array([0] * 604 + [9], pa.int64()))                # the last one alone is not linked yet
+    asked.clear()
+    assert jaccard_join._candidates(one, 75).num_rows == jaccard_join._tie_part(one, 75).num_rows == 0 and sum(asked) <= 2
+
+
 def test_units_are_clusters_or_their_tokens(spark):
     """A node goes to its cluster once; a cluster of few common tokens is taken token by token."""
     tight = [(t, r, 50, 9, r) for t in range(5) for r in range(10)]
